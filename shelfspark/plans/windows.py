@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfspark.session import ensure_checkpoint_dir
+
 _SLICE = "_slice"
 
 
@@ -37,7 +39,7 @@ def running_sum(
     ``sum(value) OVER (PARTITION BY partition ORDER BY order ROWS UNBOUNDED PRECEDING)``
     but the rows are range-partitioned into ``slices`` parallel tasks; a per-slice
     total table (at most ``slices`` rows per partition key) supplies each slice's
-    offset. Use exact types (bigint, decimal) for ``value`` so that the stitched
+    offset. The sliced rows are checkpointed once (see below). Use exact types (bigint, decimal) for ``value`` so that the stitched
     sums equal a sequential sum exactly.
     """
     v = value if isinstance(value, Column) else F.col(value)
@@ -48,7 +50,11 @@ def running_sum(
               .withColumn(_SLICE, F.spark_partition_id()))
     w_local = (Window.partitionBy(_SLICE, *partition).orderBy(*order)
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    local = ranged.withColumn("_local", F.sum("_v").over(w_local))
+    # The slice id comes from sampled range bounds, so it must be fixed once:
+    # the reliable checkpoint is read by both the offset table and the final
+    # join (it also survives the loss of an executor).
+    ensure_checkpoint_dir(df.sparkSession)
+    local = ranged.withColumn("_local", F.sum("_v").over(w_local)).checkpoint(eager=True)
     totals = local.groupBy(_SLICE, *partition).agg(F.sum("_v").alias("_total"))
     w_prev = (Window.partitionBy(*partition).orderBy(_SLICE)
               .rowsBetween(Window.unboundedPreceding, -1))
