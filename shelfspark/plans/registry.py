@@ -78,5 +78,5 @@ def oracle(name: str) -> str | None:
 
 def load_all() -> dict[str, Entry]:
     # importing the query modules fills REGISTRY
-    from shelfspark.plans import queries_catalog, queries_more  # noqa: F401
+    from shelfspark.plans import queries_catalog, queries_ml, queries_more  # noqa: F401
     return REGISTRY
