@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from shelfspark.session import ensure_checkpoint_dir
 
-_SLICE = "_slice"
+_SLICE = "__rs_slice"
 
 
 def _slices(df: DataFrame, slices: int | None) -> int:
@@ -45,7 +45,7 @@ def running_sum(
     v = value if isinstance(value, Column) else F.col(value)
     n = _slices(df, slices)
     keys = [F.col(p).asc() for p in partition] + list(order)
-    ranged = (df.withColumn("_v", v)
+    ranged = (df.withColumn("__rs_v", v)
               .repartitionByRange(n, *keys)
               .withColumn(_SLICE, F.spark_partition_id()))
     w_local = (Window.partitionBy(_SLICE, *partition).orderBy(*order)
@@ -54,16 +54,16 @@ def running_sum(
     # the reliable checkpoint is read by both the offset table and the final
     # join (it also survives the loss of an executor).
     ensure_checkpoint_dir(df.sparkSession)
-    local = ranged.withColumn("_local", F.sum("_v").over(w_local)).checkpoint(eager=True)
-    totals = local.groupBy(_SLICE, *partition).agg(F.sum("_v").alias("_total"))
+    local = ranged.withColumn("__rs_local", F.sum("__rs_v").over(w_local)).checkpoint(eager=True)
+    totals = local.groupBy(_SLICE, *partition).agg(F.sum("__rs_v").alias("__rs_total"))
     w_prev = (Window.partitionBy(*partition).orderBy(_SLICE)
               .rowsBetween(Window.unboundedPreceding, -1))
-    zero = F.lit(0).cast(totals.schema["_total"].dataType)
+    zero = F.lit(0).cast(totals.schema["__rs_total"].dataType)
     offsets = totals.select(_SLICE, *partition,
-                            F.coalesce(F.sum("_total").over(w_prev), zero).alias("_offset"))
+                            F.coalesce(F.sum("__rs_total").over(w_prev), zero).alias("__rs_offset"))
     return (local.join(offsets, [_SLICE, *partition])
-            .withColumn(out, F.col("_local") + F.col("_offset"))
-            .drop("_v", "_local", "_offset", _SLICE))
+            .withColumn(out, F.col("__rs_local") + F.col("__rs_offset"))
+            .drop("__rs_v", "__rs_local", "__rs_offset", _SLICE))
 
 
 def running_count(df: DataFrame, order: Sequence[Column], partition: Sequence[str] = (),
@@ -89,19 +89,19 @@ def next_row(
     bucket from a per-bucket table (one row per bucket).
     """
     b = F.floor(F.col(order) / F.lit(bucket_size))
-    base = df.withColumn("_b", b)
-    w = Window.partitionBy(*partition, "_b").orderBy(order)
+    base = df.withColumn("__nr_b", b)
+    w = Window.partitionBy(*partition, "__nr_b").orderBy(order)
     local = base
     for c in [order, *cols]:
-        local = local.withColumn(f"_n_{c}", F.lead(c).over(w))
-    firsts = base.groupBy(*partition, "_b").agg(
-        F.min(F.struct(F.col(order).alias(order), *[F.col(c).alias(c) for c in cols])).alias("_first"))
-    wb = Window.partitionBy(*partition).orderBy("_b")
-    firsts = firsts.select(*partition, "_b", F.lead("_first").over(wb).alias("_after"))
-    joined = local.join(firsts, [*partition, "_b"], "left")
-    last_in_bucket = F.col(f"_n_{order}").isNull()
+        local = local.withColumn(f"__nr_n_{c}", F.lead(c).over(w))
+    firsts = base.groupBy(*partition, "__nr_b").agg(
+        F.min(F.struct(F.col(order).alias(order), *[F.col(c).alias(c) for c in cols])).alias("__nr_first"))
+    wb = Window.partitionBy(*partition).orderBy("__nr_b")
+    firsts = firsts.select(*partition, "__nr_b", F.lead("__nr_first").over(wb).alias("__nr_after"))
+    joined = local.join(firsts, [*partition, "__nr_b"], "left")
+    last_in_bucket = F.col(f"__nr_n_{order}").isNull()
     out = joined
     for c in [order, *cols]:
-        out = out.withColumn(prefix + c, F.when(last_in_bucket, F.col("_after")[c])
-                             .otherwise(F.col(f"_n_{c}")))
-    return out.drop("_b", "_after", *[f"_n_{c}" for c in [order, *cols]])
+        out = out.withColumn(prefix + c, F.when(last_in_bucket, F.col("__nr_after")[c])
+                             .otherwise(F.col(f"__nr_n_{c}")))
+    return out.drop("__nr_b", "__nr_after", *[f"__nr_n_{c}" for c in [order, *cols]])

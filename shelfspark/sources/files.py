@@ -52,11 +52,10 @@ def conform_catalog(raw: DataFrame, schema: T.StructType = CATALOG) -> DataFrame
 
 def read_catalog(spark: SparkSession, path: str, fmt: str = "csv", schema: T.StructType = CATALOG) -> DataFrame:
     """A1: the flat catalogue from CSV (header; every column read as text, then
-    conformed) or Parquet (typed; NaN -> null)."""
+    conformed by name: absent columns are null) or Parquet (typed; NaN -> null)."""
     if fmt == "csv":
-        text = T.StructType([T.StructField(f.name, T.StringType(), True) for f in schema.fields])
-        raw = (spark.read.option("header", True).option("mode", "PERMISSIVE")
-               .option("nullValue", None).schema(text).csv(path))
+        # columns are matched by header name, every value read as text (no inference pass)
+        raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
         return conform_catalog(raw, schema)
     df = spark.read.parquet(path)
     return df.select(*[nan_to_null(f.name).alias(f.name) if isinstance(f.dataType, T.DoubleType)
