@@ -9,6 +9,7 @@ from __future__ import annotations
 import random
 from collections.abc import Mapping, Sequence
 
+from pyspark import StorageLevel
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import Evaluator
@@ -21,6 +22,7 @@ from shelfspark.functions.features import REFERENCE_DATE
 from shelfspark.operators.engineer import engineer_post_launch, engineer_pre_launch
 from shelfspark.operators.evaluate import classification_metrics
 from shelfspark.operators.prep import assemble_scaled, ordinal_encoder, with_class_weights
+from shelfspark.session import spread
 from shelfspark.schemas import CATEGORICAL, POST_CATEGORICAL, POST_NUMERIC, PRE_NUMERIC
 
 SEED = 42
@@ -69,10 +71,20 @@ def feature_names(cats: Sequence[str], nums: Sequence[str], suffix: str = "_code
 
 def fit_pipeline(df: DataFrame, cats: Sequence[str], nums: Sequence[str], estimator: Estimator | None
                  ) -> PipelineModel:
-    """Encoder (alphabetical, unseen -> -1) -> assembler -> scaler -> estimator, as one model."""
-    enc = ordinal_encoder(df, cats)
-    stages = assemble_scaled(feature_names(cats, nums)) + ([estimator] if estimator is not None else [])
-    rest = Pipeline(stages=stages).fit(enc.transform(df))
+    """Encoder (alphabetical, unseen -> -1) -> assembler -> scaler -> estimator, as one model.
+
+    The training rows are persisted for the duration of the fit: the encoder,
+    the scaler and the estimator each read them, and the input is usually a join.
+    """
+    owned = not df.is_cached
+    data = spread(df).persist(StorageLevel.MEMORY_AND_DISK) if owned else df
+    try:
+        enc = ordinal_encoder(data, cats)
+        stages = assemble_scaled(feature_names(cats, nums)) + ([estimator] if estimator is not None else [])
+        rest = Pipeline(stages=stages).fit(enc.transform(data))
+    finally:
+        if owned:
+            data.unpersist()
     return PipelineModel(stages=list(enc.stages) + list(rest.stages))
 
 

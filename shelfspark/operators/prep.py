@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.feature import SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,15 +37,15 @@ def ordinal_encoder(df: DataFrame, cols: Sequence[str], suffix: str = "_code") -
     StringIndexer (alphabetAsc, keep) puts unseen values at index = number of
     labels; a SQLTransformer stored in the same PipelineModel maps that to -1.
     """
-    idx = [StringIndexer(inputCol=c, outputCol=f"_{c}_idx", stringOrderType="alphabetAsc",
-                         handleInvalid="keep") for c in cols]
-    fitted = Pipeline(stages=idx).fit(df)
-    n_labels = {c: len(m.labelsArray[0]) for c, m in zip(cols, fitted.stages)}
+    idx = StringIndexer(inputCols=list(cols), outputCols=[f"_{c}_idx" for c in cols],
+                        stringOrderType="alphabetAsc", handleInvalid="keep")
+    fitted = idx.fit(df)  # one aggregation pass for all columns
+    n_labels = {c: len(labels) for c, labels in zip(cols, fitted.labelsArray)}
     select = ", ".join(
         [f"CASE WHEN `_{c}_idx` >= {n_labels[c]} THEN -1 ELSE CAST(`_{c}_idx` AS INT) END AS `{c}{suffix}`"
          for c in cols])
     unseen = SQLTransformer(statement=f"SELECT *, {select} FROM __THIS__")
-    return PipelineModel(stages=list(fitted.stages) + [unseen])
+    return PipelineModel(stages=[fitted, unseen])
 
 
 def assemble_scaled(feature_cols: Sequence[str], out: str = "features") -> list:

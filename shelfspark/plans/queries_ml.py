@@ -17,6 +17,7 @@ from shelfspark.operators import scoring as K
 from shelfspark.plans.queries_more import FIXTURE_REF_DATE
 from shelfspark.plans.registry import register
 from shelfspark.schemas import CATEGORICAL, POST_CATEGORICAL, POST_NUMERIC, PRE_NUMERIC
+from shelfspark.session import spread
 from shelfspark.sources.catalog import catalog_view
 
 SMALL_BOOST = {"rounds": 10, "depth": 4, "rate": 0.1}
@@ -24,7 +25,7 @@ SMALL_BOOST = {"rounds": 10, "depth": 4, "rate": 0.1}
 
 def _split(features):
     s = H.stratified_split(features, "label", "product_id", 0.8, 42)
-    train = H.with_class_weights(s.where(F.col("split") == "train"), "label").cache()
+    train = spread(H.with_class_weights(s.where(F.col("split") == "train"), "label")).cache()
     test = s.where(F.col("split") == "test")
     return train, test
 
@@ -66,7 +67,7 @@ def q_grid(spark, sf):
     feats = C.engineer_pre_launch(catalog_view(spark, sf), FIXTURE_REF_DATE)
     folded = H.with_class_weights(H.assign_folds(feats, "label", "product_id", 3, 42), "label")
     enc = I.fit_pipeline(folded, CATEGORICAL, PRE_NUMERIC, None)
-    data = enc.transform(folded).select("features", F.col("label").cast("double"), "weight", "fold").cache()
+    data = spread(enc.transform(folded).select("features", F.col("label").cast("double"), "weight", "fold")).cache()
     est = I.logistic(1.0, 1.0)
     grid = {"regParam": [1e-4, 1e-3, 1e-2]}
     cv = I.grid_search(data, est, grid, "fold", parallelism=3)

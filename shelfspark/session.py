@@ -49,3 +49,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-path of the shared checkpoint folder for written intermediate tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}"
+
+
+def spread(df):
+    """Repartition a frame that has fewer partitions than the cluster has cores.
+
+    Iterative learners read their input many times; a few large input splits
+    would leave most cores idle. Large inputs (more partitions than cores) are
+    returned unchanged, so no shuffle is added at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
