@@ -129,7 +129,8 @@ def q_pareto(spark, sf):
 
 
 @register("pareto_takeaway", with_catalog(PARETO_SQL + """
-SELECT count_if(is_head) AS n_head, count(*) AS n_total, count(*) - count_if(is_head) AS n_rest,
+SELECT CAST(count_if(is_head) AS BIGINT) AS n_head, count(*) AS n_total,
+  CAST(count(*) - count_if(is_head) AS BIGINT) AS n_rest,
   (SELECT brand FROM pp WHERE position = 0) AS top_key,
   max(CASE WHEN position = 0 THEN revenue END) / max(cum_revenue) * 100 AS top_share_pct,
   max(CASE WHEN position <= 2 THEN cum_revenue END) / max(cum_revenue) * 100 AS top3_share_pct
@@ -149,7 +150,7 @@ def q_city_revenue(spark, sf):
 
 
 @register("city_takeaway", with_catalog(CITY_SQL + """
-SELECT avg(revenue) AS avg_revenue, count_if(below_avg) AS n_below_avg,
+SELECT avg(revenue) AS avg_revenue, CAST(count_if(below_avg) AS BIGINT) AS n_below_avg,
   CAST((SELECT sum(CAST(revenue AS DECIMAL(38,4))) FROM (SELECT revenue FROM c ORDER BY revenue DESC, city LIMIT 2)) AS DOUBLE)
   / CAST(sum(CAST(revenue AS DECIMAL(38,4))) AS DOUBLE) * 100 AS top2_share_pct
 FROM c"""), rounded=["avg_revenue", "top2_share_pct"])
@@ -198,7 +199,7 @@ SELECT (SELECT city FROM db ORDER BY on_time_pct DESC, city LIMIT 1) AS best,
   (SELECT max(on_time_pct) FROM db) AS best_on_time_pct,
   (SELECT city FROM db ORDER BY on_time_pct, city LIMIT 1) AS worst,
   (SELECT min(on_time_pct) FROM db) AS worst_on_time_pct,
-  (SELECT count_if(on_time_pct < 70) FROM db) AS n_below_70"""), rounded=["best_on_time_pct", "worst_on_time_pct"])
+  CAST((SELECT count_if(on_time_pct < 70) FROM db) AS BIGINT) AS n_below_70"""), rounded=["best_on_time_pct", "worst_on_time_pct"])
 def q_delivery_takeaway(spark, sf):
     return E.delivery_takeaway(E.delivery_by_city(cat(spark, sf, "city", "delivery_status", "delivery_time_min")))
 
@@ -277,7 +278,7 @@ SELECT (SELECT category FROM rb ORDER BY avg_rating DESC, category LIMIT 1) AS b
   (SELECT category FROM rb ORDER BY avg_rating, category LIMIT 1) AS worst,
   (SELECT min(avg_rating) FROM rb) AS worst_rating,
   (SELECT avg(avg_rating) FROM rb) AS overall_avg,
-  (SELECT count_if(avg_rating < 3.5) FROM rb) AS n_low"""), rounded=["best_rating", "worst_rating", "overall_avg"])
+  CAST((SELECT count_if(avg_rating < 3.5) FROM rb) AS BIGINT) AS n_low"""), rounded=["best_rating", "worst_rating", "overall_avg"])
 def q_rating_takeaway(spark, sf):
     return E.rating_takeaway(E.rating_by(cat(spark, sf, "category", "rating"), "category"))
 

@@ -44,7 +44,7 @@ def q_schema_profile(spark, sf):
 
 
 @register("null_counts", with_catalog("\nUNION ALL\n".join(
-    f"SELECT '{c}' AS \"column\", count_if({c} IS NULL) AS n_null FROM catalog" for c in ALL), prep=False))
+    f"SELECT '{c}' AS \"column\", CAST(count_if({c} IS NULL) AS BIGINT) AS n_null FROM catalog" for c in ALL), prep=False))
 def q_null_counts(spark, sf):
     return B.null_counts(catalog_view(spark, sf))
 
@@ -203,7 +203,7 @@ def _screen_sql() -> str:
     n = " + ".join(f"CAST(regexp_matches(code, '{p}') AS INTEGER)" for p in G.UNSAFE_PATTERNS)
     return f"""WITH a AS (SELECT conv_id, turn, {code} AS code FROM conversations WHERE role = 'assistant'),
 s AS (SELECT conv_id, turn, code, {n} AS n_unsafe FROM a)
-SELECT conv_id, turn, length(code) AS code_chars, n_unsafe, n_unsafe > 0 AS unsafe,
+SELECT conv_id, turn, CAST(length(code) AS INTEGER) AS code_chars, n_unsafe, n_unsafe > 0 AS unsafe,
   CASE WHEN n_unsafe > 0 THEN 'error' WHEN code IS NULL OR code = '' THEN 'chat' ELSE 'text' END AS outcome FROM s"""
 
 
@@ -315,10 +315,10 @@ def q_classification_metrics(spark, sf):
 
 
 @register("baseline_confusion_matrix", with_catalog(RULE_SQL + """
-SELECT 1 AS label, 1 AS prediction, count_if(label = 1 AND on_time_rule = 1) AS n FROM pr
-UNION ALL SELECT 0, 1, count_if(label <> 1 AND on_time_rule = 1) FROM pr
-UNION ALL SELECT 1, 0, count_if(label = 1 AND on_time_rule <> 1) FROM pr
-UNION ALL SELECT 0, 0, count_if(label <> 1 AND on_time_rule <> 1) FROM pr""", prep=False))
+SELECT 1 AS label, 1 AS prediction, CAST(count_if(label = 1 AND on_time_rule = 1) AS BIGINT) AS n FROM pr
+UNION ALL SELECT 0, 1, CAST(count_if(label <> 1 AND on_time_rule = 1) AS BIGINT) FROM pr
+UNION ALL SELECT 1, 0, CAST(count_if(label = 1 AND on_time_rule <> 1) AS BIGINT) FROM pr
+UNION ALL SELECT 0, 0, CAST(count_if(label <> 1 AND on_time_rule <> 1) AS BIGINT) FROM pr""", prep=False))
 def q_confusion(spark, sf):
     return J.confusion_matrix(_rule_preds(spark, sf), "label", "on_time_rule")
 
