@@ -24,7 +24,18 @@ def offer_filled(c="offer_type") -> Column:
 def parsed_date(c) -> Column:
     """Date text -> timestamp (already-typed timestamps pass through)."""
     c = col(c)
-    return F.coalesce(F.try_to_timestamp(c.cast("string")), c.cast("timestamp_ntz"))
+    return F.coalesce(c.try_cast("timestamp_ntz"), F.try_to_timestamp(c.cast("string")).cast("timestamp_ntz"))
+
+
+def in_date_range(start=None, end=None, c="date_added") -> Column:
+    """C4: date of ``c`` between ``start`` and ``end`` (both inclusive; either may be None)."""
+    d = F.to_date(col(c))
+    cond = F.lit(True)
+    if start is not None:
+        cond = cond & (d >= F.lit(str(start)).cast("date"))
+    if end is not None:
+        cond = cond & (d <= F.lit(str(end)).cast("date"))
+    return cond
 
 
 def revenue() -> Column:

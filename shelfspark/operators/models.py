@@ -167,3 +167,21 @@ def train_pre_launch(catalog: DataFrame, ref_date=REFERENCE_DATE, params=PRE_LAU
 def train_post_launch(catalog: DataFrame, ref_date=REFERENCE_DATE, params=POST_LAUNCH_PARAMS) -> PipelineModel:
     """Post-launch features -> encode -> scale -> balanced boosted trees."""
     return _train(engineer_post_launch(catalog, ref_date), POST_CATEGORICAL, POST_NUMERIC, params)
+
+
+def production_training(catalog: DataFrame, model_dir: str, runs_path: str, experiment: str = "catalogue_models",
+                        ref_date=REFERENCE_DATE, pre_params=PRE_LAUNCH_PARAMS, post_params=POST_LAUNCH_PARAMS
+                        ) -> dict[str, str]:
+    """I9 end to end: train both models, save them, append one run record each.
+
+    Returns the run id per model. ``latest_run`` / ``require_latest_model`` load them back.
+    """
+    from shelfspark.sources.store import log_run, save_model
+    spark = catalog.sparkSession
+    runs = {}
+    for name, train, params in (("pre_launch_model", train_pre_launch, pre_params),
+                                ("post_launch_model", train_post_launch, post_params)):
+        model = train(catalog, ref_date, params)
+        path = save_model(model, f"{model_dir.rstrip('/')}/{name}")
+        runs[name] = log_run(spark, runs_path, experiment, name, params, {}, path)
+    return runs

@@ -1,0 +1,20 @@
+"""Joins against small aggregated tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+MAX_BROADCAST_ROWS = 1_000_000
+
+
+def bounded_broadcast(small: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Broadcast ``small`` only after checking its row count; above the bound it is
+    returned as is and the planner shuffles both sides on the join key.
+
+    Meant for aggregated tables keyed by a few values (one row per category):
+    shuffling the large side on such a key would put whole groups in one task.
+    The count runs on the already aggregated rows.
+    """
+    n = small.limit(max_rows + 1).count()
+    return F.broadcast(small) if n <= max_rows else small

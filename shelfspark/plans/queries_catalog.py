@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from shelfspark.operators import insights as E
 from shelfspark.operators import kpi as D
 from shelfspark.operators import questions as Q
+from shelfspark.operators.dashboard import filter_dates
 from shelfspark.plans.registry import cat, register, with_catalog
 from shelfspark.sources.catalog import catalog_view
 
@@ -49,6 +50,17 @@ def _extreme_sql(dim: str) -> str:
   (SELECT min(revenue) FROM g_{dim}) AS bottom_revenue"""
 
 
+@register("kpi_totals_1998_1999", with_catalog("""SELECT CAST(sum(rev4) AS DOUBLE) AS total_revenue,
+  CAST(sum(sold_quantity) AS BIGINT) AS total_units, avg(rating) AS avg_rating,
+  count_if(delivery_status = 'On-Time') * 100.0e0 / count(*) AS on_time_pct,
+  100.0e0 - count_if(delivery_status = 'On-Time') * 100.0e0 / count(*) AS delayed_pct
+FROM prep WHERE CAST(date_added AS DATE) BETWEEN DATE '1998-01-01' AND DATE '1999-12-31'"""),
+          rounded=["avg_rating", "on_time_pct", "delayed_pct"])
+def q_kpi_totals_range(spark, sf):
+    df = cat(spark, sf, *REV, "rating", "delivery_status", "date_added")
+    return D.kpi_totals(filter_dates(df, "1998-01-01", "1999-12-31"))
+
+
 @register("kpi_extremes", with_catalog(f""", g_city AS ({_grp_sql('city')}),
 g_seller AS ({_grp_sql('seller')})
 {_extreme_sql('city')}

@@ -52,9 +52,7 @@ def q_post_scores(spark, sf):
 
 @register("linear_regression_metrics", None)
 def q_linear(spark, sf):
-    cat = catalog_view(spark, sf)
-    feats = C.engineer_pre_launch(cat, FIXTURE_REF_DATE).join(
-        cat.select("product_id", "rating"), "product_id")
+    feats = C.engineer_pre_launch(catalog_view(spark, sf), FIXTURE_REF_DATE, keep=("product_id", "rating"))
     s = H.random_split(feats, "product_id", 0.8, 42)
     model = I.fit_pipeline(s.where(F.col("split") == "train"), CATEGORICAL, PRE_NUMERIC,
                            I.linear_regression("rating"))

@@ -13,6 +13,7 @@ from shelfspark.operators import evaluate as J
 from shelfspark.operators import prep as H
 from shelfspark.operators import profile as B
 from shelfspark.operators.kpi import prepare
+from shelfspark.plans.joins import bounded_broadcast
 from shelfspark.plans.registry import cat, register, with_catalog
 from shelfspark.schemas import (
     CATALOG, CATEGORICAL, CONTRACT_INTS, NUMERIC_COLUMNS, POST_CATEGORICAL, POST_CONTRACT, POST_NUMERIC,
@@ -270,7 +271,7 @@ SELECT sqrt(avg((prediction - label) * (prediction - label))) AS rmse, avg(abs(p
 def q_regression_metrics(spark, sf):
     df = cat(spark, sf, "category", "rating").where(F.col("category").isNotNull())
     means = df.groupBy("category").agg(F.avg("rating").alias("prediction"))
-    pred = df.join(means, "category").select(F.col("rating").alias("label"), "prediction")
+    pred = df.join(bounded_broadcast(means), "category").select(F.col("rating").alias("label"), "prediction")
     return J.regression_metrics(pred)
 
 

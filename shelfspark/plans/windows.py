@@ -61,6 +61,8 @@ def running_sum(
     zero = F.lit(0).cast(totals.schema["__rs_total"].dataType)
     offsets = totals.select(_SLICE, *partition,
                             F.coalesce(F.sum("__rs_total").over(w_prev), zero).alias("__rs_offset"))
+    if not partition:
+        offsets = F.broadcast(offsets)  # one row per slice: bounded by ``slices``
     return (local.join(offsets, [_SLICE, *partition])
             .withColumn(out, F.col("__rs_local") + F.col("__rs_offset"))
             .drop("__rs_v", "__rs_local", "__rs_offset", _SLICE))

@@ -121,3 +121,18 @@ def test_importance_and_contributions(spark, model, feats):
     assert len(contrib) == len(names) and all(r["mean_abs"] >= 0 for r in contrib)
     perm = J.permutation_importance(model, feats, ["delivery_time_min"], "product_id").collect()
     assert len(perm) == 1
+
+
+def test_production_training_roundtrip(spark, tmp_path):
+    from shelfspark.sources.catalog import catalog_view as cv
+    cat = cv(spark, SF_SMALL)
+    small = {"rounds": 2, "depth": 2, "rate": 0.1}
+    runs = I.production_training(cat, str(tmp_path / "models"), str(tmp_path / "runs"), "exp",
+                                 FIXTURE_REF_DATE, small, small)
+    assert set(runs) == {"pre_launch_model", "post_launch_model"}
+    model = store.require_latest_model(spark, str(tmp_path / "runs"), "exp")
+    latest = store.latest_run(store.read_runs(spark, str(tmp_path / "runs")), "exp").first()
+    assert latest["params"]["rounds"] == "2"
+    feats = (C.engineer_post_launch(cat, FIXTURE_REF_DATE) if latest["name"] == "post_launch_model"
+             else C.engineer_pre_launch(cat, FIXTURE_REF_DATE))
+    assert K.score(model, feats).count() == cat.count()

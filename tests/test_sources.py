@@ -86,3 +86,22 @@ def test_pruned_view_equals_full_join(spark):
     full = catalog_view(spark, SF_SMALL).select("product_id", "category")
     pruned = catalog_view(spark, SF_SMALL, ["product_id", "category"])
     assert full.exceptAll(pruned).count() == 0 and pruned.exceptAll(full).count() == 0
+
+
+def test_dashboard_tables_and_sql_view(spark):
+    from shelfspark.operators.dashboard import dashboard_tables, filter_dates, register_catalog_view
+    cat = catalog_view(spark, SF_SMALL)
+    tables = dashboard_tables(cat, "1996-01-01", "1997-12-31")
+    assert tables["kpi_counts"].first()["n_products"] == filter_dates(cat, "1996-01-01", "1997-12-31").count()
+    months = [r["month"] for r in tables["monthly_trend"].collect()]
+    assert min(months) >= "1996-01" and max(months) <= "1997-12"
+    assert filter_dates(cat, "2030-01-01", "2030-12-31").count() == 0
+    register_catalog_view(spark, cat)
+    assert spark.sql("SELECT count(DISTINCT offer_type) FROM catalog").first()[0] == 4
+
+
+def test_parsed_date(spark):
+    from shelfspark.functions.features import parsed_date
+    df = spark.createDataFrame([("2023-01-05 10:00:00",), ("2023-01-06",), ("junk",)], "d string")
+    got = [r[0] for r in df.select(parsed_date("d")).collect()]
+    assert str(got[0]) == "2023-01-05 10:00:00" and str(got[1]) == "2023-01-06 00:00:00" and got[2] is None
