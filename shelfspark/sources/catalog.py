@@ -92,11 +92,14 @@ def catalog_view(spark: SparkSession, sf_dir: str, columns: Iterable[str] | None
     if "supplier" in needs:
         df = df.join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     if "orders" in needs:
-        df = df.join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    if "customer" in needs:
-        df = df.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    if "nation" in needs:
-        df = df.join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+        # Resolve the orders -> customer -> nation chain at orders size first, so
+        # the lineitem-sized side is shuffled once (on orderkey), not per link.
+        orders = table(spark, sf_dir, "orders")
+        if "customer" in needs:
+            orders = orders.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+        if "nation" in needs:
+            orders = orders.join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+        df = df.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     exprs = {**_line_columns(), **_dim_columns()}
     return df.select(*[exprs[k].alias(k) for k in cols])
 
