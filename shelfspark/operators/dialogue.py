@@ -85,14 +85,19 @@ def flag_unsafe_code(df: DataFrame, c: str = "code") -> DataFrame:
     return df.withColumn("unsafe_patterns", m).withColumn("unsafe", F.size(m) > 0)
 
 
-def extract_code(c) -> Column:
-    """The first fenced python block (dot matches newline), else the text with
-    fences removed; trimmed of surrounding whitespace and newlines."""
+def code_block(c) -> Column:
+    """G5 (Column form): the first fenced python block (dot matches newline), else the
+    text with fences removed; trimmed of surrounding whitespace and newlines."""
     text = F.col(c) if isinstance(c, str) else c
     return F.when(text.rlike(FENCED_PYTHON), strip_ws(F.regexp_extract(text, FENCED_PYTHON, 1))) \
         .otherwise(strip_ws(F.regexp_replace(text, ANY_FENCE, "")))
 
 
+def extract_code(df: DataFrame, c: str = "content", out: str = "code") -> DataFrame:
+    """Add the extracted code of text column ``c`` as ``out``."""
+    return df.withColumn(out, code_block(c))
+
+
 def answer_outcome(df: DataFrame) -> DataFrame:
     """Outcome of an answer record (error, summary, code, display_table, n_result_rows).
 
@@ -110,7 +115,7 @@ def answer_outcome(df: DataFrame) -> DataFrame:
 
 def screen_answers(log: DataFrame) -> DataFrame:
     """G4+G5+G6 over assistant rows: extracted code, unsafe patterns, outcome."""
-    a = log.where(F.col("role") == "assistant").withColumn("code", extract_code("content"))
+    a = extract_code(log.where(F.col("role") == "assistant"), "content", "code")
     a = flag_unsafe_code(a, "code")
     a = a.withColumn("error", F.when(F.col("unsafe"), F.lit(BLOCKED_MESSAGE)))
     a = a.withColumn("display_table", F.lit(False)).withColumn("n_result_rows", F.lit(0))

@@ -48,6 +48,11 @@ def ordinal_encoder(df: DataFrame, cols: Sequence[str], suffix: str = "_code") -
     return PipelineModel(stages=[fitted, unseen])
 
 
+def ordinal_encode(df: DataFrame, cols: Sequence[str], suffix: str = "_code") -> PipelineModel:
+    """H2: same as ``ordinal_encoder`` (fit on ``df``; apply the model to scoring rows)."""
+    return ordinal_encoder(df, cols, suffix)
+
+
 def assemble_scaled(feature_cols: Sequence[str], out: str = "features") -> list:
     """H3: vector of all features (codes act as numbers) -> zero mean, unit variance.
 

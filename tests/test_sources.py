@@ -42,7 +42,7 @@ def test_to_records(spark):
 
 def test_unsafe_and_extract(spark):
     rows = [("```python\nimport os\nos.remove('x')\n```",), ("plain text",), ("```\nprint(1)\n```",)]
-    df = spark.createDataFrame(rows, "t string").withColumn("code", G.extract_code("t"))
+    df = G.extract_code(spark.createDataFrame(rows, "t string"), "t", "code")
     out = G.flag_unsafe_code(df, "code").collect()
     assert out[0]["code"] == "import os\nos.remove('x')" and out[0]["unsafe"]
     assert len(out[0]["unsafe_patterns"]) == 3
