@@ -88,3 +88,26 @@ def q_scenario(spark, sf):
                            I.boosted(5, 3, 0.1))
     scen = C.scenario_features(cat, "2001-09-01", "post", FIXTURE_REF_DATE)
     return K.decide(K.score(model, C.conform(scen, "post").where("success")))
+
+
+@register("stream_scores", None)
+def q_stream(spark, sf):
+    """K3: post-launch request rows (from the catalogue) arrive as Parquet files under
+    the shared checkpoint folder; a Structured Streaming query (availableNow) scores
+    them into a sink, which is returned."""
+    import uuid
+
+    from shelfspark.schemas import POST_CONTRACT
+    from shelfspark.session import scratch_path
+    from shelfspark.streaming.scoring import start_scoring
+
+    feats = C.engineer_post_launch(catalog_view(spark, sf), FIXTURE_REF_DATE)
+    model = I.fit_pipeline(H.with_class_weights(feats, "label"), POST_CATEGORICAL, POST_NUMERIC,
+                           I.boosted(5, 3, 0.1))
+    base = scratch_path(spark, f"stream-scores-{uuid.uuid4().hex}")
+    requests = feats.select("product_id", *[f.name for f in POST_CONTRACT.fields])
+    requests.write.parquet(f"{base}/requests")
+    schema = spark.read.parquet(f"{base}/requests").schema
+    q = start_scoring(spark, model, f"{base}/requests", schema, f"{base}/scores", f"{base}/checkpoint")
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/scores")
