@@ -16,7 +16,8 @@ from shelfspark.functions.common import (
 )
 from shelfspark.functions.features import offer_filled, revenue
 from shelfspark.plans.grid import complete_grid
-from shelfspark.plans.windows import running_sum
+from shelfspark.plans.reuse import materialize_small
+from shelfspark.plans.windows import running_sums
 
 # Fixed values of the dashboard: colour bands, the Pareto line, the trend cut-off.
 DELIVERY_BANDS = ([70.0, 85.0], ["red", "amber", "green"])
@@ -88,7 +89,7 @@ def revenue_by_takeaway(table: DataFrame, dim: str) -> DataFrame:
 
 def city_revenue(df: DataFrame, dim: str = "city") -> DataFrame:
     """Revenue per city flagged below the (unweighted) mean of the city sums."""
-    t = revenue_by(df, dim)
+    t = materialize_small(revenue_by(df, dim))
     mean = t.agg(F.avg("revenue")).scalar()
     return t.withColumn("below_avg", F.col("revenue") < mean)
 
@@ -113,10 +114,9 @@ def pareto(df: DataFrame, dim: str = "brand", cut: float = PARETO_CUT) -> DataFr
     The running sum is distributed (range slices + per-slice offsets) and exact.
     """
     g = _keyed(df, dim).groupBy(dim).agg(F.sum(money_decimal(revenue())).alias("_rev"))
-    total = g.agg(F.sum("_rev")).scalar()
     order = [F.col("_rev").desc(), F.col(dim).asc()]
-    ranked = running_sum(g, "_rev", order, out="_cum")
-    ranked = running_sum(ranked.withColumn("_one", F.lit(1).cast("bigint")), "_one", order, out="_pos")
+    ranked = running_sums(g, {"_cum": "_rev", "_pos": F.lit(1).cast("bigint")}, order)
+    total = ranked.agg(F.sum("_rev")).scalar()  # read from the checkpointed rows, no second scan
     ranked = ranked.select(
         dim, F.col("_rev").cast("double").alias("revenue"),
         F.col("_cum").cast("double").alias("cum_revenue"),
@@ -146,12 +146,19 @@ def pareto_takeaway(p: DataFrame) -> DataFrame:
 def cross_grid(df: DataFrame, row: str = "city", col: str = "category") -> DataFrame:
     """Complete row x column revenue grid, long form, missing cells = 0."""
     cells = _keyed(df, row, col).groupBy(row, col).agg(exact_sum(revenue()).alias("revenue"))
-    return complete_grid(cells, row, col, "revenue", 0.0)
+    return complete_grid(materialize_small(cells), row, col, "revenue", 0.0)
 
 
-def grid_weakest(grid: DataFrame, row_revenue: DataFrame, row: str = "city", col: str = "category") -> DataFrame:
+def grid_weakest(grid: DataFrame, row_revenue: DataFrame | None = None, row: str = "city",
+                 col: str = "category") -> DataFrame:
     """Lowest grid cell overall (row asc, column asc on ties) and lowest cell
-    among the top-2 rows by revenue (higher-revenue row first, then column)."""
+    among the top-2 rows by revenue (higher-revenue row first, then column).
+
+    Row revenue defaults to the exact re-sum of the grid's cells, so the
+    catalogue is aggregated once.
+    """
+    if row_revenue is None:
+        row_revenue = grid.groupBy(row).agg(_resum("revenue").alias("revenue"))
     order = [F.col("revenue").desc(), F.col(row).asc()]
     top2 = (row_revenue.orderBy(*order).limit(2)  # two rows: the window below is bounded
             .select(row, F.row_number().over(Window.orderBy(*order)).alias("_r")))
@@ -192,8 +199,8 @@ def demand_supply_quadrant(df: DataFrame, dim: str = "category") -> DataFrame:
 
     The medians are over one value per group (bounded by the group count).
     """
-    q = (_keyed(df, dim).groupBy(dim)
-         .agg(F.avg("demand_index").alias("avg_demand"), F.avg("stock").alias("avg_stock")))
+    q = materialize_small(_keyed(df, dim).groupBy(dim)
+                          .agg(F.avg("demand_index").alias("avg_demand"), F.avg("stock").alias("avg_stock")))
     med = q.agg(F.struct(F.median("avg_demand").alias("d"), F.median("avg_stock").alias("s"))).scalar()
     hi_d, hi_s = F.col("avg_demand") >= med["d"], F.col("avg_stock") >= med["s"]
     quadrant = (F.when(hi_d & ~hi_s, "Reorder Now").when(hi_d & hi_s, "Healthy")
@@ -211,10 +218,10 @@ def quadrant_counts(q: DataFrame, dim: str = "category") -> DataFrame:
 def discount_margin(df: DataFrame, dim: str = "category") -> DataFrame:
     """Mean discount, mean margin, revenue per group; leakage zone = discount above
     and margin below their medians, safe zone = the reverse (strict comparisons)."""
-    m = (_keyed(df, dim).groupBy(dim)
-         .agg(F.avg("discount_pct").alias("avg_discount"),
-              F.avg("profit_margin_pct").alias("avg_margin"),
-              exact_sum(revenue()).alias("total_revenue")))
+    m = materialize_small(_keyed(df, dim).groupBy(dim)
+                          .agg(F.avg("discount_pct").alias("avg_discount"),
+                               F.avg("profit_margin_pct").alias("avg_margin"),
+                               exact_sum(revenue()).alias("total_revenue")))
     med = m.agg(F.struct(F.median("avg_discount").alias("d"), F.median("avg_margin").alias("m"))).scalar()
     zone = (F.when((F.col("avg_discount") > med["d"]) & (F.col("avg_margin") < med["m"]), "leakage")
             .when((F.col("avg_discount") < med["d"]) & (F.col("avg_margin") > med["m"]), "safe")
@@ -225,10 +232,10 @@ def discount_margin(df: DataFrame, dim: str = "category") -> DataFrame:
 # ---------------------------------------------------------------- E12
 def offer_effect(df: DataFrame) -> DataFrame:
     """Mean units per (category, offer type); missing offers count as 'No Offer'."""
-    return (df.withColumn("offer_type", offer_filled())
-            .where(F.col("category").isNotNull())
-            .groupBy("category", "offer_type")
-            .agg(F.avg("sold_quantity").alias("avg_units")))
+    return materialize_small(df.withColumn("offer_type", offer_filled())
+                             .where(F.col("category").isNotNull())
+                             .groupBy("category", "offer_type")
+                             .agg(F.avg("sold_quantity").alias("avg_units")))
 
 
 def offer_takeaway(cells: DataFrame) -> DataFrame:
@@ -287,14 +294,20 @@ def linear_fit(points: DataFrame, x: str = "avg_delivery", y: str = "avg_rating"
         F.min(x).alias("x_min"), F.max(x).alias("x_max"))
 
 
-def speed_takeaway(points: DataFrame, fit: DataFrame, dim: str = "city") -> DataFrame:
+def speed_takeaway(points: DataFrame, fit: DataFrame | None = None, dim: str = "city") -> DataFrame:
     """R, whether slower delivery hurts (r < -0.1), fastest and slowest group.
 
+    r is computed in the same aggregate as the extremes (one pass over the points);
+    ``fit`` is accepted for symmetry with ``linear_fit`` and not needed.
+
     Ties: fastest is the smaller key, slowest the larger (last in ascending order).
     """
-    r = points.agg(best_key("avg_delivery", dim, False).alias("f"),
-                   F.max(F.struct("avg_delivery", dim)).alias("s"))
-    rv = fit.select("r").scalar()
+    x, y = "avg_delivery", "avg_rating"
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    xs, ys = F.when(both, F.col(x)), F.when(both, F.col(y))  # r over complete pairs, as in linear_fit
+    r = points.agg(best_key(x, dim, False).alias("f"), F.max(F.struct(x, dim)).alias("s"),
+                   safe_div(F.covar_pop(ys, xs), F.stddev_pop(xs) * F.stddev_pop(ys)).alias("r"))
+    rv = F.col("r")
     return r.select(rv.alias("r"),
                     F.when(rv < HURTS_R, "hurts").otherwise("not the main driver").alias("direction"),
                     F.col("f.k").alias("fastest"), F.col("f.v").alias("fastest_minutes"),
@@ -319,11 +332,11 @@ def scorecard(df: DataFrame, dim: str = "seller") -> DataFrame:
     """Per group rating, on-time %, margin, revenue; each min-max scaled (constant
     -> 0); score = mean of the available scaled metrics * 100, rounded half-even to 1
     decimal; ``rank`` by score desc, key asc."""
-    raw = (_keyed(df, dim).groupBy(dim)
-           .agg(F.avg("rating").alias("avg_rating"),
-                pct_true(F.col("delivery_status") == "On-Time").alias("on_time_pct"),
-                F.avg("profit_margin_pct").alias("avg_margin"),
-                exact_sum(revenue()).alias("total_revenue")))
+    raw = materialize_small(_keyed(df, dim).groupBy(dim)
+                            .agg(F.avg("rating").alias("avg_rating"),
+                                 pct_true(F.col("delivery_status") == "On-Time").alias("on_time_pct"),
+                                 F.avg("profit_margin_pct").alias("avg_margin"),
+                                 exact_sum(revenue()).alias("total_revenue")))
     bounds = raw.agg(F.struct(*[e for m in SCORE_METRICS for e in
                                 (F.min(m).alias(f"{m}_lo"), F.max(m).alias(f"{m}_hi"))])).scalar()
     scaled = [F.coalesce(safe_div(F.col(m) - bounds[f"{m}_lo"], bounds[f"{m}_hi"] - bounds[f"{m}_lo"]),

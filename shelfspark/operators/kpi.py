@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.functions.common import best_key, exact_sum, pct_true, unpack_best
+from shelfspark.functions.common import best_key, exact_sum, money_decimal, pct_true, unpack_best
 from shelfspark.functions.features import offer_filled, revenue
 
 
@@ -44,27 +44,37 @@ def kpi_totals(df: DataFrame) -> DataFrame:
     ).withColumn("delayed_pct", F.lit(100.0) - F.col("on_time_pct"))
 
 
-def revenue_extremes(df: DataFrame, dim: str) -> DataFrame:
-    """Highest and lowest ``dim`` by revenue (null keys dropped, ties to the smaller key)."""
-    g = (df.where(F.col(dim).isNotNull()).groupBy(dim)
-         .agg(exact_sum(revenue()).alias("revenue")))
-    top = best_key("revenue", dim, highest=True)
-    bottom = best_key("revenue", dim, highest=False)
-    r = g.agg(top.alias("t"), bottom.alias("b"))
+def kpi_extremes(df: DataFrame, dims: Sequence[str] = ("city", "seller")) -> DataFrame:
+    """D3: per dimension, the top and bottom key by revenue (null keys dropped, ties to
+    the smaller key).
+
+    One scan: GROUPING SETS ((city), (seller), ...) sums revenue per key of every
+    dimension in a single aggregation (rows are expanded once per set before the
+    partial aggregate), then one aggregate picks the extremes per dimension.
+    """
+    dims = list(dims)
+    rev = F.sum(money_decimal(revenue())).alias("_rev")
+    g = df.groupingSets([[d] for d in dims], *dims).agg(rev, *[F.grouping(d).alias(f"_g_{d}") for d in dims])
+    which = None
+    key = None
+    for d in dims:
+        own = F.col(f"_g_{d}") == 0
+        which = F.when(own, F.lit(d)) if which is None else which.when(own, F.lit(d))
+        key = F.when(own, F.col(d)) if key is None else key.when(own, F.col(d))
+    long = (g.select(which.alias("dimension"), key.cast("string").alias("k"),
+                     F.col("_rev").cast("double").alias("revenue"))
+            .where(F.col("k").isNotNull()))
+    r = long.groupBy("dimension").agg(best_key("revenue", "k", True).alias("t"),
+                                      best_key("revenue", "k", False).alias("b"))
     top_name, top_rev = unpack_best(F.col("t"), True)
     bot_name, bot_rev = unpack_best(F.col("b"), False)
-    return r.select(F.lit(dim).alias("dimension"), top_name.alias("top_name"),
-                    top_rev.alias("top_revenue"), bot_name.alias("bottom_name"),
-                    bot_rev.alias("bottom_revenue"))
+    return r.select("dimension", top_name.alias("top_name"), top_rev.alias("top_revenue"),
+                    bot_name.alias("bottom_name"), bot_rev.alias("bottom_revenue"))
 
 
-def kpi_extremes(df: DataFrame, dims: Sequence[str] = ("city", "seller")) -> DataFrame:
-    """D3: one row per dimension with its top and bottom key by revenue."""
-    out = None
-    for d in dims:
-        r = revenue_extremes(df, d)
-        out = r if out is None else out.unionByName(r)
-    return out
+def revenue_extremes(df: DataFrame, dim: str) -> DataFrame:
+    """Highest and lowest ``dim`` by revenue (one dimension of ``kpi_extremes``)."""
+    return kpi_extremes(df, [dim])
 
 
 def name_list(df: DataFrame, col: str, n: int = 9) -> DataFrame:

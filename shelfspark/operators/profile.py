@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfspark.functions.features import RATING_CUT, high_rating
-from shelfspark.plans.quantiles import exact_quantiles
+from shelfspark.plans.quantiles import moments_from_frequencies, quantiles_from_frequencies, value_frequencies
 
 QUARTILES = (0.25, 0.5, 0.75)
 
@@ -55,24 +55,19 @@ def null_counts(df: DataFrame) -> DataFrame:
 
 
 def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """Count, mean, sample std, min, interpolated quartiles, max per numeric column.
+    """Count, mean, sample std, min, interpolated quartiles, max per numeric column
+    (nulls and NaN skipped).
 
-    Moments come from one aggregate pass; quartiles are exact and distributed
-    (``exact_quantiles``), never a whole column in one task.
+    One scan: value frequencies per column (partial aggregate before the
+    shuffle, then a distributed running count) feed both the moments and the
+    exact quartiles; no column is ever held in one task.
     """
     cols = _numeric(df, cols)
-    moments = df.agg(*[e for i, c in enumerate(cols) for e in (
-        F.count(c).alias(f"_c{i}"), F.avg(F.col(c).cast("double")).alias(f"_m{i}"),
-        F.stddev_samp(F.col(c).cast("double")).alias(f"_s{i}"),
-        F.min(F.col(c).cast("double")).alias(f"_lo{i}"), F.max(F.col(c).cast("double")).alias(f"_hi{i}"))])
-    long = _long(moments, [F.struct(F.lit(c).alias("column"), F.col(f"_c{i}").alias("count"),
-                                    F.col(f"_m{i}").alias("mean"), F.col(f"_s{i}").alias("std"),
-                                    F.col(f"_lo{i}").alias("min"), F.col(f"_hi{i}").alias("max"))
-                          for i, c in enumerate(cols)])
-    q = exact_quantiles(df, cols, QUARTILES)
+    cum = value_frequencies(df, cols)
+    q = quantiles_from_frequencies(cum, QUARTILES)
     qw = q.groupBy("column").agg(*[F.max(F.when(F.col("prob") == p, F.col("value"))).alias(name)
                                    for p, name in zip(QUARTILES, ("q25", "q50", "q75"))])
-    return (long.join(qw, "column", "left")
+    return (moments_from_frequencies(cum).join(qw, "column", "left")
             .select("column", "count", "mean", "std", "min", "q25", "q50", "q75", "max"))
 
 

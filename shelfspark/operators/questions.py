@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfspark.functions.common import best_key, exact_sum, unpack_best
 from shelfspark.functions.features import offer_filled, revenue
+from shelfspark.plans.reuse import materialize_small
 
 
 def delayed_share_by(df: DataFrame, dim: str = "seller", single_pass: bool = False) -> DataFrame:
@@ -29,6 +30,15 @@ def delayed_share_by(df: DataFrame, dim: str = "seller", single_pass: bool = Fal
     return t.withColumn("delayed_pct", F.col("delayed_orders") / F.col("total_orders") * 100)
 
 
+def unit_cells(df: DataFrame, *keys: str, measure: str = "sold_quantity") -> DataFrame:
+    """Totals of ``measure`` per key combination, written once (``materialize_small``).
+
+    Questions that first find a leading key and then look inside it (F2, F4) run on
+    these cells, so the catalogue is scanned once instead of once per step.
+    """
+    return materialize_small(df.groupBy(*keys).agg(F.sum(measure).cast("bigint").alias(measure)))
+
+
 def leader(df: DataFrame, dim: str, measure: str = "sold_quantity"):
     """Scalar struct ``(v, k)`` of the ``dim`` key with the largest ``measure`` total
     (see ``best_key``); usable in any expression as a scalar subquery."""

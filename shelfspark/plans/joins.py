@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfspark.plans.reuse import materialize_small
+
 MAX_BROADCAST_ROWS = 1_000_000
 
 
@@ -16,5 +18,6 @@ def bounded_broadcast(small: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> D
     shuffling the large side on such a key would put whole groups in one task.
     The count runs on the already aggregated rows.
     """
+    small = materialize_small(small)  # counted and joined from one computation
     n = small.limit(max_rows + 1).count()
     return F.broadcast(small) if n <= max_rows else small

@@ -1,4 +1,4 @@
-"""Exact, interpolated quantiles that never hold a whole column in one task."""
+"""Exact statistics of numeric columns that never hold a whole column in one task."""
 
 from __future__ import annotations
 
@@ -10,23 +10,29 @@ from pyspark.sql import functions as F
 from shelfspark.plans.windows import running_sum
 
 
-def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> DataFrame:
-    """``(column, prob, value)``: linear-interpolated quantiles of each column, nulls skipped.
+def value_frequencies(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """``(column, value, n, upto)``: count of each distinct non-null, non-NaN value per
+    column and the running count up to it in ascending value order.
 
-    Same definition as pandas ``quantile`` / SQL ``percentile_cont``: position
-    ``p * (n - 1)`` in the sorted values, interpolated between its neighbours.
-    Plan: unpivot to (column, value) -> value frequencies (partial aggregate
-    before the shuffle) -> distributed running count over sorted distinct values
-    -> pick the two order statistics per (column, prob) with a join against the
-    position table (len(cols) * len(probs) rows: broadcast, its size is fixed by
-    the arguments; the column key has few values, so it must not be shuffled).
+    Unpivot -> partial aggregate per (column, value) before the shuffle ->
+    distributed running count (checkpointed, so later readers do not rescan).
     """
     long = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in cols
     ])).alias("cv")).select("cv.column", "cv.value").where(F.col("value").isNotNull() & ~F.isnan("value"))
     freq = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-    cum = running_sum(freq, "n", [F.col("value").asc()], partition=["column"], out="upto")
-    totals = freq.groupBy("column").agg(F.sum("n").alias("total"))
+    return running_sum(freq, "n", [F.col("value").asc()], partition=["column"], out="upto")
+
+
+def quantiles_from_frequencies(cum: DataFrame, probs: Sequence[float]) -> DataFrame:
+    """``(column, prob, value)``: linear-interpolated quantiles (pandas / percentile_cont).
+
+    Position ``p * (n - 1)`` in the sorted values, interpolated between its
+    neighbours; the two order statistics are picked with a join against the
+    position table (len(cols) * len(probs) rows: broadcast, its size is fixed by
+    the arguments; the column key has few values, so it must not be shuffled).
+    """
+    totals = cum.groupBy("column").agg(F.sum("n").alias("total"))
     pos = totals.select("column", "total", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob"))
     pos = pos.select("column", "prob", (F.col("prob") * (F.col("total") - 1)).alias("pos"))
     pos = pos.select("column", "prob", "pos", F.floor("pos").alias("lo"), F.ceil("pos").alias("hi"))
@@ -40,3 +46,21 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float])
     frac = F.col("pos") - F.col("lo")
     return picked.select("column", "prob",
                          (F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * frac).alias("value"))
+
+
+def moments_from_frequencies(cum: DataFrame) -> DataFrame:
+    """``(column, count, mean, std, min, max)`` from value frequencies; the sample
+    standard deviation uses the two-pass sum of squared deviations (stable)."""
+    m = cum.groupBy("column").agg(F.sum("n").alias("count"),
+                                  (F.sum(F.col("n") * F.col("value")) / F.sum("n")).alias("mean"),
+                                  F.min("value").alias("min"), F.max("value").alias("max"))
+    dev = (cum.join(F.broadcast(m.select("column", F.col("mean").alias("_mean"))), "column")  # one row per column
+           .groupBy("column")
+           .agg(F.sum(F.col("n") * (F.col("value") - F.col("_mean")) * (F.col("value") - F.col("_mean"))).alias("ss")))
+    return m.join(dev, "column").select(
+        "column", "count", "mean", F.sqrt(F.try_divide(F.col("ss"), F.col("count") - 1)).alias("std"), "min", "max")
+
+
+def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """``(column, prob, value)``: exact interpolated quantiles of each column, nulls skipped."""
+    return quantiles_from_frequencies(value_frequencies(df, cols), probs)

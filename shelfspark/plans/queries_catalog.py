@@ -191,8 +191,7 @@ w AS (SELECT grid.city, category, revenue FROM grid JOIN top2 USING (city) ORDER
 SELECT o.city AS min_row, o.category AS min_col, o.revenue AS min_revenue,
   w.city AS top_min_row, w.category AS top_min_col, w.revenue AS top_min_revenue FROM o, w"""))
 def q_grid_weakest(spark, sf):
-    df = cat(spark, sf, *REV, "city", "category")
-    return E.grid_weakest(E.cross_grid(df), E.revenue_by(df, "city"))
+    return E.grid_weakest(E.cross_grid(cat(spark, sf, *REV, "city", "category")))
 
 
 # ------------------------------------------------------------------ E9
@@ -409,7 +408,8 @@ SELECT tot.seller, total_orders, CAST(coalesce(delayed_orders, 0) AS BIGINT) AS
   coalesce(delayed_orders, 0) / total_orders * 100 AS delayed_pct
 FROM tot LEFT JOIN del ON tot.seller = del.seller"""), rounded=["delayed_pct"])
 def q_delayed_share(spark, sf):
-    return Q.delayed_share_by(cat(spark, sf, "seller", "delivery_status"), "seller")
+    # the one-pass form; the reference's two-aggregate join form gives the same table (tests)
+    return Q.delayed_share_by(cat(spark, sf, "seller", "delivery_status"), "seller", single_pass=True)
 
 
 LEAD_CITY_SQL = """, cu AS (SELECT city, sum(sold_quantity) AS m FROM prep WHERE city IS NOT NULL GROUP BY city),
@@ -423,7 +423,8 @@ li AS (SELECT category, m FROM ic ORDER BY m DESC, category LIMIT 1)
 SELECT lc.city, CAST(lc.m AS BIGINT) AS city_sold_quantity, li.category, CAST(li.m AS BIGINT) AS category_sold_quantity
 FROM lc, li"""))
 def q_leader(spark, sf):
-    return Q.leader_then_leader(cat(spark, sf, "city", "category", "sold_quantity"))
+    # one scan: (city, category) cells, then both leaders from the cells
+    return Q.leader_then_leader(Q.unit_cells(cat(spark, sf, "city", "category", "sold_quantity"), "city", "category"))
 
 
 @register("units_by_offer", with_catalog(""", u AS (SELECT offer_filled AS offer_type, CAST(sum(sold_quantity) AS BIGINT) AS units
@@ -437,8 +438,8 @@ def q_units_by_offer(spark, sf):
 SELECT date_added, CAST(sum(sold_quantity) AS BIGINT) AS units FROM prep
 WHERE city = (SELECT city FROM lc) AND date_added IS NOT NULL GROUP BY date_added"""))
 def q_daily_units(spark, sf):
-    df = cat(spark, sf, "city", "date_added", "sold_quantity")
-    return Q.daily_units(df, Q.leader(df, "city")["k"])
+    cells = Q.unit_cells(cat(spark, sf, "city", "date_added", "sold_quantity"), "city", "date_added")
+    return Q.daily_units(cells, Q.leader(cells, "city")["k"])
 
 
 @register("top_seller_revenue", with_catalog(f""", g AS ({_grp_sql('seller')})

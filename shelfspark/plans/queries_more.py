@@ -331,6 +331,8 @@ cnt AS (""" + _metrics_sql("u", "prediction", "model, ") + ")\n" + _metrics_sele
     prep=False), rounded=METRICS)
 def q_model_comparison(spark, sf):
     p = _rule_preds(spark, sf)
-    u = (p.select(F.lit("on_time_rule").alias("model"), "label", F.col("on_time_rule").alias("prediction"))
-         .unionByName(p.select(F.lit("fast_rule").alias("model"), "label", F.col("fast_rule").alias("prediction"))))
+    # both models' predictions from one scan (an exploded pair per row, not a union of two scans)
+    u = p.select("label", F.inline(F.array(
+        F.struct(F.lit("on_time_rule").alias("model"), F.col("on_time_rule").alias("prediction")),
+        F.struct(F.lit("fast_rule").alias("model"), F.col("fast_rule").alias("prediction")))))
     return J.compare_models(u, "model", "label", "prediction")

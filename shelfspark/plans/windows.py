@@ -8,7 +8,7 @@ with a small per-slice table whose size is bounded by the number of slices.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,54 +24,88 @@ def _slices(df: DataFrame, slices: int | None) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def running_sum(
+def running_sums(
     df: DataFrame,
-    value: str | Column,
+    values: Mapping[str, str | Column],
     order: Sequence[Column],
     partition: Sequence[str] = (),
-    out: str = "running",
     slices: int | None = None,
+    slice_by: Column | None = None,
+    with_totals: bool = False,
 ) -> DataFrame:
-    """Add ``out`` = sum of ``value`` over rows up to and including this one.
+    """Add one column per ``values`` entry: the sum of that value over rows up to and
+    including this one (and ``<name>_total``, the sum over the whole partition key,
+    when ``with_totals``).
 
     Rows are ordered by ``order`` (a total order: include a unique tie-break),
     restarting for each ``partition`` key. Equivalent to
-    ``sum(value) OVER (PARTITION BY partition ORDER BY order ROWS UNBOUNDED PRECEDING)``
+    ``sum(v) OVER (PARTITION BY partition ORDER BY order ROWS UNBOUNDED PRECEDING)``
     but the rows are range-partitioned into ``slices`` parallel tasks; a per-slice
     total table (at most ``slices`` rows per partition key) supplies each slice's
-    offset. The sliced rows are checkpointed once (see below). Use exact types (bigint, decimal) for ``value`` so that the stitched
-    sums equal a sequential sum exactly.
+    offset. Use exact types (bigint, decimal) so that the stitched sums equal a
+    sequential sum exactly.
+
+    ``slice_by``: an integer Column in [0, slices) that never decreases along
+    ``order`` within a partition key (e.g. a prefix of a hash the rows are ordered
+    by). It replaces the sampled range partitioning: no sampling pass over the
+    input, and since the slice is a plain function of the row, no checkpoint.
     """
-    v = value if isinstance(value, Column) else F.col(value)
     n = _slices(df, slices)
+    names = list(values)
+    tmp = {o: f"__rs_v{i}" for i, o in enumerate(names)}
     keys = [F.col(p).asc() for p in partition] + list(order)
-    ranged = (df.withColumn("__rs_v", v)
-              .repartitionByRange(n, *keys)
-              .withColumn(_SLICE, F.spark_partition_id()))
+    base = df.withColumns({tmp[o]: (v if isinstance(v, Column) else F.col(v)) for o, v in values.items()})
     w_local = (Window.partitionBy(_SLICE, *partition).orderBy(*order)
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    # The slice id comes from sampled range bounds, so it must be fixed once:
-    # the reliable checkpoint is read by both the offset table and the final
-    # join (it also survives the loss of an executor).
-    ensure_checkpoint_dir(df.sparkSession)
-    local = ranged.withColumn("__rs_local", F.sum("__rs_v").over(w_local)).checkpoint(eager=True)
-    totals = local.groupBy(_SLICE, *partition).agg(F.sum("__rs_v").alias("__rs_total"))
+    sums = {f"{t}_l": F.sum(t).over(w_local) for t in tmp.values()}
+    if slice_by is not None:
+        local = base.withColumn(_SLICE, slice_by).withColumns(sums)
+    else:
+        ranged = base.repartitionByRange(n, *keys).withColumn(_SLICE, F.spark_partition_id())
+        # The slice id comes from sampled range bounds, so it must be fixed once:
+        # the reliable checkpoint is read by both the offset table and the final
+        # join (it also survives the loss of an executor).
+        ensure_checkpoint_dir(df.sparkSession)
+        local = ranged.withColumns(sums).checkpoint(eager=True)
+    totals = local.groupBy(_SLICE, *partition).agg(*[F.sum(t).alias(f"{t}_t") for t in tmp.values()])
     w_prev = (Window.partitionBy(*partition).orderBy(_SLICE)
               .rowsBetween(Window.unboundedPreceding, -1))
-    zero = F.lit(0).cast(totals.schema["__rs_total"].dataType)
-    offsets = totals.select(_SLICE, *partition,
-                            F.coalesce(F.sum("__rs_total").over(w_prev), zero).alias("__rs_offset"))
+    w_all = Window.partitionBy(*partition)
+    offsets = totals.select(_SLICE, *partition, *[
+        F.coalesce(F.sum(f"{t}_t").over(w_prev), F.lit(0).cast(totals.schema[f"{t}_t"].dataType)).alias(f"{t}_o")
+        for t in tmp.values()], *[F.sum(f"{t}_t").over(w_all).alias(f"{t}_a") for t in tmp.values()])
     if not partition:
         offsets = F.broadcast(offsets)  # one row per slice: bounded by ``slices``
-    return (local.join(offsets, [_SLICE, *partition])
-            .withColumn(out, F.col("__rs_local") + F.col("__rs_offset"))
-            .drop("__rs_v", "__rs_local", "__rs_offset", _SLICE))
+    out = local.join(offsets, [_SLICE, *partition])
+    out = out.withColumns({o: F.col(f"{t}_l") + F.col(f"{t}_o") for o, t in tmp.items()})
+    if with_totals:
+        out = out.withColumns({f"{o}_total": F.col(f"{t}_a") for o, t in tmp.items()})
+    return out.drop(_SLICE, *[c for t in tmp.values() for c in (t, f"{t}_l", f"{t}_o", f"{t}_a")])
+
+
+def running_sum(
+    df: DataFrame,
+    value: str | Column,
+    order: Sequence[Column],
+    partition: Sequence[str] = (),
+    out: str = "running",
+    slices: int | None = None,
+) -> DataFrame:
+    """Add ``out`` = running sum of ``value`` (see ``running_sums``)."""
+    return running_sums(df, {out: value}, order, partition, slices)
 
 
 def running_count(df: DataFrame, order: Sequence[Column], partition: Sequence[str] = (),
-                  out: str = "rank", slices: int | None = None) -> DataFrame:
+                  out: str = "rank", slices: int | None = None, slice_by: Column | None = None,
+                  with_totals: bool = False) -> DataFrame:
     """1-based position of each row in ``order`` within ``partition`` (row_number, distributed)."""
-    return running_sum(df, F.lit(1).cast("bigint"), order, partition, out, slices)
+    return running_sums(df, {out: F.lit(1).cast("bigint")}, order, partition, slices, slice_by, with_totals)
+
+
+def hash_slice(hex_hash: Column, slices: int) -> Column:
+    """Slice id in [0, slices) from the first 8 hex digits of a hash: order preserving,
+    so rows ordered by the hash can be sliced without sampling."""
+    return F.floor(F.conv(F.substring(hex_hash, 1, 8), 16, 10).cast("double") * slices / float(16 ** 8)).cast("int")
 
 
 def next_row(
