@@ -99,3 +99,26 @@ def test_exact_quantiles_match_pandas(spark):
     for c in ("x", "y"):
         for p in (0.1, 0.25, 0.5, 0.9):
             assert abs(got[(c, p)] - pdf[c].quantile(p)) < 1e-9
+
+
+def test_hash_sliced_rank_matches_row_number(spark):
+    from shelfspark.plans.windows import hash_slice, running_count
+    rows = [(i % 3, f"k{i}") for i in range(700)]
+    df = spark.createDataFrame(rows, "label int, key string").withColumn("h", F.md5("key"))
+    got = running_count(df, [F.col("h").asc(), F.col("key").asc()], partition=["label"], out="r",
+                        slices=5, slice_by=hash_slice(F.col("h"), 5), with_totals=True)
+    w = Window.partitionBy("label").orderBy("h", "key")
+    want = df.withColumn("r", F.row_number().over(w)).withColumn("r_total", F.count(F.lit(1)).over(
+        Window.partitionBy("label")))
+    assert _sorted(got.select("label", "key", "r", "r_total")) == _sorted(want.select("label", "key", "r", "r_total"))
+
+
+def test_kpi_extremes_grouping_sets_equal_per_dimension(spark):
+    df = D.prepare(catalog_view(spark, SF_SMALL, ["city", "seller", "final_price", "sold_quantity"]))
+    both = {r["dimension"]: r for r in D.kpi_extremes(df, ["city", "seller"]).collect()}
+    for d in ("city", "seller"):
+        g = E.revenue_by(df, d).collect()
+        top = min(g, key=lambda r: (-r["revenue"], r[d]))
+        bot = min(g, key=lambda r: (r["revenue"], r[d]))
+        assert (both[d]["top_name"], both[d]["bottom_name"]) == (top[d], bot[d])
+        assert abs(both[d]["top_revenue"] - top["revenue"]) < 1e-6
