@@ -115,29 +115,34 @@ def next_row(
     cols: Sequence[str],
     prefix: str = "next_",
     bucket_size: int = 4096,
+    levels: int = 2,
 ) -> DataFrame:
     """Add ``prefix + c`` = value of ``c`` in the next row by integer ``order`` within ``partition``.
 
     Same result as ``lead(c) OVER (PARTITION BY partition ORDER BY order)``. The
-    window runs per (partition, order // bucket_size) bucket so a single huge
+    window runs per (partition, order // bucket_size) bucket, so a single huge
     partition (one conversation with a third of all rows) is spread over many
-    tasks; the last row of each bucket takes the first row of the next non-empty
-    bucket from a per-bucket table (one row per bucket).
+    tasks. The last row of each bucket takes the first row of the next non-empty
+    bucket from a per-bucket table (one row per bucket); that table is itself
+    solved the same way, ``levels`` deep, so no window ever holds more than about
+    ``bucket_size`` rows per key at the top level for up to ``bucket_size ** levels``
+    positions.
     """
-    b = F.floor(F.col(order) / F.lit(bucket_size))
-    base = df.withColumn("__nr_b", b)
-    w = Window.partitionBy(*partition, "__nr_b").orderBy(order)
-    local = base
-    for c in [order, *cols]:
-        local = local.withColumn(f"__nr_n_{c}", F.lead(c).over(w))
-    firsts = base.groupBy(*partition, "__nr_b").agg(
-        F.min(F.struct(F.col(order).alias(order), *[F.col(c).alias(c) for c in cols])).alias("__nr_first"))
-    wb = Window.partitionBy(*partition).orderBy("__nr_b")
-    firsts = firsts.select(*partition, "__nr_b", F.lead("__nr_first").over(wb).alias("__nr_after"))
-    joined = local.join(firsts, [*partition, "__nr_b"], "left")
-    last_in_bucket = F.col(f"__nr_n_{order}").isNull()
-    out = joined
-    for c in [order, *cols]:
-        out = out.withColumn(prefix + c, F.when(last_in_bucket, F.col("__nr_after")[c])
-                             .otherwise(F.col(f"__nr_n_{c}")))
-    return out.drop("__nr_b", "__nr_after", *[f"__nr_n_{c}" for c in [order, *cols]])
+    tag = f"__nr{levels}"
+    b, first, after = f"{tag}_b", f"{tag}_first", f"{tag}_after"
+    base = df.withColumn(b, F.floor(F.col(order) / F.lit(bucket_size)))
+    w = Window.partitionBy(*partition, b).orderBy(order)
+    local = base.withColumns({f"{tag}_n_{c}": F.lead(c).over(w) for c in [order, *cols]})
+    firsts = base.groupBy(*partition, b).agg(
+        F.min(F.struct(F.col(order).alias(order), *[F.col(c).alias(c) for c in cols])).alias(first))
+    if levels > 1:
+        firsts = next_row(firsts, partition, b, [first], prefix=f"{tag}_nx_", bucket_size=bucket_size,
+                          levels=levels - 1).select(*partition, b, F.col(f"{tag}_nx_{first}").alias(after))
+    else:
+        firsts = firsts.select(*partition, b, F.lead(first).over(Window.partitionBy(*partition).orderBy(b))
+                               .alias(after))
+    joined = local.join(firsts, [*partition, b], "left")
+    last_in_bucket = F.col(f"{tag}_n_{order}").isNull()
+    out = joined.withColumns({prefix + c: F.when(last_in_bucket, F.col(after)[c]).otherwise(F.col(f"{tag}_n_{c}"))
+                              for c in [order, *cols]})
+    return out.drop(b, after, *[f"{tag}_n_{c}" for c in [order, *cols]])

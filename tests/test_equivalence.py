@@ -122,3 +122,16 @@ def test_kpi_extremes_grouping_sets_equal_per_dimension(spark):
         bot = min(g, key=lambda r: (r["revenue"], r[d]))
         assert (both[d]["top_name"], both[d]["bottom_name"]) == (top[d], bot[d])
         assert abs(both[d]["top_revenue"] - top["revenue"]) < 1e-6
+
+
+def test_next_row_three_levels_hot_key(spark):
+    # one hot key with sparse, widely spread positions: several bucket levels are exercised
+    rnd = random.Random(7)
+    turns = sorted(rnd.sample(range(100000), 300))
+    rows = [(0, t, f"v{t}") for t in turns] + [(1, t, f"w{t}") for t in range(5)]
+    df = spark.createDataFrame(rows, "g long, t long, v string")
+    got = next_row(df, ["g"], "t", ["v"], bucket_size=8, levels=3)
+    w = Window.partitionBy("g").orderBy("t")
+    want = df.withColumn("next_t", F.lead("t").over(w)).withColumn("next_v", F.lead("v").over(w))
+    assert _sorted(got.select("g", "t", "v", "next_t", "next_v")) == _sorted(
+        want.select("g", "t", "v", "next_t", "next_v"))
