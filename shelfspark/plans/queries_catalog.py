@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from shelfspark.operators import insights as E
 from shelfspark.operators import kpi as D
