@@ -136,3 +136,20 @@ def test_production_training_roundtrip(spark, tmp_path):
     feats = (C.engineer_post_launch(cat, FIXTURE_REF_DATE) if latest["name"] == "post_launch_model"
              else C.engineer_pre_launch(cat, FIXTURE_REF_DATE))
     assert K.score(model, feats).count() == cat.count()
+
+
+def test_metrics_equal_duckdb_on_same_predictions(model, feats):
+    import duckdb
+    pdf = model.transform(feats).select(F.col("label").cast("int").alias("label"),
+                                        F.col("prediction").cast("int").alias("prediction")).toPandas()
+    con = duckdb.connect()
+    con.register("p", pdf)
+    tp, fp, fn, tn = con.execute("""SELECT count_if(label = 1 AND prediction = 1), count_if(label = 0 AND prediction = 1),
+        count_if(label = 1 AND prediction = 0), count_if(label = 0 AND prediction = 0) FROM p""").fetchall()[0]
+    acc = (tp + tn) / (tp + tn + fp + fn)
+    p1, r1 = (tp / (tp + fp) if tp + fp else 0.0), (tp / (tp + fn) if tp + fn else 0.0)
+    f1 = 2 * p1 * r1 / (p1 + r1) if p1 + r1 else 0.0
+    m = J.classification_metrics(model.transform(feats)).first()
+    assert abs(m["accuracy"] - acc) < 1e-12 and abs(m["precision"] - p1) < 1e-12 and abs(m["f1"] - f1) < 1e-12
+    cm = {(r["label"], r["prediction"]): r["n"] for r in J.confusion_matrix(model.transform(feats)).collect()}
+    assert cm == {(1, 1): tp, (0, 1): fp, (1, 0): fn, (0, 0): tn}
