@@ -32,16 +32,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 
     The folder named by ``spark.checkpoint.dir`` is used as is. Only when it is
-    unset (local tests) a private scratch folder is created and registered.
+    unset and the master is local (tests) a private scratch folder is created and
+    registered; on a cluster an unset folder is an error, because a machine-local
+    folder would not be visible to the executors.
     """
+    sc = spark.sparkContext
+    current = sc.getCheckpointDir()
+    if current:
+        return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = spark.sparkContext.getCheckpointDir()
     if configured:
-        return configured
+        sc.setCheckpointDir(configured)
+        return sc.getCheckpointDir() or configured
+    if not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set: point it at a folder shared by all executors")
     path = tempfile.mkdtemp(prefix="shelfspark-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
+    sc.setCheckpointDir(path)
     return path
 
 
