@@ -32,6 +32,16 @@ MAX_TREE_DEPTH = 30  # Spark's limit stands in for "no depth limit"
 PRE_LAUNCH_PARAMS = {"rounds": 300, "depth": 6, "rate": 0.1}
 POST_LAUNCH_PARAMS = {"rounds": 100, "depth": 8, "rate": 0.05}
 
+# The reference's search spaces, in Spark parameter names.
+# Boosted trees: rounds x depth x rate (its leaf-count axis has no counterpart: 27 maps).
+BOOSTED_GRID = {"maxIter": [100, 200, 300], "maxDepth": [4, 6, 8], "stepSize": [0.01, 0.05, 0.1]}
+# Logistic regression: inverse regularisation strengths (the solver axis is dropped).
+LOGISTIC_C = [0.01, 0.1, 1, 10]
+# Random forest: trees x depth (None -> Spark's maximum) x minimum split size (-> leaf size).
+FOREST_GRID = {"numTrees": [100, 200], "maxDepth": [6, 10, MAX_TREE_DEPTH], "minInstancesPerNode": [1, 2]}
+SEARCH_FOLDS = 5
+RANDOM_SEARCH_MAPS = 20
+
 
 def linear_regression(label: str = "rating", **params) -> LinearRegression:
     """Ordinary least squares on the scaled features."""
@@ -185,3 +195,27 @@ def production_training(catalog: DataFrame, model_dir: str, runs_path: str, expe
         path = save_model(model, f"{model_dir.rstrip('/')}/{name}")
         runs[name] = log_run(spark, runs_path, experiment, name, params, {}, path)
     return runs
+
+
+def logistic_grid(n_weight: float, cs=LOGISTIC_C) -> dict:
+    """The C grid as Spark ``regParam`` values (regParam = 1 / (C * sum of weights))."""
+    return {"regParam": [1.0 / (c * n_weight) for c in cs]}
+
+
+def tune(features: DataFrame, kind: str, fold_col: str = "fold", parallelism: int = 4,
+         random_maps: int | None = None, seed: int = SEED):
+    """I6/I7 with the reference's search spaces: ``kind`` is 'boosted', 'forest' or
+    'logistic'; ``random_maps`` draws that many maps (randomised search) instead of
+    the full grid. ``features`` has features, label, weight and fold columns."""
+    if kind == "boosted":
+        est, grid = boosted(), BOOSTED_GRID
+    elif kind == "forest":
+        est, grid = forest(), FOREST_GRID
+    elif kind == "logistic":
+        n = float(features.agg(F.sum("weight")).first()[0])
+        est, grid = logistic(1.0, 1.0), logistic_grid(n)
+    else:
+        raise ValueError(f"unknown model kind {kind!r}")
+    if random_maps:
+        return random_search(features, est, grid, random_maps, seed, fold_col, parallelism), grid
+    return grid_search(features, est, grid, fold_col, parallelism), grid

@@ -153,3 +153,19 @@ def test_metrics_equal_duckdb_on_same_predictions(model, feats):
     assert abs(m["accuracy"] - acc) < 1e-12 and abs(m["precision"] - p1) < 1e-12 and abs(m["f1"] - f1) < 1e-12
     cm = {(r["label"], r["prediction"]): r["n"] for r in J.confusion_matrix(model.transform(feats)).collect()}
     assert cm == {(1, 1): tp, (0, 1): fp, (1, 0): fn, (0, 0): tn}
+
+
+def test_reference_search_spaces(spark):
+    assert len(I.param_grid(I.boosted(), I.BOOSTED_GRID)) == 27
+    assert len(I.param_grid(I.forest(), I.FOREST_GRID)) == 12
+    g = I.logistic_grid(1000.0)
+    assert len(g["regParam"]) == 4 and abs(g["regParam"][2] - 1e-3) < 1e-15
+
+
+def test_tune_logistic(spark):
+    f = C.engineer_pre_launch(catalog_view(spark, SF_SMALL), FIXTURE_REF_DATE)
+    folded = H.with_class_weights(H.assign_folds(f, k=3))
+    enc = I.fit_pipeline(folded, CATEGORICAL, PRE_NUMERIC, None)
+    data = enc.transform(folded).select("features", F.col("label").cast("double"), "weight", "fold").cache()
+    cv, grid = I.tune(data, "logistic", random_maps=2)
+    assert len(cv.avgMetrics) == 2 and I.best_params(cv, grid).count() == 1
