@@ -154,6 +154,32 @@ def q_conform(spark, sf):
     return C.conform(C.engineer_post_launch(catalog_view(spark, sf), FIXTURE_REF_DATE), "post")
 
 
+SCENARIO_AS_OF = "2001-09-01"
+AS_OF = f"TIMESTAMP '{SCENARIO_AS_OF} 00:00:00'"
+SCENARIO_SQL = f""", s0 AS (SELECT *, price * (1 - discount_pct / 100) AS fp,
+  {_days(REF, AS_OF)} AS days, sold_quantity / (sold_quantity + stock + 1) AS st,
+  stock / (reorder_level + 1) AS sp,
+  CAST(CASE WHEN delivery_status = 'Delayed' THEN 1 ELSE 0 END AS INTEGER) AS dl FROM prep),
+s AS (SELECT product_id, category, brand, city, seller, packaging_type, offer_filled AS offer_type,
+  price, fp AS final_price, discount_pct, profit_margin_pct, weight_g, shelf_life_days, num_reviews,
+  delivery_time_min, stock, sold_quantity, reorder_level, demand_index,
+  shelf_life_days AS days_to_expiry, days AS days_since_added, CAST(month({AS_OF}) AS INTEGER) AS month_added,
+  st AS sell_through_rate, sp AS stock_pressure, fp * sold_quantity AS revenue_proxy, dl AS is_delayed,
+  demand_index * num_reviews AS demand_x_reviews, demand_index * st AS popularity_score,
+  (1 - dl) / (delivery_time_min + 1) * 100 AS delivery_score, sold_quantity / (fp + 1) AS value_score,
+  profit_margin_pct * st / 100 AS margin_efficiency, (price - fp) * st AS discount_effectiveness,
+  CASE WHEN days + 1 = 0 THEN NULL ELSE num_reviews / (days + 1) * 100 END AS review_density,
+  shelf_life_days / (shelf_life_days + 1) AS freshness_score, st / (sp + 0.01e0) AS inventory_health,
+  price - fp AS discount_amount, fp / (weight_g + 1) AS price_per_gram, CAST(is_organic AS INTEGER) AS is_organic
+  FROM s0)"""
+
+
+@register("post_launch_scenario_features", with_catalog(SCENARIO_SQL + "\nSELECT " + ", ".join(
+    ["product_id"] + POST_CATEGORICAL + POST_NUMERIC) + " FROM s"))
+def q_scenario_features(spark, sf):
+    return C.scenario_features(catalog_view(spark, sf), SCENARIO_AS_OF, "post", FIXTURE_REF_DATE)
+
+
 # ------------------------------------------------------------------ G
 PAIRS_SQL = """, nx AS (SELECT conv_id, turn, role, text,
   lead(role) OVER w AS next_role, lead(text) OVER w AS next_text, lead(turn) OVER w AS next_turn
