@@ -12,9 +12,10 @@ from collections.abc import Sequence
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfspark.plans.reuse import materialize_small
 from shelfspark.plans.windows import hash_slice, running_count
 
 SEED = 42
@@ -80,14 +81,48 @@ def class_counts(df: DataFrame, label: str = "label") -> DataFrame:
     return df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
 
 
+HASH_BUCKET_DIGITS = 5  # 16^5 hash-prefix buckets per class for the split threshold
+
+
+def class_thresholds(df: DataFrame, label: str = "label", key: str = "product_id",
+                     frac: float = TRAIN_FRACTION, seed: int = SEED,
+                     digits: int = HASH_BUCKET_DIGITS) -> DataFrame:
+    """One row per class: the (hash, key) of its round(frac * n)-th row in hash order.
+
+    No sort of the data: a histogram of hash prefixes per class (partial
+    aggregate, at most classes * 16^digits rows) locates the bucket holding the
+    k-th row; only that bucket's rows (about n / 16^digits per class) are ranked.
+    """
+    base = df.select(F.col(label).alias("_y"), F.col(key).cast("string").alias("_k"),
+                     hash_order(key, seed).alias("_h"))
+    base = base.withColumn("_b", F.substring("_h", 1, digits))
+    hist = base.groupBy("_y", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy("_y").orderBy("_b")  # per class, at most 16^digits rows
+    hist = (hist.withColumn("_upto", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+            .withColumn("_total", F.sum("_n").over(Window.partitionBy("_y")))
+            .withColumn("_want", F.round(F.col("_total") * F.lit(frac)).cast("bigint")))
+    edge = (hist.where((F.col("_upto") - F.col("_n") < F.col("_want")) & (F.col("_want") <= F.col("_upto")))
+            .select("_y", "_b", (F.col("_want") - (F.col("_upto") - F.col("_n"))).alias("_r")))
+    cand = base.join(F.broadcast(edge), ["_y", "_b"])  # one row per class
+    wr = Window.partitionBy("_y").orderBy("_h", "_k")
+    picked = cand.withColumn("_i", F.row_number().over(wr)).where(F.col("_i") == F.col("_r"))
+    return picked.select(F.col("_y").alias(label), F.struct("_h", "_k").alias("_threshold"))
+
+
 def stratified_split(df: DataFrame, label: str = "label", key: str = "product_id",
                      frac: float = TRAIN_FRACTION, seed: int = SEED) -> DataFrame:
     """H4: exact per-class split: the first round(frac * n_class) rows of each class in
-    hash order are 'train', the rest 'test'."""
-    ranked = _class_rank(df, label, key, seed)
-    return (ranked.withColumn("split", F.when(F.col("_rank") <= F.round(F.col("_rank_total") * F.lit(frac)),
-                                              "train").otherwise("test"))
-            .drop("_h", "_rank", "_rank_total"))
+    hash order are 'train', the rest 'test'.
+
+    Rows are labelled map-side against a per-class threshold (``class_thresholds``,
+    one row per class, broadcast), so the data itself is never sorted or shuffled.
+    """
+    t = F.broadcast(materialize_small(class_thresholds(df, label, key, frac, seed)))
+    row = F.struct(hash_order(key, seed).alias("_h"), F.col(key).cast("string").alias("_k"))
+    return (df.join(t, label, "left")
+            .withColumn("split", F.when(F.col("_threshold").isNotNull() & (row <= F.col("_threshold")), "train")
+                        .otherwise("test"))
+            .drop("_threshold"))
 
 
 def random_split(df: DataFrame, key: str = "product_id", frac: float = TRAIN_FRACTION,

@@ -24,8 +24,9 @@ SMALL_BOOST = {"rounds": 10, "depth": 4, "rate": 0.1}
 
 
 def _split(features):
-    s = H.stratified_split(features, "label", "product_id", 0.8, 42)
-    train = spread(H.with_class_weights(s.where(F.col("split") == "train"), "label")).cache()
+    # the split is read by every fit and every scoring pass: compute it once
+    s = spread(H.stratified_split(features, "label", "product_id", 0.8, 42)).cache()
+    train = H.with_class_weights(s.where(F.col("split") == "train"), "label").cache()
     test = s.where(F.col("split") == "test")
     return train, test
 

@@ -135,3 +135,19 @@ def test_next_row_three_levels_hot_key(spark):
     want = df.withColumn("next_t", F.lead("t").over(w)).withColumn("next_v", F.lead("v").over(w))
     assert _sorted(got.select("g", "t", "v", "next_t", "next_v")) == _sorted(
         want.select("g", "t", "v", "next_t", "next_v"))
+
+
+def test_split_threshold_matches_window_definition(spark):
+    from shelfspark.operators import prep as H
+    rows = [(0, f"a{i}") for i in range(257)] + [(1, "only")] + [(2, f"c{i}") for i in range(3)]
+    df = spark.createDataFrame(rows, "label int, key string")
+    for frac, digits in [(0.8, 1), (0.4, 2), (0.5, 5)]:
+        t = H.class_thresholds(df, "label", "key", frac, 42, digits)
+        h = F.md5(F.concat(F.col("key"), F.lit(":42")))
+        w = Window.partitionBy("label").orderBy(h, "key")
+        want = (df.withColumn("r", F.row_number().over(w))
+                .withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("label")))
+                .withColumn("split", F.when(F.col("r") <= F.round(F.col("n") * frac), "train").otherwise("test")))
+        got = H.stratified_split(df, "label", "key", frac, 42)
+        assert _sorted(got.select("label", "key", "split")) == _sorted(want.select("label", "key", "split"))
+        assert t.count() <= 3
