@@ -15,7 +15,7 @@ from shelfspark.functions.common import (
     band, best_key, exact_sum, money_decimal, pct_true, safe_div, unpack_best,
 )
 from shelfspark.functions.features import offer_filled, revenue
-from shelfspark.plans.grid import complete_grid
+from shelfspark.plans.grid import complete_grid, wide_grid
 from shelfspark.plans.reuse import materialize_small
 from shelfspark.plans.windows import running_sums
 
@@ -149,6 +149,12 @@ def cross_grid(df: DataFrame, row: str = "city", col: str = "category") -> DataF
     return complete_grid(materialize_small(cells), row, col, "revenue", 0.0)
 
 
+def cross_grid_wide(df: DataFrame, row: str = "city", col: str = "category") -> DataFrame:
+    """E7 (display form): one column per ``col`` value, missing cells = 0 (a pivot with a
+    checked value list, run as one aggregation)."""
+    return wide_grid(df, row, col, exact_sum(revenue()), 0.0)
+
+
 def grid_weakest(grid: DataFrame, row_revenue: DataFrame | None = None, row: str = "city",
                  col: str = "category") -> DataFrame:
     """Lowest grid cell overall (row asc, column asc on ties) and lowest cell

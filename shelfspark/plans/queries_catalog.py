@@ -182,6 +182,18 @@ def q_grid(spark, sf):
     return E.cross_grid(cat(spark, sf, *REV, "city", "category"), "city", "category")
 
 
+# Category domain of the driver's test tables (p_type), used only to name the oracle's columns;
+# the Spark side reads the pivot values from the data.
+TEST_CATEGORIES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
+
+
+@register("city_category_wide", with_catalog("SELECT city, " + ", ".join(
+    f"coalesce(CAST(sum(CASE WHEN category = '{c}' THEN rev4 END) AS DOUBLE), 0.0e0) AS \"{c}\""
+    for c in TEST_CATEGORIES) + " FROM prep WHERE city IS NOT NULL AND category IS NOT NULL GROUP BY city"))
+def q_grid_wide(spark, sf):
+    return E.cross_grid_wide(cat(spark, sf, *REV, "city", "category"), "city", "category")
+
+
 @register("grid_weakest", with_catalog(GRID_SQL + f""",
 g AS ({_grp_sql('city')}),
 top2 AS (SELECT city, row_number() OVER (ORDER BY revenue DESC, city) AS r FROM g ORDER BY revenue DESC, city LIMIT 2),
