@@ -13,6 +13,8 @@ from pyspark import StorageLevel
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import Evaluator
+from pyspark.ml.feature import ElementwiseProduct
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import LinearRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
@@ -79,18 +81,27 @@ def feature_names(cats: Sequence[str], nums: Sequence[str], suffix: str = "_code
     return [f"{c}{suffix}" for c in cats] + list(nums)
 
 
-def fit_pipeline(df: DataFrame, cats: Sequence[str], nums: Sequence[str], estimator: Estimator | None
-                 ) -> PipelineModel:
+def fit_pipeline(df: DataFrame, cats: Sequence[str], nums: Sequence[str], estimator: Estimator | None,
+                 population_std: bool = False) -> PipelineModel:
     """Encoder (alphabetical, unseen -> -1) -> assembler -> scaler -> estimator, as one model.
 
     The training rows are persisted for the duration of the fit: the encoder,
     the scaler and the estimator each read them, and the input is usually a join.
+    ``population_std`` rescales by sqrt(n / (n - 1)) so features are divided by the
+    population standard deviation (the reference's scaler) instead of the sample one.
     """
     owned = not df.is_cached
     data = spread(df).persist(StorageLevel.MEMORY_AND_DISK) if owned else df
     try:
         enc = ordinal_encoder(data, cats)
-        stages = assemble_scaled(feature_names(cats, nums)) + ([estimator] if estimator is not None else [])
+        names = feature_names(cats, nums)
+        stages = assemble_scaled(names, out="_scaled" if population_std else "features")
+        if population_std:
+            n = data.count()
+            factor = (n / (n - 1)) ** 0.5 if n > 1 else 1.0
+            stages.append(ElementwiseProduct(inputCol="_scaled", outputCol="features",
+                                             scalingVec=Vectors.dense([factor] * len(names))))
+        stages += [estimator] if estimator is not None else []
         rest = Pipeline(stages=stages).fit(enc.transform(data))
     finally:
         if owned:

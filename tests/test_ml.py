@@ -169,3 +169,17 @@ def test_tune_logistic(spark):
     data = enc.transform(folded).select("features", F.col("label").cast("double"), "weight", "fold").cache()
     cv, grid = I.tune(data, "logistic", random_maps=2)
     assert len(cv.avgMetrics) == 2 and I.best_params(cv, grid).count() == 1
+
+
+def test_population_std_scaling(spark):
+    import numpy as np
+    from pyspark.ml.functions import vector_to_array
+    rows = [("a", 1.0, 10.0), ("b", 3.0, 10.0), ("a", 5.0, 10.0), ("b", 7.0, 10.0)]
+    df = spark.createDataFrame(rows, "c string, x double, k double")
+    m = I.fit_pipeline(df, ["c"], ["x", "k"], None, population_std=True)
+    got = np.array([r[0] for r in m.transform(df).select(vector_to_array("features")).collect()])
+    x = np.array([1.0, 3.0, 5.0, 7.0])
+    assert np.allclose(got[:, 1], (x - x.mean()) / x.std())  # population std, as the reference
+    assert np.allclose(got[:, 2], 0.0)  # constant column -> 0
+    codes = np.array([0, 1, 0, 1], dtype=float)
+    assert np.allclose(got[:, 0], (codes - codes.mean()) / codes.std())
