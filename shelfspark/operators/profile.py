@@ -54,15 +54,31 @@ def null_counts(df: DataFrame) -> DataFrame:
     return _long(counts, items)
 
 
-def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None, approx: bool = False,
+                     accuracy: int = 10000) -> DataFrame:
     """Count, mean, sample std, min, interpolated quartiles, max per numeric column
     (nulls and NaN skipped).
 
-    One scan: value frequencies per column (partial aggregate before the
-    shuffle, then a distributed running count) feed both the moments and the
-    exact quartiles; no column is ever held in one task.
+    Exact (default): one scan; value frequencies per column (partial aggregate
+    before the shuffle, then a distributed running count) feed both the moments
+    and the quartiles; no column is ever held in one task. For continuous columns
+    the frequency table is about as large as the data, so at very large scale
+    ``approx=True`` uses one aggregation with ``percentile_approx`` (bounded
+    memory per column, rank error about 1 / ``accuracy``) instead.
     """
     cols = _numeric(df, cols)
+    if approx:
+        clean = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in cols}
+        row = df.agg(*[e for i, c in enumerate(cols) for e in (
+            F.count(clean[c]).alias(f"_c{i}"), F.avg(clean[c]).alias(f"_m{i}"),
+            F.stddev_samp(clean[c]).alias(f"_s{i}"), F.min(clean[c]).alias(f"_lo{i}"),
+            F.max(clean[c]).alias(f"_hi{i}"),
+            F.percentile_approx(clean[c], list(QUARTILES), accuracy).alias(f"_q{i}"))])
+        return _long(row, [F.struct(F.lit(c).alias("column"), F.col(f"_c{i}").alias("count"),
+                                    F.col(f"_m{i}").alias("mean"), F.col(f"_s{i}").alias("std"),
+                                    F.col(f"_lo{i}").alias("min"), F.col(f"_q{i}")[0].alias("q25"),
+                                    F.col(f"_q{i}")[1].alias("q50"), F.col(f"_q{i}")[2].alias("q75"),
+                                    F.col(f"_hi{i}").alias("max")) for i, c in enumerate(cols)])
     cum = value_frequencies(df, cols)
     q = quantiles_from_frequencies(cum, QUARTILES)
     qw = q.groupBy("column").agg(*[F.max(F.when(F.col("prob") == p, F.col("value"))).alias(name)

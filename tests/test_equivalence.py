@@ -151,3 +151,17 @@ def test_split_threshold_matches_window_definition(spark):
         got = H.stratified_split(df, "label", "key", frac, 42)
         assert _sorted(got.select("label", "key", "split")) == _sorted(want.select("label", "key", "split"))
         assert t.count() <= 3
+
+
+def test_describe_approx_close_to_exact(spark):
+    from shelfspark.operators.profile import describe_numeric
+    df = catalog_view(spark, SF_SMALL, ["price", "rating", "stock"])
+    exact = {r["column"]: r for r in describe_numeric(df).collect()}
+    approx = {r["column"]: r for r in describe_numeric(df, approx=True).collect()}
+    for c in ("price", "rating", "stock"):
+        e, a = exact[c], approx[c]
+        assert e["count"] == a["count"] and e["min"] == a["min"] and e["max"] == a["max"]
+        assert abs(e["mean"] - a["mean"]) < 1e-6 * max(1.0, abs(e["mean"]))
+        spread_ = e["max"] - e["min"]
+        for q in ("q25", "q50", "q75"):
+            assert abs(e[q] - a[q]) <= 0.02 * spread_
