@@ -4,6 +4,7 @@ feeding every KPI and insight table (all lazy; nothing runs until an action)."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from shelfspark.functions.features import in_date_range
 from shelfspark.operators import insights as E
@@ -11,8 +12,19 @@ from shelfspark.operators import kpi as D
 
 
 def filter_dates(df: DataFrame, start=None, end=None) -> DataFrame:
-    """C4: keep rows whose date_added falls in [start, end] by date; may be empty."""
-    return df.where(in_date_range(start, end))
+    """C4: keep rows whose date_added falls in [start, end] by date; may be empty.
+
+    The date predicate is pushed to the Parquet scan (row groups are skipped by
+    their min/max). On a catalogue written by ``write_catalog`` that still has its
+    ``month_added`` partition column, the same range on the month prunes folders.
+    """
+    out = df.where(in_date_range(start, end))
+    if "month_added" in df.columns:
+        if start is not None:
+            out = out.where(F.col("month_added") >= str(start)[:7])
+        if end is not None:
+            out = out.where(F.col("month_added") <= str(end)[:7])
+    return out
 
 
 def dashboard_tables(catalog: DataFrame, start=None, end=None, cache: bool = True) -> dict[str, DataFrame]:
