@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfspark.plans.reuse import materialize_small
+
 MAX_PIVOT_VALUES = 10000  # same bound as spark.sql.pivotMaxValues
 
 
@@ -26,13 +28,14 @@ def complete_grid(cells: DataFrame, row: str, col: str, value: str, fill=0) -> D
 def wide_grid(df: DataFrame, row: str, col: str, agg: Column, fill=0) -> DataFrame:
     """Wide (display) form: one column per value of ``col``, missing cells = ``fill``.
 
-    The value list is read first (a small distinct query, checked against
-    ``MAX_PIVOT_VALUES``) so that the pivot runs as a single aggregation.
+    The cells are aggregated once and written (``materialize_small``); the pivot's
+    value list (checked against ``MAX_PIVOT_VALUES``) and the pivot itself both
+    read those cells, so the input is scanned once.
     """
-    values = [r[0] for r in df.where(F.col(col).isNotNull()).select(col).distinct()
-              .orderBy(col).limit(MAX_PIVOT_VALUES + 1).collect()]
+    cells = materialize_small(df.where(F.col(row).isNotNull() & F.col(col).isNotNull())
+                              .groupBy(row, col).agg(agg.alias("_cell")))
+    values = [r[0] for r in cells.select(col).distinct().orderBy(col).limit(MAX_PIVOT_VALUES + 1).collect()]
     if len(values) > MAX_PIVOT_VALUES:
         raise ValueError(f"{col} has more than {MAX_PIVOT_VALUES} values; use complete_grid")
-    wide = (df.where(F.col(row).isNotNull() & F.col(col).isNotNull())
-            .groupBy(row).pivot(col, values).agg(agg))
+    wide = cells.groupBy(row).pivot(col, values).agg(F.first("_cell"))  # one cell per (row, col)
     return wide.fillna(fill, subset=[str(v) for v in values]).orderBy(row)
