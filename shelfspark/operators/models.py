@@ -42,6 +42,9 @@ LOGISTIC_C = [0.01, 0.1, 1, 10]
 # Random forest: trees x depth (None -> Spark's maximum) x minimum split size (-> leaf size).
 FOREST_GRID = {"numTrees": [100, 200], "maxDepth": [6, 10, MAX_TREE_DEPTH], "minInstancesPerNode": [1, 2]}
 SEARCH_FOLDS = 5
+# Iteration cap and convergence tolerance of the reference's logistic regression.
+LOGISTIC_MAX_ITER = 100
+LOGISTIC_TOL = 1e-4
 RANDOM_SEARCH_MAPS = 20
 
 
@@ -56,7 +59,8 @@ def logistic(C: float = 1.0, n_weight: float = 1.0, weight_col: str | None = "we
     already standardised, so Spark's own standardisation is off)."""
     kw = {"weightCol": weight_col} if weight_col else {}
     return LogisticRegression(featuresCol="features", labelCol="label", regParam=1.0 / (C * n_weight),
-                              elasticNetParam=0.0, standardization=False, maxIter=100, **kw)
+                              elasticNetParam=0.0, standardization=False, maxIter=LOGISTIC_MAX_ITER,
+                              tol=LOGISTIC_TOL, **kw)
 
 
 def forest(trees: int = 100, depth: int | None = None, min_split: int = 2,

@@ -23,6 +23,16 @@ from shelfspark.sources.catalog import catalog_view
 SMALL_BOOST = {"rounds": 10, "depth": 4, "rate": 0.1}
 
 
+def _features(spark, sf, stage="pre", keep=("product_id",)):
+    """Feature table persisted once: the split or folds, the class weights, the
+    encoder and scaler fits and the learner all read it (each would otherwise
+    recompute the catalogue join)."""
+    cat = catalog_view(spark, sf)
+    f = (C.engineer_pre_launch(cat, FIXTURE_REF_DATE, keep=keep) if stage == "pre"
+         else C.engineer_post_launch(cat, FIXTURE_REF_DATE, keep=keep))
+    return spread(f).cache()
+
+
 def _split(features):
     # the split is read by every fit and every scoring pass: compute it once
     s = spread(H.stratified_split(features, "label", "product_id", 0.8, 42)).cache()
@@ -33,8 +43,7 @@ def _split(features):
 
 @register("model_comparison", None)
 def q_model_comparison(spark, sf):
-    feats = C.engineer_pre_launch(catalog_view(spark, sf), FIXTURE_REF_DATE)
-    train, test = _split(feats)
+    train, test = _split(_features(spark, sf, "pre"))
     n = float(train.agg(F.sum("weight")).first()[0])
     named = {"logistic": I.logistic(1.0, n), "forest": I.forest(20, 6),
              "boosted": I.boosted(SMALL_BOOST["rounds"], SMALL_BOOST["depth"], SMALL_BOOST["rate"])}
@@ -44,8 +53,7 @@ def q_model_comparison(spark, sf):
 
 @register("post_launch_scores", None)
 def q_post_scores(spark, sf):
-    feats = C.engineer_post_launch(catalog_view(spark, sf), FIXTURE_REF_DATE)
-    train, test = _split(feats)
+    train, test = _split(_features(spark, sf, "post"))
     model = I.fit_pipeline(train, POST_CATEGORICAL, POST_NUMERIC,
                            I.boosted(SMALL_BOOST["rounds"], SMALL_BOOST["depth"], SMALL_BOOST["rate"]))
     return K.decide(K.score(model, test, keep=("product_id", "label")))
@@ -53,7 +61,7 @@ def q_post_scores(spark, sf):
 
 @register("linear_regression_metrics", None)
 def q_linear(spark, sf):
-    feats = C.engineer_pre_launch(catalog_view(spark, sf), FIXTURE_REF_DATE, keep=("product_id", "rating"))
+    feats = _features(spark, sf, "pre", keep=("product_id", "rating"))
     s = H.random_split(feats, "product_id", 0.8, 42)
     model = I.fit_pipeline(s.where(F.col("split") == "train"), CATEGORICAL, PRE_NUMERIC,
                            I.linear_regression("rating"))
@@ -63,8 +71,9 @@ def q_linear(spark, sf):
 
 @register("logistic_grid_search", None)
 def q_grid(spark, sf):
-    feats = C.engineer_pre_launch(catalog_view(spark, sf), FIXTURE_REF_DATE)
-    folded = H.with_class_weights(H.assign_folds(feats, "label", "product_id", 3, 42), "label")
+    feats = _features(spark, sf, "pre")
+    # weights from the persisted features (one cheap count), then folds over the weighted rows
+    folded = H.assign_folds(H.with_class_weights(feats, "label"), "label", "product_id", 3, 42).cache()
     enc = I.fit_pipeline(folded, CATEGORICAL, PRE_NUMERIC, None)
     data = spread(enc.transform(folded).select("features", F.col("label").cast("double"), "weight", "fold")).cache()
     est = I.logistic(1.0, 1.0)
@@ -75,19 +84,17 @@ def q_grid(spark, sf):
 
 @register("post_launch_importance", None)
 def q_importance(spark, sf):
-    feats = C.engineer_post_launch(catalog_view(spark, sf), FIXTURE_REF_DATE)
-    weighted = H.with_class_weights(feats, "label")
+    weighted = H.with_class_weights(_features(spark, sf, "post"), "label")
     model = I.fit_pipeline(weighted, POST_CATEGORICAL, POST_NUMERIC, I.boosted(5, 3, 0.1))
     return J.feature_importance(model.stages[-1], I.feature_names(POST_CATEGORICAL, POST_NUMERIC))
 
 
 @register("scenario_scores", None)
 def q_scenario(spark, sf):
-    cat = catalog_view(spark, sf)
-    feats = C.engineer_post_launch(cat, FIXTURE_REF_DATE)
+    feats = _features(spark, sf, "post")
     model = I.fit_pipeline(H.with_class_weights(feats, "label"), POST_CATEGORICAL, POST_NUMERIC,
                            I.boosted(5, 3, 0.1))
-    scen = C.scenario_features(cat, "2001-09-01", "post", FIXTURE_REF_DATE)
+    scen = C.scenario_features(catalog_view(spark, sf), "2001-09-01", "post", FIXTURE_REF_DATE)
     return K.decide(K.score(model, C.conform(scen, "post").where("success")))
 
 
@@ -102,7 +109,7 @@ def q_stream(spark, sf):
     from shelfspark.session import scratch_path
     from shelfspark.streaming.scoring import start_scoring
 
-    feats = C.engineer_post_launch(catalog_view(spark, sf), FIXTURE_REF_DATE)
+    feats = _features(spark, sf, "post")
     model = I.fit_pipeline(H.with_class_weights(feats, "label"), POST_CATEGORICAL, POST_NUMERIC,
                            I.boosted(5, 3, 0.1))
     base = scratch_path(spark, f"stream-scores-{uuid.uuid4().hex}")
