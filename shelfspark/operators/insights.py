@@ -232,7 +232,9 @@ def discount_margin(df: DataFrame, dim: str = "category") -> DataFrame:
     zone = (F.when((F.col("avg_discount") > med["d"]) & (F.col("avg_margin") < med["m"]), "leakage")
             .when((F.col("avg_discount") < med["d"]) & (F.col("avg_margin") > med["m"]), "safe")
             .otherwise("other"))
-    return m.withColumn("zone", zone)
+    # listing order inside a zone: revenue desc, key asc (one row per group: bounded)
+    w = Window.partitionBy("zone").orderBy(F.col("total_revenue").desc(), F.col(dim).asc())
+    return m.withColumn("zone", zone).withColumn("zone_rank", F.row_number().over(w))
 
 
 # ---------------------------------------------------------------- E12

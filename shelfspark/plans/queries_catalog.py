@@ -252,9 +252,11 @@ def q_quadrant_counts(spark, sf):
   avg(profit_margin_pct) AS avg_margin, CAST(sum(rev4) AS DOUBLE) AS total_revenue
   FROM prep WHERE category IS NOT NULL GROUP BY category),
 med AS (SELECT median(avg_discount) AS d, median(avg_margin) AS mm FROM m)
-SELECT m.*, CASE WHEN avg_discount > d AND avg_margin < mm THEN 'leakage'
+, z AS (SELECT m.*, CASE WHEN avg_discount > d AND avg_margin < mm THEN 'leakage'
                  WHEN avg_discount < d AND avg_margin > mm THEN 'safe' ELSE 'other' END AS zone
-FROM m, med"""), rounded=["avg_discount", "avg_margin"])
+FROM m, med)
+SELECT *, CAST(row_number() OVER (PARTITION BY zone ORDER BY total_revenue DESC, category) AS INTEGER) AS zone_rank
+FROM z"""), rounded=["avg_discount", "avg_margin"])
 def q_discount_margin(spark, sf):
     return E.discount_margin(cat(spark, sf, *REV, "category", "discount_pct", "profit_margin_pct"))
 
