@@ -3,7 +3,9 @@
 Group keys never include nulls (pandas ``groupby`` drops them). Money is summed
 exactly (DECIMAL terms), so totals do not depend on partitioning. Extremes use
 ``best_key`` (one aggregate, ties to the smaller key) instead of one-task windows;
-one-row values are attached with scalar subqueries instead of cross joins.
+one-row values are attached with scalar subqueries instead of cross joins. A small
+aggregate that an operator reads more than once (its table plus a median or mean
+of it) is written once with ``materialize_small``, so the catalogue is scanned once.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from shelfspark.plans.grid import complete_grid, wide_grid
 from shelfspark.plans.reuse import materialize_small
 from shelfspark.plans.windows import running_sums
 
-# Fixed values of the dashboard: colour bands, the Pareto line, the trend cut-off.
+# Fixed values of the dashboard: colour bands, the Pareto line, the correlation cut, line points.
 DELIVERY_BANDS = ([70.0, 85.0], ["red", "amber", "green"])
 RATING_BANDS = ([3.5, 4.0], ["low", "mid", "high"])
 PARETO_CUT = 80.0
