@@ -42,6 +42,11 @@ def conform_catalog(raw: DataFrame, schema: T.StructType = CATALOG) -> DataFrame
             v = c
         elif isinstance(f.dataType, T.BooleanType):
             v = F.lower(c).try_cast("boolean")
+        elif isinstance(f.dataType, (T.IntegerType, T.LongType, T.ShortType)):
+            # integers may be written as "5.0" (a writer that turned the column to float)
+            d = c.try_cast("double")
+            v = F.coalesce(c.try_cast(f.dataType),
+                           F.when(d == F.floor(d), d.try_cast(f.dataType)))
         else:
             v = c.try_cast(f.dataType)
             if isinstance(f.dataType, (T.DoubleType, T.FloatType)):

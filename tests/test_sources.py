@@ -134,3 +134,23 @@ def test_queries_on_materialized_catalog(spark, tmp_path):
     parts = [ln for ln in buf.getvalue().splitlines() if ln.startswith("PartitionFilters")]
     assert parts and ">= 1996-03" in parts[0] and "<= 1996-04" in parts[0]
     assert pruned.count() == filter_dates(catalog_view(spark, SF_SMALL), "1996-03-05", "1996-04-20").count()
+
+
+def test_csv_integers_written_as_floats(spark, tmp_path):
+    p = tmp_path / "c.csv"
+    p.write_text("product_id,sold_quantity,stock,shelf_life_days\na,5.0,7,30.0\nb,2.5,,NA\n")
+    rows = {r["product_id"]: r for r in A.read_catalog(spark, str(p)).collect()}
+    assert (rows["a"]["sold_quantity"], rows["a"]["stock"], rows["a"]["shelf_life_days"]) == (5, 7, 30)
+    assert rows["b"]["sold_quantity"] is None and rows["b"]["stock"] is None and rows["b"]["shelf_life_days"] is None
+
+
+def test_pre_launch_scenario_features(spark):
+    from shelfspark.operators import engineer as C
+    from shelfspark.schemas import PRE_CONTRACT
+    cat = catalog_view(spark, SF_SMALL)
+    scen = C.scenario_features(cat, "2001-09-01", "pre", "1995-01-01")
+    assert scen.columns == ["product_id"] + [f.name for f in PRE_CONTRACT.fields]
+    checked = C.conform(scen, "pre")
+    assert checked.where(~F.col("success")).count() == 0
+    r = scen.select("freshness_score", "days_since_added", "month_added").first()
+    assert r["month_added"] == 9 and r["days_since_added"] == 2435 and 0 < r["freshness_score"] < 1
