@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfspark.plans.reuse import materialize_small
-from shelfspark.plans.windows import hash_slice, running_count
+from shelfspark.plans.windows import hash_slice, running_count, running_sums
 
 SEED = 42
 TRAIN_FRACTION = 0.8
@@ -90,17 +90,18 @@ def class_thresholds(df: DataFrame, label: str = "label", key: str = "product_id
     """One row per class: the (hash, key) of its round(frac * n)-th row in hash order.
 
     No sort of the data: a histogram of hash prefixes per class (partial
-    aggregate, at most classes * 16^digits rows) locates the bucket holding the
-    k-th row; only that bucket's rows (about n / 16^digits per class) are ranked.
+    aggregate, at most classes * 16^digits rows; its cumulative counts come from
+    the distributed running sum) locates the bucket holding the k-th row; only
+    that bucket's rows (about n / 16^digits per class) are ranked.
     """
     base = df.select(F.col(label).alias("_y"), F.col(key).cast("string").alias("_k"),
                      hash_order(key, seed).alias("_h"))
     base = base.withColumn("_b", F.substring("_h", 1, digits))
     hist = base.groupBy("_y", "_b").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy("_y").orderBy("_b")  # per class, at most 16^digits rows
-    hist = (hist.withColumn("_upto", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-            .withColumn("_total", F.sum("_n").over(Window.partitionBy("_y")))
-            .withColumn("_want", F.round(F.col("_total") * F.lit(frac)).cast("bigint")))
+    # cumulative bucket counts per class, distributed (the histogram of one class can
+    # hold up to 16^digits rows, so it is not windowed in one task)
+    hist = running_sums(hist, {"_upto": "_n"}, [F.col("_b").asc()], partition=["_y"], with_totals=True)
+    hist = hist.withColumn("_want", F.round(F.col("_upto_total") * F.lit(frac)).cast("bigint"))
     edge = (hist.where((F.col("_upto") - F.col("_n") < F.col("_want")) & (F.col("_want") <= F.col("_upto")))
             .select("_y", "_b", (F.col("_want") - (F.col("_upto") - F.col("_n"))).alias("_r")))
     cand = base.join(F.broadcast(edge), ["_y", "_b"])  # one row per class
