@@ -8,7 +8,7 @@ from shelfspark.operators import kpi as D
 from shelfspark.operators import questions as Q
 from shelfspark.operators.dashboard import filter_dates
 from shelfspark.plans.registry import cat, register, with_catalog
-from shelfspark.sources.catalog import catalog_view
+from shelfspark.sources.catalog import catalog_view, line_column, table
 
 REV = ("final_price", "sold_quantity")
 
@@ -476,7 +476,12 @@ def q_top_margin(spark, sf):
 @register("top_products", with_catalog("""SELECT product_id, product_name, sold_quantity FROM prep
 ORDER BY sold_quantity DESC, product_id LIMIT 10"""))
 def q_top_products(spark, sf):
-    return Q.top_products(cat(spark, sf, "product_id", "product_name", "sold_quantity"), 10)
+    # the ranking columns come from lineitem alone: take the top 10 there, then look up the names
+    li = table(spark, sf, "lineitem").withColumns({"__pid": line_column("product_id"),
+                                                   "__q": line_column("sold_quantity")})
+    top = Q.top_products(li, 10, "__q", "__pid").drop("__pid", "__q")
+    return Q.top_products(catalog_view(spark, sf, ["product_id", "product_name", "sold_quantity"], fact=top,
+                                          fact_max_rows=10), 10)
 
 
 @register("units_by_city", with_catalog("""SELECT city, CAST(sum(sold_quantity) AS BIGINT) AS units FROM prep

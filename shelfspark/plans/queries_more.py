@@ -19,7 +19,7 @@ from shelfspark.schemas import (
     CATALOG, CATEGORICAL, CONTRACT_INTS, NUMERIC_COLUMNS, POST_CATEGORICAL, POST_CONTRACT, POST_NUMERIC,
     PRE_NUMERIC,
 )
-from shelfspark.sources.catalog import catalog_view, table
+from shelfspark.sources.catalog import catalog_view, line_column, table
 
 FIXTURE_REF_DATE = "1995-01-01"  # start of the test orders: ages are >= 0
 ALL = [f.name for f in CATALOG.fields]
@@ -28,7 +28,9 @@ ALL = [f.name for f in CATALOG.fields]
 # ------------------------------------------------------------------ B
 @register("catalog_preview", with_catalog("SELECT * FROM catalog ORDER BY product_id LIMIT 5", prep=False))
 def q_preview(spark, sf):
-    return B.preview(catalog_view(spark, sf), 5, "product_id")
+    # product_id comes from lineitem alone: take the 5 rows there, then join them to the dimensions
+    top = B.preview(table(spark, sf, "lineitem").withColumn("__pid", line_column("product_id")), 5, "__pid")
+    return B.preview(catalog_view(spark, sf, fact=top.drop("__pid"), fact_max_rows=5), 5, "product_id")
 
 
 @register("catalog_shape", with_catalog(f"SELECT count(*) AS n_rows, CAST({len(ALL)} AS BIGINT) AS n_cols FROM catalog",

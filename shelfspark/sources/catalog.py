@@ -82,9 +82,21 @@ def _dim_columns() -> dict[str, Column]:
 MATERIALIZED_CATALOG_CONF = "shelfspark.catalog.path"
 
 
-def catalog_view(spark: SparkSession, sf_dir: str, columns: Iterable[str] | None = None) -> DataFrame:
+def line_column(name: str) -> Column:
+    """Expression of a catalogue column that comes from lineitem alone (product_id, prices, ...)."""
+    return _line_columns()[name]
+
+
+def catalog_view(spark: SparkSession, sf_dir: str, columns: Iterable[str] | None = None,
+                 fact: DataFrame | None = None, fact_max_rows: int | None = None) -> DataFrame:
     """Flat catalogue DataFrame with the requested columns (all by default).
 
+    ``fact`` replaces the lineitem scan with a subset of lineitem rows: since every
+    join keeps exactly one row per lineitem row, a top-n taken on lineitem-only
+    columns can be taken before the joins, which then run on n rows. With
+    ``fact_max_rows`` (a bound the caller guarantees, such as the n of a top-n)
+    the fact side is broadcast at every join, so no dimension is shuffled.
+
     When the session sets ``shelfspark.catalog.path`` to a catalogue written by
     ``write_catalog``, that table is read instead (only the requested columns,
     filters pushed to the scan, month folders pruned); otherwise the catalogue is
@@ -95,15 +107,28 @@ def catalog_view(spark: SparkSession, sf_dir: str, columns: Iterable[str] | None
     if unknown:
         raise ValueError(f"unknown catalogue columns: {sorted(unknown)}")
     materialized = spark.conf.get(MATERIALIZED_CATALOG_CONF, None)
-    if materialized:
+    if materialized and fact is None:
         return spark.read.parquet(materialized).select(*cols)
     needs = set().union(*[_NEEDS.get(k, set()) for k in cols]) if cols else set()
-    df = table(spark, sf_dir, "lineitem")
+    # ``fact``: lineitem rows already reduced (e.g. a top-n); every join keeps one row per fact row
+    df = fact if fact is not None else table(spark, sf_dir, "lineitem")
+    small = fact is not None and fact_max_rows is not None and fact_max_rows <= 100_000
+
+    def lhs(d: DataFrame) -> DataFrame:
+        return F.broadcast(d) if small else d
+
     if "part" in needs:
-        df = df.join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+        df = lhs(df).join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
     if "supplier" in needs:
-        df = df.join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-    if "orders" in needs:
+        df = lhs(df).join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    if "orders" in needs and small:
+        # a few fact rows: walk the chain one table at a time, broadcasting those rows
+        df = lhs(df).join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+        if "customer" in needs:
+            df = lhs(df).join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+        if "nation" in needs:
+            df = lhs(df).join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    elif "orders" in needs:
         # Resolve the orders -> customer -> nation chain at orders size first, so
         # the lineitem-sized side is shuffled once (on orderkey), not per link.
         orders = table(spark, sf_dir, "orders")
@@ -111,7 +136,7 @@ def catalog_view(spark: SparkSession, sf_dir: str, columns: Iterable[str] | None
             orders = orders.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
         if "nation" in needs:
             orders = orders.join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-        df = df.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        df = lhs(df).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     exprs = {**_line_columns(), **_dim_columns()}
     return df.select(*[exprs[k].alias(k) for k in cols])
 
