@@ -1,7 +1,12 @@
-"""Reusable plan shapes that stay distributed at scale.
+"""Reusable plan shapes that stay distributed at scale, and the query registry.
 
-- ``running_sum``: cumulative sums over a global order without a one-task window.
-- ``next_row``: the following row in a sequence without a one-task window per hot key.
-- ``complete_grid`` / ``wide_grid``: dense row x column grids (missing cells filled).
-- ``exact_quantiles``: exact interpolated quantiles from value frequencies.
+- ``windows``: cumulative sums over a global order (``running_sums``) and the next row
+  in a sequence (``next_row``) without a one-task window per hot key.
+- ``grid``: dense row x column grids (long form by exploding the column domain, wide
+  form by a checked pivot).
+- ``quantiles``: exact interpolated quantiles and moments from value frequencies.
+- ``reuse``: write a small aggregate once when several readers need it.
+- ``joins``: broadcast a small aggregate only after checking its size.
+- ``registry`` / ``queries_*``: the named queries of ``__spark_entry__`` with their
+  DuckDB oracles.
 """
