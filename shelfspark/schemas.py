@@ -36,7 +36,8 @@ DIALOGUE = _struct([("role", S), ("content", S), ("code_executed", S), ("timesta
 # One question-answer exchange of a session (input of flatten_exchanges).
 EXCHANGES = _struct([("question", S), ("summary", S), ("error", S), ("code_executed", S)])
 
-# Categorical inputs shared by both request contracts.
+# The model inputs of the two request contracts, in the reference's order
+# (categorical then numeric; the pre-launch and post-launch lists differ in order and size).
 CATEGORICAL = ["brand", "city", "seller", "packaging_type", "category", "offer_type"]
 
 PRE_NUMERIC = [
@@ -55,7 +56,7 @@ POST_NUMERIC = [
     "inventory_health", "discount_amount", "price_per_gram", "is_organic",
 ]
 
-# Integer-typed fields of the request contracts; every other numeric field is double.
+# Integer-typed fields of the request contracts; every other numeric field is double.
 CONTRACT_INTS = {
     "shelf_life_days", "days_since_added", "month_added", "num_reviews", "delivery_time_min",
     "stock", "sold_quantity", "reorder_level", "days_to_expiry", "is_delayed", "is_organic",
