@@ -22,7 +22,7 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "she
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         # remove checkpoint files once their data is no longer referenced
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
-        .config("spark.driver.memory", os.environ.get("SHELFSPARK_DRIVER_MEMORY", "8g"))
+        .config("spark.driver.memory", os.environ.get("SHELFSPARK_DRIVER_MEMORY", "4g"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
