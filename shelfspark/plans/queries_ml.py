@@ -119,3 +119,29 @@ def q_stream(spark, sf):
     q = start_scoring(spark, model, f"{base}/requests", schema, f"{base}/scores", f"{base}/checkpoint")
     q.awaitTermination()
     return spark.read.parquet(f"{base}/scores")
+
+
+@register("kpi_cards", None)
+def q_kpi_cards(spark, sf):
+    """L1-L4 over the catalogue: the KPI card texts and two takeaway sentences, one row.
+
+    No oracle: Java and C format half-way binary values differently, and text is
+    display only (the numbers behind it are checked by kpi_totals and the takeaways).
+    """
+    from shelfspark.functions import display as L
+    from shelfspark.operators import insights as E
+    from shelfspark.operators import kpi as D
+    df = catalog_view(spark, sf, ["final_price", "sold_quantity", "rating", "delivery_status", "category",
+                                  "date_added", "brand"])
+    t = D.kpi_totals(df)
+    cards = t.select(L.money("total_revenue", "Cr").alias("total_revenue"),
+                     L.thousands("total_units").alias("total_units"),
+                     L.stars("avg_rating").alias("avg_rating"),
+                     L.percent("on_time_pct", 0).alias("on_time"),
+                     L.percent("delayed_pct", 0).alias("delayed"))
+    cat_text = L.takeaway_text(E.revenue_by_takeaway(E.revenue_by(df, "category"), "category"), "category")
+    month_text = L.takeaway_text(E.monthly_takeaway(E.monthly_trend(df)), "monthly")
+    brands = E.pareto(df).where("is_head").agg(L.name_text("brand").alias("head_brands"))
+    return cards.select("*", cat_text.select("takeaway").scalar().alias("category_takeaway"),
+                        month_text.select("takeaway").scalar().alias("monthly_takeaway"),
+                        brands.select("head_brands").scalar().alias("head_brands"))
