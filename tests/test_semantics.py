@@ -161,3 +161,16 @@ def test_even_sized_rounding_and_ties_in_pareto(make_catalog):
     assert p["a"]["position"] == 0 and p["b"]["position"] == 1
     assert p["b"]["cum_pct"] == 80.0 and p["c"]["is_head"] and not p["d"]["is_head"]
     assert math.isclose(p["d"]["cum_pct"], 100.0)
+
+
+def test_whole_days_ignore_session_zone_and_dst(spark):
+    # 2023-03-12 is a 23-hour day in America/Los_Angeles; timestamp_ntz keeps it 24 hours
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        df = spark.createDataFrame([(dt.datetime(2023, 3, 12), dt.datetime(2023, 3, 13))],
+                                   "a timestamp_ntz, b timestamp_ntz")
+        assert df.select(C.whole_days(F.col("a"), F.col("b"))).first()[0] == 1
+        assert df.select(F.date_format("a", "yyyy-MM")).first()[0] == "2023-03"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
