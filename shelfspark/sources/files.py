@@ -67,27 +67,44 @@ def read_catalog(spark: SparkSession, path: str, fmt: str = "csv", schema: T.Str
                        else F.col(f.name) for f in df.schema.fields])
 
 
+LOG_SCHEMA = T.StructType(DIALOGUE.fields + [T.StructField("position", T.LongType(), True)])
+
+
 def empty_dialogue(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], DIALOGUE)
+    return spark.createDataFrame([], LOG_SCHEMA)
 
 
 def read_dialogue(spark: SparkSession, path: str) -> DataFrame:
-    """A2: the dialogue log; a missing or corrupt log is an empty table.
+    """A2: the dialogue log with its record ``position``; a missing or corrupt log is
+    an empty table.
 
-    A folder is read as JSON lines (what ``append_dialogue`` writes); a single
-    file as one JSON array of records.
+    A single file is one JSON array of records: it is not splittable, so one task
+    reads it in file order and the position is the record's index. A folder holds
+    JSON lines written by ``append_dialogue``, which stores the position itself.
     """
     if not path_exists(spark, path):
         return empty_dialogue(spark)
-    reader = spark.read.schema(DIALOGUE).option("mode", "DROPMALFORMED")
     if _is_dir(spark, path):
-        return reader.json(path)
-    return reader.option("multiLine", True).json(path)
+        return spark.read.schema(LOG_SCHEMA).option("mode", "DROPMALFORMED").json(path)
+    rows = spark.read.schema(DIALOGUE).option("mode", "DROPMALFORMED").option("multiLine", True).json(path)
+    return rows.withColumn("position", F.monotonically_increasing_id())
 
 
-def append_dialogue(log: DataFrame, path: str) -> None:
-    """A3: append records to the log folder (new files; nothing is rewritten)."""
-    log.select(*[F.col(f.name).cast(f.dataType) for f in DIALOGUE.fields]).write.mode("append").json(path)
+def append_dialogue(log: DataFrame, path: str, order=None) -> None:
+    """A3: append records to the log folder (new files; nothing is rewritten).
+
+    Positions continue after the largest one already in the folder, in the order
+    of ``order`` (column names of ``log``; its own ``position`` when not given).
+    """
+    spark = log.sparkSession
+    start = (read_dialogue(spark, path).agg(F.max("position")).first()[0] if path_exists(spark, path) else None)
+    base = -1 if start is None else int(start)
+    keys = [order] if isinstance(order, str) else list(order or ["position"])
+    from shelfspark.plans.windows import running_count
+    ranked = running_count(log, [F.col(k).asc() for k in keys], out="__pos",
+                           slices=max(1, log.rdd.getNumPartitions()))
+    out = ranked.withColumn("position", F.col("__pos") + F.lit(base))
+    out.select(*[F.col(f.name).cast(f.dataType) for f in LOG_SCHEMA.fields]).write.mode("append").json(path)
 
 
 def to_records(df: DataFrame) -> DataFrame:

@@ -21,18 +21,24 @@ def test_dialogue_missing_corrupt_and_array(spark, tmp_path):
     good.write_text(json.dumps([
         {"role": "user", "content": "q1", "code_executed": None, "timestamp": "t"},
         {"role": "assistant", "content": "a1", "code_executed": "x=1", "timestamp": "t"}]))
-    rows = A.read_dialogue(spark, str(good)).collect()
+    rows = A.read_dialogue(spark, str(good)).orderBy("position").collect()
     assert [r["role"] for r in rows] == ["user", "assistant"] and rows[1]["code_executed"] == "x=1"
+    assert [r["position"] for r in rows] == [0, 1]
 
 
 def test_append_and_read_back(spark, tmp_path):
     folder = str(tmp_path / "log")
     ex = spark.createDataFrame([("e1", "q", "s", None, "c")],
                                "exchange_id string, question string, summary string, error string, code_executed string")
-    flat = G.flatten_exchanges(ex, "2024-01-01T00:00:00+00:00").withColumnRenamed("content", "content")
-    A.append_dialogue(flat, folder)
-    A.append_dialogue(flat, folder)
-    assert A.read_dialogue(spark, folder).count() == 4
+    flat = G.flatten_exchanges(ex, "2024-01-01T00:00:00+00:00")
+    A.append_dialogue(flat, folder, ["exchange_id", "seq"])
+    A.append_dialogue(flat, folder, ["exchange_id", "seq"])
+    rows = A.read_dialogue(spark, folder).orderBy("position").collect()
+    assert [r["position"] for r in rows] == [0, 1, 2, 3]
+    assert [r["role"] for r in rows] == ["user", "assistant", "user", "assistant"]
+    log = A.read_dialogue(spark, folder).withColumn("log_id", F.lit(0))
+    pairs = G.pair_exchanges(log, "log_id", "position").collect()
+    assert [(p["turn"], p["answer_turn"], p["answer"]) for p in pairs] == [(0, 1, "s"), (2, 3, "s")]
 
 
 def test_to_records(spark):
