@@ -145,10 +145,15 @@ def pareto_takeaway(p: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- E7, E8
-def cross_grid(df: DataFrame, row: str = "city", col: str = "category") -> DataFrame:
-    """Complete row x column revenue grid, long form, missing cells = 0."""
-    cells = _keyed(df, row, col).groupBy(row, col).agg(exact_sum(revenue()).alias("revenue"))
-    return complete_grid(materialize_small(cells), row, col, "revenue", 0.0)
+def cross_grid(df: DataFrame, row: str = "city", col: str = "category", agg: Column | None = None,
+               value: str = "revenue", fill=0.0) -> DataFrame:
+    """Complete row x column grid, long form, missing cells = ``fill``.
+
+    ``agg`` is the cell aggregate (default: exact revenue sum), named ``value``.
+    """
+    cell = agg if agg is not None else exact_sum(revenue())
+    cells = _keyed(df, row, col).groupBy(row, col).agg(cell.alias(value))
+    return complete_grid(materialize_small(cells), row, col, value, fill)
 
 
 def cross_grid_wide(df: DataFrame, row: str = "city", col: str = "category") -> DataFrame:
@@ -338,24 +343,30 @@ def fit_line(fit: DataFrame, n: int = FIT_POINTS) -> DataFrame:
 SCORE_METRICS = ["avg_rating", "on_time_pct", "avg_margin", "total_revenue"]
 
 
-def scorecard(df: DataFrame, dim: str = "seller") -> DataFrame:
-    """Per group rating, on-time %, margin, revenue; each min-max scaled (constant
-    -> 0); score = mean of the available scaled metrics * 100, rounded half-even to 1
-    decimal; ``rank`` by score desc, key asc."""
-    raw = materialize_small(_keyed(df, dim).groupBy(dim)
-                            .agg(F.avg("rating").alias("avg_rating"),
-                                 pct_true(F.col("delivery_status") == "On-Time").alias("on_time_pct"),
-                                 F.avg("profit_margin_pct").alias("avg_margin"),
-                                 exact_sum(revenue()).alias("total_revenue")))
-    bounds = raw.agg(F.struct(*[e for m in SCORE_METRICS for e in
+def score_metrics() -> dict[str, Column]:
+    """The scorecard's four metrics as aggregates (name -> aggregate Column)."""
+    return {"avg_rating": F.avg("rating"),
+            "on_time_pct": pct_true(F.col("delivery_status") == "On-Time"),
+            "avg_margin": F.avg("profit_margin_pct"),
+            "total_revenue": exact_sum(revenue())}
+
+
+def scorecard(df: DataFrame, dim: str = "seller", metrics: dict[str, Column] | None = None) -> DataFrame:
+    """Per group metrics (default: rating, on-time %, margin, revenue); each min-max
+    scaled (constant -> 0); score = mean of the available scaled metrics * 100,
+    rounded half-even to 1 decimal."""
+    metrics = metrics or score_metrics()
+    names = list(metrics)
+    raw = materialize_small(_keyed(df, dim).groupBy(dim).agg(*[a.alias(n) for n, a in metrics.items()]))
+    bounds = raw.agg(F.struct(*[e for m in names for e in
                                 (F.min(m).alias(f"{m}_lo"), F.max(m).alias(f"{m}_hi"))])).scalar()
     scaled = [F.coalesce(safe_div(F.col(m) - bounds[f"{m}_lo"], bounds[f"{m}_hi"] - bounds[f"{m}_lo"]),
-                         F.when(F.col(m).isNotNull(), F.lit(0.0))) for m in SCORE_METRICS]
+                         F.when(F.col(m).isNotNull(), F.lit(0.0))) for m in names]
     total = scaled[0]
     for s in scaled[1:]:
         total = F.coalesce(total, F.lit(0.0)) + F.coalesce(s, F.lit(0.0))
-    present = sum((F.col(m).isNotNull().cast("int") for m in SCORE_METRICS[1:]),
-                  F.col(SCORE_METRICS[0]).isNotNull().cast("int"))
+    present = sum((F.col(m).isNotNull().cast("int") for m in names[1:]),
+                  F.col(names[0]).isNotNull().cast("int"))
     score = safe_div(total, present) * 100
     return raw.withColumn("score", F.bround(score, 1))
 

@@ -72,3 +72,15 @@ def test_each_unsafe_pattern(spark, snippet):
     df = G.flag_unsafe_code(spark.createDataFrame([(snippet,), ("df.groupby('a').sum()",)], "code string"))
     flags = [r["unsafe"] for r in df.collect()]
     assert flags == [True, False]
+
+
+def test_cross_grid_custom_aggregate_and_scorecard_metrics(make_catalog):
+    df = make_catalog([{"city": "X", "category": "A", "sold_quantity": 3},
+                       {"city": "Y", "category": "B", "sold_quantity": 4}])
+    g = {(r["city"], r["category"]): r["units"] for r in
+         E.cross_grid(df, agg=F.sum("sold_quantity"), value="units", fill=0).collect()}
+    assert g == {("X", "A"): 3, ("X", "B"): 0, ("Y", "A"): 0, ("Y", "B"): 4}
+    card = {r["seller"]: r["score"] for r in E.scorecard(
+        make_catalog([{"seller": "a", "sold_quantity": 1}, {"seller": "b", "sold_quantity": 9}]),
+        metrics={"units": F.sum("sold_quantity")}).collect()}
+    assert card == {"a": 0.0, "b": 100.0}
