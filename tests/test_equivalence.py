@@ -60,7 +60,7 @@ def _greedy_pairs(roles):
     return out
 
 
-@settings(max_examples=15, deadline=None)
+@settings(max_examples=15, deadline=None, derandomize=True)
 @given(st.lists(st.sampled_from(["user", "assistant", "system"]), min_size=0, max_size=30))
 def test_pairing_equals_greedy_loop(spark, roles):
     rows = [(7, i * 3, r, f"t{i}") for i, r in enumerate(roles)]  # gaps in turn numbers
