@@ -30,9 +30,16 @@ def score_stream(model: PipelineModel, requests: DataFrame, contract="post",
 
 def start_scoring(spark: SparkSession, model: PipelineModel, source: str, schema, sink: str, checkpoint: str,
                   contract="post", keep: Sequence[str] = ("product_id",), available_now: bool = True,
-                  processing_time: str | None = None) -> StreamingQuery:
-    """Read Parquet request files from ``source`` as a stream and append decisions to ``sink``."""
-    requests = spark.readStream.schema(schema).parquet(source)
+                  processing_time: str | None = None, max_files_per_trigger: int | None = None) -> StreamingQuery:
+    """Read Parquet request files from ``source`` as a stream and append decisions to ``sink``.
+
+    ``max_files_per_trigger`` bounds each micro-batch (backlogs are worked off in
+    several batches rather than one huge one).
+    """
+    reader = spark.readStream.schema(schema)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
+    requests = reader.parquet(source)
     out = score_stream(model, requests, contract, keep)
     w = (out.writeStream.format("parquet").option("path", sink)
          .option("checkpointLocation", checkpoint).outputMode("append"))

@@ -183,3 +183,17 @@ def test_population_std_scaling(spark):
     assert np.allclose(got[:, 2], 0.0)  # constant column -> 0
     codes = np.array([0, 1, 0, 1], dtype=float)
     assert np.allclose(got[:, 0], (codes - codes.mean()) / codes.std())
+
+
+def test_stream_in_several_micro_batches(spark, model, feats, tmp_path):
+    src, sink, ckpt = str(tmp_path / "src"), str(tmp_path / "sink"), str(tmp_path / "ckpt")
+    requests = C.conform(feats, "post").select("product_id", *[f.name for f in POST_CONTRACT.fields])
+    requests.repartition(3).write.parquet(src)
+    schema = spark.read.parquet(src).schema
+    q = start_scoring(spark, model, src, schema, sink, ckpt, max_files_per_trigger=1)
+    q.awaitTermination(180)
+    batches = [p for p in q.recentProgress if p["numInputRows"] > 0]
+    assert len(batches) >= 3
+    streamed = spark.read.parquet(sink).select("product_id", "probability").orderBy("product_id").collect()
+    batch = score_stream(model, spark.read.parquet(src)).select("product_id", "probability").orderBy("product_id").collect()
+    assert streamed == batch
