@@ -78,3 +78,34 @@ def test_grid_minimum_matches_pandas(make_catalog, rows):
     low = stacked[stacked == stacked.min()].index[0]
     w = E.grid_weakest(E.cross_grid(_frame(make_catalog, rows), "city", "category")).first()
     assert (w["min_row"], w["min_col"]) == low and abs(w["min_revenue"] - stacked.min()) < 1e-9
+
+
+MONTH_ROWS = st.lists(st.tuples(st.integers(min_value=1, max_value=6),      # month of 2023
+                                st.integers(min_value=1, max_value=30),     # price
+                                st.integers(min_value=1, max_value=5),      # units
+                                st.sampled_from(["A", "B", "C"]),           # category
+                                st.sampled_from([None, "Coupon", "Bundle"])),  # offer
+                      min_size=1, max_size=25)
+
+
+@settings(max_examples=8, deadline=None, derandomize=True)
+@given(MONTH_ROWS)
+def test_monthly_and_offer_takeaways_match_pandas(make_catalog, rows):
+    import datetime as dt
+    df = make_catalog([{"date_added": dt.datetime(2023, m, 1), "final_price": float(p), "sold_quantity": q,
+                        "category": c, "offer_type": o} for m, p, q, c, o in rows])
+    pdf = pd.DataFrame(rows, columns=["m", "p", "q", "c", "o"]).assign(
+        month=lambda d: d.m.map(lambda x: f"2023-{x:02d}"), rev=lambda d: d.p * d.q)
+    monthly = pdf.groupby("month").rev.sum().sort_index()
+    t = E.monthly_takeaway(E.monthly_trend(df)).first()
+    assert t["peak_month"] == monthly.idxmax() and t["low_month"] == monthly.idxmin()
+    assert t["trend"] == ("up" if monthly.iloc[-1] > monthly.iloc[0] else "down")
+    assert abs(t["avg_revenue"] - monthly.mean()) < 1e-9
+    cells = pdf.assign(o=pdf.o.fillna("No Offer")).groupby(["c", "o"]).q.mean()
+    o = E.offer_takeaway(E.offer_effect(df)).first()
+    best = cells[cells == cells.max()].sort_index().index[0]
+    worst = cells[cells == cells.min()].sort_index().index[0]
+    assert (o["best_category"], o["best_offer_cell"]) == best
+    assert (o["worst_category"], o["worst_offer_cell"]) == worst
+    by_offer = cells.groupby(level=1).mean()
+    assert o["best_offer"] == by_offer[by_offer == by_offer.max()].sort_index().index[0]
