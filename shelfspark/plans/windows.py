@@ -1,9 +1,12 @@
 """Order-dependent window plans that scale past one task.
 
 A window with no PARTITION BY (or one partitioned by a hot key) sends every row
-to a single task. The plans here split the global order into range slices,
-compute the window inside each slice in parallel, and stitch slices together
-with a small per-slice table whose size is bounded by the number of slices.
+to a single task. ``running_sums`` splits the global order into slices (sampled
+ranges, or a hash prefix when rows are ordered by a hash), computes the window
+inside each slice in parallel, and stitches slices together with a small
+per-slice table whose size is bounded by the number of slices. ``next_row``
+windows per (key, position bucket) and solves the bucket boundaries the same
+way, recursively.
 """
 
 from __future__ import annotations
