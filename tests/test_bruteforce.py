@@ -109,3 +109,22 @@ def test_monthly_and_offer_takeaways_match_pandas(make_catalog, rows):
     assert (o["worst_category"], o["worst_offer_cell"]) == worst
     by_offer = cells.groupby(level=1).mean()
     assert o["best_offer"] == by_offer[by_offer == by_offer.max()].sort_index().index[0]
+
+
+@settings(max_examples=6, deadline=None, derandomize=True)
+@given(st.lists(st.tuples(st.floats(min_value=-1e3, max_value=1e3, allow_nan=False, allow_infinity=False),
+                          st.integers(min_value=0, max_value=7)), min_size=2, max_size=40))
+def test_describe_matches_pandas(spark, rows):
+    from shelfspark.operators.profile import describe_numeric
+    pdf = pd.DataFrame(rows, columns=["x", "k"]).astype({"x": float, "k": "int64"})
+    df = spark.createDataFrame(pdf.assign(x=pdf.x.where(pdf.index != 0, np.nan)))  # one NaN: skipped
+    got = {r["column"]: r for r in describe_numeric(df, ["x", "k"]).collect()}
+    ref = pdf.assign(x=pdf.x.where(pdf.index != 0, np.nan)).describe()
+    for c in ("x", "k"):
+        for ours, theirs in (("count", "count"), ("mean", "mean"), ("std", "std"), ("min", "min"),
+                             ("q25", "25%"), ("q50", "50%"), ("q75", "75%"), ("max", "max")):
+            a, b = got[c][ours], ref[c][theirs]
+            if b != b:  # NaN in pandas (e.g. std of one value)
+                assert a is None
+            else:
+                assert abs(float(a) - float(b)) <= 1e-9 * max(1.0, abs(float(b))), (c, ours, a, b)
