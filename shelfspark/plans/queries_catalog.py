@@ -447,6 +447,14 @@ def q_units_by_offer(spark, sf):
     return Q.units_by_offer(cat(spark, sf, "offer_type", "sold_quantity"))
 
 
+@register("units_by_offer_raw", with_catalog(""", u AS (SELECT offer_type, CAST(sum(sold_quantity) AS BIGINT) AS units
+  FROM prep WHERE offer_type IS NOT NULL GROUP BY offer_type)
+SELECT *, offer_type = (SELECT offer_type FROM u ORDER BY units DESC, offer_type LIMIT 1) AS is_leader FROM u"""))
+def q_units_by_offer_raw(spark, sf):
+    # as the saved answer computed it: on the raw table, so rows without an offer are dropped
+    return Q.units_by_offer(cat(spark, sf, "offer_type", "sold_quantity"), fill=False)
+
+
 @register("daily_units_top_city", with_catalog(LEAD_CITY_SQL + """
 SELECT date_added, CAST(sum(sold_quantity) AS BIGINT) AS units FROM prep
 WHERE city = (SELECT city FROM lc) AND date_added IS NOT NULL GROUP BY date_added"""))
