@@ -128,3 +128,20 @@ def test_describe_matches_pandas(spark, rows):
                 assert a is None
             else:
                 assert abs(float(a) - float(b)) <= 1e-9 * max(1.0, abs(float(b))), (c, ours, a, b)
+
+
+@settings(max_examples=8, deadline=None, derandomize=True)
+@given(ROWS)
+def test_delivery_and_rating_takeaways_match_pandas(make_catalog, rows):
+    pdf = _pdf(rows)
+    df = _frame(make_catalog, rows)
+    ot = pdf.groupby("city").on_time.mean() * 100
+    d = E.delivery_takeaway(E.delivery_by_city(df)).first()
+    assert d["best"] == ot[ot == ot.max()].sort_index().index[0]
+    assert d["worst"] == ot[ot == ot.min()].sort_index().index[0]
+    assert d["n_below_70"] == int((ot < 70).sum())
+    rt = pdf.groupby("key").rating.mean()
+    r = E.rating_takeaway(E.rating_by(df, "category")).first()
+    assert r["best"] == rt[rt == rt.max()].sort_index().index[0]
+    assert r["worst"] == rt[rt == rt.min()].sort_index().index[0]
+    assert abs(r["overall_avg"] - rt.mean()) < 1e-9 and r["n_low"] == int((rt < 3.5).sum())
