@@ -145,3 +145,20 @@ def test_delivery_and_rating_takeaways_match_pandas(make_catalog, rows):
     assert r["best"] == rt[rt == rt.max()].sort_index().index[0]
     assert r["worst"] == rt[rt == rt.min()].sort_index().index[0]
     assert abs(r["overall_avg"] - rt.mean()) < 1e-9 and r["n_low"] == int((rt < 3.5).sum())
+
+
+@settings(max_examples=8, deadline=None, derandomize=True)
+@given(ROWS)
+def test_city_and_stock_takeaways_match_pandas(make_catalog, rows):
+    pdf = _pdf(rows).assign(rev=lambda d: d.price * d.units)
+    df = _frame(make_catalog, rows)
+    city = pdf.groupby("city").rev.sum()
+    t = E.city_takeaway(E.city_revenue(df)).first()
+    top2 = city.reset_index().sort_values(["rev", "city"], ascending=[False, True]).rev.head(2).sum()
+    assert abs(t["top2_share_pct"] - top2 / city.sum() * 100) < 1e-9
+    assert t["n_below_avg"] == int((city < city.mean()).sum())
+    g = pdf.groupby("key").agg(sold=("units", "sum"), stock=("stock", "sum"))
+    ratio = g.sold / (g.stock + 1)
+    s = E.sold_vs_stock_takeaway(E.sold_vs_stock(df)).first()
+    assert s["at_risk"] == ratio[ratio == ratio.max()].sort_index().index[0]
+    assert s["overstocked"] == ratio[ratio == ratio.min()].sort_index().index[0]
