@@ -162,3 +162,24 @@ def test_city_and_stock_takeaways_match_pandas(make_catalog, rows):
     s = E.sold_vs_stock_takeaway(E.sold_vs_stock(df)).first()
     assert s["at_risk"] == ratio[ratio == ratio.max()].sort_index().index[0]
     assert s["overstocked"] == ratio[ratio == ratio.min()].sort_index().index[0]
+
+
+@settings(max_examples=8, deadline=None, derandomize=True)
+@given(st.lists(st.tuples(st.sampled_from(["X", "Y", "Z", "W"]), st.integers(min_value=10, max_value=59),
+                          st.sampled_from([3.0, 3.5, 4.0, 4.5])), min_size=3, max_size=25))
+def test_speed_fit_matches_numpy(make_catalog, rows):
+    df = make_catalog([{"city": c, "delivery_time_min": t, "rating": r} for c, t, r in rows])
+    pdf = pd.DataFrame(rows, columns=["city", "t", "r"])
+    pts = pdf.groupby("city").agg(x=("t", "mean"), y=("r", "mean"))
+    fit = E.linear_fit(E.speed_vs_rating(df)).first()
+    if len(pts) < 2 or pts.x.nunique() < 2:
+        assert fit["slope"] is None
+        return
+    slope, intercept = np.polyfit(pts.x, pts.y, 1)
+    assert abs(fit["slope"] - slope) < 1e-9 and abs(fit["intercept"] - intercept) < 1e-9
+    if pts.y.nunique() > 1:
+        r = np.corrcoef(pts.x, pts.y)[0, 1]
+        t = E.speed_takeaway(E.speed_vs_rating(df)).first()
+        assert abs(fit["r"] - r) < 1e-9 and abs(t["r"] - r) < 1e-9
+        assert t["fastest"] == pts.x[pts.x == pts.x.min()].sort_index().index[0]
+        assert t["slowest"] == pts.x[pts.x == pts.x.max()].sort_index().index[-1]
