@@ -183,3 +183,18 @@ def test_speed_fit_matches_numpy(make_catalog, rows):
         assert abs(fit["r"] - r) < 1e-9 and abs(t["r"] - r) < 1e-9
         assert t["fastest"] == pts.x[pts.x == pts.x.min()].sort_index().index[0]
         assert t["slowest"] == pts.x[pts.x == pts.x.max()].sort_index().index[-1]
+
+
+@settings(max_examples=8, deadline=None, derandomize=True)
+@given(ROWS)
+def test_pareto_takeaway_matches_pandas(make_catalog, rows):
+    pdf = _pdf(rows)
+    rev = (pdf.assign(r=pdf.price * pdf.units).groupby("key").r.sum().reset_index()
+           .sort_values(["r", "key"], ascending=[False, True]).reset_index(drop=True))
+    total = rev.r.sum()
+    idx_80 = int((rev.r.cumsum() / total * 100 <= 80).sum())
+    t = E.pareto_takeaway(E.pareto(_frame(make_catalog, rows))).first()
+    assert t["n_head"] == min(idx_80 + 1, len(rev)) and t["n_total"] == len(rev)
+    assert t["top_key"] == rev.key[0]
+    assert abs(t["top_share_pct"] - rev.r[0] / total * 100) < 1e-9
+    assert abs(t["top3_share_pct"] - rev.r[:3].sum() / total * 100) < 1e-9
