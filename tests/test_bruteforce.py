@@ -198,3 +198,15 @@ def test_pareto_takeaway_matches_pandas(make_catalog, rows):
     assert t["top_key"] == rev.key[0]
     assert abs(t["top_share_pct"] - rev.r[0] / total * 100) < 1e-9
     assert abs(t["top3_share_pct"] - rev.r[:3].sum() / total * 100) < 1e-9
+
+
+@settings(max_examples=8, deadline=None, derandomize=True)
+@given(ROWS)
+def test_kpi_extremes_match_pandas(make_catalog, rows):
+    from shelfspark.operators import kpi as D
+    pdf = _pdf(rows).assign(rev=lambda d: d.price * d.units)
+    got = {r["dimension"]: r for r in D.kpi_extremes(_frame(make_catalog, rows), ["city", "seller"]).collect()}
+    for dim, col in (("city", "city"), ("seller", "key")):
+        s = pdf.groupby(col).rev.sum()  # sorted keys: idxmax / idxmin take the first on ties
+        assert got[dim]["top_name"] == s.idxmax() and got[dim]["bottom_name"] == s.idxmin()
+        assert abs(got[dim]["top_revenue"] - s.max()) < 1e-9 and abs(got[dim]["bottom_revenue"] - s.min()) < 1e-9
