@@ -210,3 +210,23 @@ def test_kpi_extremes_match_pandas(make_catalog, rows):
         s = pdf.groupby(col).rev.sum()  # sorted keys: idxmax / idxmin take the first on ties
         assert got[dim]["top_name"] == s.idxmax() and got[dim]["bottom_name"] == s.idxmin()
         assert abs(got[dim]["top_revenue"] - s.max()) < 1e-9 and abs(got[dim]["bottom_revenue"] - s.min()) < 1e-9
+
+
+@settings(max_examples=8, deadline=None, derandomize=True)
+@given(ROWS)
+def test_questions_match_pandas(make_catalog, rows):
+    from shelfspark.operators import questions as Q
+    pdf = _pdf(rows)
+    df = _frame(make_catalog, rows)
+    total = pdf.groupby("key").size()
+    delayed = pdf[~pdf.on_time].groupby("key").size().reindex(total.index, fill_value=0)
+    got = {r["seller"]: r for r in Q.delayed_share_by(df, "seller").collect()}
+    for k in total.index:
+        assert got[k]["total_orders"] == total[k] and got[k]["delayed_orders"] == delayed[k]
+        assert abs(got[k]["delayed_pct"] - delayed[k] / total[k] * 100) < 1e-9
+    city = pdf.groupby("city").units.sum()
+    lead = city.idxmax()
+    cat = pdf[pdf.city == lead].groupby("key").units.sum()
+    r = Q.leader_then_leader(df, "city", "category").first()
+    assert (r["city"], r["category"]) == (lead, cat.idxmax())
+    assert r["city_sold_quantity"] == city.max() and r["category_sold_quantity"] == cat.max()
