@@ -52,3 +52,12 @@ def test_name_list_caps_display_only(cat):
     r = D.name_list(cat, "seller", 9).first()
     n = cat.select("seller").distinct().count()
     assert r["n_shown"] == min(9, n) and r["n_more"] == max(n - 9, 0)
+
+
+def test_histogram_and_class_distribution_totals(cat):
+    from shelfspark.operators import profile as B
+    h = B.histogram(cat, "final_price", 30).orderBy("bin").collect()
+    assert len(h) == 30 and sum(r["n"] for r in h) == cat.where(F.col("final_price").isNotNull()).count()
+    assert all(a["bin_hi"] <= b["bin_lo"] + 1e-9 for a, b in zip(h, h[1:]))
+    d = B.class_distribution(cat).collect()
+    assert sum(r["n"] for r in d) == cat.count() and abs(sum(r["pct"] for r in d) - 100.0) < 1e-9
