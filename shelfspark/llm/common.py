@@ -26,12 +26,11 @@ def pinned(df: DataFrame) -> DataFrame:
 
 def words(text: Column) -> Column:
     """Words of a text (runs of anything but ``WHITE``); null gives an empty array."""
-    one_space = F.translate(F.coalesce(text, F.lit("")), WHITE[1:], " " * (len(WHITE) - 1))
-    return F.filter(F.split(one_space, " "), lambda w: w != "")
+    return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
 def has_word(text: Column) -> Column:
-    return F.translate(text, WHITE, "") != ""
+    return text.rlike(r"[^\x20\x09-\x0D]")
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 8 << 20,

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfspark.llm import sharding, simhash
+from shelfspark.llm import quality_lines, secrets_scan, sharding, simhash
 from shelfspark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,3 +26,16 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op9_byte_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(table(spark, sf_dir, "documents"), 40)
+
+
+@_query
+def op8_line_first_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_lines.judge(table(spark, sf_dir, "documents")).drop("clean_text")
+
+
+ORACLES["op8_line_first_quality"] = quality_lines.JUDGE_SQL
+
+
+@_query
+def op10_token_efficiency_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets_scan.scan(table(spark, sf_dir, "documents"))
