@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfspark.llm import quality_lines, secrets_scan, sharding, simhash
+from shelfspark.llm import quality_lines, secrets_scan, sentencepiece_codec, sharding, simhash
 from shelfspark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,3 +39,8 @@ ORACLES["op8_line_first_quality"] = quality_lines.JUDGE_SQL
 @_query
 def op10_token_efficiency_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets_scan.scan(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.round_trip(table(spark, sf_dir, "documents"))
