@@ -75,6 +75,10 @@ class Vocabulary:
     check: np.ndarray
     value: np.ndarray
 
+    def plain(self) -> tuple:
+        """The fields, for a broadcast: workers need not have this class; ``Vocabulary(*plain)``."""
+        return self.pieces, self.scores, self.byte_ids, self.base, self.check, self.value
+
     @property
     def unknown(self) -> int:
         """Number of unknown edges in lattices; no piece has it."""

@@ -89,13 +89,14 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
     Null text: null ids and log_prob. Empty text: no ids, log_prob 0. Rows are encoded by
     themselves: repeated rows repeat, null ids stay, other columns are not read.
     """
-    vocab = docs.sparkSession.sparkContext.broadcast(load_vocabulary(vocabulary))
+    vocab = docs.sparkSession.sparkContext.broadcast(load_vocabulary(vocabulary).plain())
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Vocabulary(*vocab.value)
         for b in slices(batches, "text", 16 << 20):
             texts = b.column("text").to_pylist()
-            ids, to, score = encode_texts(vocab.value, texts)
+            ids, to, score = encode_texts(own, texts)
             null = np.array([t is None for t in texts])
             offsets = pa.array(to.astype(np.int32), pa.int32(), mask=np.append(null, False))
             yield pa.RecordBatch.from_arrays(
