@@ -48,7 +48,7 @@ def word_log_probs(vocab: Vocabulary, ws: list[bytes], log_p: np.ndarray) -> np.
     ``log_p``: (pieces + 1, languages), the last row being an unknown character's.
     """
     out = np.empty((len(ws), log_p.shape[1]))
-    for at in by_length(ws, max(1 << 16, (8 << 20) // log_p.shape[1])):
+    for at in by_length(ws, max(1 << 14, (2 << 20) // log_p.shape[1])):
         part = [ws[i] for i in at.tolist()]
         size = np.fromiter(map(len, part), np.int64, len(part))
         lat = Lattice(vocab, part)

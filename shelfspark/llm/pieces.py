@@ -252,7 +252,7 @@ class Lattice:
         return beta
 
 
-def by_length(ws: list[bytes], max_bytes: int = 4 << 20) -> list[np.ndarray]:
+def by_length(ws: list[bytes], max_bytes: int = 1 << 19) -> list[np.ndarray]:
     """Positions of ``ws`` in groups of similar length and bounded total bytes, so that one
     long word doesn't stretch the recursions of many short ones."""
     size = np.fromiter(map(len, ws), np.int64, len(ws))

@@ -94,7 +94,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Vocabulary(*vocab.value)
-        for b in slices(batches, "text", 16 << 20):
+        for b in slices(batches, "text", 8 << 20):
             texts = b.column("text").to_pylist()
             ids, to, score = encode_texts(own, texts)
             null = np.array([t is None for t in texts])
