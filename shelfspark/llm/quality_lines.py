@@ -121,9 +121,12 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules
             F.array_join(F.transform(F.filter("__lines", lambda x: ~line_fails(x, rules)), lambda x: x["line"]), "\n")),
     })
     kept = ~F.col("base_failed") & (100 * F.col("lost_chars") <= rules.max_lost_percent * F.col("word_chars"))
-    return df.select(F.col("__id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-                     "base_failed", kept.alias("kept"), "n_lines", "n_failed_lines", "lost_chars", "clean_text",
-                     *[F.col(f"__keep{i}").alias(f"kept_{c}") for i, c in enumerate(keep)])
+    row = F.struct(F.col("__id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                   "base_failed", kept.alias("kept"), "n_lines", "n_failed_lines", "lost_chars", "clean_text",
+                   *[F.col(f"__keep{i}").alias(f"kept_{c}") for i, c in enumerate(keep)])
+    # a one-element explosion: a later filter on a verdict must not be pushed below the
+    # array steps, where it would compute them anew for every element
+    return df.select(F.inline(F.array(row)))
 
 
 #: DuckDB text of ``judge`` with the default rules over ``documents``.
