@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from shelfspark.llm import decontaminate, language_id, line_dedup, quality_lines, secrets_scan, sentencepiece_codec, sharding, simhash
+from shelfspark.llm import decontaminate, language_id, line_dedup, quality_lines, quotes, secrets_scan, sentencepiece_codec, sharding, simhash, url_filter
 from shelfspark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,3 +60,31 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@_query
+def op4_url_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(table(spark, sf_dir, "pages"))
+
+
+@_query
+def op6_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.link_quotes(table(spark, sf_dir, "conversations"))
+
+
+@_query
+def quoted_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quotation linking on messages that quote the turn before them, derived from ``conversations``."""
+    chat = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    quote = F.regexp_replace(F.concat(F.lit("\n"), before), "\n", "\n> ")
+    return quotes.link_quotes(chat.withColumn("text", F.when(before.isNotNull(), F.concat(F.lit("On Monday, they wrote:"), quote, F.lit("\n\n"), "text"))
+                                              .otherwise(F.col("text"))))
+
+
+_OWN = r"regexp_replace(text, '^[\x20\t\n\x0b\f\r]+|[\x20\t\n\x0b\f\r]+$', '', 'g')"
+ORACLES["op6_quotation_linking"] = f"""
+SELECT conv_id, turn, role, {_OWN} AS body, NULL::BIGINT AS parent_turn, turn AS root_turn, 0::BIGINT AS depth,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS position
+FROM conversations
+"""
