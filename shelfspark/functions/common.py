@@ -60,8 +60,21 @@ def money_decimal(c) -> Column:
 
 
 def exact_sum(c) -> Column:
-    """Aggregate: exact (decimal) sum of a money column, returned as double."""
-    return F.sum(money_decimal(c)).cast("double")
+    """Aggregate: exact (decimal) sum of a money column, returned as double; 0 if all are null."""
+    return F.coalesce(F.sum(money_decimal(c)), F.lit(0)).cast("double")
+
+
+def unit_sum(c) -> Column:
+    """Aggregate: sum of a whole-number column as bigint; 0 if all are null."""
+    return F.coalesce(F.sum(col(c)), F.lit(0)).cast("bigint")
+
+
+def names_where(cond: Column, key) -> Column:
+    """Aggregate: the sorted keys for which ``cond`` holds, comma-joined ('' if none).
+
+    For takeaways over one row per group; the text grows with the number of groups named.
+    """
+    return F.array_join(F.sort_array(F.collect_list(F.when(cond, col(key)))), ", ")
 
 
 def best_key(value, key, highest: bool = True) -> Column:
@@ -69,9 +82,10 @@ def best_key(value, key, highest: bool = True) -> Column:
 
     Returns a struct ``(v, k)``; ``v`` is negated for ``highest`` so a single
     ``min`` decides both value and tie-break. Runs as a partial + final aggregate.
+    Keys whose value is null take no part; without any value the result is null.
     """
     v = col(value)
-    return F.min(F.struct((-v if highest else v).alias("v"), col(key).alias("k")))
+    return F.min(F.when(v.isNotNull(), F.struct((-v if highest else v).alias("v"), col(key).alias("k"))))
 
 
 def unpack_best(s: Column, highest: bool = True) -> tuple[Column, Column]:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfspark.functions.common import (
-    band, best_key, exact_sum, money_decimal, pct_true, safe_div, unpack_best,
+    band, best_key, exact_sum, money_decimal, names_where, pct_true, safe_div, unit_sum, unpack_best,
 )
 from shelfspark.functions.features import offer_filled, revenue
 from shelfspark.plans.grid import complete_grid, wide_grid
@@ -39,7 +39,7 @@ def _keyed(df: DataFrame, *keys: str) -> DataFrame:
 
 def _resum(c: str) -> Column:
     """Exact re-sum of a double that already holds a 4-decimal exact sum."""
-    return F.sum(F.col(c).cast("decimal(38,4)")).cast("double")
+    return F.coalesce(F.sum(F.col(c).cast("decimal(38,4)")), F.lit(0)).cast("double")
 
 
 # ---------------------------------------------------------------- E1, E2
@@ -48,7 +48,7 @@ def monthly_trend(df: DataFrame) -> DataFrame:
     return (df.where(F.col("date_added").isNotNull())
             .groupBy(F.date_format("date_added", "yyyy-MM").alias("month"))
             .agg(exact_sum(revenue()).alias("revenue"),
-                 F.sum("sold_quantity").cast("bigint").alias("units")))
+                 unit_sum("sold_quantity").alias("units")))
 
 
 def monthly_takeaway(monthly: DataFrame) -> DataFrame:
@@ -76,7 +76,7 @@ def revenue_by(df: DataFrame, dim: str) -> DataFrame:
     """Revenue and units per ``dim``."""
     return (_keyed(df, dim).groupBy(dim)
             .agg(exact_sum(revenue()).alias("revenue"),
-                 F.sum("sold_quantity").cast("bigint").alias("units")))
+                 unit_sum("sold_quantity").alias("units")))
 
 
 def revenue_by_takeaway(table: DataFrame, dim: str) -> DataFrame:
@@ -97,14 +97,15 @@ def city_revenue(df: DataFrame, dim: str = "city") -> DataFrame:
 
 
 def city_takeaway(table: DataFrame, dim: str = "city") -> DataFrame:
-    """Mean city revenue, number below it, share of the top two cities."""
+    """Mean city revenue, cities below it (number and names), share of the top two."""
     top2 = table.orderBy(F.col("revenue").desc(), F.col(dim).asc()).limit(2)
     top2_sum = top2.agg(_resum("revenue")).scalar()
     return table.agg(
         F.avg("revenue").alias("avg_revenue"),
         F.count_if(F.col("below_avg")).alias("n_below_avg"),
+        names_where(F.col("below_avg"), dim).alias("below_avg_names"),
         _resum("revenue").alias("total_revenue"),
-    ).select("avg_revenue", "n_below_avg",
+    ).select("avg_revenue", "n_below_avg", "below_avg_names",
              (safe_div(top2_sum, F.col("total_revenue")) * 100).alias("top2_share_pct"))
 
 
@@ -115,7 +116,7 @@ def pareto(df: DataFrame, dim: str = "brand", cut: float = PARETO_CUT) -> DataFr
 
     The running sum is distributed (range slices + per-slice offsets) and exact.
     """
-    g = _keyed(df, dim).groupBy(dim).agg(F.sum(money_decimal(revenue())).alias("_rev"))
+    g = _keyed(df, dim).groupBy(dim).agg(F.coalesce(F.sum(money_decimal(revenue())), F.lit(0)).alias("_rev"))
     order = [F.col("_rev").desc(), F.col(dim).asc()]
     ranked = running_sums(g, {"_cum": "_rev", "_pos": F.lit(1).cast("bigint")}, order)
     total = ranked.agg(F.sum("_rev")).scalar()  # read from the checkpointed rows, no second scan
@@ -196,14 +197,15 @@ def delivery_by_city(df: DataFrame, dim: str = "city") -> DataFrame:
 
 
 def delivery_takeaway(table: DataFrame, dim: str = "city") -> DataFrame:
-    """Best and worst key by on-time %, number below the first band cut."""
+    """Best and worst key by on-time %, keys below the first band cut (number and names)."""
     r = table.agg(best_key("on_time_pct", dim, True).alias("b"),
                   best_key("on_time_pct", dim, False).alias("w"),
-                  F.count_if(F.col("on_time_pct") < DELIVERY_BANDS[0][0]).alias("n_below_70"))
+                  F.count_if(F.col("on_time_pct") < DELIVERY_BANDS[0][0]).alias("n_below_70"),
+                  names_where(F.col("on_time_pct") < DELIVERY_BANDS[0][0], dim).alias("below_70_names"))
     bk, bv = unpack_best(F.col("b"), True)
     wk, wv = unpack_best(F.col("w"), False)
     return r.select(bk.alias("best"), bv.alias("best_on_time_pct"), wk.alias("worst"),
-                    wv.alias("worst_on_time_pct"), "n_below_70")
+                    wv.alias("worst_on_time_pct"), "n_below_70", "below_70_names")
 
 
 # ---------------------------------------------------------------- E10, E11
@@ -244,6 +246,13 @@ def discount_margin(df: DataFrame, dim: str = "category") -> DataFrame:
     return m.withColumn("zone", zone).withColumn("zone_rank", F.row_number().over(w))
 
 
+def discount_takeaway(table: DataFrame, dim: str = "category") -> DataFrame:
+    """Names in the leakage zone (by revenue, highest first) and in the safe zone (by name)."""
+    leak = F.when(F.col("zone") == "leakage", F.struct((-F.col("total_revenue")).alias("v"), F.col(dim).alias("k")))
+    return table.agg(F.array_join(F.sort_array(F.collect_list(leak))["k"], ", ").alias("leakage_names"),
+                     names_where(F.col("zone") == "safe", dim).alias("safe_names"))
+
+
 # ---------------------------------------------------------------- E12
 def offer_effect(df: DataFrame) -> DataFrame:
     """Mean units per (category, offer type); missing offers count as 'No Offer'."""
@@ -278,15 +287,16 @@ def rating_by(df: DataFrame, dim: str = "category", with_on_time: bool = False)
 
 
 def rating_takeaway(table: DataFrame, dim: str = "category") -> DataFrame:
-    """Best and worst group, unweighted mean of group means, groups below 3.5."""
+    """Best and worst group, unweighted mean of group means, groups below 3.5 (number and names)."""
     r = table.agg(best_key("avg_rating", dim, True).alias("b"),
                   best_key("avg_rating", dim, False).alias("w"),
                   F.avg("avg_rating").alias("overall_avg"),
-                  F.count_if(F.col("avg_rating") < RATING_BANDS[0][0]).alias("n_low"))
+                  F.count_if(F.col("avg_rating") < RATING_BANDS[0][0]).alias("n_low"),
+                  names_where(F.col("avg_rating") < RATING_BANDS[0][0], dim).alias("low_names"))
     bk, bv = unpack_best(F.col("b"), True)
     wk, wv = unpack_best(F.col("w"), False)
     return r.select(bk.alias("best"), bv.alias("best_rating"), wk.alias("worst"),
-                    wv.alias("worst_rating"), "overall_avg", "n_low")
+                    wv.alias("worst_rating"), "overall_avg", "n_low", "low_names")
 
 
 # ---------------------------------------------------------------- E14-E16
@@ -383,8 +393,8 @@ def scorecard_takeaway(card: DataFrame, dim: str = "seller") -> DataFrame:
 def sold_vs_stock(df: DataFrame, dim: str = "category") -> DataFrame:
     """Units sold vs stock per group with sold / (stock + 1)."""
     return (_keyed(df, dim).groupBy(dim)
-            .agg(F.sum("sold_quantity").cast("bigint").alias("total_sold"),
-                 F.sum("stock").cast("bigint").alias("total_stock"))
+            .agg(unit_sum("sold_quantity").alias("total_sold"),
+                 unit_sum("stock").alias("total_stock"))
             .withColumn("sold_to_stock", safe_div(F.col("total_sold"), F.col("total_stock") + 1)))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.functions.common import best_key, exact_sum, money_decimal, pct_true, unpack_best
+from shelfspark.functions.common import best_key, exact_sum, money_decimal, pct_true, unit_sum, unpack_best
 from shelfspark.functions.features import offer_filled, revenue
 
 
@@ -38,7 +38,7 @@ def kpi_totals(df: DataFrame) -> DataFrame:
     on_time = pct_true(F.col("delivery_status") == "On-Time")
     return df.agg(
         exact_sum(revenue()).alias("total_revenue"),
-        F.sum("sold_quantity").cast("bigint").alias("total_units"),
+        unit_sum("sold_quantity").alias("total_units"),
         F.avg("rating").alias("avg_rating"),
         on_time.alias("on_time_pct"),
     ).withColumn("delayed_pct", F.lit(100.0) - F.col("on_time_pct"))
@@ -53,7 +53,7 @@ def kpi_extremes(df: DataFrame, dims: Sequence[str] = ("city", "seller")) -> Dat
     partial aggregate), then one aggregate picks the extremes per dimension.
     """
     dims = list(dims)
-    rev = F.sum(money_decimal(revenue())).alias("_rev")
+    rev = F.coalesce(F.sum(money_decimal(revenue())), F.lit(0)).alias("_rev")
     g = df.groupingSets([[d] for d in dims], *dims).agg(rev, *[F.grouping(d).alias(f"_g_{d}") for d in dims])
     which = None
     key = None

@@ -143,9 +143,10 @@ def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
 
 
 def with_class_weights(df: DataFrame, label: str = "label", out: str = "weight") -> DataFrame:
-    """H6: attach the class weight to every row (broadcast: one row per class)."""
+    """H6: attach the class weight to every row (broadcast: one row per class); rows without
+    a label stay, without a weight."""
     w = class_weights(df, label).select(label, F.col("weight").alias(out))
-    return df.join(F.broadcast(w), label)
+    return df.join(F.broadcast(w), label, "left")
 
 
 def assign_folds(df: DataFrame, label: str = "label", key: str = "product_id", k: int = FOLDS,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.functions.common import best_key, exact_sum, unpack_best
+from shelfspark.functions.common import best_key, exact_sum, unit_sum, unpack_best
 from shelfspark.functions.features import offer_filled, revenue
 from shelfspark.plans.reuse import materialize_small
 
@@ -36,13 +36,13 @@ def unit_cells(df: DataFrame, *keys: str, measure: str = "sold_quantity") -> Dat
     Questions that first find a leading key and then look inside it (F2, F4) run on
     these cells, so the catalogue is scanned once instead of once per step.
     """
-    return materialize_small(df.groupBy(*keys).agg(F.sum(measure).cast("bigint").alias(measure)))
+    return materialize_small(df.groupBy(*keys).agg(unit_sum(measure).alias(measure)))
 
 
 def leader(df: DataFrame, dim: str, measure: str = "sold_quantity"):
     """Scalar struct ``(v, k)`` of the ``dim`` key with the largest ``measure`` total
     (see ``best_key``); usable in any expression as a scalar subquery."""
-    return (df.where(F.col(dim).isNotNull()).groupBy(dim).agg(F.sum(measure).alias("m"))
+    return (df.where(F.col(dim).isNotNull()).groupBy(dim).agg(unit_sum(measure).alias("m"))
             .agg(best_key("m", dim, True).alias("b")).select("b").scalar())
 
 
@@ -51,7 +51,7 @@ def leader_then_leader(df: DataFrame, outer: str = "city", inner: str = "categor
     """the ``outer`` key with the largest total, then its leading ``inner`` key."""
     lead_key, lead_val = unpack_best(leader(df, outer, measure), True)
     i = (df.where(F.col(outer) == lead_key).where(F.col(inner).isNotNull())
-         .groupBy(inner).agg(F.sum(measure).alias("m"))
+         .groupBy(inner).agg(unit_sum(measure).alias("m"))
          .agg(best_key("m", inner, True).alias("b")))
     ik, iv = unpack_best(F.col("b"), True)
     return i.select(lead_key.alias(outer), lead_val.cast("bigint").alias(f"{outer}_{measure}"),
@@ -62,7 +62,7 @@ def units_by_offer(df: DataFrame, fill: bool = True) -> DataFrame:
     """units per offer type (missing offers -> 'No Offer' unless ``fill`` is off,
     then they are dropped) with the leading offer flagged."""
     base = df.withColumn("offer_type", offer_filled()) if fill else df.where(F.col("offer_type").isNotNull())
-    t = base.groupBy("offer_type").agg(F.sum("sold_quantity").cast("bigint").alias("units"))
+    t = base.groupBy("offer_type").agg(unit_sum("sold_quantity").alias("units"))
     lead = t.agg(best_key("units", "offer_type", True).alias("b")).select("b.k").scalar()
     return t.withColumn("is_leader", F.col("offer_type") == lead)
 
@@ -71,7 +71,7 @@ def daily_units(df: DataFrame, city) -> DataFrame:
     """units per ``date_added`` for one city (a name, or a scalar Column)."""
     c = city if not isinstance(city, str) else F.lit(city)
     return (df.where((F.col("city") == c) & F.col("date_added").isNotNull())
-            .groupBy("date_added").agg(F.sum("sold_quantity").cast("bigint").alias("units")))
+            .groupBy("date_added").agg(unit_sum("sold_quantity").alias("units")))
 
 
 def top_revenue(df: DataFrame, dim: str = "seller") -> DataFrame:
@@ -103,4 +103,4 @@ def top_products(df: DataFrame, n: int = 10, measure: str = "sold_quantity", key
 def units_by(df: DataFrame, dim: str = "city") -> DataFrame:
     """units per key."""
     return (df.where(F.col(dim).isNotNull()).groupBy(dim)
-            .agg(F.sum("sold_quantity").cast("bigint").alias("units")))
+            .agg(unit_sum("sold_quantity").alias("units")))

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
 
+from pyspark.sql import functions as F
+
+from shelfspark.functions.features import offer_filled
 from shelfspark.operators import insights as E
 from shelfspark.operators import kpi as D
 from shelfspark.operators import questions as Q
@@ -162,6 +166,7 @@ def q_city_revenue(spark, sf):
 
 @register("city_takeaway", with_catalog(CITY_SQL + """
 SELECT avg(revenue) AS avg_revenue, CAST(count_if(below_avg) AS BIGINT) AS n_below_avg,
+  coalesce(string_agg(city, ', ' ORDER BY city) FILTER (WHERE below_avg), '') AS below_avg_names,
   CAST((SELECT sum(CAST(revenue AS DECIMAL(38,4))) FROM (SELECT revenue FROM c ORDER BY revenue DESC, city LIMIT 2)) AS DOUBLE)
   / CAST(sum(CAST(revenue AS DECIMAL(38,4))) AS DOUBLE) * 100 AS top2_share_pct
 FROM c"""), rounded=["avg_revenue", "top2_share_pct"])
@@ -221,7 +226,8 @@ SELECT (SELECT city FROM db ORDER BY on_time_pct DESC, city LIMIT 1) AS best,
   (SELECT max(on_time_pct) FROM db) AS best_on_time_pct,
   (SELECT city FROM db ORDER BY on_time_pct, city LIMIT 1) AS worst,
   (SELECT min(on_time_pct) FROM db) AS worst_on_time_pct,
-  CAST((SELECT count_if(on_time_pct < 70) FROM db) AS BIGINT) AS n_below_70"""), rounded=["best_on_time_pct", "worst_on_time_pct"])
+  CAST((SELECT count_if(on_time_pct < 70) FROM db) AS BIGINT) AS n_below_70,
+  coalesce((SELECT string_agg(city, ', ' ORDER BY city) FROM db WHERE on_time_pct < 70), '') AS below_70_names"""), rounded=["best_on_time_pct", "worst_on_time_pct"])
 def q_delivery_takeaway(spark, sf):
     return E.delivery_takeaway(E.delivery_by_city(cat(spark, sf, "city", "delivery_status", "delivery_time_min")))
 
@@ -248,19 +254,29 @@ def q_quadrant_counts(spark, sf):
 
 
 # ------------------------------------------------------------------ E11
-@register("discount_margin", with_catalog(""", m AS (SELECT category, avg(discount_pct) AS avg_discount,
+ZONE_SQL = """, m AS (SELECT category, avg(discount_pct) AS avg_discount,
   avg(profit_margin_pct) AS avg_margin, CAST(sum(rev4) AS DOUBLE) AS total_revenue
   FROM prep WHERE category IS NOT NULL GROUP BY category),
 med AS (SELECT median(avg_discount) AS d, median(avg_margin) AS mm FROM m)
 , z AS (SELECT m.*, CASE WHEN avg_discount > d AND avg_margin < mm THEN 'leakage'
                  WHEN avg_discount < d AND avg_margin > mm THEN 'safe' ELSE 'other' END AS zone
-FROM m, med)
+FROM m, med)"""
+
+
+@register("discount_margin", with_catalog(ZONE_SQL + """
 SELECT *, CAST(row_number() OVER (PARTITION BY zone ORDER BY total_revenue DESC, category) AS INTEGER) AS zone_rank
 FROM z"""), rounded=["avg_discount", "avg_margin"])
 def q_discount_margin(spark, sf):
     return E.discount_margin(cat(spark, sf, *REV, "category", "discount_pct", "profit_margin_pct"))
 
 
+@register("discount_takeaway", with_catalog(ZONE_SQL + """
+SELECT coalesce(string_agg(category, ', ' ORDER BY total_revenue DESC, category) FILTER (WHERE zone = 'leakage'), '') AS leakage_names,
+  coalesce(string_agg(category, ', ' ORDER BY category) FILTER (WHERE zone = 'safe'), '') AS safe_names FROM z"""))
+def q_discount_takeaway(spark, sf):
+    return E.discount_takeaway(E.discount_margin(cat(spark, sf, *REV, "category", "discount_pct", "profit_margin_pct")))
+
+
 # ------------------------------------------------------------------ E12
 OFFER_SQL = """, cells AS (SELECT category, offer_filled AS offer_type, avg(sold_quantity) AS avg_units
   FROM prep WHERE category IS NOT NULL GROUP BY category, offer_filled)"""
@@ -271,6 +287,15 @@ def q_offer_effect(spark, sf):
     return E.offer_effect(cat(spark, sf, "category", "offer_type", "sold_quantity"))
 
 
+@register("offer_grid", with_catalog(OFFER_SQL + """
+SELECT a.category, b.offer_type, coalesce(avg_units, 0.0e0) AS avg_units
+FROM (SELECT DISTINCT category FROM cells) a CROSS JOIN (SELECT DISTINCT offer_type FROM cells) b
+LEFT JOIN cells ON cells.category = a.category AND cells.offer_type = b.offer_type"""), rounded=["avg_units"])
+def q_offer_grid(spark, sf):
+    df = cat(spark, sf, "category", "offer_type", "sold_quantity").withColumn("offer_type", offer_filled())
+    return E.cross_grid(df, "category", "offer_type", F.avg("sold_quantity"), "avg_units")
+
+
 @register("offer_takeaway", with_catalog(OFFER_SQL + """,
 b AS (SELECT * FROM cells ORDER BY avg_units DESC, category, offer_type LIMIT 1),
 w AS (SELECT * FROM cells ORDER BY avg_units, category, offer_type LIMIT 1),
@@ -302,7 +327,8 @@ SELECT (SELECT category FROM rb ORDER BY avg_rating DESC, category LIMIT 1) AS b
   (SELECT category FROM rb ORDER BY avg_rating, category LIMIT 1) AS worst,
   (SELECT min(avg_rating) FROM rb) AS worst_rating,
   (SELECT avg(avg_rating) FROM rb) AS overall_avg,
-  CAST((SELECT count_if(avg_rating < 3.5) FROM rb) AS BIGINT) AS n_low"""), rounded=["best_rating", "worst_rating", "overall_avg"])
+  CAST((SELECT count_if(avg_rating < 3.5) FROM rb) AS BIGINT) AS n_low,
+  coalesce((SELECT string_agg(category, ', ' ORDER BY category) FROM rb WHERE avg_rating < 3.5), '') AS low_names"""), rounded=["best_rating", "worst_rating", "overall_avg"])
 def q_rating_takeaway(spark, sf):
     return E.rating_takeaway(E.rating_by(cat(spark, sf, "category", "rating"), "category"))
 
@@ -496,3 +522,72 @@ def q_top_products(spark, sf):
 WHERE city IS NOT NULL GROUP BY city"""))
 def q_units_by_city(spark, sf):
     return Q.units_by(cat(spark, sf, "city", "sold_quantity"), "city")
+
+
+# ------------------------------------------------------------------ leaders with null groups
+NULLED_SQL = """, k AS (SELECT min(category) AS kc, min(city) AS kt, min(seller) AS ks, min(offer_filled) AS ko,
+  min(strftime(date_added, '%Y-%m')) AS km FROM prep),
+h AS (SELECT p.*, (category = kc OR city = kt OR seller = ks OR offer_filled = ko OR strftime(date_added, '%Y-%m') = km) AS hit
+  FROM prep p, k),
+x AS (SELECT category, city, seller, offer_filled AS offer_type, strftime(date_added, '%Y-%m') AS month, stock,
+  CASE WHEN NOT hit THEN rev4 END AS rev4, CASE WHEN NOT hit THEN sold_quantity END AS sold,
+  CASE WHEN NOT hit THEN rating END AS rating, CASE WHEN NOT hit THEN delivery_time_min END AS mins,
+  CASE WHEN NOT hit THEN profit_margin_pct END AS margin FROM h)"""
+
+
+def _leader_sql(question: str, dim: str, agg: str) -> str:
+    g = f"(SELECT {dim} AS n, {agg} AS v FROM x GROUP BY {dim})"
+    return f"""SELECT '{question}' AS question, (SELECT n FROM {g} WHERE v IS NOT NULL ORDER BY v DESC, n LIMIT 1) AS best,
+  (SELECT max(v) FROM {g}) AS best_value, (SELECT n FROM {g} WHERE v IS NOT NULL ORDER BY v, n LIMIT 1) AS worst,
+  (SELECT min(v) FROM {g}) AS worst_value"""
+
+
+_SUM_REV, _SUM_SOLD = "CAST(coalesce(sum(rev4), 0) AS DOUBLE)", "CAST(coalesce(sum(sold), 0) AS DOUBLE)"
+
+
+@register("leaders_with_null_groups", with_catalog(NULLED_SQL + "\n" + "\nUNION ALL\n".join([
+    _leader_sql("city revenue", "city", _SUM_REV), _leader_sql("seller revenue", "seller", _SUM_REV),
+    _leader_sql("month revenue", "month", _SUM_REV), _leader_sql("category revenue", "category", _SUM_REV),
+    _leader_sql("offer units", "offer_type", "avg(c)").replace("FROM x GROUP", "FROM (SELECT category, offer_type, avg(sold) AS c FROM x GROUP BY ALL) GROUP"),
+    _leader_sql("category rating", "category", "avg(rating)"),
+    _leader_sql("city minutes", "city", "-avg(mins)"),
+    _leader_sql("category ratio", "category", "coalesce(sum(sold), 0) * 1.0e0 / (sum(stock) + 1)"),
+    _leader_sql("category margin", "category", "avg(margin)"),
+    _leader_sql("offer total", "offer_type", _SUM_SOLD),
+    _leader_sql("city units", "city", _SUM_SOLD)])), rounded=["best_value", "worst_value"])
+def q_null_leaders(spark, sf):
+    """D3, E2, E3, E12, E13, E15, E19, F2, F3, F5, F7 on a catalogue in which one category, city,
+    seller, offer and month have no measures: their means are no leaders, their sums are 0."""
+    df = cat(spark, sf, *REV, "category", "city", "seller", "offer_type", "date_added", "stock", "rating",
+             "delivery_time_min", "delivery_status", "profit_margin_pct").withColumn("offer_type", offer_filled())
+    month = F.date_format("date_added", "yyyy-MM")
+    low = df.agg(F.struct(*[F.min(c).alias(c) for c in ("category", "city", "seller", "offer_type")], F.min(month).alias("month"))).scalar()
+    hit = reduce(lambda a, b: a | b, [F.col(c) == low[c] for c in ("category", "city", "seller", "offer_type")] + [month == low["month"]])
+    df = df.withColumns({c: F.when(~hit, F.col(c)) for c in (*REV, "rating", "delivery_time_min", "profit_margin_pct")})
+
+    def row(question, t, best, best_value, worst=None, worst_value=None):
+        pick = lambda c, kind: (F.lit(None) if c is None else c if not isinstance(c, str) else F.col(c)).cast(kind)
+        return t.select(F.lit(question).alias("question"), pick(best, "string").alias("best"), pick(best_value, "double").alias("best_value"),
+                        pick(worst, "string").alias("worst"), pick(worst_value, "double").alias("worst_value"))
+
+    ext = D.kpi_extremes(df, ["city", "seller"])
+    ends = ("top_name", "top_revenue", "bottom_name", "bottom_revenue")
+    points = E.speed_vs_rating(df)
+    least = lambda t, dim, v: t.agg(F.min(F.struct(v, dim))["" + dim]).scalar()
+    units, offers = Q.units_by(df, "city"), Q.units_by_offer(df, fill=False)
+    margins = df.groupBy("category").agg(F.avg("profit_margin_pct").alias("m"))
+    by_offer = E.offer_effect(df).groupBy("offer_type").agg(F.avg("avg_units").alias("m")).where("m IS NOT NULL")
+    return reduce(lambda a, b: a.unionByName(b), [
+        row("city revenue", ext.where("dimension = 'city'"), *ends), row("seller revenue", ext.where("dimension = 'seller'"), *ends),
+        row("month revenue", E.monthly_takeaway(E.monthly_trend(df)), "peak_month", "peak_revenue", "low_month", "low_revenue"),
+        row("category revenue", E.revenue_by_takeaway(E.revenue_by(df, "category"), "category"), "top", "top_revenue", "bottom", "bottom_revenue"),
+        row("offer units", E.offer_takeaway(E.offer_effect(df)), "best_offer", by_offer.agg(F.max("m")).scalar(),
+            least(by_offer, "offer_type", "m"), by_offer.agg(F.min("m")).scalar()),
+        row("category rating", E.rating_takeaway(E.rating_by(df)), "best", "best_rating", "worst", "worst_rating"),
+        row("city minutes", E.speed_takeaway(points), "fastest", -F.col("fastest_minutes"), "slowest", -F.col("slowest_minutes")),
+        row("category ratio", E.sold_vs_stock_takeaway(E.sold_vs_stock(df)), "at_risk", "at_risk_ratio", "overstocked", "overstocked_ratio"),
+        row("category margin", Q.top_margin(df), "category", "avg_margin", least(margins.where("m IS NOT NULL"), "category", "m"),
+            margins.agg(F.min("m")).scalar()),
+        row("offer total", offers.where("is_leader"), "offer_type", "units", least(offers, "offer_type", "units"), offers.agg(F.min("units")).scalar()),
+        row("city units", Q.leader_then_leader(df), "city", "city_sold_quantity", least(units, "city", "units"), units.agg(F.min("units")).scalar()),
+    ])

@@ -12,6 +12,8 @@ way, recursively.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,6 +29,13 @@ def _slices(df: DataFrame, slices: int | None) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` in which a null key meets a null key (groups have them, too)."""
+    other = right.withColumnsRenamed({k: f"__rk_{k}" for k in keys})
+    on = reduce(and_, [F.col(k).eqNullSafe(F.col(f"__rk_{k}")) for k in keys])
+    return left.join(other, on, how).drop(*[f"__rk_{k}" for k in keys])
+
+
 def running_sums(
     df: DataFrame,
     values: Mapping[str, str | Column],
@@ -79,7 +88,7 @@ def running_sums(
         for t in tmp.values()], *[F.sum(f"{t}_t").over(w_all).alias(f"{t}_a") for t in tmp.values()])
     if not partition:
         offsets = F.broadcast(offsets)  # one row per slice: bounded by ``slices``
-    out = local.join(offsets, [_SLICE, *partition])
+    out = _null_safe_join(local, offsets, [_SLICE, *partition])
     out = out.withColumns({o: F.col(f"{t}_l") + F.col(f"{t}_o") for o, t in tmp.items()})
     if with_totals:
         out = out.withColumns({f"{o}_total": F.col(f"{t}_a") for o, t in tmp.items()})
@@ -144,7 +153,7 @@ def next_row(
     else:
         firsts = firsts.select(*partition, b, F.lead(first).over(Window.partitionBy(*partition).orderBy(b))
                                .alias(after))
-    joined = local.join(firsts, [*partition, b], "left")
+    joined = _null_safe_join(local, firsts, [*partition, b], "left")
     last_in_bucket = F.col(f"{tag}_n_{order}").isNull()
     out = joined.withColumns({prefix + c: F.when(last_in_bucket, F.col(after)[c]).otherwise(F.col(f"{tag}_n_{c}"))
                               for c in [order, *cols]})
