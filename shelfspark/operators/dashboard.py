@@ -1,5 +1,6 @@
 """The dashboard and question entry points: one prepared, date-filtered catalogue
-feeding every KPI and insight table (all lazy; nothing runs until an action)."""
+feeding every KPI and insight table. Building the tables runs jobs: the operators write
+their small aggregates once (``materialize_small``); ask for single operators to avoid that."""
 
 from __future__ import annotations
 
@@ -9,22 +10,18 @@ from pyspark.sql import functions as F
 from shelfspark.functions.features import in_date_range
 from shelfspark.operators import insights as E
 from shelfspark.operators import kpi as D
+from shelfspark.sources.catalog import MONTH_FOLDER, month_range
 
 
 def filter_dates(df: DataFrame, start=None, end=None) -> DataFrame:
     """C4: keep rows whose date_added falls in [start, end] by date; may be empty.
 
     The date predicate is pushed to the Parquet scan (row groups are skipped by
-    their min/max). On a catalogue written by ``write_catalog`` that still has its
-    ``month_added`` partition column, the same range on the month prunes folders.
+    their min/max). On a table of ``write_catalog`` that still has its month folder
+    column, the same range on the month prunes folders.
     """
     out = df.where(in_date_range(start, end))
-    if "month_added" in df.columns:
-        if start is not None:
-            out = out.where(F.col("month_added") >= str(start)[:7])
-        if end is not None:
-            out = out.where(F.col("month_added") <= str(end)[:7])
-    return out
+    return out.where(month_range(start, end)) if MONTH_FOLDER in df.columns else out
 
 
 def dashboard_tables(catalog: DataFrame, start=None, end=None, cache: bool = True) -> dict[str, DataFrame]:

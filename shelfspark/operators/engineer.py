@@ -101,22 +101,26 @@ def scenario_features(df: DataFrame, as_of, stage: str = "post", ref_date=C.REFE
 def conform(df: DataFrame, contract: T.StructType | str = "post", keep=("product_id",)) -> DataFrame:
     """Cast rows to a request contract; flag bad rows instead of failing.
 
-    Missing columns are an error for the whole frame (a schema problem); values
-    that do not cast, or required values that are null, make that row
-    ``success = false`` with a message listing the fields.
+    Missing columns are an error for the whole frame (a schema problem), but for an absent
+    ``offer_type``, which gets its default; values that do not cast, fractions in whole-number
+    fields, and null values make that row ``success = false`` with a message listing the fields.
     """
     if isinstance(contract, str):
         contract = POST_CONTRACT if contract == "post" else PRE_CONTRACT
-    missing = [f.name for f in contract.fields if f.name not in df.columns]
+    missing = [f.name for f in contract.fields if f.name not in df.columns and f.name != "offer_type"]
     if missing:
         raise ValueError(f"missing required columns: {missing}")
     casts, problems = {}, []
     for f in contract.fields:
-        src = F.col(f.name)
-        if f.name == "offer_type":
-            v = F.coalesce(src.cast("string"), F.lit(C.NO_OFFER))
+        if f.name not in df.columns:
+            v = F.lit(C.NO_OFFER)  # the one field with a default
+        elif isinstance(f.dataType, T.StringType):
+            v = F.col(f.name).cast("string")
         else:
-            v = src.cast("string") if isinstance(f.dataType, T.StringType) else src.try_cast(f.dataType)
+            v = F.col(f.name).try_cast(f.dataType)
+            if isinstance(f.dataType, T.IntegralType):  # 5.5 is no whole number
+                number = F.col(f.name).try_cast("double")
+                v = F.when(number == F.floor(number), v)
         casts[f.name] = v
         problems.append(F.when(v.isNull(), F.lit(f.name)))
     bad = F.filter(F.array(*problems), lambda x: x.isNotNull())

@@ -44,6 +44,7 @@ FOREST_GRID = {"numTrees": [100, 200], "maxDepth": [6, 10, MAX_TREE_DEPTH], "min
 SEARCH_FOLDS = 5
 # Iteration cap and convergence tolerance of the reference's logistic regression.
 LOGISTIC_MAX_ITER = 100
+LOGISTIC_SEARCH_MAX_ITER = 1000  # in its parameter search
 LOGISTIC_TOL = 1e-4
 RANDOM_SEARCH_MAPS = 20
 
@@ -53,13 +54,14 @@ def linear_regression(label: str = "rating", **params) -> LinearRegression:
     return LinearRegression(featuresCol="features", labelCol=label, regParam=0.0, **params)
 
 
-def logistic(C: float = 1.0, n_weight: float = 1.0, weight_col: str | None = "weight") -> LogisticRegression:
+def logistic(C: float = 1.0, n_weight: float = 1.0, weight_col: str | None = "weight",
+             max_iter: int = LOGISTIC_MAX_ITER) -> LogisticRegression:
     """L2 logistic regression; ``regParam = 1 / (C * sum of weights)`` makes the
     objective the same as C-parameterised logistic regression (features are
     already standardised, so Spark's own standardisation is off)."""
     kw = {"weightCol": weight_col} if weight_col else {}
     return LogisticRegression(featuresCol="features", labelCol="label", regParam=1.0 / (C * n_weight),
-                              elasticNetParam=0.0, standardization=False, maxIter=LOGISTIC_MAX_ITER,
+                              elasticNetParam=0.0, standardization=False, maxIter=max_iter,
                               tol=LOGISTIC_TOL, **kw)
 
 
@@ -86,18 +88,18 @@ def feature_names(cats: Sequence[str], nums: Sequence[str], suffix: str = "_code
 
 
 def fit_pipeline(df: DataFrame, cats: Sequence[str], nums: Sequence[str], estimator: Estimator | None,
-                 population_std: bool = False) -> PipelineModel:
+                 population_std: bool = True) -> PipelineModel:
     """Encoder (alphabetical, unseen -> -1) -> assembler -> scaler -> estimator, as one model.
 
     The training rows are persisted for the duration of the fit: the encoder,
     the scaler and the estimator each read them, and the input is usually a join.
-    ``population_std`` rescales by sqrt(n / (n - 1)) so features are divided by the
-    population standard deviation (the reference's scaler) instead of the sample one.
+    ``population_std`` (default) rescales by sqrt(n / (n - 1)) so features are divided by
+    the population standard deviation; without it by the sample one, Spark's own.
     """
     owned = not df.is_cached
     data = spread(df).persist(StorageLevel.MEMORY_AND_DISK) if owned else df
     try:
-        enc = ordinal_encoder(data, cats)
+        enc = ordinal_encoder(data, cats) if cats else PipelineModel(stages=[])
         names = feature_names(cats, nums)
         stages = assemble_scaled(names, out="_scaled" if population_std else "features")
         if population_std:
@@ -115,13 +117,22 @@ def fit_pipeline(df: DataFrame, cats: Sequence[str], nums: Sequence[str], estima
 
 def compare_estimators(train: DataFrame, test: DataFrame, named: Mapping[str, Estimator],
                        cats: Sequence[str], nums: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
-    """Fit each estimator on ``train``; union of their test predictions with a model column."""
+    """Fit each estimator on ``train``; union of their test predictions with a model column.
+
+    Encoder and scaler are fitted once; every learner reads the same vectors.
+    """
+    prep = fit_pipeline(train, cats, nums, None)
+    wanted = ["features", F.col("label").cast("double").alias("label"), *(["weight"] if "weight" in train.columns else [])]
+    vectors = prep.transform(train).select(*wanted).persist(StorageLevel.MEMORY_AND_DISK)
+    held = prep.transform(test)
     out = None
-    for name, est in named.items():
-        model = fit_pipeline(train, cats, nums, est)
-        p = model.transform(test).select(F.lit(name).alias("model"), *keep, F.col("label").cast("double"),
-                                         F.col("prediction"))
-        out = p if out is None else out.unionByName(p)
+    try:
+        for name, est in named.items():
+            p = est.fit(vectors).transform(held).select(F.lit(name).alias("model"), *keep,
+                                                        F.col("label").cast("double"), F.col("prediction"))
+            out = p if out is None else out.unionByName(p)
+    finally:
+        vectors.unpersist()
     return out
 
 
@@ -201,14 +212,15 @@ def production_training(catalog: DataFrame, model_dir: str, runs_path: str, expe
 
     Returns the run id per model. ``latest_run`` / ``require_latest_model`` load them back.
     """
-    from shelfspark.sources.store import log_run, save_model
+    from shelfspark.sources.store import log_run, new_run_id, save_model
     spark = catalog.sparkSession
     runs = {}
     for name, train, params in (("pre_launch_model", train_pre_launch, pre_params),
                                 ("post_launch_model", train_post_launch, post_params)):
         model = train(catalog, ref_date, params)
-        path = save_model(model, f"{model_dir.rstrip('/')}/{name}")
-        runs[name] = log_run(spark, runs_path, experiment, name, params, {}, path)
+        run_id = new_run_id()  # each run keeps its own model files
+        path = save_model(model, f"{model_dir.rstrip('/')}/{name}/{run_id}")
+        runs[name] = log_run(spark, runs_path, experiment, name, params, {}, path, run_id)
     return runs
 
 
@@ -228,7 +240,7 @@ def tune(features: DataFrame, kind: str, fold_col: str = "fold", parallelism: in
         est, grid = forest(), FOREST_GRID
     elif kind == "logistic":
         n = float(features.agg(F.sum("weight")).first()[0])
-        est, grid = logistic(1.0, 1.0), logistic_grid(n)
+        est, grid = logistic(1.0, 1.0, max_iter=LOGISTIC_SEARCH_MAX_ITER), logistic_grid(n)
     else:
         raise ValueError(f"unknown model kind {kind!r}")
     if random_maps:

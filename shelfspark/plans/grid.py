@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from shelfspark.plans.reuse import materialize_small
 
-MAX_PIVOT_VALUES = 10000  # same bound as spark.sql.pivotMaxValues
-
-
 def complete_grid(cells: DataFrame, row: str, col: str, value: str, fill=0) -> DataFrame:
     """Long form grid from aggregated ``cells`` (one row per existing (row, col) pair).
 
@@ -29,13 +26,12 @@ def wide_grid(df: DataFrame, row: str, col: str, agg: Column, fill=0) -> DataFra
     """Wide (display) form: one column per value of ``col``, missing cells = ``fill``.
 
     The cells are aggregated once and written (``materialize_small``); the pivot's
-    value list (checked against ``MAX_PIVOT_VALUES``) and the pivot itself both
-    read those cells, so the input is scanned once.
+    value list and the pivot itself both read those cells, so the input is scanned
+    once. The list is the output's own columns: use ``complete_grid`` for a domain
+    that is no display's.
     """
     cells = materialize_small(df.where(F.col(row).isNotNull() & F.col(col).isNotNull())
                               .groupBy(row, col).agg(agg.alias("_cell")))
-    values = [r[0] for r in cells.select(col).distinct().orderBy(col).limit(MAX_PIVOT_VALUES + 1).collect()]
-    if len(values) > MAX_PIVOT_VALUES:
-        raise ValueError(f"{col} has more than {MAX_PIVOT_VALUES} values; use complete_grid")
+    values = [r[0] for r in cells.select(col).distinct().orderBy(col).collect()]
     wide = cells.groupBy(row).pivot(col, values).agg(F.first("_cell"))  # one cell per (row, col)
     return wide.fillna(fill, subset=[str(v) for v in values]).orderBy(row)

@@ -514,8 +514,7 @@ def q_top_products(spark, sf):
     li = table(spark, sf, "lineitem").withColumns({"__pid": line_column("product_id"),
                                                    "__q": line_column("sold_quantity")})
     top = Q.top_products(li, 10, "__q", "__pid").drop("__pid", "__q")
-    return Q.top_products(catalog_view(spark, sf, ["product_id", "product_name", "sold_quantity"], fact=top,
-                                          fact_max_rows=10), 10)
+    return Q.top_products(catalog_view(spark, sf, ["product_id", "product_name", "sold_quantity"], fact=top), 10)
 
 
 @register("units_by_city", with_catalog("""SELECT city, CAST(sum(sold_quantity) AS BIGINT) AS units FROM prep

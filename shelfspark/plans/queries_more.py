@@ -3,23 +3,27 @@ training preparation (H) and evaluation of rule baselines (J)."""
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfspark.functions.features import high_rating
+from shelfspark.functions import display as L
+from shelfspark.functions.features import high_rating, parsed_date
 from shelfspark.operators import dialogue as G
 from shelfspark.operators import engineer as C
 from shelfspark.operators import evaluate as J
+from shelfspark.operators import models as I
 from shelfspark.operators import prep as H
 from shelfspark.operators import profile as B
+from shelfspark.operators import scoring as K
 from shelfspark.operators.kpi import prepare
-from shelfspark.plans.joins import bounded_broadcast
 from shelfspark.plans.registry import cat, register, with_catalog
 from shelfspark.schemas import (
     CATALOG, CATEGORICAL, CONTRACT_INTS, NUMERIC_COLUMNS, POST_CATEGORICAL, POST_CONTRACT, POST_NUMERIC,
     PRE_NUMERIC,
 )
 from shelfspark.sources.catalog import catalog_view, line_column, table
+from shelfspark.sources.files import to_records
 
 FIXTURE_REF_DATE = "1995-01-01"  # start of the test orders: ages are >= 0
 ALL = [f.name for f in CATALOG.fields]
@@ -30,13 +34,14 @@ ALL = [f.name for f in CATALOG.fields]
 def q_preview(spark, sf):
     # product_id comes from lineitem alone: take the 5 rows there, then join them to the dimensions
     top = B.preview(table(spark, sf, "lineitem").withColumn("__pid", line_column("product_id")), 5, "__pid")
-    return B.preview(catalog_view(spark, sf, fact=top.drop("__pid"), fact_max_rows=5), 5, "product_id")
+    return B.preview(catalog_view(spark, sf, fact=top.drop("__pid")), 5, "product_id")
 
 
 @register("catalog_shape", with_catalog(f"SELECT count(*) AS n_rows, CAST({len(ALL)} AS BIGINT) AS n_cols FROM catalog",
                                         prep=False))
 def q_shape(spark, sf):
-    return B.shape(catalog_view(spark, sf))
+    # no join changes the number of rows: count one narrow column, report the catalogue's width
+    return B.shape(catalog_view(spark, sf, ["product_id"])).withColumn("n_cols", F.lit(len(ALL)).cast("bigint"))
 
 
 @register("schema_profile", with_catalog("\nUNION ALL\n".join(
@@ -299,7 +304,7 @@ SELECT sqrt(avg((prediction - label) * (prediction - label))) AS rmse, avg(abs(p
 def q_regression_metrics(spark, sf):
     df = cat(spark, sf, "category", "rating").where(F.col("category").isNotNull())
     means = df.groupBy("category").agg(F.avg("rating").alias("prediction"))
-    pred = df.join(bounded_broadcast(means), "category").select(F.col("rating").alias("label"), "prediction")
+    pred = df.join(means, "category").select(F.col("rating").alias("label"), "prediction")
     return J.regression_metrics(pred)
 
 
@@ -364,3 +369,98 @@ def q_model_comparison(spark, sf):
         F.struct(F.lit("on_time_rule").alias("model"), F.col("on_time_rule").alias("prediction")),
         F.struct(F.lit("fast_rule").alias("model"), F.col("fast_rule").alias("prediction")))))
     return J.compare_models(u, "model", "label", "prediction")
+
+
+# ------------------------------------------------------------------ operators on fixed inputs from the catalogue
+PROB = "demand_index / 100.0e0"
+
+
+@register("rule_decisions", with_catalog(f"""SELECT product_id, {PROB} AS probability, {PROB} >= 0.45e0 AS is_high,
+  CAST(floor({PROB} * 100) AS INTEGER) AS score,
+  CASE WHEN floor({PROB} * 100) >= 70 OR floor({PROB} * 100) <= 30 THEN 'High confidence' ELSE 'Moderate confidence' END AS confidence
+FROM catalog WHERE demand_index IS NOT NULL""", prep=False))
+def q_rule_decisions(spark, sf):
+    """K2 on a probability that SQL can compute as well."""
+    df = cat(spark, sf, "product_id", "demand_index").where(F.col("demand_index").isNotNull())
+    return K.decide(df.select("product_id", (F.col("demand_index") / 100.0).alias("probability")))
+
+
+@register("catalog_records", with_catalog("""SELECT '{"product_id":' || to_json(product_id) || coalesce(',"offer_type":' || to_json(offer_type), '')
+  || ',"stock":' || CAST(stock AS VARCHAR) || '}' AS record FROM catalog""", prep=False))
+def q_records(spark, sf):
+    """A4: absent values are left out of a record."""
+    return to_records(cat(spark, sf, "product_id", "offer_type", "stock"))
+
+
+@register("parsed_dates", with_catalog("""SELECT product_id,
+  CASE WHEN sold_quantity % 5 = 0 THEN NULL ELSE CAST(CAST(date_added AS DATE) AS TIMESTAMP) END AS parsed FROM catalog""", prep=False))
+def q_parsed_dates(spark, sf):
+    """Dates as text, some of them no dates."""
+    df = cat(spark, sf, "product_id", "date_added", "sold_quantity")
+    text = F.when(F.col("sold_quantity") % 5 == 0, F.lit("soon")).otherwise(F.date_format("date_added", "yyyy-MM-dd"))
+    return df.select("product_id", parsed_date(text).alias("parsed"))
+
+
+@register("unseen_codes", with_catalog(""", codes AS (SELECT category, CAST(row_number() OVER (ORDER BY category) - 1 AS INTEGER) AS code
+  FROM (SELECT DISTINCT category FROM catalog WHERE year(date_added) < 1996))
+SELECT product_id, coalesce(code, -1) AS category_code FROM (SELECT product_id,
+  CASE WHEN sold_quantity = 7 THEN 'never seen' ELSE category END AS category FROM catalog) LEFT JOIN codes USING (category)""", prep=False))
+def q_unseen_codes(spark, sf):
+    """H2: codes learned from the rows before 1996, applied to all; unseen values are -1."""
+    df = cat(spark, sf, "product_id", "category", "date_added", "sold_quantity")
+    model = H.ordinal_encode(df.where(F.year("date_added") < 1996), ["category"])
+    seen = df.withColumn("category", F.when(F.col("sold_quantity") == 7, "never seen").otherwise(F.col("category")))
+    return model.transform(seen).select("product_id", "category_code")
+
+
+SCALED = ["price", "stock", "demand_index"]
+
+
+@register("scaled_features", with_catalog("SELECT product_id, " + ", ".join(
+    f"({c} - (SELECT avg({c}) FROM catalog)) / (SELECT stddev_pop({c}) FROM catalog) AS {c}" for c in SCALED) + " FROM catalog", prep=False),
+    rounded=SCALED)
+def q_scaled(spark, sf):
+    """H3 with population deviations."""
+    df = cat(spark, sf, "product_id", *SCALED)
+    vec = I.fit_pipeline(df, [], SCALED, None).transform(df)
+    return vec.select("product_id", *[vector_to_array("features")[i].alias(c) for i, c in enumerate(SCALED)])
+
+
+@register("rule_contributions", with_catalog("\nUNION ALL\n".join(
+    f"""SELECT '{c}' AS feature, avg(abs({w} * (({c} - (SELECT avg({c}) FROM catalog)) / (SELECT stddev_pop({c}) FROM catalog)))) AS mean_abs
+FROM catalog""" for c, w in zip(SCALED, ("0.5e0", "-2.0e0", "0.25e0"))), prep=False), rounded=["mean_abs"])
+def q_contributions(spark, sf):
+    """Contributions of a linear rule with fixed weights."""
+    df = cat(spark, sf, *SCALED)
+    vec = I.fit_pipeline(df, [], SCALED, None).transform(df)
+    return J.linear_contributions(vec, [0.5, -2.0, 0.25], SCALED)
+
+
+@register("display_texts", with_catalog("""SELECT category, '₹' || printf('%.2f', units * 0.25e0) || ' Crs' AS money,
+  printf('%.1f', units % 64 * 0.5e0) || '%' AS percent, '★ ' || printf('%.2f', units % 20 * 0.25e0) AS stars, format('{:,}', units) AS thousands
+FROM (SELECT category, sum(sold_quantity)::BIGINT AS units FROM catalog GROUP BY category)""", prep=False))
+def q_display_texts(spark, sf):
+    """L1, L2 on numbers whose digits are exact (quarters and halves)."""
+    u = F.col("units")
+    t = cat(spark, sf, "category", "sold_quantity").groupBy("category").agg(F.sum("sold_quantity").alias("units"))
+    return t.select("category", L.money(u * 0.25e7).alias("money"), L.percent(u % 64 * 0.5).alias("percent"),
+                    L.stars(u % 20 * 0.25).alias("stars"), L.thousands(u).alias("thousands"))
+
+
+@register("seller_names", with_catalog("SELECT city, string_agg(DISTINCT packaging_type, ', ' ORDER BY packaging_type) AS names FROM catalog GROUP BY city",
+                                       prep=False))
+def q_names(spark, sf):
+    """L3: one text of sorted names per group."""
+    return cat(spark, sf, "city", "packaging_type").distinct().groupBy("city").agg(L.name_text("packaging_type").alias("names"))
+
+
+@register("conform_bad_rows", with_catalog("""SELECT product_id, sold_quantity % 3 <> 0 AND offer_type IS NOT NULL AS success,
+  CASE WHEN sold_quantity % 3 <> 0 AND offer_type IS NOT NULL THEN NULL ELSE 'invalid or missing: ' ||
+    concat_ws(', ', CASE WHEN offer_type IS NULL THEN 'offer_type' END, CASE WHEN sold_quantity % 3 = 0 THEN 'sold_quantity' END) END AS error
+FROM catalog""", prep=False))
+def q_conform_bad(spark, sf):
+    """Null offers, and fractions where the contract has whole numbers."""
+    contract = T.StructType([T.StructField("offer_type", T.StringType()), T.StructField("sold_quantity", T.IntegerType())])
+    df = cat(spark, sf, "product_id", "offer_type", "sold_quantity")
+    half = F.when(F.col("sold_quantity") % 3 == 0, 0.5).otherwise(0.0)
+    return C.conform(df.withColumn("sold_quantity", F.col("sold_quantity") + half), contract).select("product_id", "success", "error")

@@ -60,13 +60,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def spread(df):
-    """Repartition a frame that has fewer partitions than the cluster has cores.
+    """Deal rows out over ``spark.sql.shuffle.partitions`` tasks, inside the plan.
 
-    Iterative learners read their input many times; a few large input splits
-    would leave most cores idle. Large inputs (more partitions than cores) are
-    returned unchanged, so no shuffle is added at scale.
+    Iterative learners read their input many times; a few large input splits would leave
+    most cores idle. One shuffle of the rows; nothing runs until an action.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

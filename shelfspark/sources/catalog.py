@@ -2,9 +2,8 @@
 
 The real input is one flat catalogue table (see ``files.read_catalog``). For the
 driver's star-schema tables the catalogue is ``lineitem`` joined to part,
-supplier, orders -> customer -> nation; every foreign key resolves and every
-dimension key is unique, so a dimension that contributes no requested column can
-be left out of the join without changing any row. ``catalog_view`` does exactly
+supplier, orders -> customer -> nation by left joins on unique keys, so a dimension
+that contributes no requested column can be left out of the join without changing any row. ``catalog_view`` does exactly
 that: a query asking for category and revenue joins lineitem to part only.
 Which physical join is used (broadcast or sort-merge) is left to the planner,
 which broadcasts only sides whose measured size is under
@@ -19,6 +18,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfspark.functions.features import in_date_range
+from shelfspark.plans.reuse import materialize_small
 from shelfspark.schemas import CATALOG
 
 ALL_COLUMNS = [f.name for f in CATALOG.fields]
@@ -79,7 +80,8 @@ def _dim_columns() -> dict[str, Column]:
     }
 
 
-MATERIALIZED_CATALOG_CONF = "shelfspark.catalog.path"
+#: Folder column of a written catalogue: the month of ``date_added`` as ``yyyy-MM``.
+MONTH_FOLDER = "folder_month"
 
 
 def line_column(name: str) -> Column:
@@ -88,73 +90,89 @@ def line_column(name: str) -> Column:
 
 
 def catalog_view(spark: SparkSession, sf_dir: str, columns: Iterable[str] | None = None,
-                 fact: DataFrame | None = None, fact_max_rows: int | None = None) -> DataFrame:
-    """Flat catalogue DataFrame with the requested columns (all by default).
-
-    ``fact`` replaces the lineitem scan with a subset of lineitem rows: since every
-    join keeps exactly one row per lineitem row, a top-n taken on lineitem-only
-    columns can be taken before the joins, which then run on n rows. With
-    ``fact_max_rows`` (a bound the caller guarantees, such as the n of a top-n)
-    the fact side is broadcast at every join, so no dimension is shuffled.
-
-    When the session sets ``shelfspark.catalog.path`` to a catalogue written by
-    ``write_catalog``, that table is read instead (only the requested columns,
-    filters pushed to the scan, month folders pruned); otherwise the catalogue is
-    joined from the star tables under ``sf_dir``.
+                 fact: DataFrame | None = None) -> DataFrame:
+    """Flat catalogue DataFrame with the requested columns (all by default), joined from the
+    star tables under ``sf_dir``.
+
+    Every lineitem row is one catalogue row: dimensions are left-joined on their unique
+    keys, so a key without a dimension row gives nulls, never a lost row, whichever columns
+    are asked for. ``fact`` replaces the lineitem scan with a top-n of its rows (a literal
+    n): the joins then run on n rows, and no dimension is shuffled, however large.
     """
     cols = list(columns) if columns is not None else list(ALL_COLUMNS)
     unknown = set(cols) - set(ALL_COLUMNS)
     if unknown:
         raise ValueError(f"unknown catalogue columns: {sorted(unknown)}")
-    materialized = spark.conf.get(MATERIALIZED_CATALOG_CONF, None)
-    if materialized and fact is None:
-        return spark.read.parquet(materialized).select(*cols)
     needs = set().union(*[_NEEDS.get(k, set()) for k in cols]) if cols else set()
-    # ``fact``: lineitem rows already reduced (e.g. a top-n); every join keeps one row per fact row
-    df = fact if fact is not None else table(spark, sf_dir, "lineitem")
-    small = fact is not None and fact_max_rows is not None and fact_max_rows <= 100_000
-
-    def lhs(d: DataFrame) -> DataFrame:
-        return F.broadcast(d) if small else d
-
-    if "part" in needs:
-        df = lhs(df).join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    if "supplier" in needs:
-        df = lhs(df).join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-    if "orders" in needs and small:
-        # a few fact rows: walk the chain one table at a time, broadcasting those rows
-        df = lhs(df).join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-        if "customer" in needs:
-            df = lhs(df).join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-        if "nation" in needs:
-            df = lhs(df).join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    elif "orders" in needs:
-        # Resolve the orders -> customer -> nation chain at orders size first, so
-        # the lineitem-sized side is shuffled once (on orderkey), not per link.
-        orders = table(spark, sf_dir, "orders")
-        if "customer" in needs:
-            orders = orders.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-        if "nation" in needs:
-            orders = orders.join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-        df = lhs(df).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    if fact is not None:
+        df = materialize_small(fact)
+        for name, key, own in (("part", "l_partkey", "p_partkey"), ("supplier", "l_suppkey", "s_suppkey"),
+                               ("orders", "l_orderkey", "o_orderkey"), ("customer", "o_custkey", "c_custkey"),
+                               ("nation", "c_nationkey", "n_nationkey")):
+            if name in needs:
+                df = _looked_up(df, table(spark, sf_dir, name), key, own)
+    else:
+        df = table(spark, sf_dir, "lineitem")
+        if "part" in needs:
+            df = df.join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"), "left")
+        if "supplier" in needs:
+            df = df.join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"), "left")
+        if "orders" in needs:
+            # Resolve the orders -> customer -> nation chain at orders size first, so
+            # the lineitem-sized side is shuffled once (on orderkey), not per link.
+            orders = table(spark, sf_dir, "orders")
+            if "customer" in needs:
+                orders = orders.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left")
+            if "nation" in needs:
+                orders = orders.join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left")
+            df = df.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left")
     exprs = {**_line_columns(), **_dim_columns()}
     return df.select(*[exprs[k].alias(k) for k in cols])
 
 
-def write_catalog(df: DataFrame, path: str, partition_by: str | None = "month_added") -> None:
+def _looked_up(few: DataFrame, dim: DataFrame, key: str, own: str) -> DataFrame:
+    """Left join of a top-n's rows: their keys pick the dimension's rows (at most one per
+    key, so n at most), and those are joined back."""
+    keys = few.select(F.col(key).alias("__key")).distinct()
+    found = dim.join(F.broadcast(keys), F.col(own) == F.col("__key")).drop("__key")
+    return few.join(F.broadcast(found), F.col(key) == F.col(own), "left")
+
+
+def write_catalog(df: DataFrame, path: str, by_month: bool = True) -> None:
     """Materialise the flat catalogue once (one big join pass) as Parquet.
 
     Later queries then read only the columns they use, with filters pushed to
-    the scan; partitioning by the month of ``date_added`` lets date filters prune
-    whole folders.
+    the scan; folders by the month of ``date_added`` let date filters prune whole folders.
+    """
+    if by_month:
+        months = df.withColumn(MONTH_FOLDER, F.date_format("date_added", "yyyy-MM"))
+        months.write.mode("overwrite").partitionBy(MONTH_FOLDER).parquet(path)
+    else:
+        df.write.mode("overwrite").parquet(path)
+
+
+def read_written_catalog(spark: SparkSession, path: str, columns: Iterable[str] | None = None, start=None,
+                         end=None) -> DataFrame:
+    """The requested columns of a catalogue written by ``write_catalog``, for a date range.
+
+    The range prunes month folders as well as row groups, also when ``date_added`` is not
+    among the columns.
     """
-    out = df
-    if partition_by == "month_added":
-        out = df.withColumn("month_added", F.date_format("date_added", "yyyy-MM"))
-    writer = out.write.mode("overwrite")
-    if partition_by:
-        writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
+    df = spark.read.parquet(path)
+    df = df.where(in_date_range(start, end))
+    if MONTH_FOLDER in df.columns:
+        df = df.where(month_range(start, end))
+    return df.select(*(columns if columns is not None else ALL_COLUMNS))
+
+
+def month_range(start=None, end=None) -> Column:
+    """The folders that can hold dates of the range."""
+    cond = F.lit(True)
+    if start is not None:
+        cond = cond & (F.col(MONTH_FOLDER) >= str(start)[:7])
+    if end is not None:
+        cond = cond & (F.col(MONTH_FOLDER) <= str(end)[:7])
+    return cond
 
 
 # The same catalogue in SQL text, used as the first CTE of every oracle query.
@@ -186,9 +204,9 @@ CATALOG_SQL = """catalog AS (
           - CASE WHEN l_returnflag = 'R' THEN 5 ELSE 0 END
           - (l_partkey * 3 + l_linenumber) % 6) / 10.0e0 AS DOUBLE) AS rating
   FROM lineitem
-  JOIN part ON l_partkey = p_partkey
-  JOIN supplier ON l_suppkey = s_suppkey
-  JOIN orders ON l_orderkey = o_orderkey
-  JOIN customer ON o_custkey = c_custkey
-  JOIN nation ON c_nationkey = n_nationkey
+  LEFT JOIN part ON l_partkey = p_partkey
+  LEFT JOIN supplier ON l_suppkey = s_suppkey
+  LEFT JOIN orders ON l_orderkey = o_orderkey
+  LEFT JOIN customer ON o_custkey = c_custkey
+  LEFT JOIN nation ON c_nationkey = n_nationkey
 )"""

@@ -90,19 +90,33 @@ def read_dialogue(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("position", F.monotonically_increasing_id())
 
 
+def _array_to_folder(spark: SparkSession, path: str) -> None:
+    """Rewrite a JSON-array log as a folder of JSON lines with positions, once."""
+    read_dialogue(spark, path).write.json(f"{path}.lines")
+    jvm = spark.sparkContext._jvm
+    name = lambda suffix: jvm.org.apache.hadoop.fs.Path(path + suffix)
+    fs = name("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for old, new in ((name(""), name(".array")), (name(".lines"), name(""))):
+        if not fs.rename(old, new):
+            raise OSError(f"cannot rename {old} to {new}")
+
+
 def append_dialogue(log: DataFrame, path: str, order=None) -> None:
     """A3: append records to the log folder (new files; nothing is rewritten).
 
     Positions continue after the largest one already in the folder, in the order
     of ``order`` (column names of ``log``; its own ``position`` when not given).
+    A log that is still one JSON array is turned into a folder first; the array
+    stays beside it as ``<path>.array``.
     """
     spark = log.sparkSession
+    if path_exists(spark, path) and not _is_dir(spark, path):
+        _array_to_folder(spark, path)
     start = (read_dialogue(spark, path).agg(F.max("position")).first()[0] if path_exists(spark, path) else None)
     base = -1 if start is None else int(start)
     keys = [order] if isinstance(order, str) else list(order or ["position"])
     from shelfspark.plans.windows import running_count
-    ranked = running_count(log, [F.col(k).asc() for k in keys], out="__pos",
-                           slices=max(1, log.rdd.getNumPartitions()))
+    ranked = running_count(log, [F.col(k).asc() for k in keys], out="__pos")
     out = ranked.withColumn("position", F.col("__pos") + F.lit(base))
     out.select(*[F.col(f.name).cast(f.dataType) for f in LOG_SCHEMA.fields]).write.mode("append").json(path)
 

@@ -24,10 +24,14 @@ def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
+def new_run_id() -> str:
+    return uuid.uuid4().hex
+
+
 def log_run(spark: SparkSession, runs_path: str, experiment: str, name: str, params: Mapping,
-            metrics: Mapping[str, float], model_path: str | None = None) -> str:
+            metrics: Mapping[str, float], model_path: str | None = None, run_id: str | None = None) -> str:
     """Append one run record to the Parquet run table; returns the run id."""
-    run_id = uuid.uuid4().hex
+    run_id = run_id or new_run_id()
     row = (run_id, experiment, name, model_path, _dt.datetime.now(_dt.timezone.utc),
            {str(k): str(v) for k, v in params.items()}, {str(k): float(v) for k, v in metrics.items()})
     spark.createDataFrame([row], RUNS).write.mode("append").parquet(runs_path)
@@ -38,15 +42,18 @@ def read_runs(spark: SparkSession, runs_path: str) -> DataFrame:
     return spark.read.schema(RUNS).parquet(runs_path)
 
 
-def latest_run(runs: DataFrame, experiment: str) -> DataFrame:
-    """The newest run of an experiment (ties to the larger run id); empty if none."""
-    return (runs.where(F.col("experiment") == experiment)
-            .orderBy(F.col("start_time").desc(), F.col("run_id").desc()).limit(1))
+def latest_run(runs: DataFrame, experiment: str, name: str | None = None) -> DataFrame:
+    """The newest run of an experiment, of one model name if given (ties to the larger
+    run id); empty if none."""
+    own = F.col("experiment") == experiment
+    if name is not None:
+        own = own & (F.col("name") == name)
+    return runs.where(own).orderBy(F.col("start_time").desc(), F.col("run_id").desc()).limit(1)
 
 
-def require_latest_model(spark: SparkSession, runs_path: str, experiment: str) -> PipelineModel:
+def require_latest_model(spark: SparkSession, runs_path: str, experiment: str, name: str | None = None) -> PipelineModel:
     """Load the model of the newest run, with a clear error when there is none."""
-    row = latest_run(read_runs(spark, runs_path), experiment).select("model_path").first()
+    row = latest_run(read_runs(spark, runs_path), experiment, name).select("model_path").first()
     if row is None or row[0] is None:
-        raise LookupError(f"no run with a model for experiment {experiment!r}")
+        raise LookupError(f"no run with a model for experiment {experiment!r}, name {name!r}")
     return load_model(row[0])

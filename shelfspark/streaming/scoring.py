@@ -22,10 +22,12 @@ def score_stream(model: PipelineModel, requests: DataFrame, contract="post",
     """Streaming (or batch) frame of decisions; rows failing the contract are kept with
     ``success = false``, their error text and no prediction."""
     checked = conform(requests, contract, keep)
-    good = checked.where(F.col("success"))
-    scored = decide(score(model, good, keep=[*keep, "success", "error"]), cut)
-    bad = checked.where(~F.col("success")).select(*keep, "success", "error")
-    return scored.unionByName(bad, allowMissingColumns=True)
+    # one pass: rows that fail are scored like the others (missing features count as 0), then emptied
+    filled = checked.fillna(0).fillna("")
+    scored = decide(score(model, filled, keep=[*keep, "success", "error"]), cut)
+    result = [c for c in scored.columns if c not in (*keep, "success", "error")]
+    return scored.select(*keep, *[F.when(F.col("success"), F.col(c)).alias(c) for c in result], "success",
+                         F.when(~F.col("success"), F.col("error")).alias("error"))
 
 
 def start_scoring(spark: SparkSession, model: PipelineModel, source: str, schema, sink: str, checkpoint: str,

@@ -84,7 +84,7 @@ def test_write_catalog_roundtrip(spark, tmp_path):
     write_catalog(view, path)
     back = A.read_catalog(spark, path, fmt="parquet")
     assert back.count() == view.count()
-    assert back.where(F.col("month_added") == "1995-01").count() == view.where(
+    assert back.where(F.col("folder_month") == "1995-01").count() == view.where(
         F.date_format("date_added", "yyyy-MM") == "1995-01").count()
 
 
@@ -113,33 +113,42 @@ def test_parsed_date(spark):
     assert str(got[0]) == "2023-01-05 10:00:00" and str(got[1]) == "2023-01-06 00:00:00" and got[2] is None
 
 
-def test_queries_on_materialized_catalog(spark, tmp_path):
-    import __spark_entry__ as se
-    from shelfspark.sources.catalog import MATERIALIZED_CATALOG_CONF
-    path = str(tmp_path / "flat")
-    write_catalog(catalog_view(spark, SF_SMALL), path)
-    qs = se.queries()
-    names = ["category_revenue", "kpi_extremes", "brand_pareto", "monthly_trend", "kpi_totals_1998_1999"]
-    star = {n: sorted(map(tuple, qs[n](spark, SF_SMALL).collect())) for n in names}
-    spark.conf.set(MATERIALIZED_CATALOG_CONF, path)
-    try:
-        flat = {n: sorted(map(tuple, qs[n](spark, SF_SMALL).collect())) for n in names}
-        plan = qs["kpi_totals_1998_1999"](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
-    finally:
-        spark.conf.unset(MATERIALIZED_CATALOG_CONF)
-    assert flat == star
-    assert "GreaterThanOrEqual(date_added" in plan  # the date range reaches the flat table's scan
+def test_written_catalog_gives_the_same_answers_and_prunes(spark, tmp_path):
+    from shelfspark.operators import insights as E
     from shelfspark.operators.dashboard import filter_dates
-    raw = spark.read.parquet(path)
-    pruned = filter_dates(raw, "1996-03-05", "1996-04-20")
+    from shelfspark.sources.catalog import read_written_catalog
+    path = str(tmp_path / "flat")
+    view = catalog_view(spark, SF_SMALL)
+    write_catalog(view, path)
+    cols = ["category", "final_price", "sold_quantity"]
+    flat = read_written_catalog(spark, path, cols, "1998-01-01", "1998-03-31")
+    assert flat.columns == cols
     import contextlib
     import io
     buf = io.StringIO()
     with contextlib.redirect_stdout(buf):
-        pruned.explain("formatted")
+        flat.explain("formatted")
     parts = [ln for ln in buf.getvalue().splitlines() if ln.startswith("PartitionFilters")]
-    assert parts and ">= 1996-03" in parts[0] and "<= 1996-04" in parts[0]
-    assert pruned.count() == filter_dates(catalog_view(spark, SF_SMALL), "1996-03-05", "1996-04-20").count()
+    assert parts and ">= 1998-01" in parts[0] and "<= 1998-03" in parts[0]
+    key = lambda df: sorted(map(tuple, E.revenue_by(df, "category").collect()))
+    assert key(flat) == key(filter_dates(view, "1998-01-01", "1998-03-31"))
+    from shelfspark.operators.engineer import engineer_pre_launch
+    assert filter_dates(engineer_pre_launch(view, "1995-01-01", keep=("date_added",)), "1998-01-01").count() > 0
+
+
+def test_dangling_keys_lose_no_rows(spark, tmp_path):
+    from shelfspark.operators import insights as E
+    from shelfspark.operators import questions as Q
+    for name in ("lineitem", "part", "supplier", "orders", "customer", "nation"):
+        df = spark.read.parquet(f"{SF_SMALL}/{name}.parquet")
+        (df.where("p_partkey > 5") if name == "part" else df).write.parquet(str(tmp_path / f"{name}.parquet"))
+    full = catalog_view(spark, str(tmp_path))
+    n = spark.read.parquet(f"{SF_SMALL}/lineitem.parquet").count()
+    assert full.count() == n == catalog_view(spark, str(tmp_path), ["product_id"]).count()
+    cols = ["category", "final_price", "sold_quantity"]
+    view = catalog_view(spark, str(tmp_path), cols).fillna("?", ["category"])
+    total = Q.total_revenue(catalog_view(spark, str(tmp_path), cols[1:])).first()[0]
+    assert abs(total - sum(r["revenue"] for r in E.revenue_by(view, "category").collect())) < 1e-3
 
 
 def test_csv_integers_written_as_floats(spark, tmp_path):
