@@ -69,7 +69,8 @@ def op4_url_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op6_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quotes.link_quotes(table(spark, sf_dir, "conversations"))
+    """``parent_turn`` is -1 without a resolved quote."""
+    return quotes.link_quotes(table(spark, sf_dir, "conversations")).fillna(-1, ["parent_turn"])
 
 
 @_query
@@ -78,13 +79,19 @@ def quoted_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     chat = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
     quote = F.regexp_replace(F.concat(F.lit("\n"), before), "\n", "\n> ")
-    return quotes.link_quotes(chat.withColumn("text", F.when(before.isNotNull(), F.concat(F.lit("On Monday, they wrote:"), quote, F.lit("\n\n"), "text"))
+    threads = quotes.link_quotes(chat.withColumn("text", F.when(before.isNotNull(), F.concat(F.lit("On Monday, they wrote:"), quote, F.lit("\n\n"), "text"))
                                               .otherwise(F.col("text"))))
+    return threads.fillna(-1, ["parent_turn"])
 
 
 _OWN = r"regexp_replace(text, '^[\x20\t\n\x0b\f\r]+|[\x20\t\n\x0b\f\r]+$', '', 'g')"
 ORACLES["op6_quotation_linking"] = f"""
-SELECT conv_id, turn, role, {_OWN} AS body, NULL::BIGINT AS parent_turn, turn AS root_turn, 0::BIGINT AS depth,
+SELECT conv_id, turn, role, {_OWN} AS body, -1::BIGINT AS parent_turn, turn AS root_turn, 0::BIGINT AS depth,
   row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS position
 FROM conversations
 """
+ORACLES["quoted_replies"] = f"""
+SELECT conv_id, turn, role, {_OWN} AS body, coalesce(lag(turn) OVER w, -1) AS parent_turn, first_value(turn) OVER w AS root_turn,
+  row_number() OVER w - 1 AS depth, row_number() OVER w AS position
+FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)
+"""

@@ -41,4 +41,4 @@ def test_one_line_said_and_quoted_everywhere(spark):
 
 def test_quoting_the_turn_before_gives_chains(spark):
     for x in Q.QUERIES["quoted_replies"](spark, SF_SMALL).collect():
-        assert (x["parent_turn"], x["root_turn"], x["depth"]) == ((x["turn"] - 1, 0, x["turn"]) if x["turn"] else (None, 0, 0))
+        assert (x["parent_turn"], x["root_turn"], x["depth"]) == ((x["turn"] - 1, 0, x["turn"]) if x["turn"] else (-1, 0, 0))
