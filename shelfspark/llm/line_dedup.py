@@ -91,7 +91,8 @@ def repeated_windows(lines: DataFrame) -> DataFrame:
 
     Order is by id, then text hash, then line. Rows that repeat id and text are one document.
     """
-    often = lines.groupBy("line", "check").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("line", "check")
+    # written, so that the join below shuffles both sides itself and can split a very common line
+    often = pinned(lines.groupBy("line", "check").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("line", "check"))
     live = lines.join(often, ["line", "check"]).dropDuplicates([*_DOC, "seq"])
     in_doc = Window.partitionBy(*_DOC).orderBy("seq")
     # a stretch of live lines: windows over a line that occurs once are not repeated
