@@ -159,19 +159,19 @@ def param_grid(estimator: Estimator, grid: Mapping[str, Sequence]) -> list:
 
 
 def grid_search(features: DataFrame, estimator: Estimator, grid: Mapping[str, Sequence],
-                fold_col: str = "fold", parallelism: int = 2, maps: list | None = None):
-    """K-fold cross-validation (folds from ``assign_folds``) scored by macro-F1."""
+                fold_col: str = "fold", parallelism: int = 2, maps: list | None = None, folds: int = 3):
+    """Cross-validation over ``folds`` folds (from ``assign_folds``) scored by macro-F1."""
     cv = CrossValidator(estimator=estimator, estimatorParamMaps=maps or param_grid(estimator, grid),
-                        evaluator=MacroF1Evaluator(), foldCol=fold_col, parallelism=parallelism, seed=SEED)
+                        evaluator=MacroF1Evaluator(), numFolds=folds, foldCol=fold_col, parallelism=parallelism, seed=SEED)
     return cv.fit(features)
 
 
 def random_search(features: DataFrame, estimator: Estimator, grid: Mapping[str, Sequence], n: int,
-                  seed: int = SEED, fold_col: str = "fold", parallelism: int = 2):
+                  seed: int = SEED, fold_col: str = "fold", parallelism: int = 2, folds: int = 3):
     """Cross-validate ``n`` parameter maps drawn (seeded) from the full grid."""
     maps = param_grid(estimator, grid)
     picked = random.Random(seed).sample(maps, min(n, len(maps)))
-    return grid_search(features, estimator, grid, fold_col, parallelism, maps=picked)
+    return grid_search(features, estimator, grid, fold_col, parallelism, maps=picked, folds=folds)
 
 
 def best_params(cv_model, grid: Mapping[str, Sequence]) -> DataFrame:
@@ -230,7 +230,7 @@ def logistic_grid(n_weight: float, cs=LOGISTIC_C) -> dict:
 
 
 def tune(features: DataFrame, kind: str, fold_col: str = "fold", parallelism: int = 4,
-         random_maps: int | None = None, seed: int = SEED):
+         random_maps: int | None = None, seed: int = SEED, folds: int = SEARCH_FOLDS):
     """I6/I7 with the reference's search spaces: ``kind`` is 'boosted', 'forest' or
     'logistic'; ``random_maps`` draws that many maps (randomised search) instead of
     the full grid. ``features`` has features, label, weight and fold columns."""
@@ -244,5 +244,5 @@ def tune(features: DataFrame, kind: str, fold_col: str = "fold", parallelism: in
     else:
         raise ValueError(f"unknown model kind {kind!r}")
     if random_maps:
-        return random_search(features, est, grid, random_maps, seed, fold_col, parallelism), grid
-    return grid_search(features, est, grid, fold_col, parallelism), grid
+        return random_search(features, est, grid, random_maps, seed, fold_col, parallelism, folds), grid
+    return grid_search(features, est, grid, fold_col, parallelism, folds=folds), grid

@@ -130,6 +130,13 @@ def test_production_training_roundtrip(spark, tmp_path):
     runs = I.production_training(cat, str(tmp_path / "models"), str(tmp_path / "runs"), "exp",
                                  FIXTURE_REF_DATE, small, small)
     assert set(runs) == {"pre_launch_model", "post_launch_model"}
+    paths = set()
+    for name, feats in (("pre_launch_model", C.engineer_pre_launch(cat, FIXTURE_REF_DATE)),
+                        ("post_launch_model", C.engineer_post_launch(cat, FIXTURE_REF_DATE))):
+        own = store.require_latest_model(spark, str(tmp_path / "runs"), "exp", name)
+        assert K.score(own, feats).count() == cat.count()
+        paths.add(store.latest_run(store.read_runs(spark, str(tmp_path / "runs")), "exp", name).first()["model_path"])
+    assert len(paths) == 2 and all(any(run in x for x in paths) for run in runs.values())
     model = store.require_latest_model(spark, str(tmp_path / "runs"), "exp")
     latest = store.latest_run(store.read_runs(spark, str(tmp_path / "runs")), "exp").first()
     assert latest["params"]["rounds"] == "2"
@@ -167,7 +174,7 @@ def test_tune_logistic(spark):
     folded = H.with_class_weights(H.assign_folds(f, k=3))
     enc = I.fit_pipeline(folded, CATEGORICAL, PRE_NUMERIC, None)
     data = enc.transform(folded).select("features", F.col("label").cast("double"), "weight", "fold").cache()
-    cv, grid = I.tune(data, "logistic", random_maps=2)
+    cv, grid = I.tune(data, "logistic", random_maps=2, folds=3)
     assert len(cv.avgMetrics) == 2 and I.best_params(cv, grid).count() == 1
 
 

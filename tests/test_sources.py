@@ -73,9 +73,21 @@ def test_display_text(spark):
 
 
 def test_takeaway_text(spark):
-    cat = catalog_view(spark, SF_SMALL, ["category", "final_price", "sold_quantity"])
-    t = E.revenue_by_takeaway(E.revenue_by(cat, "category"), "category")
-    assert "leads at" in L.takeaway_text(t, "category").first()[0]
+    c = catalog_view(spark, SF_SMALL)
+    points = E.speed_vs_rating(c)
+    rows = {
+        "monthly": E.monthly_takeaway(E.monthly_trend(c)), "category": E.revenue_by_takeaway(E.revenue_by(c, "category"), "category"),
+        "pareto": E.pareto_takeaway(E.pareto(c)), "city": E.city_takeaway(E.city_revenue(c)),
+        "grid": E.grid_weakest(E.cross_grid(c)), "delivery": E.delivery_takeaway(E.delivery_by_city(c)),
+        "quadrant": E.quadrant_counts(E.demand_supply_quadrant(c)), "discount": E.discount_takeaway(E.discount_margin(c)),
+        "offer": E.offer_takeaway(E.offer_effect(c)), "rating": E.rating_takeaway(E.rating_by(c)),
+        "speed": E.speed_takeaway(points), "scorecard": E.scorecard_takeaway(E.scorecard(c)),
+        "stock": E.sold_vs_stock_takeaway(E.sold_vs_stock(c)),
+    }
+    for kind, row in rows.items():
+        text = L.takeaway_text(row, kind).first()[0]
+        assert text and "null" not in text, kind
+    assert rows["category"].first()["top"] in L.takeaway_text(rows["category"], "category").first()[0]
 
 
 def test_write_catalog_roundtrip(spark, tmp_path):
