@@ -122,8 +122,8 @@ def repeated_windows(lines: DataFrame) -> DataFrame:
     both = pinned(both.join(at, [*_DOC, "seq"]).withColumn("tail", F.get("ranks", F.col("j"))).select(
         *_DOC, "start", "m", "head", "tail"))
     place = F.struct(*_DOC, "start")
-    interval = (both.groupBy("m", "head", "tail").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
-                .where("n > 1").drop("n"))
+    interval = pinned(both.groupBy("m", "head", "tail").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
+                      .where("n > 1").drop("n"))  # written for the same reason
     return both.join(interval, ["m", "head", "tail"]).where(place != F.col("first")).select(*_DOC, "start", "m")
 
 
