@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfspark.functions.features import RATING_CUT, high_rating
-from shelfspark.plans.quantiles import moments_from_frequencies, quantiles_from_frequencies, value_frequencies
+from shelfspark.plans.quantiles import bucket_quantiles, numeric_bounds
+from shelfspark.plans.reuse import materialize_small
 
 QUARTILES = (0.25, 0.5, 0.75)
 
@@ -59,12 +60,11 @@ def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None, approx: b
     """Count, mean, sample std, min, interpolated quartiles, max per numeric column
     (nulls and NaN skipped).
 
-    Exact (default): one scan; value frequencies per column (partial aggregate
-    before the shuffle, then a distributed running count) feed both the moments
-    and the quartiles; no column is ever held in one task. For continuous columns
-    the frequency table is about as large as the data, so at very large scale
-    ``approx=True`` uses one aggregation with ``percentile_approx`` (bounded
-    memory per column, rank error about 1 / ``accuracy``) instead.
+    Exact (default): the numeric columns are written once (the input is usually a join);
+    one plain aggregate gives the moments, and the quartiles come from bucket refinement
+    (``plans.quantiles``), which shuffles only the values of the few buckets that hold them.
+    ``approx=True`` uses one aggregation with ``percentile_approx`` (rank error about
+    1 / ``accuracy``) instead.
     """
     cols = _numeric(df, cols)
     if approx:
@@ -79,11 +79,12 @@ def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None, approx: b
                                     F.col(f"_lo{i}").alias("min"), F.col(f"_q{i}")[0].alias("q25"),
                                     F.col(f"_q{i}")[1].alias("q50"), F.col(f"_q{i}")[2].alias("q75"),
                                     F.col(f"_hi{i}").alias("max")) for i, c in enumerate(cols)])
-    cum = value_frequencies(df, cols)
-    q = quantiles_from_frequencies(cum, QUARTILES)
+    narrow = materialize_small(df.select(*cols))
+    bounds = materialize_small(numeric_bounds(narrow, cols))
+    q = bucket_quantiles(narrow, bounds, cols, QUARTILES)
     qw = q.groupBy("column").agg(*[F.max(F.when(F.col("prob") == p, F.col("value"))).alias(name)
                                    for p, name in zip(QUARTILES, ("q25", "q50", "q75"))])
-    return (moments_from_frequencies(cum).join(qw, "column", "left")
+    return (bounds.join(qw, "column", "left")
             .select("column", "count", "mean", "std", "min", "q25", "q50", "q75", "max"))
 
 

@@ -4,63 +4,60 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfspark.plans.reuse import materialize_small
 from shelfspark.plans.windows import running_sum
 
 
-def value_frequencies(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """``(column, value, n, upto)``: count of each distinct non-null, non-NaN value per
-    column and the running count up to it in ascending value order.
-
-    Unpivot -> partial aggregate per (column, value) before the shuffle ->
-    distributed running count (checkpointed, so later readers do not rescan).
-    """
-    long = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in cols
-    ])).alias("cv")).select("cv.column", "cv.value").where(F.col("value").isNotNull() & ~F.isnan("value"))
-    freq = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-    return running_sum(freq, "n", [F.col("value").asc()], partition=["column"], out="upto")
+BUCKETS = 4096
 
 
-def quantiles_from_frequencies(cum: DataFrame, probs: Sequence[float]) -> DataFrame:
-    """``(column, prob, value)``: linear-interpolated quantiles (pandas / percentile_cont).
+def numeric_bounds(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """``(column, count, mean, std, min, max)`` from one plain aggregate; nulls and NaN skipped."""
+    x = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in cols}
+    row = df.agg(*[e for i, c in enumerate(cols) for e in (
+        F.count(x[c]).alias(f"_n{i}"), F.avg(x[c]).alias(f"_m{i}"), F.stddev_samp(x[c]).alias(f"_s{i}"),
+        F.min(x[c]).alias(f"_lo{i}"), F.max(x[c]).alias(f"_hi{i}"))])
+    return row.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(f"_n{i}").alias("count"), F.col(f"_m{i}").alias("mean"),
+                 F.col(f"_s{i}").alias("std"), F.col(f"_lo{i}").alias("min"), F.col(f"_hi{i}").alias("max"))
+        for i, c in enumerate(cols)]))).where("count > 0")
 
-    Position ``p * (n - 1)`` in the sorted values, interpolated between its
-    neighbours; the two order statistics are picked with a join against the
-    position table (len(cols) * len(probs) rows: broadcast, its size is fixed by
-    the arguments; the column key has few values, so it must not be shuffled).
-    """
-    totals = cum.groupBy("column").agg(F.sum("n").alias("total"))
-    pos = totals.select("column", "total", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob"))
-    pos = pos.select("column", "prob", (F.col("prob") * (F.col("total") - 1)).alias("pos"))
-    pos = pos.select("column", "prob", "pos", F.floor("pos").alias("lo"), F.ceil("pos").alias("hi"))
-    # the value at 0-based rank r is the distinct value with upto - n <= r < upto
-    at_lo = (F.col("upto") - F.col("n") <= F.col("lo")) & (F.col("lo") < F.col("upto"))
-    at_hi = (F.col("upto") - F.col("n") <= F.col("hi")) & (F.col("hi") < F.col("upto"))
-    picked = (cum.join(F.broadcast(pos), "column").where(at_lo | at_hi)
-              .groupBy("column", "prob", "pos", "lo")
-              .agg(F.max(F.when(at_lo, F.col("value"))).alias("v_lo"),
-                   F.max(F.when(at_hi, F.col("value"))).alias("v_hi")))
-    frac = F.col("pos") - F.col("lo")
-    return picked.select("column", "prob",
-                         (F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * frac).alias("value"))
 
+def bucket_quantiles(df: DataFrame, bounds: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """``(column, prob, value)``: exact interpolated quantiles by bucket refinement.
 
-def moments_from_frequencies(cum: DataFrame) -> DataFrame:
-    """``(column, count, mean, std, min, max)`` from value frequencies; the sample
-    standard deviation uses the two-pass sum of squared deviations (stable)."""
-    m = cum.groupBy("column").agg(F.sum("n").alias("count"),
-                                  (F.sum(F.col("n") * F.col("value")) / F.sum("n")).alias("mean"),
-                                  F.min("value").alias("min"), F.max("value").alias("max"))
-    dev = (cum.join(F.broadcast(m.select("column", F.col("mean").alias("_mean"))), "column")  # one row per column
-           .groupBy("column")
-           .agg(F.sum(F.col("n") * (F.col("value") - F.col("_mean")) * (F.col("value") - F.col("_mean"))).alias("ss")))
-    return m.join(dev, "column").select(
-        "column", "count", "mean", F.sqrt(F.try_divide(F.col("ss"), F.col("count") - 1)).alias("std"), "min", "max")
+    A histogram of ``BUCKETS`` equal-width buckets per column (at most columns x BUCKETS rows
+    from each task) tells which buckets hold the wanted ranks; only the values of those
+    buckets are counted, shuffled and ranked. ``df`` is read twice, so write it before if
+    it is a join. ``bounds``: ``numeric_bounds``, one row per column.
+    """
+    lo_hi = F.broadcast(bounds.select("column", "min", "max"))  # one row per column
+    long = (df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in cols])))
+            .where(F.col("value").isNotNull() & ~F.isnan("value")).join(lo_hi, "column"))
+    # a constant column, or an infinite bound: one bucket
+    share = F.nanvl(F.coalesce(F.try_divide(F.col("value") - F.col("min"), F.col("max") - F.col("min")), F.lit(0.0)), F.lit(0.0))
+    long = long.select("column", "value", F.least(F.floor(share * BUCKETS), F.lit(BUCKETS - 1)).cast("int").alias("bucket"))
+    hist = materialize_small(long.groupBy("column", "bucket").agg(F.count(F.lit(1)).alias("n")))
+    up_to = Window.partitionBy("column").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    hist = hist.withColumn("before", F.sum("n").over(up_to) - F.col("n"))  # at most BUCKETS rows per column
+    rank = F.col("prob") * (F.col("count") - 1)
+    wanted = (bounds.select("column", "count", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob"))
+              .select("column", "prob", rank.alias("pos"), F.explode(F.array(F.floor(rank), F.ceil(rank))).alias("rank")))
+    places = materialize_small(wanted.join(hist, "column").where((F.col("before") <= F.col("rank")) & (F.col("rank") < F.col("before") + F.col("n")))
+                               .select("column", "bucket", "before", "prob", "pos", "rank").distinct())
+    targets = F.broadcast(places.select("column", "bucket").distinct())  # two per column and probability at most
+    counts = long.join(targets, ["column", "bucket"]).groupBy("column", "bucket", "value").agg(F.count(F.lit(1)).alias("n"))
+    ranked = running_sum(counts, "n", [F.col("value").asc()], partition=["column", "bucket"], out="upto")
+    low = F.col("before") + F.col("upto") - F.col("n")
+    found = (ranked.join(F.broadcast(places), ["column", "bucket"]).where((low <= F.col("rank")) & (F.col("rank") < F.col("before") + F.col("upto"))))
+    both = found.groupBy("column", "prob", "pos").agg(F.min_by("value", "rank").alias("v_lo"), F.max_by("value", "rank").alias("v_hi"))
+    return both.select("column", "prob", (F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * (F.col("pos") - F.floor("pos"))).alias("value"))
 
 
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> DataFrame:
     """``(column, prob, value)``: exact interpolated quantiles of each column, nulls skipped."""
-    return quantiles_from_frequencies(value_frequencies(df, cols), probs)
+    narrow = materialize_small(df.select(*cols))
+    return bucket_quantiles(narrow, materialize_small(numeric_bounds(narrow, cols)), cols, probs)
