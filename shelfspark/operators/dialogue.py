@@ -64,11 +64,10 @@ def drop_exchange(log: DataFrame, conv_id, k: int, part: str = "conv_id", order:
     pair ``k`` as found by ``pair_exchanges``; only ``k + 1`` pairs are ranked.
     """
     pairs = pair_exchanges(log.where(F.col(part) == F.lit(conv_id)), part, order)
-    kth = pairs.orderBy("turn").limit(k + 1).agg(F.max(F.struct("turn", "answer_turn")).alias("p"))
-    target = kth.select(F.explode(F.array(F.col("p.turn"), F.col("p.answer_turn"))).alias(order)) \
+    first = pairs.orderBy("turn").limit(k + 1).agg(F.max(F.struct("turn", "answer_turn")).alias("p"),
+                                                   F.count(F.lit(1)).alias("n")).where(F.col("n") > k)
+    target = first.select(F.explode(F.array(F.col("p.turn"), F.col("p.answer_turn"))).alias(order)) \
         .withColumn(part, F.lit(conv_id))
-    has_k = pairs.orderBy("turn").limit(k + 1).agg(F.count(F.lit(1))).scalar() > k
-    target = target.where(has_k)
     return log.join(F.broadcast(target), [part, order], "left_anti")  # at most two rows
 
 
@@ -114,10 +113,14 @@ def answer_outcome(df: DataFrame) -> DataFrame:
 
 
 def screen_answers(log: DataFrame) -> DataFrame:
-    """G4+G5+G6 over assistant rows: extracted code, unsafe patterns, outcome."""
+    """G4+G5+G6 over assistant rows: extracted code, unsafe patterns, outcome.
+
+    ``display_table`` and ``n_result_rows`` come from the log if it has them (else no table).
+    """
     a = extract_code(log.where(F.col("role") == "assistant"), "content", "code")
     a = flag_unsafe_code(a, "code")
     a = a.withColumn("error", F.when(F.col("unsafe"), F.lit(BLOCKED_MESSAGE)))
-    a = a.withColumn("display_table", F.lit(False)).withColumn("n_result_rows", F.lit(0))
+    for c, absent in (("display_table", F.lit(False)), ("n_result_rows", F.lit(0))):
+        a = a if c in log.columns else a.withColumn(c, absent)
     return answer_outcome(a).select("conv_id", "turn", F.length("code").alias("code_chars"),
                                     F.size("unsafe_patterns").alias("n_unsafe"), "unsafe", "outcome")

@@ -96,7 +96,8 @@ def class_thresholds(df: DataFrame, label: str = "label", key: str = "product_id
     """
     base = df.select(F.col(label).alias("_y"), F.col(key).cast("string").alias("_k"),
                      hash_order(key, seed).alias("_h"))
-    base = base.withColumn("_b", F.substring("_h", 1, digits))
+    # narrow and written once: the histogram and the boundary buckets both read it
+    base = materialize_small(base.withColumn("_b", F.substring("_h", 1, digits)))
     hist = base.groupBy("_y", "_b").agg(F.count(F.lit(1)).alias("_n"))
     # cumulative bucket counts per class, distributed (the histogram of one class can
     # hold up to 16^digits rows, so it is not windowed in one task)

@@ -246,6 +246,27 @@ def q_screen(spark, sf):
     return G.screen_answers(_log(spark, sf))
 
 
+FENCED_SQL = """(SELECT conv_id, turn, role, CASE conv_id % 4
+  WHEN 0 THEN 'Run this:' || chr(10) || '```python' || chr(10) || text || chr(10) || '```' || chr(10) || 'Done.'
+  WHEN 1 THEN '```python' || chr(10) || 'import os' || chr(10) || text || '``` and ```python' || chr(10) || 'x```'
+  WHEN 2 THEN '```python' || chr(10) || '  ' || chr(10) || '```' ELSE '```' || text || '```' END AS text FROM conversations)"""
+
+
+@register("answer_screen_fenced", _screen_sql().replace("FROM conversations", f"FROM {FENCED_SQL} AS f").replace(
+    "ELSE 'text' END", "WHEN turn % 3 = 0 AND turn > 3 THEN 'table' ELSE 'text' END"))
+def q_screen_fenced(spark, sf):
+    """G5, G6 on answers with code fences (also empty, unsafe, repeated and unnamed ones) and tables,
+    derived from ``conversations``."""
+    nl, text = "\n", F.col("content")
+    kind = F.col("conv_id") % 4
+    fenced = (F.when(kind == 0, F.concat(F.lit(f"Run this:{nl}```python{nl}"), text, F.lit(f"{nl}```{nl}Done.")))
+              .when(kind == 1, F.concat(F.lit(f"```python{nl}import os{nl}"), text, F.lit(f"``` and ```python{nl}x```")))
+              .when(kind == 2, F.lit(f"```python{nl}  {nl}```")).otherwise(F.concat(F.lit("```"), text, F.lit("```"))))
+    log = _log(spark, sf).withColumns({"content": fenced, "display_table": F.col("turn") % 3 == 0,
+                                       "n_result_rows": F.greatest(F.col("turn") - 3, F.lit(0))})
+    return G.screen_answers(log)
+
+
 # ------------------------------------------------------------------ H
 def _labelled(spark, sf):
     return cat(spark, sf, "product_id", "rating").select("product_id", high_rating().alias("label"))
