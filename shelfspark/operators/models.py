@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import random
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import Evaluator
@@ -22,8 +24,9 @@ from pyspark.sql import functions as F
 
 from shelfspark.functions.features import REFERENCE_DATE
 from shelfspark.operators.engineer import engineer_post_launch, engineer_pre_launch
-from shelfspark.operators.evaluate import classification_metrics
-from shelfspark.operators.prep import assemble_scaled, ordinal_encoder, with_class_weights
+from shelfspark.operators.evaluate import classification_metrics, compare_models
+from shelfspark.operators.prep import assemble_scaled, hash_order, ordinal_encoder, with_class_weights
+from shelfspark.plans.reuse import materialize_small
 from shelfspark.session import spread
 from shelfspark.schemas import CATEGORICAL, POST_CATEGORICAL, POST_NUMERIC, PRE_NUMERIC
 
@@ -174,6 +177,54 @@ def random_search(features: DataFrame, estimator: Estimator, grid: Mapping[str,
     return grid_search(features, estimator, grid, fold_col, parallelism, maps=picked, folds=folds)
 
 
+@dataclass(frozen=True)
+class Searched:
+    """What ``best_params`` reads of a search: the mean metric of every parameter map."""
+
+    avgMetrics: list[float]
+    maps: list
+
+    def getEstimatorParamMaps(self) -> list:
+        return self.maps
+
+
+def bounded_search(features: DataFrame, estimator: Estimator, maps: list, train_rows: int, key: str,
+                   fold_col: str = "fold", parallelism: int = 4, folds: int = SEARCH_FOLDS) -> Searched:
+    """I6 on tables of any size: in each fold the maps learn from the first ``train_rows`` rows,
+    in hash order, of the other folds, and every row of the fold is scored.
+
+    Metrics are one distributed macro-F1 aggregate over all rows of all folds and maps.
+    """
+    spark = features.sparkSession
+    order = [hash_order(key), F.col(key)]
+    learn, parts = [], []
+    for f in range(folds):
+        first = features.where(F.col(fold_col) != f).orderBy(*order).limit(train_rows)
+        learn.append(materialize_small(first.repartition(4)).persist(StorageLevel.MEMORY_AND_DISK))
+    try:
+        jobs = [(f, i) for f in range(folds) for i in range(len(maps))]
+        fit = inheritable_thread_target(spark)(lambda job: estimator.fit(learn[job[0]], maps[job[1]]))
+        with ThreadPool(min(parallelism, len(jobs))) as pool:
+            models = dict(zip(jobs, pool.map(fit, jobs, chunksize=1), strict=True))
+    finally:
+        for rows in learn:
+            rows.unpersist()
+    for f in range(folds):
+        held = features.where(F.col(fold_col) == f).select("features", "label")
+        for i in range(len(maps)):
+            model = models[f, i].copy({p: "" for p in (models[f, i].rawPredictionCol, models[f, i].probabilityCol)})
+            held = model.setPredictionCol(f"_p{i}").transform(held)
+        tried = F.array(*[F.struct(F.lit(f"{f}:{i}").alias("model"), F.col(f"_p{i}").alias("prediction")) for i in range(len(maps))])
+        parts.append(held.select("label", F.inline(tried)))
+    scored = parts[0]
+    for p in parts[1:]:
+        scored = scored.unionByName(p)
+    metric = {r["model"]: r["macro_f1"] for r in compare_models(scored).collect()}
+    # a fold without rows has no metric
+    of_map = [[m for f in range(folds) if (m := metric.get(f"{f}:{i}")) is not None] for i in range(len(maps))]
+    return Searched([sum(ms) / len(ms) for ms in of_map], maps)
+
+
 def best_params(cv_model, grid: Mapping[str, Sequence]) -> DataFrame:
     """I8: (param, tried, best, mean cross-validated macro-F1 of the best map)."""
     from pyspark.sql import SparkSession
@@ -230,10 +281,12 @@ def logistic_grid(n_weight: float, cs=LOGISTIC_C) -> dict:
 
 
 def tune(features: DataFrame, kind: str, fold_col: str = "fold", parallelism: int = 4,
-         random_maps: int | None = None, seed: int = SEED, folds: int = SEARCH_FOLDS):
+         random_maps: int | None = None, seed: int = SEED, folds: int = SEARCH_FOLDS,
+         train_rows: int | None = None, key: str = "product_id"):
     """I6/I7 with the reference's search spaces: ``kind`` is 'boosted', 'forest' or
     'logistic'; ``random_maps`` draws that many maps (randomised search) instead of
-    the full grid. ``features`` has features, label, weight and fold columns."""
+    the full grid. ``features`` has features, label, weight and fold columns. With
+    ``train_rows`` (and a ``key`` column) each fit is bounded as in ``bounded_search``."""
     if kind == "boosted":
         est, grid = boosted(), BOOSTED_GRID
     elif kind == "forest":
@@ -243,6 +296,11 @@ def tune(features: DataFrame, kind: str, fold_col: str = "fold", parallelism: in
         est, grid = logistic(1.0, 1.0, max_iter=LOGISTIC_SEARCH_MAX_ITER), logistic_grid(n)
     else:
         raise ValueError(f"unknown model kind {kind!r}")
+    if train_rows:
+        maps = param_grid(est, grid)
+        if random_maps:
+            maps = random.Random(seed).sample(maps, min(random_maps, len(maps)))
+        return bounded_search(features, est, maps, train_rows, key, fold_col, parallelism, folds), grid
     if random_maps:
         return random_search(features, est, grid, random_maps, seed, fold_col, parallelism, folds), grid
     return grid_search(features, est, grid, fold_col, parallelism, folds=folds), grid

@@ -86,13 +86,13 @@ def q_linear(spark, sf):
 
 @register("logistic_grid_search", None)
 def q_grid(spark, sf):
-    """The reference's search: its C values, five folds, its iteration cap."""
-    rows = H.with_class_weights(_sample(_features(spark, sf, "pre")), "label")
-    folded = materialize_small(H.assign_folds(rows, "label", "product_id", I.SEARCH_FOLDS, 42))
-    enc = I.fit_pipeline(folded, CATEGORICAL, PRE_NUMERIC, None)
-    data = materialize_small(enc.transform(folded).select("features", F.col("label").cast("double"), "weight", "fold")
-                             .coalesce(_TRAIN_PARTITIONS))
-    cv, grid = I.tune(data, "logistic")
+    """The reference's search: its C values, five folds, its iteration cap. Weights, folds,
+    encoding and held-out scores cover all rows; a fold's fits learn from ``TRAIN_ROWS``."""
+    folded = materialize_small(H.assign_folds(_features(spark, sf, "pre"), "label", "product_id", I.SEARCH_FOLDS, 42))
+    rows = H.with_class_weights(folded, "label")
+    enc = I.fit_pipeline(rows, CATEGORICAL, PRE_NUMERIC, None)
+    data = materialize_small(enc.transform(rows).select("product_id", "features", F.col("label").cast("double"), "weight", "fold"))
+    cv, grid = I.tune(data, "logistic", train_rows=TRAIN_ROWS)
     return I.best_params(cv, grid)
 
 

@@ -204,3 +204,30 @@ def test_stream_in_several_micro_batches(spark, model, feats, tmp_path):
     streamed = spark.read.parquet(sink).select("product_id", "probability").orderBy("product_id").collect()
     batch = score_stream(model, spark.read.parquet(src)).select("product_id", "probability").orderBy("product_id").collect()
     assert streamed == batch
+
+
+def test_bounded_search_scores_every_held_out_row(spark):
+    f = C.engineer_pre_launch(catalog_view(spark, SF_SMALL), FIXTURE_REF_DATE, keep=("product_id",))
+    folded = H.with_class_weights(H.assign_folds(f, k=3))
+    enc = I.fit_pipeline(folded, CATEGORICAL, PRE_NUMERIC, None)
+    data = enc.transform(folded).select("product_id", "features", F.col("label").cast("double"), "weight", "fold").cache()
+    est, maps = I.logistic(), I.param_grid(I.logistic(), {"regParam": [1e-3, 1.0]})
+    got = I.bounded_search(data, est, maps, 200, "product_id", folds=3).avgMetrics
+    for i, m in enumerate(maps):
+        f1 = []
+        for k in range(3):
+            first = data.where(F.col("fold") != k).orderBy(H.hash_order("product_id"), "product_id").limit(200)
+            held = data.where(F.col("fold") == k)
+            f1.append(J.classification_metrics(est.fit(first, m).transform(held)).first()["macro_f1"])
+        assert abs(got[i] - sum(f1) / 3) < 1e-9
+
+
+def test_grid_search_query_covers_all_rows(spark, monkeypatch):
+    from shelfspark.plans import queries_ml as Q
+    seen = []
+    tune = I.tune
+    monkeypatch.setattr(Q, "TRAIN_ROWS", 300)
+    monkeypatch.setattr(I, "tune", lambda data, *a, **kw: seen.append(data) or tune(data, *a, **kw))
+    assert Q.q_grid(spark, SF_SMALL).count() == 1
+    n = catalog_view(spark, SF_SMALL).count()
+    assert n > 300 and seen[0].count() == n and abs(seen[0].agg(F.sum("weight")).first()[0] - n) < 1e-6
