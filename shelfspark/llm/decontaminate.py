@@ -1,15 +1,15 @@
 """Benchmark decontamination by the q-gram lemma.
 
-A benchmark item is cut into overlapping segments. Texts that align with a segment of
-length L with at most k edits share at least L - q + 1 - k q of its q-grams, all within
-k neighbouring diagonals (text position minus segment position). So shared q-grams are
-counted in overlapping diagonal bands, bands that reach the bound are kept, and a banded
-alignment verifies them.
+A benchmark item's segments are its stretches of a fixed length at every offset. Texts that
+align with a segment of length L with at most k edits share at least L - q + 1 - k q of its
+q-grams, all within k neighbouring diagonals (text position minus item position). So q-grams
+shared with an item are gathered in overlapping diagonal bands, the offsets at which a window
+of segment length holds enough of them are kept, and a banded alignment verifies these.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,10 +27,9 @@ _BLOCK = 32
 
 @dataclass(frozen=True)
 class Leak:
-    """Segment length and step in characters; edits allowed per character of a segment."""
+    """Segment length in characters; edits allowed per character of a segment."""
 
     segment: int = 80
-    step: int = 40
     edit_rate: float = 0.08
     #: Benchmark characters held by one broadcast index; more are searched in further passes.
     block_chars: int = 2_000_000
@@ -60,33 +59,49 @@ def _slot(codes: np.ndarray) -> np.ndarray:
     return ((codes * _MIX) >> np.uint64(64 - _BITS)).astype(np.int64)
 
 
+class Segments(Sequence):
+    """(item, offset in the item, characters) of every segment, cut when asked for."""
+
+    def __init__(self, items: list[tuple[int, str]], first: np.ndarray, length: int):
+        self.items, self.first, self.length = items, first, length
+
+    def __len__(self) -> int:
+        return int(self.first[-1])
+
+    def __getitem__(self, i: int) -> tuple[int, int, str]:
+        if not 0 <= i < len(self):
+            raise IndexError(i)
+        n = int(np.searchsorted(self.first, i, side="right")) - 1
+        (item, text), at = self.items[n], i - int(self.first[n])
+        return item, at, text[at:at + self.length]
+
+
 class Index:
-    """Q-grams of benchmark segments: code -> (segment, offset) postings."""
+    """Q-grams of benchmark items: code -> (item number, offset) postings."""
 
     def __init__(self, items: list[tuple[int, str]], rules: Leak):
         self.rules = rules
-        self.segments: list[tuple[int, int, str]] = []  # item, offset in the item, characters
-        for item, text in items:
-            t = normalise(text)
-            if len(t) < Q:
-                continue
-            at = list(range(0, max(len(t) - rules.segment, 0) + 1, rules.step))
-            if len(t) > rules.segment and at[-1] != len(t) - rules.segment:
-                at.append(len(t) - rules.segment)
-            self.segments += [(item, a, t[a:a + rules.segment]) for a in at]
-        size = np.array([len(s) for _, _, s in self.segments], np.int64)
+        plain = [(item, t) for item, t in ((item, normalise(text)) for item, text in items) if len(t) >= Q]
+        chars = np.array([len(t) for _, t in plain], np.int64)
+        self.longest = int(chars.max(initial=0))
+        self.n_segments = np.maximum(chars - rules.segment, 0) + 1
+        self.first_segment = np.concatenate([[0], np.cumsum(self.n_segments)]).astype(np.int64)
+        self.segments = Segments(plain, self.first_segment, rules.segment)
+        # all segments of an item are equally long
+        self.item_size = np.minimum(chars, rules.segment)
         # at least one shared q-gram must be left over by the budget
-        self.k = np.minimum((rules.edit_rate * size).astype(np.int64), (size - Q) // Q)
-        self.bound = size - Q + 1 - self.k * Q
-        self.k_max = int(self.k.max(initial=0))
-        codes = [qgrams(folded(s))[: len(s) - Q + 1] for _, _, s in self.segments]
+        k = np.minimum((rules.edit_rate * self.item_size).astype(np.int64), (self.item_size - Q) // Q)
+        self.item_bound = self.item_size - Q + 1 - k * Q
+        self.k, self.bound = np.repeat(k, self.n_segments), np.repeat(self.item_bound, self.n_segments)
+        self.k_max = int(k.max(initial=0))
+        codes = [qgrams(folded(t))[: len(t) - Q + 1] for _, t in plain]
         flat = np.concatenate(codes) if codes else np.empty(0, np.uint64)
-        seg = np.repeat(np.arange(len(codes)), [len(c) for c in codes])
+        item = np.repeat(np.arange(len(codes)), [len(c) for c in codes])
         off = np.concatenate([np.arange(len(c)) for c in codes]) if codes else np.empty(0, np.int64)
         order = np.argsort(flat, kind="stable")
         self.codes, first = np.unique(flat[order], return_index=True)
         self.first = np.append(first, len(flat))
-        self.seg, self.off = seg[order].astype(np.int32), off[order].astype(np.int32)
+        self.item, self.off = item[order].astype(np.int32), off[order].astype(np.int32)
         self.present = np.zeros(1 << _BITS, bool)
         self.present[_slot(self.codes)] = True
 
@@ -102,7 +117,7 @@ class Index:
         reach = (self.rules.segment + 2 * (self.k_max + 1)) // _BLOCK + 2
         total = np.concatenate([[0], np.cumsum(blocks)])
         here = np.arange(len(blocks))
-        dense = total[np.minimum(here + reach, len(blocks))] - total[here] >= self.bound.min()
+        dense = total[np.minimum(here + reach, len(blocks))] - total[here] >= self.item_bound.min()
         live = np.flatnonzero(dense)
         if not len(live):
             return none
@@ -116,16 +131,35 @@ class Index:
         pos, at = pos[exact], at[exact]
         n = self.first[at + 1] - self.first[at]
         post = np.repeat(self.first[at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        seg = self.seg[post].astype(np.int64)
-        band = (np.repeat(pos, n) - self.off[post] + self.rules.segment) // (self.k_max + 1)
-        key = np.concatenate([seg << 40 | band, seg << 40 | np.maximum(band - 1, 0)])
-        key, count = np.unique(key, return_counts=True)
-        seg, band = key >> 40, key & ((1 << 40) - 1)
-        ok = count >= self.bound[seg]
-        return seg[ok], band[ok]
-
-    def band_start(self, band: np.ndarray) -> np.ndarray:
-        return band * (self.k_max + 1) - self.rules.segment
+        item, off = self.item[post].astype(np.int64), self.off[post].astype(np.int64)
+        band = (np.repeat(pos, n) - off + self.longest) // (self.k_max + 1)
+        key = np.concatenate([item << 40 | band, item << 40 | np.maximum(band - 1, 0)])
+        off = np.concatenate([off, off])
+        _, where, count = np.unique(key, return_inverse=True, return_counts=True)
+        many = count[where] >= self.item_bound[key >> 40]
+        key, off = key[many], off[many]
+        order = np.lexsort((off, key))
+        key, off = key[order], off[order]
+        # ``bound`` neighbours of a band within one segment length: offsets whose segment holds them all
+        item = key >> 40
+        last = np.arange(len(key)) + self.item_bound[item] - 1
+        inside = last < len(key)
+        last = np.minimum(last, len(key) - 1)
+        span = self.item_size[item] - Q
+        ok = inside & (key[last] == key) & (off[last] - off <= span)
+        key, item, low, high = key[ok], item[ok], np.maximum(off[last] - span, 0)[ok], off[ok]
+        high = np.minimum(high, self.n_segments[item] - 1)
+        # both ends rise within a band: drop what the range before has
+        again = np.flatnonzero(key[1:] == key[:-1]) + 1
+        low[again] = np.maximum(low[again], high[again - 1] + 1)
+        n = np.maximum(high - low + 1, 0)
+        at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        return np.repeat(self.first_segment[item], n) + at, np.repeat(key & ((1 << 40) - 1), n)
+
+    def band_start(self, seg: np.ndarray, band: np.ndarray) -> np.ndarray:
+        """Where each segment starts on its band's first diagonal."""
+        offset = seg - self.first_segment[np.searchsorted(self.first_segment, seg, side="right") - 1]
+        return band * (self.k_max + 1) - self.longest + offset
 
     def verify(self, seg: np.ndarray, regions: list[str], width: int) -> np.ndarray:
         """Fewest edits that turn each segment into a part of its region, moving only along
@@ -163,7 +197,7 @@ class Index:
         if not len(seg):
             return found
         starts = np.array(first)
-        begin = self.band_start(band) - self.k_max
+        begin = self.band_start(seg, band) - self.k_max
         width = 2 * (self.k_max + 1) + 2 * self.k_max
         # a band at a border may belong to either neighbour
         for shift in (0, 1):

@@ -65,3 +65,14 @@ def test_rows_blocks_and_edges(spark):
         kept = D.without_leaks(df, bench, rules=rules)
         assert kept.columns == df.columns and sorted(x["doc_id"] for x in kept.collect()) == [2, 3, 4]
     assert D.leaked_pairs(df, bench.limit(0)).count() == 0 and D.leaked_pairs(df.limit(0), bench).count() == 0
+
+
+def test_passages_cut_at_any_offset():
+    r = random.Random(11)
+    item = " ".join(word(r) for _ in range(80))[:394]
+    index = D.Index([(7, item)], D.Leak())
+    for a in range(0, len(item) - 80, 13):
+        for n in (80, 100, 119):
+            part = D.normalise(item[a:a + n])
+            found = index.search(["zzz zz " + part + " yyy yy"])[0] if len(part) >= 80 else [{"edits": 0}]
+            assert any(x["edits"] == 0 for x in found), (a, n)
