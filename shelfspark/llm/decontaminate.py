@@ -185,20 +185,21 @@ class Index:
         """For each text the verified segments: item, offset in the item, position, edits."""
         found: list[list[dict]] = [[] for _ in texts]
         plain = [normalise(t) if t else "" for t in texts]
-        # NULs between texts: as long as a band, so no band holds q-grams of two texts only
-        gap = np.zeros(Q, np.uint8)
+        width = 2 * (self.k_max + 1) + 2 * self.k_max
+        # NULs between texts: no q-gram holds two texts, and a region that begins before its
+        # text begins in the gap or the text right before, however short that is
+        gap = np.zeros(max(Q, width), np.uint8)
         parts, first, at = [], [], 0
         for t in plain:
             c = folded(t)
             parts += [c, gap]
             first.append(at)
-            at += len(c) + Q
+            at += len(c) + len(gap)
         seg, band = self.candidates(np.concatenate(parts) if parts else gap)
         if not len(seg):
             return found
         starts = np.array(first)
         begin = self.band_start(seg, band) - self.k_max
-        width = 2 * (self.k_max + 1) + 2 * self.k_max
         # a band at a border may belong to either neighbour
         for shift in (0, 1):
             row = np.searchsorted(starts, np.maximum(begin, 0), side="right") - 1 + shift

@@ -76,3 +76,17 @@ def test_passages_cut_at_any_offset():
             part = D.normalise(item[a:a + n])
             found = index.search(["zzz zz " + part + " yyy yy"])[0] if len(part) >= 80 else [{"edits": 0}]
             assert any(x["edits"] == 0 for x in found), (a, n)
+
+
+def test_short_texts_between_leaks():
+    r = random.Random(5)
+    item = " ".join(word(r) for _ in range(40))[:80].strip().ljust(80, "x")
+    index = D.Index([(1, item)], D.Leak())
+    for short in (None, "", " ", "a", "abc"):
+        for shift in range(14):
+            texts = ["w" * shift, short, item, short, short, "q " + item, short, item]
+            found = index.search(texts)
+            assert [[x["edits"] for x in f][:1] for f in found] == [[], [], [0], [], [], [0], [], [0]], (short, shift)
+            alone = {id(t): index.search([t])[0] for t in texts}
+            key = lambda f: {(x["offset"], x["edits"], x["at"]) for x in f}
+            assert all(key(f) == key(alone[id(t)]) for t, f in zip(texts, found, strict=True) if t is item)
