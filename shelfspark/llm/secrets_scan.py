@@ -2,7 +2,8 @@
 
 Ordinary words and identifiers are covered by long vocabulary entries; random strings
 fall apart into pieces of one or two characters. A string with few characters per token
-is therefore reported, once known digests and identifiers are set aside.
+is therefore reported, unless it is a number, a digest, a UUID, or an identifier whose parts
+are all words or pieces that the vocabulary encodes well.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ _UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 _DIGEST = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)")
 #: Hex digits of MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512 digests.
 DIGEST_LENGTHS = frozenset({32, 40, 56, 64, 96, 128})
+_PIECE = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 _IDENTIFIER = re.compile(r"[A-Za-z]+\d{0,4}")
 _KEYWORDS = ("passw", "secret", "token", "api")
 
@@ -68,9 +70,14 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out, key=lambda x: (x[0], x[2]))
 
 
+def is_fixed(s: str) -> bool:
+    """Digests, UUIDs and plain numbers: never reported as random."""
+    return bool(s.isdigit() or _UUID.fullmatch(s) or (len(s) in DIGEST_LENGTHS and _DIGEST.fullmatch(s)))
+
+
 def is_known(s: str) -> bool:
-    """Digests, UUIDs, plain numbers, and names made of words: never reported as random."""
-    if s.isdigit() or _UUID.fullmatch(s) or (len(s) in DIGEST_LENGTHS and _DIGEST.fullmatch(s)):
+    """Fixed kinds, and strings with the shape of a name (``has_known_parts`` tests what it is made of)."""
+    if is_fixed(s):
         return True
     parts = [p for p in re.split(r"[+/_=-]+", s) if p]
     return all(_IDENTIFIER.fullmatch(p) and (p.islower() or p.isupper() or p.istitle() or _camel(p)) or p.isdigit()
@@ -82,13 +89,24 @@ def _camel(s: str) -> bool:
     return len(s) >= 3 * (1 + sum(c.isupper() for c in s[1:])) and not any(c.isdigit() for c in s)
 
 
+def has_known_parts(s: str, encoding, test: TokenTest) -> bool:
+    """Every word of an identifier is one token or reaches the characters per token, in its
+    own or lower case, with or without a space before it."""
+    for p in _PIECE.findall(s):
+        tokens = min(len(encoding.encode_ordinary(v)) for v in {p, f" {p}", p.lower(), f" {p.lower()}"})
+        if tokens > 1 and len(p) < test.max_chars_per_token * tokens:
+            return False
+    return True
+
+
 def random_spans(text: str, encoding, test: TokenTest) -> list[tuple[int, int, int]]:
     out = []
     for m in _LONG.finditer(text):
         s = m.group()
-        if len(s) >= test.min_length and not is_known(s):
+        if len(s) >= test.min_length and not is_fixed(s):
             if len(s) < test.max_chars_per_token * len(encoding.encode_ordinary(s)):
-                out.append((m.start(), m.end(), 3))
+                if not (is_known(s) and has_known_parts(s, encoding, test)):
+                    out.append((m.start(), m.end(), 3))
     return out
 
 

@@ -1,6 +1,6 @@
 import hashlib
 
-from shelfspark.llm.secrets_scan import base_spans, is_known, scan
+from shelfspark.llm.secrets_scan import TokenTest, _encoding, base_spans, is_known, load_ranks, random_spans, scan
 
 
 def test_patterns_leftmost_per_kind():
@@ -38,3 +38,13 @@ def test_rows_and_edges(spark):
     assert got[3][0]["base_sha256"] == hashlib.sha256(b"assign:0:27").hexdigest()
     assert got[None][0]["spans"] == "random:2:22"
     assert scan(df.limit(0)).count() == 0
+
+
+def test_random_letters_are_tested():
+    encoding = _encoding(load_ranks(None))
+    for s in ("qzxv-kjwp-fhgt-rmnb", "xqzjvkwpfhgtrmnb", "QZXV-KJWP-FHGT-RMNB", "zqxjkvbwpfgqhzxcvkjmwqpxzrtgbvnq",
+              "qzxvkjwp1234_fhgtrmnb77"):
+        assert random_spans(f"use {s} here", encoding, TokenTest()) == [(4, 4 + len(s), 3)], s
+    for s in ("some_long_identifier_name", "getSomeLongIdentifierName", "internationalization", "module-name/sub-path2",
+              "a/b/c/d/e/f/g/h/i", "MAX_RETRY_COUNT_2", "2024-01-02/10-20-30", "d41d8cd98f00b204e9800998ecf8427e"):
+        assert random_spans(f"use {s} here", encoding, TokenTest()) == [], s
