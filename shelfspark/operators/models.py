@@ -7,7 +7,7 @@ the driver only loops over a handful of estimators or parameter maps.
 from __future__ import annotations
 
 import random
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
 
@@ -91,13 +91,14 @@ def feature_names(cats: Sequence[str], nums: Sequence[str], suffix: str = "_code
 
 
 def fit_pipeline(df: DataFrame, cats: Sequence[str], nums: Sequence[str], estimator: Estimator | None,
-                 population_std: bool = True) -> PipelineModel:
+                 population_std: bool = True, learn: Callable[[DataFrame], DataFrame] | None = None) -> PipelineModel:
     """Encoder (alphabetical, unseen -> -1) -> assembler -> scaler -> estimator, as one model.
 
     The training rows are persisted for the duration of the fit: the encoder,
     the scaler and the estimator each read them, and the input is usually a join.
     ``population_std`` (default) rescales by sqrt(n / (n - 1)) so features are divided by
     the population standard deviation; without it by the sample one, Spark's own.
+    ``learn`` picks the rows that the estimator learns from; encoder and scaler fit on all.
     """
     owned = not df.is_cached
     data = spread(df).persist(StorageLevel.MEMORY_AND_DISK) if owned else df
@@ -110,23 +111,28 @@ def fit_pipeline(df: DataFrame, cats: Sequence[str], nums: Sequence[str], estima
             factor = (n / (n - 1)) ** 0.5 if n > 1 else 1.0
             stages.append(ElementwiseProduct(inputCol="_scaled", outputCol="features",
                                              scalingVec=Vectors.dense([factor] * len(names))))
-        stages += [estimator] if estimator is not None else []
         rest = Pipeline(stages=stages).fit(enc.transform(data))
+        prep = PipelineModel(stages=list(enc.stages) + list(rest.stages))
+        if estimator is None:
+            return prep
+        fitted = estimator.fit(prep.transform(learn(data) if learn else data))
     finally:
         if owned:
             data.unpersist()
-    return PipelineModel(stages=list(enc.stages) + list(rest.stages))
+    return PipelineModel(stages=[*prep.stages, fitted])
 
 
 def compare_estimators(train: DataFrame, test: DataFrame, named: Mapping[str, Estimator],
-                       cats: Sequence[str], nums: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+                       cats: Sequence[str], nums: Sequence[str], keep: Sequence[str] = (),
+                       learn: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Fit each estimator on ``train``; union of their test predictions with a model column.
 
-    Encoder and scaler are fitted once; every learner reads the same vectors.
+    Encoder and scaler are fitted once; every learner reads the same vectors (of the rows
+    that ``learn`` picks, if given).
     """
     prep = fit_pipeline(train, cats, nums, None)
     wanted = ["features", F.col("label").cast("double").alias("label"), *(["weight"] if "weight" in train.columns else [])]
-    vectors = prep.transform(train).select(*wanted).persist(StorageLevel.MEMORY_AND_DISK)
+    vectors = prep.transform(learn(train) if learn else train).select(*wanted).persist(StorageLevel.MEMORY_AND_DISK)
     held = prep.transform(test)
     out = None
     try:

@@ -2,7 +2,8 @@
 
 Learners run with the reference's settings (``models``' defaults and search spaces). They
 learn from at most ``TRAIN_ROWS`` labelled rows, the first in hash order of the training
-rows; everything else (features, splits, folds, scores, metrics) covers all rows.
+rows; everything else (features, splits, folds, class weights, encoders, scalers, scores,
+metrics) covers all rows.
 """
 
 from __future__ import annotations
@@ -52,18 +53,18 @@ def _post_model(spark, sf) -> PipelineModel:
     if key not in _POST_MODELS:
         train = _split(_features(spark, sf, "post")).where(F.col("split") == "train")
         params = I.POST_LAUNCH_PARAMS
-        _POST_MODELS[key] = I.fit_pipeline(H.with_class_weights(_sample(train), "label"), POST_CATEGORICAL, POST_NUMERIC,
-                                           I.boosted(params["rounds"], params["depth"], params["rate"]))
+        _POST_MODELS[key] = I.fit_pipeline(H.with_class_weights(train, "label"), POST_CATEGORICAL, POST_NUMERIC,
+                                           I.boosted(params["rounds"], params["depth"], params["rate"]), learn=_sample)
     return _POST_MODELS[key]
 
 
 @register("model_comparison", None)
 def q_model_comparison(spark, sf):
     rows = _split(_features(spark, sf, "pre"))
-    train = H.with_class_weights(_sample(rows.where(F.col("split") == "train")), "label")
+    train = H.with_class_weights(rows.where(F.col("split") == "train"), "label")
     n = float(train.agg(F.sum("weight")).first()[0])
     named = {"logistic": I.logistic(1.0, n), "forest": I.forest(), "boosted": I.boosted()}
-    preds = I.compare_estimators(train, rows.where(F.col("split") == "test"), named, CATEGORICAL, PRE_NUMERIC)
+    preds = I.compare_estimators(train, rows.where(F.col("split") == "test"), named, CATEGORICAL, PRE_NUMERIC, learn=_sample)
     return J.compare_models(preds)
 
 

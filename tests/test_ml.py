@@ -231,3 +231,18 @@ def test_grid_search_query_covers_all_rows(spark, monkeypatch):
     assert Q.q_grid(spark, SF_SMALL).count() == 1
     n = catalog_view(spark, SF_SMALL).count()
     assert n > 300 and seen[0].count() == n and abs(seen[0].agg(F.sum("weight")).first()[0] - n) < 1e-6
+
+
+def test_sampled_learner_encodes_and_scales_by_all_training_rows(spark, monkeypatch):
+    import numpy as np
+
+    from shelfspark.plans import queries_ml as Q
+    monkeypatch.setattr(Q, "TRAIN_ROWS", 50)
+    monkeypatch.setattr(Q, "_POST_MODELS", {})
+    monkeypatch.setattr(I, "POST_LAUNCH_PARAMS", {"rounds": 1, "depth": 2, "rate": 0.1})
+    got = Q._post_model(spark, SF_SMALL)
+    train = Q._split(Q._features(spark, SF_SMALL, "post")).where("split = 'train'")
+    want = I.fit_pipeline(train, POST_CATEGORICAL, POST_NUMERIC, None)
+    assert [list(x) for x in got.stages[0].labelsArray] == [list(x) for x in want.stages[0].labelsArray]
+    assert np.allclose(got.stages[3].mean.toArray(), want.stages[3].mean.toArray())
+    assert np.allclose(got.stages[3].std.toArray(), want.stages[3].std.toArray())
