@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shelfspark.llm import decontaminate, language_id, line_dedup, quality_lines, quotes, secrets_scan, sentencepiece_codec, sharding, simhash, url_filter
+from shelfspark.llm import decontaminate, language_id, line_dedup, quality_lines, quotes, secrets_scan, sentencepiece_codec, sharding, simhash, turn_repair, url_filter
 from shelfspark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +95,19 @@ SELECT conv_id, turn, role, {_OWN} AS body, coalesce(lag(turn) OVER w, -1) AS pa
   row_number() OVER w - 1 AS depth, row_number() OVER w AS position
 FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)
 """
+
+
+def damaged_conversations(chat: DataFrame) -> DataFrame:
+    """The damage that op13's contract deals out; ``present`` is false for dropped rows."""
+    clean = chat.select("conv_id", "turn", *[F.coalesce(F.col(c).cast("string"), F.lit(" ")).alias(c) for c in ("role", "text")])
+    key = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")])
+    kind = F.crc32(F.encode(key, "UTF-8")) % 20
+    text = F.when(kind == 1, "").when(kind == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    role = F.when(kind == 4, "user").otherwise(F.col("role"))
+    times = F.array_repeat(kind != 0, F.when(kind == 3, 2).otherwise(1))
+    return clean.select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(times).alias("present"))
+
+
+@_query
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repair(damaged_conversations(table(spark, sf_dir, "conversations")), present="present")
