@@ -59,6 +59,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}"
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a written intermediate table, wherever its file system is."""
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def spread(df):
     """Deal rows out over ``spark.sql.shuffle.partitions`` tasks, inside the plan.
 
