@@ -231,9 +231,9 @@ def _ordered(rows: DataFrame, conv: str, turn: str, role: str, text: str, presen
         F.coalesce(F.col(text).cast("string"), F.lit(" ")).alias("text"),
         (F.coalesce(F.col(present), F.lit(False)) if present else F.lit(True)).alias("present"))
     own = F.concat(F.coalesce(F.concat(F.lit("="), "conv"), F.lit("-")), F.lit("\n"), F.length("role").cast("string"), F.lit(":"), "role", "text")
-    keyed = narrow.withColumn("digest", F.when(F.col("present"), F.md5(own)))
+    keyed = narrow.withColumn("digest", F.md5(own))
     # the first turn of every repeated (conversation, role, text): combined before the shuffle
-    firsts = (keyed.where("digest IS NOT NULL").groupBy("digest")
+    firsts = (keyed.where("present").groupBy("digest")
               .agg(F.count(F.lit(1)).alias("n"), F.min("turn").alias("first"), F.bool_or(F.col("turn").isNull()).alias("unplaced"))
               .where("n > 1").select("digest", "first", "unplaced"))
     later = F.col("turn").isNotNull() & F.coalesce(F.col("unplaced") | (F.col("turn") > F.col("first")), F.lit(False))
