@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shelfspark.llm import decontaminate, hard_negatives, language_id, line_dedup, quality_lines, quotes, secrets_scan, sentencepiece_codec, sharding, simhash, turn_repair, url_filter
+from shelfspark.llm import byte_cnn, decontaminate, hard_negatives, language_id, line_dedup, quality_lines, quotes, secrets_scan, sentencepiece_codec, sharding, simhash, turn_repair, url_filter
 from shelfspark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,3 +121,8 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op12_hard_negatives"] = hard_negatives.MINE_SQL
+
+
+@_query
+def op11_byte_cnn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_cnn.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
