@@ -13,7 +13,7 @@ from multiprocessing.pool import ThreadPool
 
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Estimator, Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.feature import ElementwiseProduct
 from pyspark.ml.linalg import Vectors
@@ -23,28 +23,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfspark.functions.features import REFERENCE_DATE
+from shelfspark.operators.boosting import NO_DEPTH_LIMIT, LeafBoosted
 from shelfspark.operators.engineer import engineer_post_launch, engineer_pre_launch
 from shelfspark.operators.evaluate import classification_metrics, compare_models
-from shelfspark.operators.prep import assemble_scaled, hash_order, ordinal_encoder, with_class_weights
-from shelfspark.plans.reuse import materialize_small
+from shelfspark.operators.prep import assemble_scaled, first_rows, ordinal_encoder, with_class_weights
+from shelfspark.operators.search import maps_of, staged_search
+from shelfspark.plans.reuse import written
 from shelfspark.session import spread
 from shelfspark.schemas import CATEGORICAL, POST_CATEGORICAL, POST_NUMERIC, PRE_NUMERIC
 
 SEED = 42
 MAX_TREE_DEPTH = 30  # Spark's limit stands in for "no depth limit"
 
-# Production booster settings of the two models (rounds, depth, rate).
-PRE_LAUNCH_PARAMS = {"rounds": 300, "depth": 6, "rate": 0.1}
-POST_LAUNCH_PARAMS = {"rounds": 100, "depth": 8, "rate": 0.05}
+# Production booster settings of the two models.
+PRE_LAUNCH_PARAMS = {"rounds": 300, "depth": 6, "rate": 0.1, "leaves": 31}
+POST_LAUNCH_PARAMS = {"rounds": 100, "depth": 8, "rate": 0.05, "leaves": 50}
 
 # The reference's search spaces, in Spark parameter names.
-# Boosted trees: rounds x depth x rate (its leaf-count axis has no counterpart: 27 maps).
-BOOSTED_GRID = {"maxIter": [100, 200, 300], "maxDepth": [4, 6, 8], "stepSize": [0.01, 0.05, 0.1]}
+# Boosted trees: 81 maps.
+BOOSTED_GRID = {"rounds": [100, 200, 300], "depth": [4, 6, 8], "rate": [0.01, 0.05, 0.1], "leaves": [20, 31, 50]}
 # Logistic regression: inverse regularisation strengths (the solver axis is dropped).
 LOGISTIC_C = [0.01, 0.1, 1, 10]
 # Random forest: trees x depth (None -> Spark's maximum) x minimum split size (-> leaf size).
 FOREST_GRID = {"numTrees": [100, 200], "maxDepth": [6, 10, MAX_TREE_DEPTH], "minInstancesPerNode": [1, 2]}
 SEARCH_FOLDS = 5
+SEARCH_TRAIN_ROWS = 20_000  # bound on the rows that a searched boosted fit learns from
 # Iteration cap and convergence tolerance of the reference's logistic regression.
 LOGISTIC_MAX_ITER = 100
 LOGISTIC_SEARCH_MAX_ITER = 1000  # in its parameter search
@@ -71,19 +74,26 @@ def logistic(C: float = 1.0, n_weight: float = 1.0, weight_col: str | None = "we
 def forest(trees: int = 100, depth: int | None = None, min_split: int = 2,
            weight_col: str | None = "weight") -> RandomForestClassifier:
     """Random forest; no depth limit maps to Spark's maximum; a minimum split
-    size maps to a minimum leaf size of half of it (close, not equal)."""
+    size maps to a minimum leaf size of half of it (close, not equal).
+
+    Each row's node is kept with the row and written every 10 levels, so no level ships the
+    grown trees to the tasks.
+    """
     kw = {"weightCol": weight_col} if weight_col else {}
     return RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=trees,
                                   maxDepth=depth if depth is not None else MAX_TREE_DEPTH,
-                                  minInstancesPerNode=max(1, min_split // 2), seed=SEED, **kw)
+                                  minInstancesPerNode=max(1, min_split // 2), seed=SEED,
+                                  cacheNodeIds=True, checkpointInterval=10, **kw)
 
 
-def boosted(rounds: int = 100, depth: int = 6, rate: float = 0.1,
-            weight_col: str | None = "weight") -> GBTClassifier:
-    """I4: gradient-boosted trees (depth-wise; the leaf-count cap has no counterpart)."""
-    kw = {"weightCol": weight_col} if weight_col else {}
-    return GBTClassifier(featuresCol="features", labelCol="label", maxIter=rounds, maxDepth=depth,
-                         stepSize=rate, seed=SEED, **kw)
+def boosted(rounds: int = 100, depth: int | None = None, rate: float = 0.1, leaves: int = 31,
+            weight_col: str | None = "weight", bounded: bool = False) -> LeafBoosted:
+    """I4: gradient-boosted best-first trees with a leaf cap (no depth limit by default).
+
+    ``bounded``: the caller has bounded the rows, so one task learns from them.
+    """
+    return LeafBoosted(rounds=rounds, depth=depth if depth is not None else NO_DEPTH_LIMIT, rate=rate, leaves=leaves,
+                       weightCol=weight_col or "", inTask=bounded)
 
 
 def feature_names(cats: Sequence[str], nums: Sequence[str], suffix: str = "_code") -> list[str]:
@@ -202,11 +212,10 @@ def bounded_search(features: DataFrame, estimator: Estimator, maps: list, train_
     Metrics are one distributed macro-F1 aggregate over all rows of all folds and maps.
     """
     spark = features.sparkSession
-    order = [hash_order(key), F.col(key)]
     learn, parts = [], []
     for f in range(folds):
-        first = features.where(F.col(fold_col) != f).orderBy(*order).limit(train_rows)
-        learn.append(materialize_small(first.repartition(4)).persist(StorageLevel.MEMORY_AND_DISK))
+        first = first_rows(features.where(F.col(fold_col) != f), train_rows, key)
+        learn.append(written(first.repartition(4)).persist(StorageLevel.MEMORY_AND_DISK))
     try:
         jobs = [(f, i) for f in range(folds) for i in range(len(maps))]
         fit = inheritable_thread_target(spark)(lambda job: estimator.fit(learn[job[0]], maps[job[1]]))
@@ -248,8 +257,7 @@ def best_params(cv_model, grid: Mapping[str, Sequence]) -> DataFrame:
 
 def _train(features: DataFrame, cats, nums, params) -> PipelineModel:
     weighted = with_class_weights(features, "label")
-    est = boosted(params["rounds"], params["depth"], params["rate"])
-    return fit_pipeline(weighted, cats, nums, est)
+    return fit_pipeline(weighted, cats, nums, boosted(**params))
 
 
 def train_pre_launch(catalog: DataFrame, ref_date=REFERENCE_DATE, params=PRE_LAUNCH_PARAMS) -> PipelineModel:
@@ -292,10 +300,16 @@ def tune(features: DataFrame, kind: str, fold_col: str = "fold", parallelism: in
     """I6/I7 with the reference's search spaces: ``kind`` is 'boosted', 'forest' or
     'logistic'; ``random_maps`` draws that many maps (randomised search) instead of
     the full grid. ``features`` has features, label, weight and fold columns. With
-    ``train_rows`` (and a ``key`` column) each fit is bounded as in ``bounded_search``."""
+    ``train_rows`` (and a ``key`` column) each fit is bounded as in ``bounded_search``.
+    Boosted searches are always bounded and give the ranked maps as a table
+    (``operators.search.staged_search``; ``best_of`` names the best)."""
     if kind == "boosted":
-        est, grid = boosted(), BOOSTED_GRID
-    elif kind == "forest":
+        maps = maps_of(BOOSTED_GRID)
+        if random_maps:
+            maps = random.Random(seed).sample(maps, min(random_maps, len(maps)))
+        rows = features if fold_col == "fold" else features.withColumn("fold", F.col(fold_col))
+        return staged_search(rows, maps, train_rows or SEARCH_TRAIN_ROWS, folds, key), BOOSTED_GRID
+    if kind == "forest":
         est, grid = forest(), FOREST_GRID
     elif kind == "logistic":
         n = float(features.agg(F.sum("weight")).first()[0])

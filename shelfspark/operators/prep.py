@@ -8,14 +8,14 @@ two-valued label would put half the data in one task.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfspark.plans.reuse import materialize_small
+from shelfspark.plans.reuse import materialize_small, written
 from shelfspark.plans.windows import hash_slice, running_count, running_sums
 
 SEED = 42
@@ -96,19 +96,36 @@ def class_thresholds(df: DataFrame, label: str = "label", key: str = "product_id
     """
     base = df.select(F.col(label).alias("_y"), F.col(key).cast("string").alias("_k"),
                      hash_order(key, seed).alias("_h"))
+    return _hash_thresholds(base, lambda total: F.round(total * F.lit(frac)), digits).withColumnRenamed("_y", label)
+
+
+def _hash_thresholds(base: DataFrame, rank_of: Callable[[Column], Column], digits: int = HASH_BUCKET_DIGITS) -> DataFrame:
+    """(_y, _threshold): per ``_y`` the (_h, _k) of the row at ``rank_of(rows of _y)`` in hash order."""
     # narrow and written once: the histogram and the boundary buckets both read it
-    base = materialize_small(base.withColumn("_b", F.substring("_h", 1, digits)))
+    base = written(base.withColumn("_b", F.substring("_h", 1, digits)))
     hist = base.groupBy("_y", "_b").agg(F.count(F.lit(1)).alias("_n"))
     # cumulative bucket counts per class, distributed (the histogram of one class can
     # hold up to 16^digits rows, so it is not windowed in one task)
     hist = running_sums(hist, {"_upto": "_n"}, [F.col("_b").asc()], partition=["_y"], with_totals=True)
-    hist = hist.withColumn("_want", F.round(F.col("_upto_total") * F.lit(frac)).cast("bigint"))
+    hist = hist.withColumn("_want", rank_of(F.col("_upto_total")).cast("bigint"))
     edge = (hist.where((F.col("_upto") - F.col("_n") < F.col("_want")) & (F.col("_want") <= F.col("_upto")))
             .select("_y", "_b", (F.col("_want") - (F.col("_upto") - F.col("_n"))).alias("_r")))
     cand = base.join(F.broadcast(edge), ["_y", "_b"])  # one row per class
     wr = Window.partitionBy("_y").orderBy("_h", "_k")
     picked = cand.withColumn("_i", F.row_number().over(wr)).where(F.col("_i") == F.col("_r"))
-    return picked.select(F.col("_y").alias(label), F.struct("_h", "_k").alias("_threshold"))
+    return picked.select("_y", F.struct("_h", "_k").alias("_threshold"))
+
+
+def first_rows(df: DataFrame, n: int, key: str = "product_id", seed: int = SEED) -> DataFrame:
+    """The first ``n`` rows in hash order of ``key`` (all, if fewer; ties in the key come along).
+
+    A filter against the (hash, key) of the n-th row, which a histogram of hash prefixes finds:
+    no task sorts or gathers rows. ``df`` is read twice.
+    """
+    base = df.select(F.lit(0).alias("_y"), F.col(key).cast("string").alias("_k"), hash_order(key, seed).alias("_h"))
+    last = materialize_small(_hash_thresholds(base, lambda total: F.least(total, F.lit(n)))).select("_threshold").scalar()
+    row = F.struct(hash_order(key, seed).alias("_h"), F.col(key).cast("string").alias("_k"))
+    return df.where(row <= last)
 
 
 def stratified_split(df: DataFrame, label: str = "label", key: str = "product_id",

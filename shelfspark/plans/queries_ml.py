@@ -17,9 +17,11 @@ from shelfspark.operators import evaluate as J
 from shelfspark.operators import models as I
 from shelfspark.operators import prep as H
 from shelfspark.operators import scoring as K
+from shelfspark.operators.attribution import attribution_ranking, booster_of, tree_contributions
+from shelfspark.operators.search import best_of
 from shelfspark.plans.queries_more import FIXTURE_REF_DATE
 from shelfspark.plans.registry import register
-from shelfspark.plans.reuse import materialize_small
+from shelfspark.plans.reuse import written
 from shelfspark.schemas import CATEGORICAL, POST_CATEGORICAL, POST_NUMERIC, PRE_NUMERIC
 from shelfspark.sources.catalog import catalog_view
 
@@ -27,9 +29,6 @@ from shelfspark.sources.catalog import catalog_view
 TRAIN_ROWS = 20_000
 _TRAIN_PARTITIONS = 4  # for a bounded number of rows
 
-_POST_MODELS: dict[tuple[str, str], PipelineModel] = {}
-
-
 def _features(spark, sf, stage="pre", keep=("product_id",)) -> DataFrame:
     cat = catalog_view(spark, sf)
     return (C.engineer_pre_launch(cat, FIXTURE_REF_DATE, keep=keep) if stage == "pre"
@@ -38,24 +37,18 @@ def _features(spark, sf, stage="pre", keep=("product_id",)) -> DataFrame:
 
 def _split(features: DataFrame, label: str = "label") -> DataFrame:
     """All rows with their split, written once: the sample and every scoring pass read it."""
-    return materialize_small(H.stratified_split(features, label, "product_id", 0.8, 42))
+    return written(H.stratified_split(written(features), label, "product_id", 0.8, 42))
 
 
 def _sample(rows: DataFrame) -> DataFrame:
     """The first ``TRAIN_ROWS`` rows in hash order, written once."""
-    first = rows.orderBy(H.hash_order("product_id"), "product_id").limit(TRAIN_ROWS)
-    return materialize_small(first.repartition(_TRAIN_PARTITIONS))
+    return written(H.first_rows(rows, TRAIN_ROWS).repartition(_TRAIN_PARTITIONS))
 
 
-def _post_model(spark, sf) -> PipelineModel:
-    """The post-launch model with its production settings, trained once per session and input."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _POST_MODELS:
-        train = _split(_features(spark, sf, "post")).where(F.col("split") == "train")
-        params = I.POST_LAUNCH_PARAMS
-        _POST_MODELS[key] = I.fit_pipeline(H.with_class_weights(train, "label"), POST_CATEGORICAL, POST_NUMERIC,
-                                           I.boosted(params["rounds"], params["depth"], params["rate"]), learn=_sample)
-    return _POST_MODELS[key]
+def _post_model(rows: DataFrame) -> PipelineModel:
+    """The post-launch model with its production settings, learned from the training rows."""
+    train = H.with_class_weights(rows.where(F.col("split") == "train"), "label")
+    return I.fit_pipeline(train, POST_CATEGORICAL, POST_NUMERIC, I.boosted(**I.POST_LAUNCH_PARAMS, bounded=True), learn=_sample)
 
 
 @register("model_comparison", None)
@@ -63,15 +56,15 @@ def q_model_comparison(spark, sf):
     rows = _split(_features(spark, sf, "pre"))
     train = H.with_class_weights(rows.where(F.col("split") == "train"), "label")
     n = float(train.agg(F.sum("weight")).first()[0])
-    named = {"logistic": I.logistic(1.0, n), "forest": I.forest(), "boosted": I.boosted()}
+    named = {"logistic": I.logistic(1.0, n), "forest": I.forest(), "boosted": I.boosted(bounded=True)}
     preds = I.compare_estimators(train, rows.where(F.col("split") == "test"), named, CATEGORICAL, PRE_NUMERIC, learn=_sample)
     return J.compare_models(preds)
 
 
 @register("post_launch_scores", None)
 def q_post_scores(spark, sf):
-    test = H.stratified_split(_features(spark, sf, "post"), "label", "product_id", 0.8, 42).where(F.col("split") == "test")
-    return K.decide(K.score(_post_model(spark, sf), test, keep=("product_id", "label")))
+    rows = _split(_features(spark, sf, "post"))
+    return K.decide(K.score(_post_model(rows), rows.where(F.col("split") == "test"), keep=("product_id", "label")))
 
 
 @register("linear_regression_metrics", None)
@@ -89,23 +82,49 @@ def q_linear(spark, sf):
 def q_grid(spark, sf):
     """The reference's search: its C values, five folds, its iteration cap. Weights, folds,
     encoding and held-out scores cover all rows; a fold's fits learn from ``TRAIN_ROWS``."""
-    folded = materialize_small(H.assign_folds(_features(spark, sf, "pre"), "label", "product_id", I.SEARCH_FOLDS, 42))
+    cv, grid = I.tune(_folded(spark, sf), "logistic", train_rows=TRAIN_ROWS)
+    return I.best_params(cv, grid)
+
+
+def _folded(spark, sf) -> DataFrame:
+    """Pre-launch rows as weighted, scaled vectors with their fold, written once."""
+    folded = written(H.assign_folds(_features(spark, sf, "pre"), "label", "product_id", I.SEARCH_FOLDS, 42))
     rows = H.with_class_weights(folded, "label")
     enc = I.fit_pipeline(rows, CATEGORICAL, PRE_NUMERIC, None)
-    data = materialize_small(enc.transform(rows).select("product_id", "features", F.col("label").cast("double"), "weight", "fold"))
-    cv, grid = I.tune(data, "logistic", train_rows=TRAIN_ROWS)
-    return I.best_params(cv, grid)
+    return written(enc.transform(rows).select("product_id", "features", F.col("label").cast("double"), "weight", "fold"))
+
+
+@register("boosted_grid_search", None)
+def q_boosted_grid(spark, sf):
+    """All 81 maps over five folds: mean macro-F1 of every map over all held-out rows, ranked."""
+    return I.tune(_folded(spark, sf), "boosted", train_rows=TRAIN_ROWS)[0]
+
+
+@register("boosted_random_search", None)
+def q_boosted_random(spark, sf):
+    """20 maps drawn from the grid; the best one's parameters."""
+    ranked, grid = I.tune(_folded(spark, sf), "boosted", random_maps=I.RANDOM_SEARCH_MAPS, train_rows=TRAIN_ROWS)
+    return best_of(ranked, grid)
+
+
+@register("post_launch_attribution", None)
+def q_attribution(spark, sf):
+    """The 15 features with the largest mean absolute contribution over all test rows."""
+    rows = _split(_features(spark, sf, "post"))
+    prep, booster = booster_of(_post_model(rows))
+    test = prep.transform(rows.where(F.col("split") == "test"))
+    return attribution_ranking(tree_contributions(booster, test), I.feature_names(POST_CATEGORICAL, POST_NUMERIC), top=15)
 
 
 @register("post_launch_importance", None)
 def q_importance(spark, sf):
-    return J.feature_importance(_post_model(spark, sf).stages[-1], I.feature_names(POST_CATEGORICAL, POST_NUMERIC))
+    return J.feature_importance(_post_model(_split(_features(spark, sf, "post"))).stages[-1], I.feature_names(POST_CATEGORICAL, POST_NUMERIC))
 
 
 @register("scenario_scores", None)
 def q_scenario(spark, sf):
     scen = C.scenario_features(catalog_view(spark, sf), "2001-09-01", "post", FIXTURE_REF_DATE)
-    return K.decide(K.score(_post_model(spark, sf), C.conform(scen, "post").where("success")))
+    return K.decide(K.score(_post_model(_split(_features(spark, sf, "post"))), C.conform(scen, "post").where("success")))
 
 
 @register("stream_scores", None)
@@ -119,8 +138,8 @@ def q_stream(spark, sf):
     from shelfspark.session import scratch_path
     from shelfspark.streaming.scoring import start_scoring
 
-    feats = _features(spark, sf, "post")
-    model = _post_model(spark, sf)
+    feats = _split(_features(spark, sf, "post"))
+    model = _post_model(feats)
     base = scratch_path(spark, f"stream-scores-{uuid.uuid4().hex}")
     requests = feats.select("product_id", *[f.name for f in POST_CONTRACT.fields])
     requests.write.parquet(f"{base}/requests")

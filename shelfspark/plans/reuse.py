@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 
-from shelfspark.session import ensure_checkpoint_dir
+from shelfspark.session import ensure_checkpoint_dir, scratch_path
 
 
 def materialize_small(df: DataFrame) -> DataFrame:
@@ -17,3 +19,13 @@ def materialize_small(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Write a table of any size as Parquet to the shared checkpoint folder and read it back.
+
+    For row tables that are read several times: later readers scan only the columns they use.
+    """
+    path = scratch_path(df.sparkSession, f"table-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -163,7 +163,7 @@ def test_metrics_equal_duckdb_on_same_predictions(model, feats):
 
 
 def test_reference_search_spaces(spark):
-    assert len(I.param_grid(I.boosted(), I.BOOSTED_GRID)) == 27
+    assert len(I.param_grid(I.boosted(), I.BOOSTED_GRID)) == 81
     assert len(I.param_grid(I.forest(), I.FOREST_GRID)) == 12
     g = I.logistic_grid(1000.0)
     assert len(g["regParam"]) == 4 and abs(g["regParam"][2] - 1e-3) < 1e-15
@@ -238,9 +238,8 @@ def test_sampled_learner_encodes_and_scales_by_all_training_rows(spark, monkeypa
 
     from shelfspark.plans import queries_ml as Q
     monkeypatch.setattr(Q, "TRAIN_ROWS", 50)
-    monkeypatch.setattr(Q, "_POST_MODELS", {})
     monkeypatch.setattr(I, "POST_LAUNCH_PARAMS", {"rounds": 1, "depth": 2, "rate": 0.1})
-    got = Q._post_model(spark, SF_SMALL)
+    got = Q._post_model(Q._split(Q._features(spark, SF_SMALL, "post")))
     train = Q._split(Q._features(spark, SF_SMALL, "post")).where("split = 'train'")
     want = I.fit_pipeline(train, POST_CATEGORICAL, POST_NUMERIC, None)
     assert [list(x) for x in got.stages[0].labelsArray] == [list(x) for x in want.stages[0].labelsArray]
