@@ -16,6 +16,7 @@ from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.feature import ElementwiseProduct
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import LinearRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
@@ -42,8 +43,10 @@ POST_LAUNCH_PARAMS = {"rounds": 100, "depth": 8, "rate": 0.05, "leaves": 50}
 # The reference's search spaces, in Spark parameter names.
 # Boosted trees: 81 maps.
 BOOSTED_GRID = {"rounds": [100, 200, 300], "depth": [4, 6, 8], "rate": [0.01, 0.05, 0.1], "leaves": [20, 31, 50]}
-# Logistic regression: inverse regularisation strengths (the solver axis is dropped).
+# Logistic regression: inverse regularisation strengths x solvers (8 maps). The solvers differ in
+# their objective: the second one also penalises the intercept.
 LOGISTIC_C = [0.01, 0.1, 1, 10]
+LOGISTIC_SOLVERS = ["lbfgs", "liblinear"]
 # Random forest: trees x depth (None -> Spark's maximum) x minimum split size (-> leaf size).
 FOREST_GRID = {"numTrees": [100, 200], "maxDepth": [6, 10, MAX_TREE_DEPTH], "minInstancesPerNode": [1, 2]}
 SEARCH_FOLDS = 5
@@ -71,6 +74,31 @@ def logistic(C: float = 1.0, n_weight: float = 1.0, weight_col: str | None = "we
                               tol=LOGISTIC_TOL, **kw)
 
 
+def with_constant(df: DataFrame, out: str = "features1") -> DataFrame:
+    """``features`` and a constant 1 as one more feature, whose weight is the intercept."""
+    return df.withColumn(out, array_to_vector(F.concat(vector_to_array("features"), F.array(F.lit(1.0)))))
+
+
+def mirrored(df: DataFrame) -> DataFrame:
+    """``with_constant`` rows to learn from: every other row as its mirror image in ``features1``, ``label1``.
+
+    Without a free intercept the loss of (x, y) is that of (-x, 1 - y), so the optimum is the same.
+    Spark gives a column without variance no weight; mirrored, the constant varies.
+    """
+    turn = (F.monotonically_increasing_id() + F.spark_partition_id()) % 2 == 1
+    x = vector_to_array("features1")
+    return (df.withColumn("__turn", turn).withColumn("features1", array_to_vector(F.when(F.col("__turn"), F.transform(x, lambda v: -v)).otherwise(x)))
+            .withColumn("label1", F.when(F.col("__turn"), 1 - F.col("label")).otherwise(F.col("label"))).drop("__turn"))
+
+
+def logistic_penalised(C: float = 1.0, n_weight: float = 1.0, weight_col: str | None = "weight",
+                       max_iter: int = LOGISTIC_MAX_ITER) -> LogisticRegression:
+    """I2, second solver's objective: the intercept is penalised like every weight. Fit on
+    ``mirrored(with_constant(rows))``; the model scores ``with_constant`` rows."""
+    est = logistic(C, n_weight, weight_col, max_iter)
+    return est.setFitIntercept(False).setFeaturesCol("features1").setLabelCol("label1")
+
+
 def forest(trees: int = 100, depth: int | None = None, min_split: int = 2,
            weight_col: str | None = "weight") -> RandomForestClassifier:
     """Random forest; no depth limit maps to Spark's maximum; a minimum split
@@ -205,17 +233,22 @@ class Searched:
 
 
 def bounded_search(features: DataFrame, estimator: Estimator, maps: list, train_rows: int, key: str,
-                   fold_col: str = "fold", parallelism: int = 4, folds: int = SEARCH_FOLDS) -> Searched:
-    """I6 on tables of any size: in each fold the maps learn from the first ``train_rows`` rows,
-    in hash order, of the other folds, and every row of the fold is scored.
+                   fold_col: str = "fold", parallelism: int = 4, folds: int = SEARCH_FOLDS,
+                   prepare: Callable[[DataFrame], DataFrame] | None = None) -> Searched:
+    """I6 on tables of any size: in each fold the maps learn from about ``train_rows`` rows of the
+    other folds, and every row of the fold is scored.
+
+    One sample serves all folds, the first rows in hash order: folds are even in that order, so
+    a fold's share of it is left out of the fold's learning rows.
 
     Metrics are one distributed macro-F1 aggregate over all rows of all folds and maps.
     """
     spark = features.sparkSession
     learn, parts = [], []
+    sample = first_rows(features, -(-train_rows * folds // max(folds - 1, 1)), key).repartition(4)
+    sample = written(prepare(sample) if prepare else sample)
     for f in range(folds):
-        first = first_rows(features.where(F.col(fold_col) != f), train_rows, key)
-        learn.append(written(first.repartition(4)).persist(StorageLevel.MEMORY_AND_DISK))
+        learn.append(sample.where(F.col(fold_col) != f).persist(StorageLevel.MEMORY_AND_DISK))
     try:
         jobs = [(f, i) for f in range(folds) for i in range(len(maps))]
         fit = inheritable_thread_target(spark)(lambda job: estimator.fit(learn[job[0]], maps[job[1]]))
@@ -225,7 +258,7 @@ def bounded_search(features: DataFrame, estimator: Estimator, maps: list, train_
         for rows in learn:
             rows.unpersist()
     for f in range(folds):
-        held = features.where(F.col(fold_col) == f).select("features", "label")
+        held = features.where(F.col(fold_col) == f).select(*[c for c in ("features", "features1") if c in features.columns], "label")
         for i in range(len(maps)):
             model = models[f, i].copy({p: "" for p in (models[f, i].rawPredictionCol, models[f, i].probabilityCol)})
             held = model.setPredictionCol(f"_p{i}").transform(held)
@@ -294,6 +327,25 @@ def logistic_grid(n_weight: float, cs=LOGISTIC_C) -> dict:
     return {"regParam": [1.0 / (c * n_weight) for c in cs]}
 
 
+def logistic_maps(est: LogisticRegression, n_weight: float, cs=LOGISTIC_C, solvers=LOGISTIC_SOLVERS) -> list[tuple[dict, dict]]:
+    """(C and solver, parameter map) of the whole grid. Learning rows are ``mirrored``."""
+    return [({"C": c, "solver": s}, {est.regParam: 1.0 / (c * n_weight), est.fitIntercept: s == "lbfgs",
+                                     est.featuresCol: "features" if s == "lbfgs" else "features1",
+                                     est.labelCol: "label" if s == "lbfgs" else "label1"}) for c in cs for s in solvers]
+
+
+def logistic_search(features: DataFrame, train_rows: int, key: str = "product_id", fold_col: str = "fold", parallelism: int = 4,
+                    folds: int = SEARCH_FOLDS) -> DataFrame:
+    """The 8 maps, each fit bounded as in ``bounded_search``: (C, solver, cv_macro_f1, rank)."""
+    n = float(features.agg(F.sum("weight")).first()[0])
+    est = logistic(1.0, 1.0, max_iter=LOGISTIC_SEARCH_MAX_ITER)
+    named = logistic_maps(est, n)
+    found = bounded_search(with_constant(features), est, [m for _, m in named], train_rows, key, fold_col, parallelism, folds, mirrored)
+    order = sorted(range(len(named)), key=lambda i: (-found.avgMetrics[i], i))
+    rows = [(float(named[i][0]["C"]), named[i][0]["solver"], found.avgMetrics[i], r) for r, i in enumerate(order, 1)]
+    return features.sparkSession.createDataFrame(rows, "C double, solver string, cv_macro_f1 double, rank int")
+
+
 def tune(features: DataFrame, kind: str, fold_col: str = "fold", parallelism: int = 4,
          random_maps: int | None = None, seed: int = SEED, folds: int = SEARCH_FOLDS,
          train_rows: int | None = None, key: str = "product_id"):

@@ -8,15 +8,18 @@ two-valued label would put half the data in one task.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.ml import PipelineModel
-from pyspark.ml.feature import SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.ml import Model, PipelineModel
+from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfspark.plans.reuse import materialize_small, written
 from shelfspark.plans.windows import hash_slice, running_count, running_sums
+from shelfspark.session import scratch_path
 
 SEED = 42
 TRAIN_FRACTION = 0.8
@@ -32,21 +35,71 @@ def label_encode(df: DataFrame, cols: Sequence[str], suffix: str = "_code") -> D
     return ordinal_encoder(df, cols, suffix).transform(df)
 
 
-def ordinal_encoder(df: DataFrame, cols: Sequence[str], suffix: str = "_code") -> PipelineModel:
-    """H2: fitted alphabetical encoder; values unseen at fit time get -1 when applied.
+def dictionary(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(column, value, code): each column's distinct values, numbered alphabetically from 0.
+
+    Values are made distinct by one partial and final aggregate and numbered by the distributed
+    running count, so a column of any number of values never meets in one task or the driver.
+    """
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in cols])
+    values = df.select(F.inline(pairs)).where("value IS NOT NULL").distinct()
+    ranked = running_count(values, [F.col("value").asc()], partition=["column"], out="_rank")
+    return ranked.select("column", "value", (F.col("_rank") - 1).cast("int").alias("code"))
+
+
+class DictionaryModel(Model, MLWritable, MLReadable):
+    """H1, H2: adds the code column of every encoded column; unseen and null values get -1.
 
-    StringIndexer (alphabetAsc, keep) puts unseen values at index = number of
-    labels; a SQLTransformer stored in the same PipelineModel maps that to -1.
+    The dictionary is a Parquet table; every column meets its part in a left join whose strategy the
+    planner picks by the part's size.
     """
-    idx = StringIndexer(inputCols=list(cols), outputCols=[f"_{c}_idx" for c in cols],
-                        stringOrderType="alphabetAsc", handleInvalid="keep")
-    fitted = idx.fit(df)  # one aggregation pass for all columns
-    n_labels = {c: len(labels) for c, labels in zip(cols, fitted.labelsArray)}
-    select = ", ".join(
-        [f"CASE WHEN `_{c}_idx` >= {n_labels[c]} THEN -1 ELSE CAST(`_{c}_idx` AS INT) END AS `{c}{suffix}`"
-         for c in cols])
-    unseen = SQLTransformer(statement=f"SELECT *, {select} FROM __THIS__")
-    return PipelineModel(stages=[fitted, unseen])
+
+    def __init__(self, path: str = "", cols: Sequence[str] = (), suffix: str = "_code"):
+        super().__init__()
+        self.path, self.cols, self.suffix = path, list(cols), suffix
+
+    def codes(self, spark: SparkSession) -> DataFrame:
+        return spark.read.schema("column string, value string, code int").parquet(self.path)
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        table = self.codes(df.sparkSession)
+        for i, c in enumerate(self.cols):
+            own = table.where(F.col("column") == c).select(F.col("value").alias(f"__v{i}"), F.col("code").alias(f"__c{i}"))
+            df = (df.join(own, F.col(c).cast("string") == F.col(f"__v{i}"), "left").drop(f"__v{i}")
+                  .withColumn(f"{c}{self.suffix}", F.coalesce(f"__c{i}", F.lit(-1))).drop(f"__c{i}"))
+        return df
+
+    def write(self) -> _DictionaryWriter:
+        return _DictionaryWriter(self)
+
+    @classmethod
+    def read(cls) -> _DictionaryReader:
+        return _DictionaryReader()
+
+
+class _DictionaryWriter(MLWriter):
+    def __init__(self, model: DictionaryModel):
+        super().__init__()
+        self.model = model
+
+    def saveImpl(self, path: str) -> None:
+        DefaultParamsWriter.saveMetadata(self.model, path, self.sc, {"cols": self.model.cols, "suffix": self.model.suffix})
+        self.model.codes(SparkSession.getActiveSession()).write.parquet(f"{path}/codes")
+
+
+class _DictionaryReader(MLReader):
+    def load(self, path: str) -> DictionaryModel:
+        meta = DefaultParamsReader.loadMetadata(path, self.sc)
+        model = DictionaryModel(f"{path}/codes", meta["cols"], meta["suffix"])
+        model._resetUid(meta["uid"])
+        return model
+
+
+def ordinal_encoder(df: DataFrame, cols: Sequence[str], suffix: str = "_code") -> PipelineModel:
+    """H2: fitted alphabetical encoder; values unseen at fit time get -1 when applied."""
+    path = scratch_path(df.sparkSession, f"codes-{uuid.uuid4().hex}")
+    dictionary(df, cols).write.parquet(path)
+    return PipelineModel(stages=[DictionaryModel(path, cols, suffix)])
 
 
 def ordinal_encode(df: DataFrame, cols: Sequence[str], suffix: str = "_code") -> PipelineModel:

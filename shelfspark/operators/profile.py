@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -10,7 +11,7 @@ from pyspark.sql import types as T
 
 from shelfspark.functions.features import RATING_CUT, high_rating
 from shelfspark.plans.quantiles import bucket_quantiles, numeric_bounds
-from shelfspark.plans.reuse import materialize_small
+from shelfspark.plans.reuse import materialize_small, written
 
 QUARTILES = (0.25, 0.5, 0.75)
 
@@ -115,6 +116,34 @@ def histogram(df: DataFrame, col: str, bins: int = 30) -> DataFrame:
                     F.coalesce("n", F.lit(0)).cast("bigint").alias("n")))
 
 
+def auto_bins(df: DataFrame, col: str) -> int:
+    """Number of bins when none is given: the larger count of two usual rules.
+
+    Widths 2 * IQR / n^(1/3) (exact quartiles, distributed; left out when the IQR is 0) and
+    range / (log2(n) + 1); the narrower one is taken, but no less than 1 for a column of integers.
+    An empty or constant column has one bin.
+    """
+    whole = df.schema[col].dataType.typeName() in ("byte", "short", "integer", "long")
+    narrow = written(df.select(F.col(col).cast("double").alias("x")))
+    bounds = materialize_small(numeric_bounds(narrow, ["x"]))
+    b = bounds.first()
+    if b is None or b["max"] == b["min"]:
+        return 1
+    q = {r["prob"]: r["value"] for r in bucket_quantiles(narrow, bounds, ["x"], [0.25, 0.75]).collect()}
+    span, n = b["max"] - b["min"], b["count"]
+    if not math.isfinite(span):
+        raise ValueError(f"{col} has infinite values: no bin width")
+    width = span / (math.log2(n) + 1)
+    spread = 2 * (q[0.75] - q[0.25]) / n ** (1 / 3)
+    width = min(width, spread) if spread > 0 else width
+    return max(1, math.ceil(span / max(width, 1.0 if whole else 0.0)))
+
+
+def auto_histogram(df: DataFrame, col: str) -> DataFrame:
+    """Equal-width histogram with ``auto_bins`` bins. An empty column gives one empty bin."""
+    return histogram(df, col, auto_bins(df, col))
+
+
 def value_span(df: DataFrame, col: str) -> DataFrame:
     """Minimum and maximum of a column."""
     return df.agg(F.min(col).alias("min_value"), F.max(col).alias("max_value"))

@@ -3,6 +3,8 @@ training preparation (H) and evaluation of rule baselines (J)."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,7 +25,8 @@ from shelfspark.schemas import (
     PRE_NUMERIC,
 )
 from shelfspark.sources.catalog import catalog_view, line_column, table
-from shelfspark.sources.files import to_records
+from shelfspark.session import scratch_path
+from shelfspark.sources.files import append_dialogue, compact_dialogue, read_catalog, read_dialogue, to_records
 
 FIXTURE_REF_DATE = "1995-01-01"  # start of the test orders: ages are >= 0
 ALL = [f.name for f in CATALOG.fields]
@@ -88,6 +91,20 @@ def q_price_histogram(spark, sf):
     return B.histogram(cat(spark, sf, "final_price"), "final_price", 30)
 
 
+@register("rating_histogram", with_catalog(""", v AS (SELECT rating AS x FROM catalog WHERE rating IS NOT NULL AND NOT isnan(rating)),
+s AS (SELECT min(x) AS lo, max(x) AS hi, count(*) AS n, quantile_cont(x, 0.75) - quantile_cont(x, 0.25) AS iqr FROM v),
+w AS (SELECT *, (hi - lo) / (log2(n) + 1) AS sturges, 2 * iqr / pow(n, 1 / 3.0) AS spread FROM s),
+b AS (SELECT lo, hi, CASE WHEN hi = lo THEN 1 ELSE
+  CAST(greatest(1, ceil((hi - lo) / (CASE WHEN spread > 0 THEN least(sturges, spread) ELSE sturges END))) AS INTEGER) END AS k FROM w),
+c AS (SELECT CAST(coalesce(least(floor((x - lo) / ((hi - lo) / k)), k - 1), 0) AS INTEGER) AS bin, count(*) AS n FROM v, b GROUP BY 1)
+SELECT CAST(i AS INTEGER) AS bin, lo + i * ((hi - lo) / k) AS bin_lo,
+  CASE WHEN i = k - 1 THEN hi ELSE lo + (i + 1) * ((hi - lo) / k) END AS bin_hi, CAST(coalesce(c.n, 0) AS BIGINT) AS n
+FROM b CROSS JOIN LATERAL (SELECT unnest(range(k)) AS i) AS g LEFT JOIN c ON c.bin = g.i""", prep=False), rounded=["bin_lo", "bin_hi"])
+def q_rating_histogram(spark, sf):
+    """B7 with automatic bins."""
+    return B.auto_histogram(cat(spark, sf, "rating"), "rating")
+
+
 @register("date_span", with_catalog("SELECT min(date_added) AS min_value, max(date_added) AS max_value FROM catalog",
                                     prep=False))
 def q_date_span(spark, sf):
@@ -199,6 +216,28 @@ def _log(spark, sf):
     return G.conversation_log(table(spark, sf, "conversations"))
 
 
+@register("dialogue_log", """SELECT role, text AS content,
+  row_number() OVER (ORDER BY conv_id % 2, conv_id, turn) - 1 AS position FROM conversations""")
+def q_dialogue_log(spark, sf):
+    """A2, A3: the turns appended in two batches (one of them twice), merged, and read back."""
+    path = scratch_path(spark, f"dialogue-log-{uuid.uuid4().hex}")
+    turns = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", F.col("text").alias("content"),
+                                                                    F.lit(None).cast("string").alias("code_executed"), F.lit(None).cast("string").alias("timestamp"))
+    for batch, odd in (("1_even", 0), ("2_odd", 1), ("1_even", 0)):
+        append_dialogue(turns.where(F.col("conv_id") % 2 == odd), path, ["conv_id", "turn"], batch)
+    compact_dialogue(spark, path)
+    return read_dialogue(spark, path).select("role", "content", "position")
+
+
+@register("catalog_from_csv", with_catalog("SELECT * FROM catalog", prep=False))
+def q_catalog_from_csv(spark, sf):
+    """A1: the catalogue written as CSV text and read back."""
+    path = scratch_path(spark, f"catalog-csv-{uuid.uuid4().hex}")
+    view = catalog_view(spark, sf)
+    view.select(*[F.col(c).cast("string") for c in view.columns]).write.option("header", True).csv(path)
+    return read_catalog(spark, path).select(*view.columns)
+
+
 @register("dialogue_pairs", "WITH " + PAIRS_SQL.lstrip(", ") + "\nSELECT * FROM pairs")
 def q_pairs(spark, sf):
     return G.pair_exchanges(_log(spark, sf))

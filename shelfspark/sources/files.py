@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfspark.functions.common import nan_to_null
+from shelfspark.plans.reuse import written
 from shelfspark.schemas import CATALOG, DIALOGUE
+from shelfspark.sources.batches import append_batch, batch_rows, compact, read_batches
+from shelfspark.sources.json_array import read_json_array
 
 # Text tokens a CSV reader treats as missing in any column
 # (the pandas defaults, so an offer literally written "None" is missing).
@@ -68,57 +71,68 @@ def read_catalog(spark: SparkSession, path: str, fmt: str = "csv", schema: T.Str
 
 
 LOG_SCHEMA = T.StructType(DIALOGUE.fields + [T.StructField("position", T.LongType(), True)])
+_BATCH_SCHEMA = T.StructType(DIALOGUE.fields + [T.StructField("seq", T.LongType(), True)])
+_IMPORT = f"{0:017d}_array"  # the batch that holds a former JSON array; sorts before all others
 
 
 def empty_dialogue(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], LOG_SCHEMA)
 
 
+def _log_folder(spark: SparkSession, path: str) -> str:
+    """Where the log's batches are: ``path`` itself, or beside the array that it began as."""
+    return f"{path}.log" if path_exists(spark, path) and not _is_dir(spark, path) else path
+
+
 def read_dialogue(spark: SparkSession, path: str) -> DataFrame:
     """A2: the dialogue log with its record ``position``; a missing or corrupt log is
     an empty table.
 
-    A single file is one JSON array of records: it is not splittable, so one task
-    reads it in file order and the position is the record's index. A folder holds
-    JSON lines written by ``append_dialogue``, which stores the position itself.
+    A single file is one JSON array of records, read in byte ranges (``sources.json_array``);
+    the position is the record's index. A folder holds committed batches of JSON lines
+    (``append_dialogue``): the position counts through the batches in their order. An array
+    that was appended to is read from its batches.
     """
     if not path_exists(spark, path):
         return empty_dialogue(spark)
-    if _is_dir(spark, path):
-        return spark.read.schema(LOG_SCHEMA).option("mode", "DROPMALFORMED").json(path)
-    rows = spark.read.schema(DIALOGUE).option("mode", "DROPMALFORMED").option("multiLine", True).json(path)
-    return rows.withColumn("position", F.monotonically_increasing_id())
-
+    folder = _log_folder(spark, path)
+    batches = batch_rows(spark, folder)
+    if folder != path and _IMPORT not in batches:
+        return read_json_array(spark, path, DIALOGUE)
+    before, starts = 0, []
+    for ident, n in batches.items():
+        starts.append((ident, before))
+        before += n
+    offsets = spark.createDataFrame(starts, "batch string, _before long")  # one row a batch
+    rows = read_batches(spark, folder, "json", _BATCH_SCHEMA).join(F.broadcast(offsets), "batch")
+    return rows.select(*[f.name for f in DIALOGUE.fields], (F.col("_before") + F.col("seq")).alias("position"))
+
+
+def append_dialogue(log: DataFrame, path: str, order=None, batch_id: str | None = None) -> str:
+    """A3: append records to the log as one committed batch; returns the batch id.
+
+    Records follow ``order`` (column names of ``log``; its own ``position`` when not given). Nothing
+    of the log is read or rewritten, concurrent appends keep both batches, and a ``batch_id`` that
+    is in the log already is ignored. A log that is one JSON array stays as it is: its records
+    become the first batch of ``<path>.log``, and until that batch is committed readers take the array.
+    """
+    spark = log.sparkSession
+    folder = _log_folder(spark, path)
+    if folder != path and _IMPORT not in batch_rows(spark, folder):
+        array = written(read_json_array(spark, path, DIALOGUE))
+        _append_ordered(array, folder, ["position"], _IMPORT)
+    return _append_ordered(log, folder, [order] if isinstance(order, str) else list(order or ["position"]), batch_id)
 
-def _array_to_folder(spark: SparkSession, path: str) -> None:
-    """Rewrite a JSON-array log as a folder of JSON lines with positions, once."""
-    read_dialogue(spark, path).write.json(f"{path}.lines")
-    jvm = spark.sparkContext._jvm
-    name = lambda suffix: jvm.org.apache.hadoop.fs.Path(path + suffix)
-    fs = name("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for old, new in ((name(""), name(".array")), (name(".lines"), name(""))):
-        if not fs.rename(old, new):
-            raise OSError(f"cannot rename {old} to {new}")
 
+def _append_ordered(log: DataFrame, folder: str, keys: list[str], batch_id: str | None) -> str:
+    from shelfspark.plans.windows import running_count
+    ranked = running_count(log, [F.col(k).asc() for k in keys], out="__pos").withColumn("seq", F.col("__pos") - 1)
+    return append_batch(ranked.select(*[F.col(f.name).cast(f.dataType) for f in _BATCH_SCHEMA.fields]), folder, "json", batch_id)
 
-def append_dialogue(log: DataFrame, path: str, order=None) -> None:
-    """A3: append records to the log folder (new files; nothing is rewritten).
 
-    Positions continue after the largest one already in the folder, in the order
-    of ``order`` (column names of ``log``; its own ``position`` when not given).
-    A log that is still one JSON array is turned into a folder first; the array
-    stays beside it as ``<path>.array``.
-    """
-    spark = log.sparkSession
-    if path_exists(spark, path) and not _is_dir(spark, path):
-        _array_to_folder(spark, path)
-    start = (read_dialogue(spark, path).agg(F.max("position")).first()[0] if path_exists(spark, path) else None)
-    base = -1 if start is None else int(start)
-    keys = [order] if isinstance(order, str) else list(order or ["position"])
-    from shelfspark.plans.windows import running_count
-    ranked = running_count(log, [F.col(k).asc() for k in keys], out="__pos")
-    out = ranked.withColumn("position", F.col("__pos") + F.lit(base))
-    out.select(*[F.col(f.name).cast(f.dataType) for f in LOG_SCHEMA.fields]).write.mode("append").json(path)
+def compact_dialogue(spark: SparkSession, path: str) -> bool:
+    """A3: merge the log's batches into one snapshot; positions stay."""
+    return compact(spark, _log_folder(spark, path), "json", _BATCH_SCHEMA)
 
 
 def to_records(df: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as _dt
+import re
 import uuid
 from collections.abc import Mapping
 
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfspark.schemas import RUNS
+from shelfspark.sources.batches import append_batch, compact, read_batches
 
 
 def save_model(model: PipelineModel, path: str) -> str:
@@ -30,16 +32,23 @@ def new_run_id() -> str:
 
 def log_run(spark: SparkSession, runs_path: str, experiment: str, name: str, params: Mapping,
             metrics: Mapping[str, float], model_path: str | None = None, run_id: str | None = None) -> str:
-    """Append one run record to the Parquet run table; returns the run id."""
+    """Append one run record to the run table as a committed batch named by its run id;
+    concurrent runs keep both records, a repeated run id is ignored. Returns the run id."""
     run_id = run_id or new_run_id()
     row = (run_id, experiment, name, model_path, _dt.datetime.now(_dt.timezone.utc),
            {str(k): str(v) for k, v in params.items()}, {str(k): float(v) for k, v in metrics.items()})
-    spark.createDataFrame([row], RUNS).write.mode("append").parquet(runs_path)
+    append_batch(spark.createDataFrame([row], RUNS).coalesce(1), runs_path, "parquet", re.sub(r"\W", "_", run_id))
     return run_id
 
 
 def read_runs(spark: SparkSession, runs_path: str) -> DataFrame:
-    return spark.read.schema(RUNS).parquet(runs_path)
+    """All committed runs: the newest snapshot and the batches after it."""
+    return read_batches(spark, runs_path, "parquet", RUNS).drop("batch")
+
+
+def compact_runs(spark: SparkSession, runs_path: str) -> bool:
+    """Merge the one-row batches into a snapshot."""
+    return compact(spark, runs_path, "parquet", RUNS)
 
 
 def latest_run(runs: DataFrame, experiment: str, name: str | None = None) -> DataFrame:

@@ -242,6 +242,64 @@ def test_sampled_learner_encodes_and_scales_by_all_training_rows(spark, monkeypa
     got = Q._post_model(Q._split(Q._features(spark, SF_SMALL, "post")))
     train = Q._split(Q._features(spark, SF_SMALL, "post")).where("split = 'train'")
     want = I.fit_pipeline(train, POST_CATEGORICAL, POST_NUMERIC, None)
-    assert [list(x) for x in got.stages[0].labelsArray] == [list(x) for x in want.stages[0].labelsArray]
-    assert np.allclose(got.stages[3].mean.toArray(), want.stages[3].mean.toArray())
-    assert np.allclose(got.stages[3].std.toArray(), want.stages[3].std.toArray())
+    codes = lambda m: sorted(map(tuple, m.stages[0].codes(spark).collect()))
+    assert codes(got) == codes(want)
+    assert np.allclose(got.stages[2].mean.toArray(), want.stages[2].mean.toArray())
+    assert np.allclose(got.stages[2].std.toArray(), want.stages[2].std.toArray())
+
+
+def test_dictionary_encoder(spark, tmp_path):
+    from pyspark.ml import PipelineModel
+    rows = [("b", "x"), ("a", None), ("é", "x"), ("a", "y'\"z"), (None, ""), ("B", "10"), ("b", "9")]
+    df = spark.createDataFrame(rows, "p string, q string")
+    model = H.ordinal_encode(df, ["p", "q"])
+    values = {c: sorted({r[i] for r in rows if r[i] is not None}, key=lambda v: v.encode()) for i, c in enumerate("pq")}
+    new = spark.createDataFrame([*rows, ("zz", "x"), ("a", "unseen")], df.schema)
+    code = lambda c, v: values[c].index(v) if v in values[c] else -1
+    want = sorted(((p, q, code("p", p), code("q", q)) for p, q in map(tuple, new.collect())), key=repr)
+    assert sorted(map(tuple, model.transform(new).collect()), key=repr) == want
+    model.write().overwrite().save(str(tmp_path / "enc"))
+    again = PipelineModel.load(str(tmp_path / "enc"))
+    assert sorted(map(tuple, again.transform(new).collect()), key=repr) == want
+    own = sorted(map(tuple, H.label_encode(df, ["p"]).select("p", "p_code").collect()), key=repr)
+    assert own == sorted(((p, code("p", p)) for p, _ in rows), key=repr)
+    empty = H.ordinal_encode(df.limit(0), ["p"]).transform(df)
+    assert {r["p_code"] for r in empty.collect()} == {-1}
+
+
+def test_second_solver_penalises_the_intercept(spark):
+    import numpy as np
+    from pyspark.ml.linalg import Vectors
+    r = np.random.default_rng(5)
+    x = r.standard_normal((80, 2))
+    y = (x[:, 0] + 1.5 + 0.7 * r.standard_normal(80) > 0).astype(float)
+    w = np.where(y == 1, 80 / (2 * y.sum()), 80 / (2 * (80 - y.sum())))
+    df = I.with_constant(spark.createDataFrame([(Vectors.dense(a), float(b), float(c)) for a, b, c in zip(x, y, w)], ["features", "label", "weight"]))
+    for C_ in (0.1, 10.0):
+        est = I.logistic_penalised(C_, float(w.sum()), max_iter=1000).setTol(1e-12)
+        got = est.fit(I.mirrored(df)).coefficients.toArray()
+        a, t = np.hstack([x, np.ones((80, 1))]), np.zeros(3)
+        for _ in range(100):  # Newton on C * loss + |t|^2 / 2, the intercept included
+            p = 1 / (1 + np.exp(-a @ t))
+            grad = C_ * a.T @ (w * (p - y)) + t
+            t = t - np.linalg.solve(C_ * (a.T * (w * p * (1 - p))) @ a + np.eye(3), grad)
+        assert np.allclose(got, t, atol=1e-4)
+    maps = I.logistic_maps(I.logistic(), 80.0)
+    assert len(maps) == 8 and {m["solver"] for m, _ in maps} == {"lbfgs", "liblinear"}
+
+
+def test_automatic_bins(spark):
+    import numpy as np
+    from shelfspark.operators import profile as B
+    r = np.random.default_rng(6)
+    for values, kind in ((np.round(r.standard_normal(500), 3), "double"), (r.integers(0, 9, 300), "int"),
+                         (r.exponential(3, 64), "double"), (r.integers(0, 10**6, 200), "long")):
+        rows = [(v.item(),) for v in values] + [(None,)]
+        df = spark.createDataFrame(rows, f"x {kind}")
+        whole = values.dtype.kind == "i"
+        counts = [len(np.histogram_bin_edges(values, rule)) - 1 for rule in ("fd", "sturges")]
+        assert B.auto_bins(df, "x") == (min(max(counts), int(np.ptp(values))) if whole else max(counts))
+        assert sum(x["n"] for x in B.auto_histogram(df, "x").collect()) == len(values)
+    assert B.auto_bins(spark.createDataFrame([(0.0,)] * 90 + [(1.0,)], "x double"), "x") == 8  # no IQR: log2(91) + 1
+    assert B.auto_bins(spark.createDataFrame([(2.0,), (2.0,)], "x double"), "x") == 1
+    assert [tuple(x)[-1] for x in B.auto_histogram(spark.createDataFrame([(None,)], "x double"), "x").collect()] == [0]
