@@ -236,7 +236,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
     indexed and broadcast one after the other, so no broadcast grows with either table.
     Null and empty texts have no leaks; null items and items of fewer than Q normalised
     characters are never found. Rows are searched by themselves; repeated items each
-    report. Other columns may have any names but ``leaks``.
+    report. Other columns may have any names; one named ``leaks`` gives two such columns.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).cast("bigint").alias("item"), F.col(item_text).cast("string").alias("text")).where(
@@ -277,4 +277,6 @@ def leaked_pairs(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", rules: Leak = Leak()) -> DataFrame:
     """The rows of ``docs`` in which no benchmark segment was found."""
-    return find_leaks(docs, benchmark, text_col, rules=rules).where(F.size("leaks") == 0).drop("leaks")
+    found = find_leaks(docs, benchmark, text_col, rules=rules)
+    *named, leaks = [f"c{i}" for i in range(len(found.columns))]  # docs may have a column of any name
+    return found.toDF(*named, leaks).where(F.size(leaks) == 0).select(*named).toDF(*docs.columns)

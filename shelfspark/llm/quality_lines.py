@@ -5,9 +5,8 @@ DataFrame functions only. All work on a text happens inside its own row: no shuf
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,9 +20,11 @@ STOP = r"[.!?…:;,。！？؟।]"
 SEPARATOR = r"[|»«›•·→]"
 BOILERPLATE = (
     "all rights reserved", "privacy policy", "terms of use", "terms of service", "terms and conditions", "cookie",
-    "javascript", "lorem ipsum", "subscribe to", "sign in", "log in", "read more", "click here", "share this",
+    "cookies", "javascript", "lorem ipsum", "subscribe to", "sign in", "log in", "read more", "click here", "share this",
     "licensed under", "released under", "copyright (c)",
 )
+#: A phrase as words of their own: "log in" is not in "my blog in 2019".
+BOILERPLATE_PATTERN = r"(?:^|[^\p{L}\p{N}])(?:" + "|".join(re.escape(p).replace(r"\ ", " ") for p in BOILERPLATE) + r")(?:[^\p{L}\p{N}]|$)"
 
 
 @dataclass(frozen=True)
@@ -66,7 +67,7 @@ def line_fails(fact: Column, rules: LineRules = LineRules()) -> Column:
         (n >= rules.unpunctuated_words) & ~line.rlike(STOP))
     navigation = (fact["separators"] >= rules.min_separators) & (
         fact["separators"] >= rules.max_separators_per_word * n)
-    boilerplate = (n <= rules.boilerplate_words) & reduce(or_, [F.lower(line).contains(p) for p in BOILERPLATE])
+    boilerplate = (n <= rules.boilerplate_words) & F.lower(line).rlike(BOILERPLATE_PATTERN)
     return (n > 0) & (punctuation | navigation | boilerplate)
 
 
@@ -153,7 +154,7 @@ WITH d AS (
 ), bad AS (
   SELECT rid, count(*) AS n_failed, sum(length(regexp_replace(x, '[\x20\x09-\x0D]', '', 'g'))) AS lost FROM lines
   WHERE marks > 0.3 * n OR (n >= 40 AND stops = 0) OR (seps >= 2 AND seps >= 0.2 * n) OR (n <= 20 AND regexp_matches(lower(x),
-    'all rights reserved|privacy policy|terms of use|terms of service|terms and conditions|cookie|javascript|lorem ipsum|subscribe to|sign in|log in|read more|click here|share this|licensed under|released under|copyright \(c\)'))
+    '(?:^|[^\p{L}\p{N}])(?:all rights reserved|privacy policy|terms of use|terms of service|terms and conditions|cookie|cookies|javascript|lorem ipsum|subscribe to|sign in|log in|read more|click here|share this|licensed under|released under|copyright \(c\))(?:[^\p{L}\p{N}]|$)'))
   GROUP BY rid
 ), j AS (
   SELECT doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,

@@ -51,20 +51,25 @@ def simhash(text: bytes | None, shingle: int = 3, seed: int = SEED) -> int:
     return int.from_bytes(np.packbits(2 * one > len(first), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(id, fp): the SimHash of every row's whole text, as the signed long of its 64 bits.
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
+                 carry: str | None = None) -> DataFrame:
+    """(id, fp): the SimHash of every row's whole text, as the signed long of its 64 bits;
+    with ``carry`` also that column, as ``carry``.
 
     Null and empty texts and texts of white space get 0. Only the two named columns are
     read, so other columns and their names don't matter. Repeated rows stay repeated.
     """
-    narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    extra = [F.col(carry).alias("carry")] if carry else []
+    narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *extra)
+    carried = ["carry"] if carry else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.fromiter((simhash(t.as_py(), shingle) for t in b.column("text").cast(pa.binary())), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(fp.view(np.int64))], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(fp.view(np.int64)), *[b.column(c) for c in carried]], ["id", "fp", *carried])
 
-    return narrow.mapInArrow(run, f"id {narrow.schema['id'].dataType.simpleString()}, fp bigint")
+    kinds = "".join(f", {c} {narrow.schema[c].dataType.simpleString()}" for c in carried)
+    return narrow.mapInArrow(run, f"id {narrow.schema['id'].dataType.simpleString()}, fp bigint{kinds}")
 
 
 def _masks(max_bits: int) -> list[int]:
@@ -169,19 +174,48 @@ def fingerprint_links(distinct: DataFrame, max_bits: int = 2) -> DataFrame:
     return dealt.mapInArrow(link, "a bigint, b bigint")
 
 
+def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 2,
+            carry: str | None = None) -> DataFrame:
+    """(id, fp, component_id, component) and ``carry`` for every row: ``component`` is the smallest
+    fingerprint of the row's group, ``component_id`` its smallest id (null if no row has one)."""
+    rows = pinned(fingerprints(docs, id_col, text_col, shingle, carry))
+    nodes = pinned(rows.groupBy("fp").agg(F.min("id").cast("bigint").alias("least")))
+    links = fingerprint_links(nodes.select("fp", F.col("fp").alias("node")), max_bits)
+    linked = pinned(connected_components(links).withColumnRenamed("node", "fp").join(nodes, "fp"))  # linked fingerprints only
+    names = linked.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = (nodes.join(linked.join(names, "component").select("fp", "component", F.col("component_id").alias("shared")), "fp", "left")
+             .select("fp", F.coalesce("component", "fp").alias("component"), F.when(F.col("component").isNull(), F.col("least")).otherwise(F.col("shared")).alias("component_id")))
+    return rows.join(named, "fp")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
                     max_bits: int = 2) -> DataFrame:
-    """(id, fingerprint, component_id) for every row with an id.
+    """(id, fingerprint, component_id) for every row.
 
     ``fingerprint``: 16 lower-case hex digits. ``component_id``: the smallest id reachable
     over fingerprints at most ``max_bits`` bits apart, itself included. Equal fingerprints
     are one node of the index, so copies are never paired with each other. Ids are
-    integers; rows with a null id have no name to report and are left out. Repeated ids
-    give repeated rows. An empty table gives no rows.
+    integers; rows with a null id link like all others, and a group in which no row has an id
+    has a null component_id. Repeated ids give repeated rows. An empty table gives no rows.
+    """
+    return grouped(docs, id_col, text_col, shingle, max_bits).select(
+        F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 2) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: one row of each group stays, that with the
+    smallest id (null ids last), then the smallest hash of its text.
+
+    Rows are told apart by id and text, so one id with several texts loses only what another row
+    stands for; of rows equal in both, one stays. Other columns may have any names.
     """
-    rows = pinned(fingerprints(docs.where(F.col(id_col).isNotNull()), id_col, text_col, shingle))
-    nodes = pinned(rows.groupBy("fp").agg(F.min("id").cast("bigint").alias("node")))
-    comps = connected_components(fingerprint_links(nodes, max_bits))
-    named = nodes.join(comps, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return (rows.join(named, "fp")
-            .select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"))
+    key = "__simhash_row"
+    text = F.coalesce(F.concat(F.lit("="), F.col(text_col).cast("string")), F.lit("-"))
+    marked = docs.withColumn(key, F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.lit(":"), text)))
+    rows = pinned(grouped(marked, id_col, text_col, shingle, max_bits, key).select("component", "carry", F.struct(F.col("id").isNull(), "id", "carry").alias("place")))
+    first = rows.groupBy("component").agg(F.min("place").alias("first"))
+    gone = rows.join(first, "component").where(F.col("place") != F.col("first")).select(F.col("carry").alias(key)).distinct()
+    again = pinned(rows.groupBy(F.col("carry").alias(key)).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(key).join(gone, key, "left_anti"))
+    left = marked.join(gone.unionByName(again), key, "left_anti")
+    twice = marked.join(again, key, "left_semi").dropDuplicates([key])
+    return left.unionByName(twice).drop(key)

@@ -61,7 +61,7 @@ def test_run_equals_the_stages_by_brute_force(spark, folder):
 def test_stages_keep_columns_and_take_odd_rows(spark, folder):
     rows = [(None, "w " * 3 + "\n", 1, 1, 1, 1), (1, None, 1, 1, 1, 1), (1, "", 1, 1, 1, 1), (2, "\n".join(f"word{i} and more." for i in range(40)), 1, 1, 1, 1),
             (2, "\n".join(f"word{i} and more." for i in range(40)), 1, 1, 1, 1)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, kept int, leaks_of int, runs int, component_id int")
+    df = spark.createDataFrame(rows, "doc_id long, text string, kept int, leaks int, n_deleted_lines int, component_id int")
     for _, stage in P.STAGES[:-1]:
         assert stage(spark, df, folder).columns == df.columns
         assert stage(spark, df.limit(0), folder).count() == 0

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import xxhash
 
-from shelfspark.llm.simhash import _link_entry, fingerprint_links, near_duplicates, simhash
+from shelfspark.llm.simhash import _link_entry, fingerprint_links, near_duplicates, one_of_each, simhash
 
 
 def brute_fp(text):
@@ -79,8 +79,34 @@ def test_components_on_documents(spark):
     docs += [(200, None), (201, ""), (202, " \n"), (203, "one"), (203, "one"), (None, "one")]
     df = spark.createDataFrame([(i, t, "x") for i, t in docs], "doc_id long, text string, fp string")
     got = [(x["doc_id"], x["fingerprint"], x["component_id"]) for x in near_duplicates(df).collect()]
-    named = [(i, t) for i, t in docs if i is not None]
-    fp = {i: brute_fp(t) for i, t in named}
-    want = brute_components(sorted(fp), lambda a, b: (fp[a] ^ fp[b]).bit_count() <= 2)
-    assert sorted(got) == sorted((i, f"{fp[i]:016x}", want[i]) for i, _ in named)
+    fps = [brute_fp(t) for _, t in docs]
+    near = brute_components(range(len(docs)), lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 2)
+    least = lambda k: min((i for j, (i, _) in enumerate(docs) if near[j] == near[k] and i is not None), default=None)
+    want = [(i, f"{fps[k]:016x}", least(k)) for k, (i, _) in enumerate(docs)]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
     assert near_duplicates(df.limit(0)).count() == 0
+
+
+def test_null_ids_link_and_name_nothing(spark):
+    base = " ".join(f"w{i}" for i in range(200))
+    docs = [(None, base), (None, base), (7, base + " x"), (None, "quite another text of its own here")]
+    got = near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    linked = (brute_fp(base) ^ brute_fp(base + " x")).bit_count() <= 2
+    want = {f"{brute_fp(base):016x}": 7 if linked else None, f"{brute_fp(docs[3][1]):016x}": None, f"{brute_fp(docs[2][1]):016x}": 7}
+    assert len(got) == 4 and all(x["component_id"] == want[x["fingerprint"]] for x in got)
+
+
+def test_one_row_of_each_group_stays(spark):
+    t, u, v = (" ".join(f"{c}{i}" for i in range(120)) for c in "tuv")
+    docs = [(1, t), (2, t), (2, u), (3, u + " x"), (5, t), (5, t), (6, v), (6, v), (None, v), (None, None), (None, ""), (9, "own words")]
+    df = spark.createDataFrame([(i, x, "n") for i, x in docs], "doc_id long, text string, component string")
+    kept = sorted(((r["doc_id"], r["text"]) for r in one_of_each(df).collect()), key=repr)
+    fps = [brute_fp(x) for _, x in docs]
+    near = brute_components(range(len(docs)), lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 2)
+    groups = {}
+    for k, (i, x) in enumerate(docs):
+        groups.setdefault(near[k], []).append((i is None, i or 0, x))
+    assert len(kept) == len(groups)
+    assert all(any((i is None, i or 0) == min(q[:2] for q in g) and (i is None, i or 0, x) in g for g in groups.values()) for i, x in kept)
+    assert {x for _, x in kept} >= {t, v, "own words"} and any(x in (u, u + " x") for _, x in kept)
+    assert one_of_each(df).columns == df.columns and one_of_each(df.limit(0)).count() == 0
