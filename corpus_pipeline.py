@@ -3,8 +3,9 @@ benchmark decontamination, SentencePiece encoding and decoding.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each
 stage's rows as Parquet to the shared checkpoint folder and reads them back for the next.
-Rows with a null doc_id pass the two dedup stages unchanged; null and blank texts end at the
-first stage; an empty table gives an empty result; extra columns are carried to the last stage.
+Rows with a null doc_id pass line dedup unchanged and come last in a group of near-duplicates;
+null and blank texts end at the first stage; an empty table gives an empty result; extra columns
+of any name are carried to the last stage.
 """
 
 from __future__ import annotations
@@ -35,13 +36,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without later copies of repeated line runs; documents left without a word go."""
     found = line_dedup.dedup_lines(docs)
-    return _with_text(found.where((F.col("n_deleted_lines") == 0) | has_word(F.col("text"))), docs.columns)
+    *named, deleted = [f"c{i}" for i in range(len(found.columns))]  # docs may have a column of any name
+    left = found.toDF(*named, deleted).where((F.col(deleted) == 0) | has_word(F.col(named[docs.columns.index("text")])))
+    return _with_text(left.select(*named).toDF(*docs.columns), docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates."""
-    copies = simhash.near_duplicates(docs, shingle=3, max_bits=2).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near-duplicates: that with the smallest id."""
+    return simhash.one_of_each(docs, shingle=3, max_bits=2)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

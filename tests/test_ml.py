@@ -216,7 +216,7 @@ def test_bounded_search_scores_every_held_out_row(spark):
     for i, m in enumerate(maps):
         f1 = []
         for k in range(3):
-            first = data.where(F.col("fold") != k).orderBy(H.hash_order("product_id"), "product_id").limit(200)
+            first = data.orderBy(H.hash_order("product_id"), "product_id").limit(300).where(F.col("fold") != k)
             held = data.where(F.col("fold") == k)
             f1.append(J.classification_metrics(est.fit(first, m).transform(held)).first()["macro_f1"])
         assert abs(got[i] - sum(f1) / 3) < 1e-9
@@ -225,10 +225,10 @@ def test_bounded_search_scores_every_held_out_row(spark):
 def test_grid_search_query_covers_all_rows(spark, monkeypatch):
     from shelfspark.plans import queries_ml as Q
     seen = []
-    tune = I.tune
+    search = I.logistic_search
     monkeypatch.setattr(Q, "TRAIN_ROWS", 300)
-    monkeypatch.setattr(I, "tune", lambda data, *a, **kw: seen.append(data) or tune(data, *a, **kw))
-    assert Q.q_grid(spark, SF_SMALL).count() == 1
+    monkeypatch.setattr(I, "logistic_search", lambda data, *a, **kw: seen.append(data) or search(data, *a, **kw))
+    assert Q.q_grid(spark, SF_SMALL).count() == 8
     n = catalog_view(spark, SF_SMALL).count()
     assert n > 300 and seen[0].count() == n and abs(seen[0].agg(F.sum("weight")).first()[0] - n) < 1e-6
 
