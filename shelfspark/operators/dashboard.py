@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from shelfspark.functions.features import in_date_range
 from shelfspark.operators import insights as E
 from shelfspark.operators import kpi as D
+from shelfspark.plans.reuse import written
 from shelfspark.sources.catalog import MONTH_FOLDER, month_range
 
 
@@ -27,11 +28,12 @@ def filter_dates(df: DataFrame, start=None, end=None) -> DataFrame:
 def dashboard_tables(catalog: DataFrame, start=None, end=None, cache: bool = True) -> dict[str, DataFrame]:
     """Every panel of the dashboard for one date range, keyed by panel name.
 
-    The prepared, filtered catalogue is cached once because all panels read it.
+    The prepared, filtered catalogue is written once to the checkpoint folder because all
+    panels read it, each its own columns (``cache=False``: every panel reads the source).
     """
     df = filter_dates(D.prepare(catalog), start, end)
     if cache:
-        df = df.cache()
+        df = written(df)
     monthly = E.monthly_trend(df)
     category = E.revenue_by(df, "category")
     city = E.city_revenue(df)

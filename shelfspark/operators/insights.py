@@ -18,8 +18,9 @@ from shelfspark.functions.common import (
 )
 from shelfspark.functions.features import offer_filled, revenue
 from shelfspark.plans.grid import complete_grid, wide_grid
+from shelfspark.plans.quantiles import bucket_quantiles, numeric_bounds
 from shelfspark.plans.reuse import materialize_small
-from shelfspark.plans.windows import running_sums
+from shelfspark.plans.windows import running_count, running_sums
 
 # Fixed values of the dashboard: colour bands, the Pareto line, the correlation cut, line points.
 DELIVERY_BANDS = ([70.0, 85.0], ["red", "amber", "green"])
@@ -209,15 +210,22 @@ def delivery_takeaway(table: DataFrame, dim: str = "city") -> DataFrame:
 
 
 # ---------------------------------------------------------------- E10, E11
+def _medians(groups: DataFrame, *cols: str) -> list[Column]:
+    """Interpolated median of each column over the groups; null if all its values are null."""
+    bounds = materialize_small(numeric_bounds(groups, cols))
+    found = {r["column"]: r["value"] for r in bucket_quantiles(groups, bounds, cols, [0.5]).collect()}  # one row per column
+    return [F.lit(found.get(c)).cast("double") for c in cols]
+
+
 def demand_supply_quadrant(df: DataFrame, dim: str = "category") -> DataFrame:
     """Group means of demand and stock against the medians of those means (>= is high).
 
-    The medians are over one value per group (bounded by the group count).
+    The medians are exact and distributed, so ``dim`` may have any number of groups.
     """
     q = materialize_small(_keyed(df, dim).groupBy(dim)
                           .agg(F.avg("demand_index").alias("avg_demand"), F.avg("stock").alias("avg_stock")))
-    med = q.agg(F.struct(F.median("avg_demand").alias("d"), F.median("avg_stock").alias("s"))).scalar()
-    hi_d, hi_s = F.col("avg_demand") >= med["d"], F.col("avg_stock") >= med["s"]
+    demand, stock = _medians(q, "avg_demand", "avg_stock")
+    hi_d, hi_s = F.col("avg_demand") >= demand, F.col("avg_stock") >= stock
     quadrant = (F.when(hi_d & ~hi_s, "Reorder Now").when(hi_d & hi_s, "Healthy")
                 .when(~hi_d & hi_s, "Overstocked").otherwise("Phase Out"))
     return q.withColumn("quadrant", quadrant)
@@ -237,13 +245,14 @@ def discount_margin(df: DataFrame, dim: str = "category") -> DataFrame:
                           .agg(F.avg("discount_pct").alias("avg_discount"),
                                F.avg("profit_margin_pct").alias("avg_margin"),
                                exact_sum(revenue()).alias("total_revenue")))
-    med = m.agg(F.struct(F.median("avg_discount").alias("d"), F.median("avg_margin").alias("m"))).scalar()
-    zone = (F.when((F.col("avg_discount") > med["d"]) & (F.col("avg_margin") < med["m"]), "leakage")
-            .when((F.col("avg_discount") < med["d"]) & (F.col("avg_margin") > med["m"]), "safe")
+    discount, margin = _medians(m, "avg_discount", "avg_margin")
+    zone = (F.when((F.col("avg_discount") > discount) & (F.col("avg_margin") < margin), "leakage")
+            .when((F.col("avg_discount") < discount) & (F.col("avg_margin") > margin), "safe")
             .otherwise("other"))
-    # listing order inside a zone: revenue desc, key asc (one row per group: bounded)
-    w = Window.partitionBy("zone").orderBy(F.col("total_revenue").desc(), F.col(dim).asc())
-    return m.withColumn("zone", zone).withColumn("zone_rank", F.row_number().over(w))
+    # listing order inside a zone: revenue desc, key asc
+    ranked = running_count(m.withColumn("zone", zone), [F.col("total_revenue").desc(), F.col(dim).asc()],
+                           partition=["zone"], out="zone_rank")
+    return ranked.withColumn("zone_rank", F.col("zone_rank").cast("int"))
 
 
 def discount_takeaway(table: DataFrame, dim: str = "category") -> DataFrame:

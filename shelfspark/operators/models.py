@@ -7,20 +7,22 @@ the driver only loops over a handful of estimators or parameter maps.
 from __future__ import annotations
 
 import random
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
 
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Estimator, Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel, RandomForestClassifier
+from pyspark.ml.common import _py2java
 from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.feature import ElementwiseProduct
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import LinearRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfspark.functions.features import REFERENCE_DATE
@@ -74,6 +76,13 @@ def logistic(C: float = 1.0, n_weight: float = 1.0, weight_col: str | None = "we
                               tol=LOGISTIC_TOL, **kw)
 
 
+def fixed_logistic(spark: SparkSession, weights: Sequence[float], intercept: float = 0.0) -> LogisticRegressionModel:
+    """A logistic model of given weights over ``features``, for rules set by hand."""
+    java = spark._jvm.org.apache.spark.ml.classification.LogisticRegressionModel(
+        f"fixed_{uuid.uuid4().hex}", _py2java(spark.sparkContext, Vectors.dense([float(w) for w in weights])), float(intercept))
+    return LogisticRegressionModel(java)
+
+
 def with_constant(df: DataFrame, out: str = "features1") -> DataFrame:
     """``features`` and a constant 1 as one more feature, whose weight is the intercept."""
     return df.withColumn(out, array_to_vector(F.concat(vector_to_array("features"), F.array(F.lit(1.0)))))
@@ -288,24 +297,25 @@ def best_params(cv_model, grid: Mapping[str, Sequence]) -> DataFrame:
     return spark.createDataFrame(rows, "param string, tried string, best string, cv_macro_f1 double")
 
 
-def _train(features: DataFrame, cats, nums, params) -> PipelineModel:
+def _train(features: DataFrame, cats, nums, params, learn) -> PipelineModel:
     weighted = with_class_weights(features, "label")
-    return fit_pipeline(weighted, cats, nums, boosted(**params))
+    return fit_pipeline(weighted, cats, nums, boosted(**params, bounded=learn is not None), learn=learn)
 
 
-def train_pre_launch(catalog: DataFrame, ref_date=REFERENCE_DATE, params=PRE_LAUNCH_PARAMS) -> PipelineModel:
-    """Pre-launch features -> encode -> scale -> balanced boosted trees."""
-    return _train(engineer_pre_launch(catalog, ref_date), CATEGORICAL, PRE_NUMERIC, params)
+def train_pre_launch(catalog: DataFrame, ref_date=REFERENCE_DATE, params=PRE_LAUNCH_PARAMS, learn=None) -> PipelineModel:
+    """Pre-launch features -> encode -> scale -> balanced boosted trees. ``learn`` may pick a
+    bounded number of rows for the trees (``fit_pipeline``); one task then grows them."""
+    return _train(engineer_pre_launch(catalog, ref_date), CATEGORICAL, PRE_NUMERIC, params, learn)
 
 
-def train_post_launch(catalog: DataFrame, ref_date=REFERENCE_DATE, params=POST_LAUNCH_PARAMS) -> PipelineModel:
-    """Post-launch features -> encode -> scale -> balanced boosted trees."""
-    return _train(engineer_post_launch(catalog, ref_date), POST_CATEGORICAL, POST_NUMERIC, params)
+def train_post_launch(catalog: DataFrame, ref_date=REFERENCE_DATE, params=POST_LAUNCH_PARAMS, learn=None) -> PipelineModel:
+    """Post-launch features -> encode -> scale -> balanced boosted trees; ``learn`` as there."""
+    return _train(engineer_post_launch(catalog, ref_date), POST_CATEGORICAL, POST_NUMERIC, params, learn)
 
 
 def production_training(catalog: DataFrame, model_dir: str, runs_path: str, experiment: str = "catalogue_models",
-                        ref_date=REFERENCE_DATE, pre_params=PRE_LAUNCH_PARAMS, post_params=POST_LAUNCH_PARAMS
-                        ) -> dict[str, str]:
+                        ref_date=REFERENCE_DATE, pre_params=PRE_LAUNCH_PARAMS, post_params=POST_LAUNCH_PARAMS,
+                        learn=None) -> dict[str, str]:
     """I9 end to end: train both models, save them, append one run record each.
 
     Returns the run id per model. ``latest_run`` / ``require_latest_model`` load them back.
@@ -315,7 +325,7 @@ def production_training(catalog: DataFrame, model_dir: str, runs_path: str, expe
     runs = {}
     for name, train, params in (("pre_launch_model", train_pre_launch, pre_params),
                                 ("post_launch_model", train_post_launch, post_params)):
-        model = train(catalog, ref_date, params)
+        model = train(catalog, ref_date, params, learn)
         run_id = new_run_id()  # each run keeps its own model files
         path = save_model(model, f"{model_dir.rstrip('/')}/{name}/{run_id}")
         runs[name] = log_run(spark, runs_path, experiment, name, params, {}, path, run_id)

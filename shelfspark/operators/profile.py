@@ -80,7 +80,7 @@ def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None, approx: b
                                     F.col(f"_lo{i}").alias("min"), F.col(f"_q{i}")[0].alias("q25"),
                                     F.col(f"_q{i}")[1].alias("q50"), F.col(f"_q{i}")[2].alias("q75"),
                                     F.col(f"_hi{i}").alias("max")) for i, c in enumerate(cols)])
-    narrow = materialize_small(df.select(*cols))
+    narrow = written(df.select(*cols))
     bounds = materialize_small(numeric_bounds(narrow, cols))
     q = bucket_quantiles(narrow, bounds, cols, QUARTILES)
     qw = q.groupBy("column").agg(*[F.max(F.when(F.col("prob") == p, F.col("value"))).alias(name)

@@ -12,6 +12,7 @@ from shelfspark.operators import kpi as D
 from shelfspark.operators import questions as Q
 from shelfspark.operators.dashboard import filter_dates
 from shelfspark.plans.registry import cat, register, with_catalog
+from shelfspark.plans.reuse import written
 from shelfspark.sources.catalog import catalog_view, line_column, table
 
 REV = ("final_price", "sold_quantity")
@@ -562,7 +563,8 @@ def q_null_leaders(spark, sf):
     month = F.date_format("date_added", "yyyy-MM")
     low = df.agg(F.struct(*[F.min(c).alias(c) for c in ("category", "city", "seller", "offer_type")], F.min(month).alias("month"))).scalar()
     hit = reduce(lambda a, b: a | b, [F.col(c) == low[c] for c in ("category", "city", "seller", "offer_type")] + [month == low["month"]])
-    df = df.withColumns({c: F.when(~hit, F.col(c)) for c in (*REV, "rating", "delivery_time_min", "profit_margin_pct")})
+    # eleven questions read these rows: one join, written
+    df = written(df.withColumns({c: F.when(~hit, F.col(c)) for c in (*REV, "rating", "delivery_time_min", "profit_margin_pct")}))
 
     def row(question, t, best, best_value, worst=None, worst_value=None):
         pick = lambda c, kind: (F.lit(None) if c is None else c if not isinstance(c, str) else F.col(c)).cast(kind)

@@ -8,6 +8,8 @@ metrics) covers all rows.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,7 +25,9 @@ from shelfspark.plans.queries_more import FIXTURE_REF_DATE
 from shelfspark.plans.registry import register
 from shelfspark.plans.reuse import written
 from shelfspark.schemas import CATEGORICAL, POST_CATEGORICAL, POST_NUMERIC, PRE_NUMERIC
+from shelfspark.session import scratch_path
 from shelfspark.sources.catalog import catalog_view
+from shelfspark.sources.store import require_latest_model
 
 #: Bound on the labelled rows that a registered query learns from.
 TRAIN_ROWS = 20_000
@@ -116,6 +120,23 @@ def q_attribution(spark, sf):
     return attribution_ranking(tree_contributions(booster, test), I.feature_names(POST_CATEGORICAL, POST_NUMERIC), top=15)
 
 
+@register("production_runs", None)
+def q_production(spark, sf):
+    """Both production models are trained (trees from ``TRAIN_ROWS``), saved and recorded;
+    the newest run of each is loaded and scored on all rows."""
+    cat = written(catalog_view(spark, sf))
+    base = scratch_path(spark, f"production-{uuid.uuid4().hex}")
+    I.production_training(cat, f"{base}/models", f"{base}/runs", "catalogue_models", FIXTURE_REF_DATE, learn=_sample)
+    out = None
+    for stage in ("pre", "post"):
+        name = f"{stage}_launch_model"
+        model = require_latest_model(spark, f"{base}/runs", "catalogue_models", name)
+        feats = (C.engineer_pre_launch if stage == "pre" else C.engineer_post_launch)(cat, FIXTURE_REF_DATE)
+        one = J.classification_metrics(model.transform(feats), "label").select(F.lit(name).alias("name"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @register("post_launch_importance", None)
 def q_importance(spark, sf):
     return J.feature_importance(_post_model(_split(_features(spark, sf, "post"))).stages[-1], I.feature_names(POST_CATEGORICAL, POST_NUMERIC))
@@ -132,10 +153,7 @@ def q_stream(spark, sf):
     """K3: post-launch request rows (from the catalogue) arrive as Parquet files under
     the shared checkpoint folder; a Structured Streaming query (availableNow) scores
     them into a sink, which is returned."""
-    import uuid
-
     from shelfspark.schemas import POST_CONTRACT
-    from shelfspark.session import scratch_path
     from shelfspark.streaming.scoring import start_scoring
 
     feats = _split(_features(spark, sf, "post"))

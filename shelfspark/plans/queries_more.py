@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,11 +23,14 @@ from shelfspark.operators.kpi import prepare
 from shelfspark.plans.registry import cat, register, with_catalog
 from shelfspark.schemas import (
     CATALOG, CATEGORICAL, CONTRACT_INTS, NUMERIC_COLUMNS, POST_CATEGORICAL, POST_CONTRACT, POST_NUMERIC,
-    PRE_NUMERIC,
+    PRE_NUMERIC, contract_schema,
 )
+from shelfspark.plans.reuse import written
 from shelfspark.sources.catalog import catalog_view, line_column, table
 from shelfspark.session import scratch_path
 from shelfspark.sources.files import append_dialogue, compact_dialogue, read_catalog, read_dialogue, to_records
+from shelfspark.sources.store import compact_runs, latest_run, log_run, read_runs, require_latest_model, save_model
+from shelfspark.streaming.scoring import start_scoring
 
 FIXTURE_REF_DATE = "1995-01-01"  # start of the test orders: ages are >= 0
 ALL = [f.name for f in CATALOG.fields]
@@ -43,8 +47,7 @@ def q_preview(spark, sf):
 @register("catalog_shape", with_catalog(f"SELECT count(*) AS n_rows, CAST({len(ALL)} AS BIGINT) AS n_cols FROM catalog",
                                         prep=False))
 def q_shape(spark, sf):
-    # no join changes the number of rows: count one narrow column, report the catalogue's width
-    return B.shape(catalog_view(spark, sf, ["product_id"])).withColumn("n_cols", F.lit(len(ALL)).cast("bigint"))
+    return B.shape(catalog_view(spark, sf))
 
 
 @register("schema_profile", with_catalog("\nUNION ALL\n".join(
@@ -204,6 +207,12 @@ def q_scenario_features(spark, sf):
     return C.scenario_features(catalog_view(spark, sf), SCENARIO_AS_OF, "post", FIXTURE_REF_DATE)
 
 
+@register("pre_launch_scenario_features", with_catalog(SCENARIO_SQL + "\nSELECT " + ", ".join(
+    ["product_id"] + CATEGORICAL + PRE_NUMERIC) + " FROM s"))
+def q_pre_scenario_features(spark, sf):
+    return C.scenario_features(catalog_view(spark, sf), SCENARIO_AS_OF, "pre", FIXTURE_REF_DATE)
+
+
 # ------------------------------------------------------------------ G
 PAIRS_SQL = """, nx AS (SELECT conv_id, turn, role, text,
   lead(role) OVER w AS next_role, lead(text) OVER w AS next_text, lead(turn) OVER w AS next_turn
@@ -524,3 +533,78 @@ def q_conform_bad(spark, sf):
     df = cat(spark, sf, "product_id", "offer_type", "sold_quantity")
     half = F.when(F.col("sold_quantity") % 3 == 0, 0.5).otherwise(0.0)
     return C.conform(df.withColumn("sold_quantity", F.col("sold_quantity") + half), contract).select("product_id", "success", "error")
+
+
+# ------------------------------------------------------------------ I1, A5-A7, K1-K3 with exact results
+@register("linear_fit", with_catalog(""", v AS (SELECT discount_pct AS x, rating AS y FROM catalog WHERE discount_pct IS NOT NULL AND rating IS NOT NULL),
+f AS (SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a, stddev_pop(x) AS s, avg(x) AS m FROM v)
+SELECT any_value(b * s) AS weight, any_value(a + b * m) AS intercept, sqrt(avg((a + b * x - y) * (a + b * x - y))) AS rmse,
+  avg(abs(a + b * x - y)) AS mae FROM v, f""", prep=False), rounded=["weight", "intercept", "rmse", "mae"])
+def q_linear_fit(spark, sf):
+    """Least squares on one standardised feature, learned from and scored on all rows."""
+    rows = cat(spark, sf, "discount_pct", "rating").dropna()
+    model = I.fit_pipeline(rows, [], ["discount_pct"], I.linear_regression("rating"))
+    line = model.stages[-1]
+    scores = J.regression_metrics(model.transform(rows), "rating", "prediction")
+    return scores.select(F.lit(float(line.coefficients[0])).alias("weight"), F.lit(float(line.intercept)).alias("intercept"), "rmse", "mae")
+
+
+FIXED_WEIGHTS, FIXED_INTERCEPT = [0.5, -0.75, 0.25], 0.125
+_FIXED_SQL = ", m AS (SELECT " + ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in SCALED) + """ FROM catalog),
+z AS (SELECT product_id, sold_quantity % 5 <> 0 AS success, 1 / (1 + exp(-(0.125e0 + """ + " + ".join(
+    f"{w}e0 * (({c} - m_{c}) / s_{c})" for c, w in zip(SCALED, FIXED_WEIGHTS)) + """))) AS p FROM catalog, m),
+d AS (SELECT product_id, success, CAST(p > 0.5 AS INTEGER) AS prediction, p AS probability, p >= 0.45 AS is_high,
+  CAST(floor(p * 100) AS INTEGER) AS score, CASE WHEN floor(p * 100) >= 70 OR floor(p * 100) <= 30 THEN 'High confidence'
+  ELSE 'Moderate confidence' END AS confidence FROM z)
+"""
+
+
+def _fixed_model(spark, catalog):
+    """The hand-set model behind a scaler fitted on the catalogue, saved, recorded as the newest
+    of two runs of its name, and loaded through the run table."""
+    prep = I.fit_pipeline(catalog, [], SCALED, None)
+    base = scratch_path(spark, f"fixed-model-{uuid.uuid4().hex}")
+    for k, weights in enumerate(([1.0, 1.0, 1.0], FIXED_WEIGHTS)):
+        model = PipelineModel(stages=[*prep.stages, I.fixed_logistic(spark, weights, FIXED_INTERCEPT)])
+        log_run(spark, f"{base}/runs", "rules", "fixed", {"weights": weights}, {}, save_model(model, f"{base}/{k}"))
+    return require_latest_model(spark, f"{base}/runs", "rules", "fixed")
+
+
+@register("fixed_model_scores", with_catalog(_FIXED_SQL + "SELECT * EXCLUDE (success) FROM d", prep=False), rounded=["probability"])
+def q_fixed_scores(spark, sf):
+    """A model with hand-set weights is saved, recorded, loaded and scores all rows."""
+    df = cat(spark, sf, "product_id", *SCALED)
+    return K.decide(K.score(_fixed_model(spark, df), df))
+
+
+@register("fixed_model_stream", with_catalog(_FIXED_SQL + """SELECT product_id, CASE WHEN success THEN prediction ELSE -1 END AS prediction,
+  CASE WHEN success THEN probability ELSE -1 END AS probability, success AND is_high AS is_high, CASE WHEN success THEN score ELSE -1 END AS score,
+  CASE WHEN success THEN confidence END AS confidence, success, CASE WHEN NOT success THEN 'invalid or missing: stock' END AS error FROM d""", prep=False),
+          rounded=["probability"])
+def q_fixed_stream(spark, sf):
+    """K3: the hand-set model scores requests as a stream of files; a fifth of them lacks a value."""
+    df = written(cat(spark, sf, "product_id", "sold_quantity", *SCALED))
+    requests = df.withColumn("stock", F.when(F.col("sold_quantity") % 5 != 0, F.col("stock"))).select("product_id", *SCALED)
+    base = scratch_path(spark, f"fixed-stream-{uuid.uuid4().hex}")
+    requests.write.parquet(f"{base}/requests")
+    start_scoring(spark, _fixed_model(spark, df.select(*SCALED)), f"{base}/requests", requests.schema, f"{base}/scores",
+                  f"{base}/checkpoint", contract_schema([], SCALED)).awaitTermination()
+    return spark.read.parquet(f"{base}/scores").fillna(-1).fillna(False)
+
+
+@register("run_table", with_catalog("""SELECT category AS name, avg(sold_quantity) AS mean_units, category = max(category) OVER () AS is_latest
+FROM catalog WHERE category IS NOT NULL GROUP BY category""", prep=False), rounded=["mean_units"])
+def q_run_table(spark, sf):
+    """One run for every category (its mean as the metric), half of them merged into a
+    snapshot, one of them sent twice; the newest run of the experiment is the last category's."""
+    means = cat(spark, sf, "category", "sold_quantity").dropna(subset=["category"]).groupBy("category").agg(F.avg("sold_quantity").alias("m"))
+    path = scratch_path(spark, f"run-table-{uuid.uuid4().hex}")
+    found = means.orderBy("category").collect()  # a run record is the driver's: one row per category
+    for k, r in enumerate(found):
+        for _ in range(2 if k == 0 else 1):
+            log_run(spark, path, "means", r["category"], {"k": k}, {"mean_units": r["m"]}, run_id=f"run_{k}")
+        if k == len(found) // 2:
+            compact_runs(spark, path)
+    runs = read_runs(spark, path)
+    newest = latest_run(runs, "means").select("name").scalar()
+    return runs.select("name", F.col("metrics")["mean_units"].alias("mean_units"), (F.col("name") == newest).alias("is_latest"))

@@ -84,3 +84,22 @@ def test_cross_grid_custom_aggregate_and_scorecard_metrics(make_catalog):
         make_catalog([{"seller": "a", "sold_quantity": 1}, {"seller": "b", "sold_quantity": 9}]),
         metrics={"units": F.sum("sold_quantity")}).collect()}
     assert card == {"a": 0.0, "b": 100.0}
+
+
+def test_medians_over_many_groups(spark):
+    import statistics
+
+    from shelfspark.operators.insights import discount_margin, quadrant_counts, demand_supply_quadrant
+    rows = [(f"g{i % 501:03d}", float(i * 37 % 1009), i * 53 % 997, float(i * 11 % 101), float(i * 7 % 89), float(i % 13), i % 5) for i in range(2000)]
+    df = spark.createDataFrame(rows, "category string, demand_index double, stock int, discount_pct double, profit_margin_pct double, final_price double, sold_quantity int")
+    q = [r.asDict() for r in demand_supply_quadrant(df).collect()]
+    d, s = (statistics.median(r[c] for r in q) for c in ("avg_demand", "avg_stock"))
+    name = {(True, False): "Reorder Now", (True, True): "Healthy", (False, True): "Overstocked", (False, False): "Phase Out"}
+    assert len(q) == 501 and all(r["quadrant"] == name[r["avg_demand"] >= d, r["avg_stock"] >= s] for r in q)
+    assert sum(r["n"] for r in quadrant_counts(demand_supply_quadrant(df)).collect()) == 501
+    m = [r.asDict() for r in discount_margin(df).collect()]
+    for zone in {r["zone"] for r in m}:
+        own = sorted((r for r in m if r["zone"] == zone), key=lambda r: (-r["total_revenue"], r["category"]))
+        assert [r["zone_rank"] for r in own] == list(range(1, len(own) + 1))
+    none = df.withColumn("demand_index", df.demand_index * None)
+    assert {r["quadrant"] for r in demand_supply_quadrant(none).collect()} == {"Phase Out"}
