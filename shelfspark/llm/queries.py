@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfspark.llm import byte_cnn, decontaminate, hard_negatives, language_id, line_dedup, quality_lines, quotes, secrets_scan, sentencepiece_codec, sharding, simhash, turn_repair, url_filter
 from shelfspark.llm.common import table
+from shelfspark.plans.windows import next_row
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -77,13 +78,30 @@ def op6_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quoted_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quotation linking on messages that quote the turn before them, derived from ``conversations``."""
     chat = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    chat = next_row(chat.withColumn("back", -F.col("turn")), ["conv_id"], "back", ["text"])  # the turn before
+    before = F.col("next_text")
     quote = F.regexp_replace(F.concat(F.lit("\n"), before), "\n", "\n> ")
     threads = quotes.link_quotes(chat.withColumn("text", F.when(before.isNotNull(), F.concat(F.lit("On Monday, they wrote:"), quote, F.lit("\n\n"), "text"))
                                               .otherwise(F.col("text"))))
     return threads.fillna(-1, ["parent_turn"])
 
 
+@_query
+def quoted_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quotation linking on partial, re-wrapped and nested quotes: of each four turns of ``conversations``
+    the second quotes the whole first, the third one sentence of the first over two lines, the
+    fourth one sentence of the second, with one of the first quoted in it."""
+    said = lambda back: F.concat(F.lit("Point "), F.col("turn") - back, F.lit(" of this talk."))
+    chat = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.concat(said(0), F.lit(" "), F.coalesce("text", F.lit(""))).alias("text"))
+    chat = next_row(chat.withColumn("back", -F.col("turn")), ["conv_id"], "back", ["text"])
+    kind = F.col("turn") % 4
+    quote = (F.when(kind == 1, F.regexp_replace(F.concat(F.lit("\n"), "next_text"), "\n", "\n> "))
+             .when(kind == 2, F.concat(F.lit("> "), F.replace(said(2), F.lit("of "), F.lit("of\n> "))))
+             .when(kind == 3, F.concat(F.lit("> > "), said(3), F.lit("\n> "), said(2))))
+    threads = quotes.link_quotes(chat.withColumn("text", F.concat(F.coalesce(quote, F.lit("")), F.lit("\n\n"), "text")))
+    return threads.fillna(-1, ["parent_turn"])
+
+
 _OWN = r"regexp_replace(text, '^[\x20\t\n\x0b\f\r]+|[\x20\t\n\x0b\f\r]+$', '', 'g')"
 ORACLES["op6_quotation_linking"] = f"""
 SELECT conv_id, turn, role, {_OWN} AS body, -1::BIGINT AS parent_turn, turn AS root_turn, 0::BIGINT AS depth,
@@ -95,6 +113,12 @@ SELECT conv_id, turn, role, {_OWN} AS body, coalesce(lag(turn) OVER w, -1) AS pa
   row_number() OVER w - 1 AS depth, row_number() OVER w AS position
 FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)
 """
+ORACLES["quoted_threads"] = f"""
+SELECT conv_id, turn, role, {_OWN} AS body, CASE turn % 4 WHEN 0 THEN -1 WHEN 1 THEN turn - 1 ELSE turn - 2 END::BIGINT AS parent_turn,
+  (turn - turn % 4)::BIGINT AS root_turn, CASE turn % 4 WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END::BIGINT AS depth,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn // 4, CASE turn % 4 WHEN 2 THEN 3 WHEN 3 THEN 2 ELSE turn % 4 END) AS position
+FROM (SELECT conv_id, turn, role, 'Point ' || turn || ' of this talk. ' || coalesce(text, '') AS text FROM conversations)
+"""
 
 
 def damaged_conversations(chat: DataFrame) -> DataFrame:
