@@ -10,14 +10,14 @@ of segment length holds enough of them are kept, and a banded alignment verifies
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.llm.common import slices
+from shelfspark.llm.common import pinned, slices
 
 Q = 8
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -33,6 +33,8 @@ class Leak:
     edit_rate: float = 0.08
     #: Benchmark characters held by one broadcast index; more are searched in further passes.
     block_chars: int = 2_000_000
+    #: Also report items of fewer than Q characters.
+    short_items: bool = True
 
 
 def normalise(text: str) -> str:
@@ -81,7 +83,13 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]], rules: Leak):
         self.rules = rules
-        plain = [(item, t) for item, t in ((item, normalise(text)) for item, text in items) if len(t) >= Q]
+        folded_items = [(item, normalise(text)) for item, text in items]
+        plain = [(item, t) for item, t in folded_items if len(t) >= Q]
+        #: items too short for a q-gram, by their number of words
+        self.short: dict[int, dict[str, list[int]]] = {}
+        for item, t in folded_items:
+            if rules.short_items and 0 < len(t) < Q:
+                self.short.setdefault(t.count(" ") + 1, {}).setdefault(t, []).append(item)
         chars = np.array([len(t) for _, t in plain], np.int64)
         self.longest = int(chars.max(initial=0))
         self.n_segments = np.maximum(chars - rules.segment, 0) + 1
@@ -181,6 +189,17 @@ class Index:
             best[done] = row[done].min(axis=1)
         return best
 
+    def short_items(self, text: str) -> list[dict]:
+        """Items of fewer than Q characters that stand in a normalised text as whole words, at
+        their first place: the edit budget of so few characters is 0."""
+        out = []
+        words = text.split(" ")
+        for n, named in self.short.items():
+            runs = set(words) if n == 1 else {" ".join(words[i:i + n]) for i in range(len(words) - n + 1)}
+            for run in runs & named.keys():
+                out += [{"item_id": item, "offset": 0, "at": f" {text} ".index(f" {run} "), "edits": 0} for item in named[run]]
+        return out
+
     def search(self, texts: list[str | None]) -> list[list[dict]]:
         """For each text the verified segments: item, offset in the item, position, edits."""
         found: list[list[dict]] = [[] for _ in texts]
@@ -195,6 +214,9 @@ class Index:
             parts += [c, gap]
             first.append(at)
             at += len(c) + len(gap)
+        if self.short:
+            for row, t in zip(found, plain, strict=True):
+                row += self.short_items(t)
         seg, band = self.candidates(np.concatenate(parts) if parts else gap)
         if not len(seg):
             return found
@@ -233,9 +255,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
     One entry per verified benchmark segment: its item and offset there, about where it
     lies in the normalised text, and the edits. The benchmark is the stated query set: its
     total length is measured first, then blocks of about ``block_chars`` characters are
-    indexed and broadcast one after the other, so no broadcast grows with either table.
-    Null and empty texts have no leaks; null items and items of fewer than Q normalised
-    characters are never found. Rows are searched by themselves; repeated items each
+    indexed and broadcast one after the other, each in a pass of its own over the rows that
+    the pass before wrote: no broadcast and no worker's memory grows with either table.
+    Null and empty texts have no leaks; null and blank items are never found. Items of fewer
+    than Q normalised characters are found as whole words without edits. Rows are searched by themselves; repeated items each
     report. Other columns may have any names; one named ``leaks`` gives two such columns.
     """
     spark = docs.sparkSession
@@ -261,6 +284,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
 
         plain = plain.mapInArrow(run, f"{fields}, leaks{block} {kind}")
         fields += f", leaks{block} {kind}"
+        if block < n_blocks - 1:
+            plain = pinned(plain)
+            listed.unpersist()
     leaks = F.array_sort(F.concat(*[F.col(f"leaks{i}") for i in range(n_blocks)]))
     return plain.select(*[F.col(c) for c in named], leaks.alias("leaks")).toDF(*docs.columns, "leaks")
 
@@ -276,7 +302,11 @@ def leaked_pairs(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", rules: Leak = Leak()) -> DataFrame:
-    """The rows of ``docs`` in which no benchmark segment was found."""
-    found = find_leaks(docs, benchmark, text_col, rules=rules)
+    """The rows of ``docs`` in which no benchmark segment was found.
+
+    Items of fewer than Q normalised characters are no segments here: an answer like "yes" in
+    a text is no copy. ``leaked_pairs`` names them.
+    """
+    found = find_leaks(docs, benchmark, text_col, rules=replace(rules, short_items=False))
     *named, leaks = [f"c{i}" for i in range(len(found.columns))]  # docs may have a column of any name
     return found.toDF(*named, leaks).where(F.size(leaks) == 0).select(*named).toDF(*docs.columns)

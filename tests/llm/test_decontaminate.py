@@ -90,3 +90,30 @@ def test_short_texts_between_leaks():
             alone = {id(t): index.search([t])[0] for t in texts}
             key = lambda f: {(x["offset"], x["edits"], x["at"]) for x in f}
             assert all(key(f) == key(alone[id(t)]) for t, f in zip(texts, found, strict=True) if t is item)
+
+
+def test_short_items_as_whole_words():
+    r = random.Random(6)
+    items = [(k, t) for k, t in enumerate(["yes", "No", "a b", "1 + 1", "seven", "Yes", "", "  ", " x\ty "])]
+    index = D.Index(items, D.Leak())
+    texts = [None, "", "yes", "yesterday", " ".join(r.choice(["yes", "no", "a", "b", "1", "+", "x", "y", "seventh"]) for _ in range(200)), "b a", "a  B"]
+    for t, found in zip(texts, index.search(texts), strict=True):
+        plain = D.normalise(t or "")
+        want = {(i, f" {plain} ".find(f" {D.normalise(x)} ")) for i, x in items if D.normalise(x) and f" {D.normalise(x)} " in f" {plain} "}
+        assert {(x["item_id"], x["at"]) for x in found} == want
+
+
+def test_short_items_are_named_but_drop_nothing(spark):
+    bench = spark.createDataFrame([(1, "yes"), (2, "no way"), (3, None)], "item_id long, text string")
+    df = spark.createDataFrame([(1, "Oh yes."), (2, "yes it is"), (3, "there is No  way out")], "doc_id long, text string")
+    for rules in (D.Leak(), D.Leak(block_chars=4)):
+        assert {(x["doc_id"], x["item_id"]) for x in D.leaked_pairs(df, bench, rules=rules).collect()} == {(2, 1), (3, 2)}
+        assert D.without_leaks(df, bench, rules=rules).count() == 3
+
+
+def test_very_long_text():
+    r = random.Random(9)
+    item = " ".join(word(r) for _ in range(60))
+    filler = " ".join(word(r) for _ in range(300_000))
+    found = D.Index([(1, item)], D.Leak()).search([filler + " " + item + " " + filler, filler])
+    assert found[0] and not found[1]
