@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from shelfspark.llm.common import pinned
+from shelfspark.session import spread
 
 #: Fixed rules (verdict, host, path).
 RULES = (
@@ -112,14 +113,14 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     verdict = F.element_at(F.array(*[F.lit(v) for v, _, _ in rules]), F.col("rule_at") + 1)
     urls = pinned(urls.withColumn("decided", F.when(F.col("rule_at").isNotNull(), verdict)))
     learn = F.col("decided").isNotNull() & ~F.col("aside")
-    # grams are counted before they are shuffled; lower orders come from these counts
-    all_grams = pinned(_grams(urls.select("shown", "decided", learn.alias("learn")), model.order).groupBy("gram").agg(
+    # URLs are dealt out again, as their few bytes become many grams; grams are counted before they are shuffled; lower orders come from these counts
+    all_grams = pinned(_grams(spread(urls.select("shown", "decided", learn.alias("learn"))), model.order).groupBy("gram").agg(
         F.count_if(F.col("learn") & (F.col("decided") == "allow")).alias("allow"),
         F.count_if(F.col("learn") & (F.col("decided") == "block")).alias("block")))
     letters = all_grams.select(F.substring("gram", model.order + 1, 1)).distinct().count()
     ratios = _log_ratios(all_grams.select("gram"), all_grams.where("allow + block > 0"), model.order, letters + 1)
     mean = F.sum("ratio").cast("double") / F.count(F.lit(1)) / 1e9
-    scores = (_grams(urls.select("url", "shown").where("url IS NOT NULL"), model.order).join(ratios, "gram")
+    scores = (_grams(spread(urls.select("url", "shown").where("url IS NOT NULL")), model.order).join(ratios, "gram")
               .groupBy("url").agg(F.round(mean, 9).alias("score")))
     scored = pinned(urls.join(scores, "url", "left").select(
         "url", "host", "path", "rule_at", "decided", "aside",
