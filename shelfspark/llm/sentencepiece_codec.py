@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfspark.llm.common import slices
 from shelfspark.llm.pieces import ESCAPED, MARK, VOCABULARY, Lattice, Vocabulary, by_length, load_vocabulary
 
+#: A worker segments about so many bytes of text at a time.
+SLICE_BYTES = 2 << 20
 _CHUNK = re.compile(r" *[^ \n]+|\n| +")
 
 
@@ -83,6 +87,29 @@ def _text(raw: bytes) -> str:
     return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
 
 
+class Decoder:
+    """``decode_ids`` for many texts: the pieces' bytes in one buffer, gathered by id."""
+
+    def __init__(self, pieces: list[bytes]):
+        table = [p if len(p) == 1 else p.replace(MARK, b" ") for p in pieces]
+        self.size = np.fromiter(map(len, table), np.int64, len(table))
+        self.start = np.cumsum(self.size) - self.size
+        self.flat = np.frombuffer(b"".join(table), np.uint8)
+
+    def text(self, ids: np.ndarray) -> str:
+        ids = ids.astype(np.int64)
+        ids = ids[(ids >= 0) & (ids < len(self.size))]
+        return _text(self.flat[_ranges(self.start[ids], self.size[ids])].tobytes())
+
+
+def _encoded(vocab: Vocabulary, texts: list[str | None]) -> tuple[pa.ListArray, pa.Array]:
+    """Ids and log score of each text as Arrow columns, null for a null text."""
+    ids, to, score = encode_texts(vocab, texts)
+    null = np.array([t is None for t in texts])
+    offsets = pa.array(to.astype(np.int32), pa.int32(), mask=np.append(null, False))
+    return pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32())), pa.array(score, pa.float64(), mask=null)
+
+
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """(id, text, ids, log_prob): the best segmentation of every whole text.
 
@@ -94,14 +121,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Vocabulary(*vocab.value)
-        for b in slices(batches, "text", 4 << 20):
-            texts = b.column("text").to_pylist()
-            ids, to, score = encode_texts(own, texts)
-            null = np.array([t is None for t in texts])
-            offsets = pa.array(to.astype(np.int32), pa.int32(), mask=np.append(null, False))
-            yield pa.RecordBatch.from_arrays(
-                [b.column("id"), b.column("text"), pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32())),
-                 pa.array(score, pa.float64(), mask=null)], ["id", "text", "ids", "log_prob"])
+        for b in slices(batches, "text", SLICE_BYTES):
+            yield pa.RecordBatch.from_arrays([*b.columns, *_encoded(own, b.column("text").to_pylist())], ["id", "text", "ids", "log_prob"])
 
     schema = f"id {narrow.schema['id'].dataType.simpleString()}, text string, ids array<int>, log_prob double"
     return narrow.mapInArrow(run, schema).withColumnsRenamed({"id": id_col, "text": text_col})
@@ -115,22 +136,11 @@ def decode(encoded: DataFrame, ids_col: str = "ids", out: str = "decoded", vocab
     at = encoded.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = [p if len(p) == 1 else p.replace(MARK, b" ") for p in vocab.value]
-        size = np.fromiter(map(len, table), np.int64, len(table))
-        start = np.cumsum(size) - size
-        flat = np.frombuffer(b"".join(table), np.uint8)
+        own = Decoder(vocab.value)
         for b in batches:
             lists = b.column(at)
-            texts: list[str | None] = []
-            for row in range(b.num_rows):
-                one = lists[row]
-                if not one.is_valid:
-                    texts.append(None)
-                    continue
-                ids = one.values.to_numpy(zero_copy_only=False).astype(np.int64)
-                ids = ids[(ids >= 0) & (ids < len(table))]
-                n = size[ids]
-                texts.append(_text(flat[np.repeat(start[ids] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))].tobytes()))
+            texts = [own.text(x.values.to_numpy(zero_copy_only=False)) if (x := lists[row]).is_valid else None
+                     for row in range(b.num_rows)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*named, "out"])
 
     fields = ", ".join(f"{c} {plain.schema[c].dataType.simpleString()}" for c in named)
@@ -140,9 +150,31 @@ def decode(encoded: DataFrame, ids_col: str = "ids", out: str = "decoded", vocab
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """(id, ids, n_ids, log_prob, decoded_crc32, exact): encode, decode, compare.
 
-    ``exact`` is null-safe: a null text decodes to null.
+    Both ways run on one slice of texts after the other in the same worker, so neither the
+    decoded texts nor a second worker's copy of the ids are held beside it. ``exact`` is
+    null-safe: a null text decodes to null, with null ids, n_ids, log_prob and decoded_crc32.
+    Rows are taken by themselves; other columns are not read; an empty table gives no rows.
     """
-    both = decode(encode(docs.select(id_col, text_col), id_col, text_col, vocabulary), vocabulary=vocabulary)
-    return both.select(id_col, "ids", F.when(F.col("ids").isNotNull(), F.size("ids")).alias("n_ids"), "log_prob",
-                       F.crc32(F.encode(F.col("decoded"), "UTF-8")).alias("decoded_crc32"),
-                       F.col(text_col).eqNullSafe(F.col("decoded")).alias("exact"))
+    vocab = docs.sparkSession.sparkContext.broadcast(load_vocabulary(vocabulary).plain())
+    narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Vocabulary(*vocab.value)
+        back = Decoder(own.pieces)
+        for b in slices(batches, "text", SLICE_BYTES):
+            texts = b.column("text").to_pylist()
+            ids, log_prob = _encoded(own, texts)
+            flat, to = ids.values.to_numpy(), ids.offsets.to_pylist()
+            crc: list[int | None] = []
+            exact = []
+            for i, t in enumerate(texts):
+                decoded = None if t is None else back.text(flat[to[i]:to[i + 1]])
+                crc.append(None if decoded is None else zlib.crc32(decoded.encode("utf-8", "surrogatepass")))
+                exact.append(decoded == t)
+            yield pa.RecordBatch.from_arrays(
+                [b.column("id"), ids, pc.list_value_length(ids), log_prob, pa.array(crc, pa.int64()), pa.array(exact, pa.bool_())],
+                ["id", "ids", "n_ids", "log_prob", "decoded_crc32", "exact"])
+
+    schema = (f"id {narrow.schema['id'].dataType.simpleString()}, ids array<int>, n_ids int, log_prob double, "
+              "decoded_crc32 bigint, exact boolean")
+    return narrow.mapInArrow(run, schema).withColumnRenamed("id", id_col)

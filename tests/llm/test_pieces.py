@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -114,3 +115,9 @@ def test_codec_on_rows(spark):
     m = sentencepiece.SentencePieceProcessor(model_file=P.VOCABULARY)
     assert m.decode(by[4]["ids"]) == texts[4]
     assert C.round_trip(df.limit(0)).count() == 0
+    # one pass in a worker gives what encoding and then decoding give
+    plain = C.decode(C.encode(df.select("doc_id", "text"))).collect()
+    crc = lambda t: None if t is None else zlib.crc32(t.encode())
+    assert (sorted(((x["doc_id"], x["ids"], x["log_prob"], crc(x["decoded"])) for x in plain), key=repr)
+            == sorted(((x["doc_id"], x["ids"], x["log_prob"], x["decoded_crc32"]) for x in got), key=repr))
+    assert all(x["n_ids"] == (None if x["ids"] is None else len(x["ids"])) for x in got)
