@@ -1,13 +1,15 @@
-"""SimHash near-duplicates through an inverted index of fingerprint bytes.
+"""SimHash near-duplicates through an inverted index of fingerprint bytes, with count filtering.
 
 A 64-bit fingerprint is eight positional bytes. Fingerprints at most ``d`` bits apart
 differ in at most ``d`` bytes, so their tally of shared positional bytes is at least
-``8 - d``: the guaranteed minimum of the count filter. Tallying single-byte postings
-would pair everything within postings of 1/256 of the corpus, so an index entry here is
-a *set* of ``8 - d`` positional bytes (28 sets for d = 2). A pair meets in an entry
-exactly when its tally reaches the minimum on that set; no other pair is ever formed.
-An entry holds at most 256^d distinct fingerprints (they agree in all other bytes) and
-is solved without listing its pairs (``_link_entry``).
+``8 - d``: the guaranteed minimum of the count filter. Postings of single bytes would pair
+everything within 1/256 of the corpus, so the bytes are dealt into ``d + 2`` groups, of which
+such a pair shares two whole ones: an index entry holds the fingerprints that agree in two
+groups (for d = 2, six entries of four bytes a fingerprint). Of the pairs that meet in an
+entry, those whose tally over all eight bytes reaches the minimum are kept, and their bit
+distance is verified. Entries of more than ``PAIRED`` different fingerprints are dealt anew by
+the sets of ``8 - d`` bytes around theirs, in one of which every pair that reaches the minimum
+meets: at most 256^d members, solved without listing their pairs (``_flip_links``).
 """
 
 from __future__ import annotations
@@ -22,9 +24,12 @@ from pyspark.sql import functions as F
 
 from shelfspark.llm.common import pinned
 from shelfspark.llm.components import connected_components
+from shelfspark.plans.reuse import written
 
 SEED = 42
 _BLOCK = 1 << 16
+#: Entries of up to so many fingerprints tally their pairs.
+PAIRED = 256
 
 
 def simhash(text: bytes | None, shingle: int = 3, seed: int = SEED) -> int:
@@ -72,49 +77,68 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return narrow.mapInArrow(run, f"id {narrow.schema['id'].dataType.simpleString()}, fp bigint{kinds}")
 
 
-def _masks(max_bits: int) -> list[int]:
-    """Signed 64-bit masks that keep 8 - max_bits of the eight bytes."""
-    out = []
-    for kept in combinations(range(8), 8 - min(max_bits, 7)):
-        m = sum(0xFF << (8 * p) for p in kept)
-        out.append(m - (1 << 64) if m >> 63 else m)
-    return out
+def _mask(positions: tuple[int, ...]) -> int:
+    """The signed 64-bit mask that keeps these bytes."""
+    m = sum(0xFF << (8 * p) for p in positions)
+    return m - (1 << 64) if m >> 63 else m
 
 
-def _popcount(x: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x.astype(np.uint64))
+def posted_sets(max_bits: int) -> list[tuple[int, ...]]:
+    """The byte positions of each index entry: all groups but ``max_bits`` of ``max_bits + 2``."""
+    n = min(8, max_bits + 2)
+    groups = [tuple(int(p) for p in g) for g in np.array_split(np.arange(8), n)]
+    return [sum(kept, ()) for kept in combinations(groups, max(1, n - max_bits))]
 
 
-def _link_entry(fp: np.ndarray, max_bits: int) -> np.ndarray:
-    """For distinct fingerprints of one index entry: each one's smallest linked index.
+def finer_sets(positions: tuple[int, ...], max_bits: int) -> list[tuple[int, ...]]:
+    """The sets of ``8 - max_bits`` positions that hold the given ones."""
+    rest = [p for p in range(8) if p not in positions]
+    more = max(0, 8 - min(max_bits, 7) - len(positions))
+    return [tuple(sorted((*positions, *extra))) for extra in combinations(rest, more)]
 
-    All members share the entry's bytes. Small entries compare directly: tally the equal
-    bytes, keep tallies of 8 - max_bits, verify the bit distance. In larger ones a sorted
-    lookup of ``fp ^ flip`` for every flip of at most ``max_bits`` free bits finds exactly
-    the same links in flips x members steps. Labels are the smallest index reached.
-    """
+
+def shared_bytes(x: np.ndarray) -> np.ndarray:
+    """How many of the eight positional bytes two fingerprints share, from their XOR."""
+    y = x | x >> np.uint64(4)
+    y |= y >> np.uint64(2)
+    y |= y >> np.uint64(1)
+    return 8 - np.bitwise_count(y & np.uint64(0x0101010101010101))
+
+
+def _tallied_links(fp: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Linked pairs (i < j) of distinct fingerprints by count filter and verification, and how many
+    pairs reached the guaranteed minimum."""
+    x = fp[:, None] ^ fp[None, :]
+    i, j = np.nonzero(np.triu(shared_bytes(x) >= 8 - max_bits, 1))
+    near = np.bitwise_count(x[i, j]) <= max_bits
+    return i[near], j[near], len(i)
+
+
+def _flip_links(fp: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Linked pairs of distinct fingerprints, both ways: a sorted lookup of ``fp ^ flip`` for every
+    flip of at most ``max_bits`` bits that are not the same in all, in flips x members steps."""
+    order = np.argsort(fp)
+    ranked = fp[order]
+    free = np.bitwise_or.reduce(fp ^ fp[0])
+    bits = [np.uint64(1) << np.uint64(k) for k in range(64) if int(free) >> k & 1]
+    pairs_i, pairs_j = [np.empty(0, int)], [np.empty(0, int)]
+    for k in range(1, max_bits + 1):
+        for flip in combinations(bits, k):
+            want = fp ^ np.bitwise_or.reduce(np.array(flip, np.uint64))
+            at = np.minimum(np.searchsorted(ranked, want), len(fp) - 1)
+            hit = ranked[at] == want
+            pairs_i.append(np.nonzero(hit)[0])
+            pairs_j.append(order[at[hit]])
+    return np.concatenate(pairs_i), np.concatenate(pairs_j)
+
+
+def _link_entry(fp: np.ndarray, max_bits: int) -> np.ndarray:
+    """For distinct fingerprints of one index entry: the smallest index each one reaches over links."""
     n = len(fp)
     label = np.arange(n)
     fp = fp.view(np.uint64)
-    if n <= 32:
-        x = fp[:, None] ^ fp[None, :]
-        tally = (x[:, :, None].view(np.uint8).reshape(n, n, 8) == 0).sum(axis=2)
-        ok = (tally >= 8 - max_bits) & (_popcount(x) <= max_bits)
-        i, j = np.nonzero(ok)
-    else:
-        free = np.bitwise_or.reduce(fp ^ fp[0])
-        bits = [np.uint64(1) << np.uint64(k) for k in range(64) if int(free) >> k & 1]
-        order = np.argsort(fp)
-        ranked = fp[order]
-        pairs_i, pairs_j = [], []
-        for k in range(1, max_bits + 1):
-            for flip in combinations(bits, k):
-                want = fp ^ np.bitwise_or.reduce(np.array(flip, np.uint64))
-                at = np.minimum(np.searchsorted(ranked, want), n - 1)
-                hit = ranked[at] == want
-                pairs_i.append(np.nonzero(hit)[0])
-                pairs_j.append(order[at[hit]])
-        i, j = (np.concatenate(p) if p else np.empty(0, int) for p in (pairs_i, pairs_j))
+    i, j = _tallied_links(fp, max_bits)[:2] if n <= PAIRED else _flip_links(fp, max_bits)
+    i, j = np.concatenate([i, j]), np.concatenate([j, i])
     while True:
         new = label.copy()
         np.minimum.at(new, i, label[j])
@@ -124,8 +148,9 @@ def _link_entry(fp: np.ndarray, max_bits: int) -> np.ndarray:
         label = new
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(fp, node) of each (entry, key) group of at least two, from batches sorted by them."""
+def _groups(batches: Iterator[pa.RecordBatch], named: bool = False) -> Iterator[tuple]:
+    """(fp, node) of each (entry, key) group of at least two, from batches sorted by them; ``named``
+    adds the entry."""
     held: list[np.ndarray] = []
     held_key = None
     for b in batches:
@@ -142,25 +167,49 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
                 held.append(part)
                 continue
             if held and sum(p.shape[1] for p in held) > 1:
-                yield tuple(np.concatenate(held, axis=1))
+                yield (*np.concatenate(held, axis=1), *([held_key[0]] if named else []))
             held, held_key = [part], k
     if held and sum(p.shape[1] for p in held) > 1:
-        yield tuple(np.concatenate(held, axis=1))
+        yield (*np.concatenate(held, axis=1), *([held_key[0]] if named else []))
 
 
-def fingerprint_links(distinct: DataFrame, max_bits: int = 2) -> DataFrame:
-    """Edges (a, b) between nodes of linked fingerprints, from one row (fp, node) each.
+def _posted(rows: DataFrame, sets: list[tuple[int, ...]]) -> DataFrame:
+    """(entry, key, fp, node) of each row in each of the position sets; ``entry`` numbers the set."""
+    keys = F.array(*[F.col("fp").bitwiseAND(F.lit(_mask(s))) for s in sets])
+    return rows.select("fp", "node", F.posexplode(keys).alias("entry", "key"))
+
+
+def _dealt(entries: DataFrame) -> DataFrame:
+    return entries.repartition("entry", "key").sortWithinPartitions("entry", "key", "fp")
 
-    Every link lies on a path of edges; an entry of k linked members gives at most k - 1.
-    """
-    entries = distinct.select(
-        "fp", "node", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in _masks(max_bits)])).alias("entry", "key"))
-    dealt = entries.repartition("entry", "key").sortWithinPartitions("entry", "key", "fp")
 
+def index_entries(distinct: DataFrame, max_bits: int = 2) -> tuple[DataFrame, DataFrame | None]:
+    """Rows (fp, node, entry, key) of the inverted index, from one row (fp, node) each: entries of
+    up to ``PAIRED`` fingerprints, and the larger ones dealt by finer sets (None if there are none).
+
+    Entries are counted first (a partial and a final count), so no task gets a large one.
+    """
+    sets = posted_sets(max_bits)
+    entries = _posted(distinct, sets)
+    large = written(entries.groupBy("entry", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PAIRED).drop("n"))
+    if large.isEmpty():
+        return entries, None
+    fine = sorted({f for s in sets for f in finer_sets(s, max_bits)})
+    around = F.array(*[F.array(*[F.lit(fine.index(f)) for f in finer_sets(s, max_bits)]) for s in sets])
+    masks = F.array(*[F.lit(_mask(f)) for f in fine])
+    anew = (entries.join(large, ["entry", "key"], "left_semi")
+            .select("fp", "node", F.explode(F.get(around, F.col("entry"))).alias("entry"))
+            .withColumn("key", F.col("fp").bitwiseAND(F.get(masks, F.col("entry")))))
+    return entries.join(large, ["entry", "key"], "left_anti"), anew
+
+
+def _linked(entries: DataFrame, max_bits: int) -> DataFrame:
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a: list[np.ndarray] = []
         b: list[np.ndarray] = []
         for fp, node in _groups(batches):
+            first = np.concatenate([[True], fp[1:] != fp[:-1]])  # two large entries may deal a row to one finer set
+            fp, node = fp[first], node[first]
             label = _link_entry(fp, max_bits)
             own = np.flatnonzero(label != np.arange(len(fp)))
             a.append(node[own])
@@ -171,7 +220,41 @@ def fingerprint_links(distinct: DataFrame, max_bits: int = 2) -> DataFrame:
         if a:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
-    return dealt.mapInArrow(link, "a bigint, b bigint")
+    return _dealt(entries).mapInArrow(link, "a bigint, b bigint")
+
+
+def fingerprint_links(distinct: DataFrame, max_bits: int = 2) -> DataFrame:
+    """Edges (a, b) between nodes of linked fingerprints, from one row (fp, node) each.
+
+    Every link lies on a path of edges; an entry of k linked members gives at most k - 1.
+    """
+    entries, anew = index_entries(distinct, max_bits)
+    links = _linked(entries, max_bits)
+    return links if anew is None else links.unionByName(_linked(anew, max_bits))
+
+
+def tally_counts(distinct: DataFrame, max_bits: int = 2) -> DataFrame:
+    """(entry, met, reached, linked) for each position set of the index, from one row (fp, node) each:
+    pairs that met in its entries of up to ``PAIRED`` fingerprints, those whose tally of shared bytes
+    reached the guaranteed minimum, and those verified by bit distance."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = []
+        for fp, _, entry in _groups(batches, named=True):
+            i, _, reached = _tallied_links(fp.view(np.uint64), max_bits)
+            out.append((entry, len(fp) * (len(fp) - 1) // 2, reached, len(i)))
+            if len(out) == _BLOCK:
+                yield _counts(out)
+                out = []
+        yield _counts(out)
+
+    rows = _dealt(index_entries(distinct, max_bits)[0]).mapInArrow(count, "entry bigint, met bigint, reached bigint, linked bigint")
+    return rows.groupBy("entry").agg(*[F.sum(c).alias(c) for c in ("met", "reached", "linked")])
+
+
+def _counts(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
+    table = np.array(rows, np.int64).reshape(-1, 4)
+    return pa.RecordBatch.from_arrays([pa.array(table[:, k]) for k in range(4)], ["entry", "met", "reached", "linked"])
 
 
 def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 2,

@@ -3,7 +3,10 @@ import random
 import numpy as np
 import xxhash
 
-from shelfspark.llm.simhash import _link_entry, fingerprint_links, near_duplicates, one_of_each, simhash
+from itertools import combinations
+
+from shelfspark.llm.simhash import (PAIRED, _link_entry, finer_sets, fingerprint_links, index_entries, near_duplicates, one_of_each,
+                                    posted_sets, shared_bytes, simhash, tally_counts)
 
 
 def brute_fp(text):
@@ -110,3 +113,72 @@ def test_one_row_of_each_group_stays(spark):
     assert all(any((i is None, i or 0) == min(q[:2] for q in g) and (i is None, i or 0, x) in g for g in groups.values()) for i, x in kept)
     assert {x for _, x in kept} >= {t, v, "own words"} and any(x in (u, u + " x") for _, x in kept)
     assert one_of_each(df).columns == df.columns and one_of_each(df.limit(0)).count() == 0
+
+
+def least_reached(n, pairs):
+    root = list(range(n))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in pairs:
+        root[max(top(a), top(b))] = min(top(a), top(b))
+    return [top(i) for i in range(n)]
+
+
+def signed(fps):
+    return [(f - (1 << 64) if f >> 63 else f, i) for i, f in enumerate(fps)]
+
+
+def test_long_text_crosses_the_blocks_of_the_vote():
+    r = random.Random(12)
+    t = " ".join(r.choice("abcdefghij") for _ in range(70_000))
+    assert simhash(t.encode()) == brute_fp(t)
+
+
+def test_every_pair_at_the_minimum_shares_a_posted_and_a_finer_set():
+    for d in range(8):
+        sets = posted_sets(d)
+        for differing in combinations(range(8), d):
+            same = set(range(8)) - set(differing)
+            shared = [s for s in sets if same >= set(s)]
+            assert shared and all(any(same >= set(f) for f in finer_sets(s, d)) for s in shared)
+    assert len(posted_sets(2)) == 6 and all(len(s) == 4 for s in posted_sets(2))
+    r = random.Random(1)
+    x = [r.getrandbits(64) & r.getrandbits(64) & ~(0xFF << 8 * r.randrange(8)) for _ in range(200)]
+    assert shared_bytes(np.array(x, np.uint64)).tolist() == [v.to_bytes(8, "little").count(0) for v in x]
+
+
+def test_the_tally_rejects_pairs_that_meet(spark):
+    r = random.Random(8)
+    top = 0x0123456789ABCDEF
+    fps = sorted({top ^ sum(1 << r.randrange(32) for _ in range(r.randint(0, 4))) for _ in range(120)})
+    got = tally_counts(spark.createDataFrame(signed(fps), "fp long, node long")).collect()
+    want = {}
+    for entry, s in enumerate(posted_sets(2)):
+        for a, b in combinations(fps, 2):
+            same = [(a >> 8 * p & 255) == (b >> 8 * p & 255) for p in range(8)]
+            if all(same[p] for p in s):
+                met, reached, linked = want.get(entry, (0, 0, 0))
+                want[entry] = (met + 1, reached + (sum(same) >= 6), linked + (sum(same) >= 6 and (a ^ b).bit_count() <= 2))
+    assert {x["entry"]: (x["met"], x["reached"], x["linked"]) for x in got} == want
+    met, reached, linked = (sum(w[k] for w in want.values()) for k in range(3))
+    assert met > reached > linked > 0
+
+
+def test_large_entries_are_dealt_anew_without_losing_a_link(spark):
+    r = random.Random(9)
+    # one third of the rows agree in four bytes, more than a tallied entry takes
+    hot = {0xABCD_EF01 << 32 | r.getrandbits(5) << 20 | r.getrandbits(6) for _ in range(2000)}
+    fps = sorted(hot | {r.getrandbits(64) for _ in range(800)})
+    assert len(hot) > 2 * PAIRED
+    df = spark.createDataFrame(signed(fps), "fp long, node long")
+    entries, anew = index_entries(df)
+    assert anew is not None and entries.groupBy("entry", "key").count().agg({"count": "max"}).first()[0] <= PAIRED
+    near = {(e["a"], e["b"]) for e in fingerprint_links(df).collect()}
+    x = np.array(fps, np.uint64)
+    linked = {(i, j) for i in range(len(fps)) for j in np.flatnonzero(np.bitwise_count(x ^ x[i]) <= 2).tolist()}
+    assert least_reached(len(fps), near) == least_reached(len(fps), linked)
+    assert index_entries(df.limit(0))[1] is None and fingerprint_links(df.limit(0)).count() == 0
