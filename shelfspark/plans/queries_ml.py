@@ -179,8 +179,9 @@ def q_kpi_cards(spark, sf):
     from shelfspark.functions import display as L
     from shelfspark.operators import insights as E
     from shelfspark.operators import kpi as D
-    df = catalog_view(spark, sf, ["final_price", "sold_quantity", "rating", "delivery_status", "category",
-                                  "date_added", "brand"])
+    # written: each of the four figures would join the catalogue anew
+    df = written(catalog_view(spark, sf, ["final_price", "sold_quantity", "rating", "delivery_status", "category",
+                                          "date_added", "brand"]))
     t = D.kpi_totals(df)
     cards = t.select(L.money("total_revenue", "Cr").alias("total_revenue"),
                      L.thousands("total_units").alias("total_units"),
