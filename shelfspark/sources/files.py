@@ -34,13 +34,15 @@ def _is_dir(spark: SparkSession, path: str) -> bool:
 
 def conform_catalog(raw: DataFrame, schema: T.StructType = CATALOG) -> DataFrame:
     """Text columns -> typed catalogue: NA tokens -> null everywhere, NaN -> null."""
+    text = {f.name: F.col(f"`{f.name}`").cast("string") for f in schema.fields if f.name in raw.columns}
+    # a step of its own: numbers are read in two ways, and each would look the token up again
+    raw = raw.select(*[F.when(c.isin(NA_TOKENS), F.lit(None).cast("string")).otherwise(c).alias(n) for n, c in text.items()])
     out = []
     for f in schema.fields:
-        if f.name not in raw.columns:
+        if f.name not in text:
             out.append(F.lit(None).cast(f.dataType).alias(f.name))
             continue
-        c = F.col(f"`{f.name}`").cast("string")
-        c = F.when(c.isin(NA_TOKENS), F.lit(None).cast("string")).otherwise(c)
+        c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, T.StringType):
             v = c
         elif isinstance(f.dataType, T.BooleanType):
