@@ -1,5 +1,7 @@
 """Rewritten steps give what the plain ones give, and plans do not repeat work."""
 
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.ml.functions import array_to_vector
@@ -7,10 +9,16 @@ from pyspark.sql import functions as F
 
 from shelfspark.operators import attribution as A
 from shelfspark.operators import boosting as B
+from shelfspark.operators import engineer as C
 from shelfspark.operators import models as I
 from shelfspark.operators import prep as H
 from shelfspark.operators.evaluate import compare_models
+from shelfspark.plans import queries_ml as Q
 from shelfspark.plans import registry
+from shelfspark.plans.queries_more import FIXTURE_REF_DATE
+from shelfspark.schemas import CATALOG
+from shelfspark.session import hashed_joins
+from shelfspark.sources.catalog import catalog_view
 from shelfspark.sources.files import conform_catalog
 from tests.conftest import SF_SMALL
 
@@ -110,3 +118,38 @@ def test_kpi_cards_join_the_catalogue_once(spark):
 def test_scenario_plan_holds_no_request_checks(spark):
     registry.load_all()
     assert "invalid or missing" not in _plan(registry.run("scenario_scores", spark, SF_SMALL))
+
+
+def test_features_are_made_from_a_narrow_written_catalogue(spark, monkeypatch):
+    seen = []
+    keep = Q.written
+    monkeypatch.setattr(Q, "written", lambda df: seen.append(set(df.columns)) or keep(df))
+    for stage, make in (("post", C.engineer_post_launch), ("pre", C.engineer_pre_launch)):
+        got = Q._features(spark, SF_SMALL, stage)
+        want = make(catalog_view(spark, SF_SMALL), FIXTURE_REF_DATE)
+        assert seen.pop() <= set(CATALOG.names) and not seen
+        assert sorted(got.collect(), key=repr) == sorted(want.collect(), key=repr)
+
+
+def test_a_coarse_histogram_finds_the_exact_row(spark):
+    keys = [f"k{i}" for i in range(3000)] + ["k5", "k5", None]
+    df = spark.createDataFrame([(k, i % 3) for i, k in enumerate(keys)], "product_id string, label int")
+    order = sorted((hashlib.md5(f"{k}:42".encode()).hexdigest(), k) for k in keys if k is not None)
+    assert H.first_rows(df, 1, reread=True).count() == 0  # the null key comes first
+    for n in (2, 77, 2999):
+        assert sorted(r[0] for r in H.first_rows(df, n, reread=True).where("product_id IS NOT NULL").collect()) == sorted(k for h, k in order if (h, k) <= order[n - 2])
+    assert 2 * 16 ** H.HASH_BUCKET_DIGITS <= 10_000  # a task's histogram stays small beside its rows
+
+
+def test_shuffled_joins_hash_the_small_side(spark):
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        with hashed_joins(spark):
+            df = spark.range(5000).join(spark.range(50).withColumnRenamed("id", "k"), F.col("id") % 60 == F.col("k"), "left")
+            assert df.collect() and "ShuffledHashJoin" in df._jdf.queryExecution().executedPlan().toString()
+        again = spark.range(5000).join(spark.range(50).withColumnRenamed("id", "k"), F.col("id") % 60 == F.col("k"), "left")
+        assert again.collect() and "ShuffledHashJoin" not in again._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(name, before)
