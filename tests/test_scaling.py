@@ -4,7 +4,9 @@ import hashlib
 
 import numpy as np
 import pytest
+from pyspark.ml import PipelineModel
 from pyspark.ml.functions import array_to_vector
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shelfspark.operators import attribution as A
@@ -153,3 +155,39 @@ def test_shuffled_joins_hash_the_small_side(spark):
         assert again.collect() and "ShuffledHashJoin" not in again._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set(name, before)
+
+
+def test_plain_values_equal_the_pipeline(spark):
+    df = spark.range(300).select(F.when(F.col("id") % 7 != 0, F.concat(F.lit("v"), F.col("id") % 11)).alias("k"), F.rand(3).alias("x"),
+                                 F.lit(2.5).alias("same"), (F.col("id") % 5).cast("int").alias("n"))
+    holes = df.withColumn("x", F.when(F.col("n") != 3, F.col("x")))
+    for fit_on, rows in ((df, df), (df, holes), (holes, holes)):
+        prep = I.fit_pipeline(fit_on, ["k"], ["x", "same", "n"], None)
+        got = I.with_values(prep.transform(rows), PipelineModel(stages=prep.stages[1:])).select("values", "features").collect()
+        assert got and all(np.array_equal(r["values"], r["features"].toArray(), equal_nan=True) for r in got)
+
+
+def test_folds_of_written_rows_are_the_same(spark, monkeypatch):
+    df = spark.createDataFrame([(f"k{i}" if i % 90 else None, i % 3 if i % 70 else None, i) for i in range(900)] + [("k7", 1, -1)] * 2,
+                               "product_id string, label int, v int")
+    want = sorted(H.assign_folds(df).drop("v").collect(), key=repr)
+    w = Window.partitionBy("label").orderBy(H.hash_order("product_id"), "product_id")
+    plain = df.select("product_id", "label", ((F.row_number().over(w) - 1) % 5).alias("fold"))
+    assert want == sorted(plain.collect(), key=repr)
+    seen, keep = [], H.written
+    monkeypatch.setattr(H, "written", lambda rows: seen.append(rows.columns) or keep(rows))
+    got = H.assign_folds(df, write=True)
+    assert sorted(got.drop("v").collect(), key=repr) == want and len(seen) == 1 and "_h" not in seen[0]
+    assert sorted(r["v"] for r in got.collect()) == sorted(r["v"] for r in df.collect())
+
+
+def test_grid_search_shuffles_and_writes_no_vectors(spark, monkeypatch):
+    wide, picked = [], []
+    for module in (H, Q, I):
+        monkeypatch.setattr(module, "written", lambda rows, keep=module.written: wide.append(rows) or keep(rows))
+    monkeypatch.setattr(I, "first_rows", lambda rows, *a, keep=I.first_rows, **kw: picked.append(rows.columns) or keep(rows, *a, **kw))
+    monkeypatch.setattr(Q, "TRAIN_ROWS", 300)
+    assert Q.q_grid(spark, SF_SMALL).count() == 8
+    with_vectors = [d.count() for d in wide if "features" in d.columns]
+    assert with_vectors and max(with_vectors) <= 375 and len(wide) == 2  # the sample's alone, and the catalogue's
+    assert not {"features", "values", "brand_code"} & set(picked[0])
