@@ -27,7 +27,7 @@ from shelfspark.schemas import (
 )
 from shelfspark.plans.reuse import written
 from shelfspark.sources.catalog import catalog_view, line_column, table
-from shelfspark.session import scratch_path
+from shelfspark.session import hashed_joins, scratch_path
 from shelfspark.sources.files import append_dialogue, compact_dialogue, read_catalog, read_dialogue, to_records
 from shelfspark.sources.store import compact_runs, latest_run, log_run, read_runs, require_latest_model, save_model
 from shelfspark.streaming.scoring import start_scoring
@@ -238,12 +238,18 @@ def q_dialogue_log(spark, sf):
     return read_dialogue(spark, path).select("role", "content", "position")
 
 
+CSV_FILE_ROWS = 500_000
+
+
 @register("catalog_from_csv", with_catalog("SELECT * FROM catalog", prep=False))
 def q_catalog_from_csv(spark, sf):
     """A1: the catalogue written as CSV text and read back."""
     path = scratch_path(spark, f"catalog-csv-{uuid.uuid4().hex}")
-    view = catalog_view(spark, sf)
-    view.select(*[F.col(c).cast("string") for c in view.columns]).write.option("header", True).csv(path)
+    with hashed_joins(spark):
+        view = catalog_view(spark, sf)
+        text = view.select(*[F.col(c).cast("string") for c in view.columns])
+        # a compressed file is read by one task, so files are bounded
+        text.write.option("header", True).option("compression", "gzip").option("maxRecordsPerFile", CSV_FILE_ROWS).csv(path)
     return read_catalog(spark, path).select(*view.columns)
 
 
