@@ -185,3 +185,33 @@ def test_first_rows_without_a_sort(spark):
     assert sorted(r["product_id"] for r in got.collect()) == sorted(want)
     assert "TakeOrdered" not in got._jdf.queryExecution().toString()
     assert first_rows(df, 10_000).count() == 500 and first_rows(df.limit(0), 5).count() == 0
+
+
+def test_more_rows_than_a_task_learns_from_are_dealt_out(spark, monkeypatch):
+    df = frame(spark)
+    dealt, used = B.boost_dealt, []
+    monkeypatch.setattr(B, "boost_dealt", lambda *a: used.append(1) or dealt(*a))
+    near = B.LeafBoosted(rounds=5, rate=0.3, leaves=9).fit(df)
+    assert not used
+    monkeypatch.setattr(B, "IN_TASK_CELLS", 900 * 4 - 1)
+    monkeypatch.setattr(B, "BLOCK_CELLS", 400)  # several blocks a task
+    far = B.LeafBoosted(rounds=5, rate=0.3, leaves=9).fit(df)
+    assert used and abs(far.start - near.start) < 1e-12 and len(far.trees) == 5
+    for a, b in zip(far.trees, near.trees):
+        assert (a.feature == b.feature).all() and (a.bin == b.bin).all() and (a.cover == b.cover).all() and np.allclose(a.value, b.value)
+    assert far.trees[0].cover[0] == 900  # all rows learn
+
+
+def test_combined_bins_count_what_single_bins_count():
+    r = np.random.default_rng(4)
+    bins = (r.random((30_000, 7)) * [2, 3, 64, 17, 64, 40, 1]).astype(np.uint8)
+    g, h = r.standard_normal(30_000), r.random(30_000)
+    cells = B.Cells.of(bins, 64)
+    assert len(cells.groups) < 7 and sorted(sum(cells.groups, [])) == list(range(7))
+    every = np.arange(30_000, dtype=np.int32)
+    for rows in (every, every[5::3], every[:40], every[:0]):
+        want = np.stack([[np.bincount(bins[rows, f], v, 64) for f in range(7)] for v in (g[rows], h[rows], np.ones(len(rows)))])
+        assert np.allclose(cells.hist(rows, g, h), want)
+        assert (cells.bins_of(3, rows) == bins[rows, 3]).all()
+        left, right = cells.split(4, 20, rows)
+        assert (left == rows[bins[rows, 4] <= 20]).all() and (right == rows[bins[rows, 4] > 20]).all()
