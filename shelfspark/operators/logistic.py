@@ -37,11 +37,10 @@ class Problem:
 
 
 def lbfgs(x: np.ndarray, max_iter: int) -> Generator[np.ndarray, tuple[float, np.ndarray], np.ndarray]:
-    """Minimises a convex function: yields points, is sent (value, gradient), returns the optimum. A function
-    that has no finite value has none: NaN."""
+    """Minimises a convex function: yields points, is sent (value, gradient), returns the optimum."""
     f, g = yield x
     if not (np.isfinite(f) and np.isfinite(g).all()):
-        return np.full_like(x, np.nan)
+        raise ValueError("feature values must not be NaN or infinite")
     steps: list[tuple[np.ndarray, np.ndarray]] = []
     for _ in range(max_iter):
         if np.abs(g).max() <= GRADIENT:
